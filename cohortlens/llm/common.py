@@ -62,6 +62,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def dealt_evenly(df: DataFrame) -> DataFrame:
-    """``df`` over as many tasks as the session shuffles to, if it came in fewer (a few large files)."""
-    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """``df`` dealt anew only if it came in fewer tasks than the session has cores (one small file)."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Connected components of an edge table: one row (``node``, ``root``) per node that has an edge.
+
+    ``root`` is the smallest node of the component. Alternates large-star and
+    small-star steps, each a grouped minimum (combined on the map side) and a
+    join; every round is written to the shared folder, so neither the lineage
+    nor any task grows with the component. Loops and repeated edges do no harm.
+    """
+    left, right = F.col("u"), F.col("v")
+    now = stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where(left != right).select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).distinct(), "edges")
+    before = None
+    while True:
+        both = now.unionByName(now.select(right.alias("u"), left.alias("v")))
+        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(lowest, "u").where(right > left).select(right.alias("u"), F.col("m").alias("v")).where(left != right).distinct()
+        large = stored(large, "large-star")
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        small_star = large.join(lowest, "u").select(F.when(right != F.col("m"), right).otherwise(left).alias("u"), F.col("m").alias("v"))
+        now = stored(small_star.distinct(), "small-star")
+        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))).first()
+        if tuple(seen) == before:
+            break
+        before = tuple(seen)
+    return now.select(left.alias("node"), right.alias("root")).unionByName(now.select(right.alias("node"), right.alias("root")).distinct())

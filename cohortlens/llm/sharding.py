@@ -39,9 +39,8 @@ def _mixed(x: Column, seed: int, k: int, modulus: int) -> Column:
 
 def _forward(p: Column, n_rows: int, seed: int) -> Column:
     a, b = _grid(n_rows)
-    left, right = F.floor(p / F.lit(b)).cast("long"), F.pmod(p, F.lit(b).cast("long"))
-    left = (p - right).cast("long")  # exact quotient without floating point
-    left = F.expr("0L") + F.call_function("div", left, F.lit(b).cast("long"))
+    right = F.pmod(p, F.lit(b).cast("long"))
+    left = F.call_function("div", p, F.lit(b).cast("long"))
     for k in range(0, ROUNDS, 2):
         left = F.pmod(left + _mixed(right, seed, k, a), F.lit(a).cast("long"))
         right = F.pmod(right + _mixed(left, seed, k + 1, b), F.lit(b).cast("long"))
@@ -51,7 +50,7 @@ def _forward(p: Column, n_rows: int, seed: int) -> Column:
 def _backward(p: Column, n_rows: int, seed: int) -> Column:
     a, b = _grid(n_rows)
     right = F.pmod(p, F.lit(b).cast("long"))
-    left = F.call_function("div", p - right, F.lit(b).cast("long"))
+    left = F.call_function("div", p, F.lit(b).cast("long"))
     for k in reversed(range(0, ROUNDS, 2)):
         right = F.pmod(right - _mixed(left, seed, k + 1, b), F.lit(b).cast("long"))
         left = F.pmod(left - _mixed(right, seed, k, a), F.lit(a).cast("long"))

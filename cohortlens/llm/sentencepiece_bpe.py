@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Words that a task remembers; beyond it the memory starts afresh (a bound on space, not on what is encoded).
-REMEMBERED = 400_000
+#: Words that a worker remembers from task to task; beyond it the memory starts afresh (a bound on space, not on what is encoded).
+REMEMBERED = 800_000
 #: Up to so many symbols the agenda is a plain list whose minimum is searched; longer ones use a heap.
 SHORT = 40
 
@@ -143,7 +143,7 @@ class Remembered(dict):
     """Word -> (ids joined by spaces, number of ids, text), filled as words are met."""
 
     def __init__(self, of: Pieces):
-        self.of = of
+        self.of, self.fresh = of, []
 
     def __missing__(self, word: str) -> tuple[str, int, str]:
         ids = self.of.ids(word)
@@ -165,14 +165,17 @@ class Remembered(dict):
         self.fresh = []
 
 
+@cache
+def remembered(model: str) -> Remembered:
+    return Remembered(pieces(model))
+
+
 def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row; with ``texts`` also ``ids`` and ``decoded``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = pieces(model)
-        memory = Remembered(of)
-        memory.fresh = []
-        end = str(of.end)
+        memory = remembered(model)
+        end = str(memory.of.end)
         for batch in batches:
             rows = []
             for text in batch["text"]:

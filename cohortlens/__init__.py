@@ -1,0 +1,3 @@
+"""Sample-aware program analytics on Spark DataFrames."""
+
+__version__ = "0.1.0"

@@ -42,7 +42,7 @@ def triples(spark: SparkSession, folder: str) -> dict[str, dict[str, str]]:
 
 def _numbered(spark: SparkSession, path: str, column: str) -> DataFrame:
     """Lines of a side table with their numbers from 1 (one file, read in one split)."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split(F.regexp_replace("value", r"\r", ""), "\n")).alias("n", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r", ""), "\n")).alias("n", "line"))
     return lines.where("line <> ''").select((F.col("n") + 1).alias("n"), F.split("line", "\t")[0].alias(column))
 
 

@@ -23,6 +23,7 @@ the share of toxic labels (0.0 without any); an empty table gives an empty resul
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,6 +42,7 @@ OTHER, SIGN = 27, 28
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "*": "aeiou"}
 SEPARATORS = ".-_~ "
 EDGES = ".,;:!?\"'()[]{}«»„“”…|"
+TRIPLE = re.compile(r"(.)\1\1")
 #: Log probabilities of the channel: a letter replaced, repeated, a separator put in.
 REPLACED, REPEATED, PARTED = -2.0, -1.5, -1.5
 #: Labelled rows of each class to fit on, and n-grams that the model keeps, at most.
@@ -139,6 +141,8 @@ def disguised(token: str) -> bool:
 def restored(token: str, logp: np.ndarray) -> list[str]:
     """Words to score for a token: itself and, if it looks disguised, its reading."""
     word = token.strip(EDGES)
+    if word.isalpha() and not TRIPLE.search(word) and not any(c in token for c in "!$|"):
+        return [word]
     words = [word]
     if disguised(word) or any(c in "!$|" for c in token) and disguised(token.rstrip(".,;:?\"')")):
         for t in {word, token.rstrip(".,;:?\"')")}:
@@ -158,7 +162,8 @@ def set_apart(tokens: list[str]) -> list[str]:
 def ngrams(word: str) -> tuple[str, ...]:
     """The whole word, its beginnings and its inner n-grams."""
     w = f"^{word}$"
-    return tuple({w, *(w[:k] for k in range(5, min(len(w), 9))), *(w[i : i + 6] for i in range(len(w) - 5))})
+    n = len(w)
+    return (w, *[w[:k] for k in range(5, min(n, 9)) if k != 6], *[w[i : i + 6] for i in range(n - 5) if n > 6])
 
 
 def _all_words(text: str, of: dict[str, tuple[str, ...]]) -> Iterator[tuple[str, ...]]:
@@ -170,6 +175,8 @@ def _all_words(text: str, of: dict[str, tuple[str, ...]]) -> Iterator[tuple[str,
 
 
 class _Remembered(dict):
+    """What ``make`` gives for each token, kept up to a bound."""
+
     def __init__(self, make):
         self.make = make
 
@@ -198,10 +205,21 @@ class Model:
     base: float = 0.0
 
     def token_odds(self) -> _Remembered:
-        def worst(token: str) -> float:
-            return max((self.odds.get(g, 0.0) for w in restored(token, self.logp) for g in ngrams(w)), default=0.0)
-
-        return _Remembered(worst)
+        """Odds of the worst n-gram of a token; kept with the model, so a worker remembers them from task to task."""
+        if "memory" not in self.__dict__:
+            self.memory = _Remembered(self.worst)
+        return self.memory
+
+    def worst(self, token: str) -> float:
+        found, most = self.odds.get, 0.0
+        for w in restored(token, self.logp):
+            for g in ngrams(w):
+                if (x := found(g, 0.0)) > most:
+                    most = x
+        return most
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "memory"}
 
     def traits(self, text: str, odds: _Remembered) -> list[float]:
         found = sorted((x for x in _all_words(text, odds) if x > 0), reverse=True)

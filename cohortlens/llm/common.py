@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 #: Largest table, in bytes, that an operator sends to every executor; beyond it the same join shuffles.
 BROADCAST_BYTES = 32 << 20
+#: Characters of text that a Python task takes apart at a time.
+PORTION = 1 << 21
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -91,3 +95,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         before = tuple(seen)
     return now.select(left.alias("node"), right.alias("root")).unionByName(now.select(right.alias("node"), right.alias("root")).distinct())
+
+
+def portions(batches: Iterator[pd.DataFrame], chars: int = PORTION) -> Iterator[pd.DataFrame]:
+    """Parts of batches whose texts have about ``chars`` characters together (one text at least)."""
+    for batch in batches:
+        part = batch["text"].str.len().cumsum() // chars
+        for _, rows in batch.groupby(part.to_numpy(), sort=False):
+            yield rows.reset_index(drop=True)

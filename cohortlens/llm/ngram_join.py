@@ -34,15 +34,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import components, small, stored
+from cohortlens.llm.common import components, portions, small, stored
 
 #: Nodes and n-grams that a block of a candidate group holds at most, about.
 BLOCK_NODES = 1024
 BLOCK_GRAMS = 4_000_000
 #: n-grams of the global order that a fragment of the counting step holds.
 COUNTED = 4096
-#: Characters of text whose words are held at a time.
-PORTION = 1 << 21
 #: Ratio of neighbouring size bands in the candidate step.
 BAND = 1.25
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -161,18 +159,10 @@ def forest(sets: list[np.ndarray], other: list[np.ndarray] | None, percent: int)
     return label, links
 
 
-def _portions(batches: Iterator[pd.DataFrame], chars: int = PORTION) -> Iterator[pd.DataFrame]:
-    """Parts of batches whose texts have about ``chars`` characters together (one text at least)."""
-    for batch in batches:
-        part = batch["text"].str.len().cumsum() // chars
-        for _, rows in batch.groupby(part.to_numpy(), sort=False):
-            yield rows.reset_index(drop=True)
-
-
 def _fingerprints(n: int, percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
-        for batch in _portions(batches):
+        for batch in portions(batches):
             sets = gram_sets(batch["text"].tolist(), n)
             nodes = [set_key(s) if len(s) else None for s in sets]
             handed = []
@@ -190,7 +180,7 @@ def _fingerprints(n: int, percent: int):
 
 def _grams(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in _portions(batches):
+        for batch in portions(batches):
             sets = gram_sets(batch["text"].tolist(), n)
             yield pd.DataFrame({"node": pd.array([set_key(s) if len(s) else None for s in sets], dtype="Int64"), "grams": [s.view(np.int64) for s in sets]})
 

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import small, stored
+from cohortlens.llm.common import portions, small, stored
 
 SYMBOLS = 29
 OTHER, SIGN = 27, 28
@@ -68,7 +68,7 @@ def _byte_symbols() -> np.ndarray:
 def _trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     table = _byte_symbols()
     total = np.zeros(SYMBOLS**3, np.int64)
-    for batch in batches:
+    for batch in portions(batches):
         raw = np.frombuffer("\n\n".join(["", *batch["text"], ""]).encode(), np.uint8)
         s = table[raw[(raw < 128) | (raw > 191)]]
         total += np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], minlength=SYMBOLS**3)

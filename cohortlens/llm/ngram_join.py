@@ -6,11 +6,11 @@ that order:
 
 1. Documents with equal sets form one node; a node is known by a hash of its set.
 2. Two sets that link differ in at most ``min/ratio`` n-grams, so of more
-   fragments than that at least one holds the same n-grams in both. Each node
-   hands in the segments of its fullest fragments, one more than the most
-   differences its size allows (fragments are ranked by their content alone, so
-   both sides of a pair hand in a common one). Nodes of equal segments are tied
-   to the smallest of them; connected ties are candidate groups. No pairs are
+   fragments than that all but as many hold the same n-grams in both. Each node
+   hands in the segments of all its fragments, for each band of sizes that a
+   partner may have. A node that shares fewer segments with others than any
+   partner would leave equal is out. Nodes of equal segments are then tied to
+   the smallest of them; connected ties are candidate groups. No pairs are
    made: a segment that n nodes share gives n - 1 ties.
 3. Each candidate group is cut into blocks of bounded size. For each two blocks
    the order is again cut into fragments, the overlaps of all their pairs are
@@ -97,8 +97,8 @@ def bands(percent: int, largest: int) -> list[int]:
     return out
 
 
-def segments(grams: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the segments that a set hands in."""
+def segments(grams: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
+    """(band, need, segments): the segments that a set hands in for a band, and how many of them a partner has, too."""
     n = len(grams)
     least = -(-percent * n // 100)
     lows = bands(percent, n)
@@ -110,15 +110,11 @@ def segments(grams: np.ndarray, percent: int) -> np.ndarray:
         pieces = np.uint64(allowed + allowed // 4 + 2)
         fragment = ((grams >> np.uint64(32)) * pieces) >> np.uint64(32)
         starts = np.flatnonzero(np.r_[True, fragment[1:] != fragment[:-1]])
-        sizes = np.diff(np.r_[starts, n])
         with np.errstate(over="ignore"):
             sums = np.add.reduceat(mixed64(grams + _MIX2), starts)
             seg = mixed64(sums * _GOLD + fragment[starts] + np.uint64(low) * _MIX1)
-        if len(seg) > allowed + 1:  # the fullest, by content alone; more than the differences can touch
-            rank = np.lexsort((seg, sizes))[::-1][: allowed + 1]
-            seg = seg[rank]
-        found.append(seg)
-    return np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+        found.append((low, max(1, len(seg) - allowed), seg.view(np.int64)))
+    return found
 
 
 def forest(sets: list[np.ndarray], other: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +164,7 @@ def _fingerprints(n: int, percent: int):
             handed = []
             for s, node in zip(sets, nodes):
                 fresh = node is not None and node not in seen
-                handed.append(segments(s, percent) if fresh else None)
+                handed.append([{"band": b, "need": k, "hashes": h} for b, k, h in segments(s, percent)] if fresh else None)
                 if fresh:
                     seen.add(node)
             if len(seen) > 200_000:
@@ -221,6 +217,14 @@ def _counted(percent: int):
     return run
 
 
+SEGMENTS = "array<struct<band:int,need:int,hashes:array<long>>>"
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """Segments that different nodes hand in, each with the smallest of them (``tied``)."""
+    return rows.groupBy("segment").agg(F.min("node").alias("tied"), F.max("node").alias("_hi")).where("tied <> _hi").select("segment", "tied")
+
+
 def jaccard_classes(documents: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id and n_links (documents that it links with).
 
@@ -230,13 +234,17 @@ def jaccard_classes(documents: DataFrame, n: int = 5, percent: int = 80, id_col:
     spark = documents.sparkSession
     kind = documents.schema[id_col].dataType.simpleString()
     plain = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    marks = stored(plain.mapInPandas(_fingerprints(n, percent), f"doc_id {kind}, n_shingles long, node long, segments array<long>"), "jaccard-marks")
+    marks = stored(plain.mapInPandas(_fingerprints(n, percent), f"doc_id {kind}, n_shingles long, node long, segments {SEGMENTS}"), "jaccard-marks")
     nodes = marks.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"))
     nodes = stored(nodes, "jaccard-nodes")
 
-    handed = marks.where("segments is not null").select("node", F.explode("segments").alias("segment"))
-    least = handed.groupBy("segment").agg(F.min("node").alias("tied"), F.max("node").alias("_hi")).where("tied <> _hi").select("segment", "tied")
-    ties = handed.join(small(stored(least, "jaccard-shared"), 24), "segment").where("node <> tied").select("node", "tied")
+    handed = marks.where("segments is not null").select("node", F.explode("segments").alias("s"))
+    handed = handed.select("node", "s.band", "s.need", F.explode("s.hashes").alias("segment"))
+    once = stored(_shared(handed).select("segment"), "jaccard-shared")
+    found = stored(handed.join(small(once, 16), "segment", "left_semi"), "jaccard-handed")
+    enough = found.groupBy("node", "band", "need").agg(F.countDistinct("segment").alias("n")).where("n >= need").select("node", "band")
+    found = stored(found.join(small(stored(enough, "jaccard-enough"), 16), ["node", "band"], "left_semi").select("node", "segment"), "jaccard-alive")
+    ties = found.join(small(stored(_shared(found), "jaccard-leaders"), 24), "segment").where("node <> tied").select("node", "tied")
     groups = components(ties, "node", "tied")
 
     members = stored(groups.join(nodes, "node"), "jaccard-members")

@@ -50,6 +50,7 @@ class Pieces:
         self.unknown = self.library.unk_id()
         plain = [i for i in range(n) if i not in self.byte and i not in self.silent and i != self.unknown]
         self.id = {self.piece[i]: i for i in plain}
+        self.text = {i: self.piece[i].replace(MARK, " ") for i in plain}
         levels = {s: k for k, s in enumerate(sorted({self.library.get_score(i) for i in plain}, reverse=True))}
         self.rank = {self.piece[i]: levels[self.library.get_score(i)] for i in plain}
         self.end = self.library.eos_id()
@@ -107,9 +108,16 @@ class Pieces:
                 out.append(self.unknown)
         return out
 
-    def decoded(self, ids: list[int]) -> str:
-        """Text of ids: marks become spaces, byte pieces are put together, a leading mark goes."""
-        raw, first, done = bytearray(), True, []
+    def continued(self, ids: list[int]) -> str:
+        """Text of the ids of a word inside a text: a leading mark stays a space."""
+        try:
+            return "".join([self.text[i] for i in ids])
+        except KeyError:  # bytes, unknown or control ids
+            return self.decoded(ids, first=False)
+
+    def decoded(self, ids: list[int], first: bool = True) -> str:
+        """Text of ids: marks become spaces, byte pieces are put together, with ``first`` a leading mark goes."""
+        raw, done = bytearray(), []
         for i in ids:
             if i in self.byte:
                 raw.append(self.byte[i])
@@ -147,12 +155,12 @@ class Remembered(dict):
 
     def __missing__(self, word: str) -> tuple[str, int, str]:
         ids = self.of.ids(word)
-        self[word] = out = (" ".join(map(str, ids)), len(ids), word.replace(MARK, " "))
+        self[word] = out = (" ".join(map(str, ids)), len(ids), self.of.continued(ids))
         self.fresh.append((word, ids))
         return out
 
     def checked(self) -> None:
-        """Compare what was met since the last call with the library.
+        """Compare what was met since the last call with the library, ids and the text of ids.
 
         A word is given to it behind a mark of its own text, which its own
         leading mark replaces.
@@ -162,6 +170,8 @@ class Remembered(dict):
         for (word, ids), theirs in zip([x for x in self.fresh if x[0][0] == MARK and len(x[0]) > 1], known):
             if ids != theirs:
                 raise RuntimeError(f"agenda and library differ on {word!r}: {ids} and {theirs}")
+        if of.library.decode([i for _, ids in self.fresh for i in ids]) != "".join([self[w][2] for w, _ in self.fresh])[1:]:
+            raise RuntimeError("decoded texts of agenda and library differ")
         self.fresh = []
 
 

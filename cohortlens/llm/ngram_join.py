@@ -8,15 +8,16 @@ that order:
 2. Two sets that link differ in at most ``min/ratio`` n-grams, so of more
    fragments than that all but as many hold the same n-grams in both. Each node
    hands in the segments of all its fragments, for each band of sizes that a
-   partner may have. A node that shares fewer segments with others than any
-   partner would leave equal is out. Nodes of equal segments are then tied to
-   the smallest of them; connected ties are candidate groups. No pairs are
-   made: a segment that n nodes share gives n - 1 ties.
+   partner may have. A node that shares fewer segments of a band with others
+   than any partner would leave equal is out of that band; this is asked twice,
+   as those that leave take segments with them. Nodes of equal segments are
+   then tied to the smallest of them; connected ties within a band are candidate
+   groups. No pairs are made: a segment that n nodes share gives n - 1 ties.
 3. Each candidate group is cut into blocks of bounded size. For each two blocks
    the order is again cut into fragments, the overlaps of all their pairs are
-   counted fragment by fragment as matrix products and summed per pair, and
-   only a spanning forest of the links leaves the task, with each node's number
-   of links.
+   counted fragment by fragment as matrix products and summed per pair. A link
+   counts in the band of its smaller set only. A spanning forest of the links
+   leaves the task, with each node's number of links.
 4. Connected components of the forests are the classes.
 
 Edge cases: null and empty texts have no n-grams, link with nothing and form
@@ -31,14 +32,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import components, portions, small, stored
 
 #: Nodes and n-grams that a block of a candidate group holds at most, about.
 BLOCK_NODES = 1024
-BLOCK_GRAMS = 4_000_000
+BLOCK_GRAMS = 1_000_000
 #: n-grams of the global order that a fragment of the counting step holds.
 COUNTED = 4096
 #: Ratio of neighbouring size bands in the candidate step.
@@ -88,12 +89,17 @@ def most_different(size: int, percent: int) -> int:
     return (100 - percent) * size // percent
 
 
+def band_end(low: int) -> int:
+    """The lower end of the next size band."""
+    return max(low + 1, int(low * BAND))
+
+
 def bands(percent: int, largest: int) -> list[int]:
     """Lower ends of the size bands; the first is the least size at which sets can link and differ."""
     low = -(-percent // (100 - percent))
     out = [low]
     while out[-1] <= largest:
-        out.append(max(out[-1] + 1, int(out[-1] * BAND)))
+        out.append(band_end(out[-1]))
     return out
 
 
@@ -117,20 +123,19 @@ def segments(grams: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray
     return found
 
 
-def forest(sets: list[np.ndarray], other: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among ``sets`` (or between them and ``other``) by fragment-wise overlap counts: labels of a spanning forest, and the link matrix."""
+def forest(sets: list[np.ndarray], other: list[np.ndarray] | None, percent: int, low: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of band ``low`` among ``sets`` (or between them and ``other``) by fragment-wise overlap counts: labels of a spanning forest, and the link matrix."""
     every = sets + (other or [])
     sizes = np.array([len(s) for s in every])
     flat = np.concatenate(every)
-    owner = np.repeat(np.arange(len(every)), sizes)
+    owner = np.repeat(np.arange(len(every), dtype=np.int32), sizes)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
-    new = np.r_[True, flat[1:] != flat[:-1]]
-    gram = np.cumsum(new) - 1
+    gram = np.cumsum(np.r_[True, flat[1:] != flat[:-1]], dtype=np.int32) - 1
     shared = np.bincount(gram)[gram] > 1
     gram, owner = gram[shared], owner[shared]
     if len(gram):
-        gram = np.cumsum(np.r_[True, gram[1:] != gram[:-1]]) - 1
+        gram = np.cumsum(np.r_[True, gram[1:] != gram[:-1]], dtype=np.int32) - 1
     a, b = len(sets), len(every)
     overlap = np.zeros((a, b), np.float32 if max(sizes.max(), 1) < 1 << 24 else np.float64)
     cuts = np.searchsorted(gram, np.arange(0, (int(gram[-1]) if len(gram) else -1) + 1, COUNTED)).tolist() + [len(gram)]
@@ -139,6 +144,8 @@ def forest(sets: list[np.ndarray], other: list[np.ndarray] | None, percent: int)
         part[owner[lo:hi], gram[lo:hi] - gram[lo]] = 1
         overlap += part[:a] @ part.T
     links = 100 * overlap >= percent * (sizes[:a, None] + sizes[None, :] - overlap)
+    smaller = np.minimum(sizes[:a, None], sizes[None, :])
+    links &= (smaller >= low) & (smaller < band_end(low))
     links[np.arange(a), np.arange(a)] = False
     if other is not None:
         links[:, :a] = False
@@ -184,16 +191,16 @@ def _grams(n: int):
 
 
 def _counted(percent: int):
-    """Over rows sorted by (root, i, j): links of each block pair, as soon as it is complete."""
+    """Over rows sorted by (root, band, i, j): links of each block pair, as soon as it is complete."""
 
     def links_of(key: tuple, rows: list[tuple]) -> Iterator[pd.DataFrame]:
-        _, i, j = key
+        _, band, i, j = key
         once = {node: (block, copies, grams) for node, block, copies, grams in rows}
         own = sorted(node for node, x in once.items() if x[0] == i)
         others = sorted(node for node, x in once.items() if x[0] == j) if i != j else []
         if not own or i != j and not others:
             return
-        label, links = forest([once[x][2] for x in own], [once[x][2] for x in others] if i != j else None, percent)
+        label, links = forest([once[x][2] for x in own], [once[x][2] for x in others] if i != j else None, percent, band)
         names, copies = np.array(own + others), np.array([once[x][1] for x in own + others], np.int64)
         count = links @ copies
         if i != j:
@@ -205,11 +212,11 @@ def _counted(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, rows = None, []
         for batch in batches:
-            for root, i, j, node, block, copies, grams in batch.itertuples(index=False, name=None):
-                if (root, i, j) != key:
+            for root, band, i, j, node, block, copies, grams in batch.itertuples(index=False, name=None):
+                if (root, band, i, j) != key:
                     if rows:
                         yield from links_of(key, rows)
-                    key, rows = (root, i, j), []
+                    key, rows = (root, band, i, j), []
                 rows.append((node, block, copies, np.asarray(grams, np.int64).view(np.uint64)))
         if rows:
             yield from links_of(key, rows)
@@ -220,9 +227,22 @@ def _counted(percent: int):
 SEGMENTS = "array<struct<band:int,need:int,hashes:array<long>>>"
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Segments that different nodes hand in, each with the smallest of them (``tied``)."""
-    return rows.groupBy("segment").agg(F.min("node").alias("tied"), F.max("node").alias("_hi")).where("tied <> _hi").select("segment", "tied")
+def _shared(handed: DataFrame) -> DataFrame:
+    """Of rows (at, segment) those whose segment comes from several places, with the smallest such place (``tied``).
+
+    One shuffle. A hot segment is one row per place, and places have hundreds of
+    segments each, so it stays a small part of all rows; its sort spills.
+    """
+    same = Window.partitionBy("segment")
+    return handed.select("at", "segment", F.min("at").over(same).alias("tied"), F.max("at").over(same).alias("_hi")).where("tied <> _hi").drop("_hi")
+
+
+def _alive(handed: DataFrame, places: DataFrame, name: str) -> DataFrame:
+    """The shared segments of places that share as many as any partner would."""
+    found = stored(_shared(handed).select("at", "segment"), f"{name}-found")
+    count = found.groupBy("at").agg(F.countDistinct("segment").alias("n"))
+    enough = stored(count.join(small(places.select("at", "need"), 16), "at").where("n >= need").select("at").distinct(), f"{name}-enough")
+    return found.join(small(enough, 12), "at", "left_semi")
 
 
 def jaccard_classes(documents: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,30 +258,29 @@ def jaccard_classes(documents: DataFrame, n: int = 5, percent: int = 80, id_col:
     nodes = marks.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"))
     nodes = stored(nodes, "jaccard-nodes")
 
-    handed = marks.where("segments is not null").select("node", F.explode("segments").alias("s"))
-    handed = handed.select("node", "s.band", "s.need", F.explode("s.hashes").alias("segment"))
-    once = stored(_shared(handed).select("segment"), "jaccard-shared")
-    found = stored(handed.join(small(once, 16), "segment", "left_semi"), "jaccard-handed")
-    enough = found.groupBy("node", "band", "need").agg(F.countDistinct("segment").alias("n")).where("n >= need").select("node", "band")
-    found = stored(found.join(small(stored(enough, "jaccard-enough"), 16), ["node", "band"], "left_semi").select("node", "segment"), "jaccard-alive")
-    ties = found.join(small(stored(_shared(found), "jaccard-leaders"), 24), "segment").where("node <> tied").select("node", "tied")
-    groups = components(ties, "node", "tied")
+    # a node has a place in each of its bands
+    handed = marks.where("segments is not null").select("node", F.explode("segments").alias("s")).withColumn("at", F.xxhash64("node", "s.band"))
+    places = stored(handed.select("at", "node", "s.band", "s.need").distinct(), "jaccard-places")
+    alive = _alive(handed.select("at", F.explode("s.hashes").alias("segment")), places, "jaccard-once")
+    alive = _alive(alive, places, "jaccard-twice")
+    ties = _shared(alive).where("at <> tied").select("at", "tied")
+    groups = components(ties, "at", "tied").withColumnRenamed("node", "at")
 
-    members = stored(groups.join(nodes, "node"), "jaccard-members")
+    members = stored(groups.join(places, "at").join(nodes, "node"), "jaccard-members")
     sizes = members.groupBy("root").agg(F.count("*").alias("k"), F.sum("n_shingles").alias("g"))
     blocks = F.greatest(F.ceil(F.col("k") / BLOCK_NODES), F.ceil(F.col("g") / BLOCK_GRAMS)).cast("int")
     placed = members.join(small(stored(sizes.select("root", blocks.alias("blocks")), "jaccard-blocks"), 24), "root")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = stored(placed.select("root", "node", "first", "copies", "blocks", "block"), "jaccard-placed")
+    placed = stored(placed.select("root", "band", "node", "first", "copies", "blocks", "block"), "jaccard-placed")
 
     wanted = small(placed.select("first").distinct(), 24)
     texts = plain.join(wanted, plain["doc_id"].eqNullSafe(wanted["first"]), "left_semi")
     grams = texts.mapInPandas(_grams(n), "node long, grams array<long>")
     with_grams = grams.join(small(placed, 80), "node")
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("i"), F.greatest(F.col("block"), o).alias("j"))))
-    spread = with_grams.select("root", pair.alias("p"), "node", "block", "copies", "grams").select("root", "p.i", "p.j", "node", "block", "copies", "grams")
+    spread = with_grams.select("root", "band", pair.alias("p"), "node", "block", "copies", "grams").select("root", "band", "p.i", "p.j", "node", "block", "copies", "grams")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = spread.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j")
+    sorted_rows = spread.repartition(parts, "root", "band", "i", "j").sortWithinPartitions("root", "band", "i", "j")
     found = stored(sorted_rows.mapInPandas(_counted(percent), "node long, tied long, links long"), "jaccard-links")
 
     linked = components(found, "node", "tied").withColumnRenamed("root", "class")

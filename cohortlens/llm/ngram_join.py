@@ -119,6 +119,7 @@ def segments(grams: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray
         with np.errstate(over="ignore"):
             sums = np.add.reduceat(mixed64(grams + _MIX2), starts)
             seg = mixed64(sums * _GOLD + fragment[starts] + np.uint64(low) * _MIX1)
+        seg = np.unique(seg >> np.uint64(16))  # 48 bits travel; equal numbers of unequal segments only add candidates
         found.append((low, max(1, len(seg) - allowed), seg.view(np.int64)))
     return found
 

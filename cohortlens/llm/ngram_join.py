@@ -5,14 +5,17 @@ hashes is the global n-gram order. Pairs are found and counted in fragments of
 that order:
 
 1. Documents with equal sets form one node; a node is known by a hash of its set.
-2. Two sets that link differ in at most ``min/ratio`` n-grams, so of more
-   fragments than that all but as many hold the same n-grams in both. Each node
-   hands in the segments of all its fragments, for each band of sizes that a
-   partner may have. A node that shares fewer segments of a band with others
-   than any partner would leave equal is out of that band; this is asked twice,
-   as those that leave take segments with them. Nodes of equal segments are
-   then tied to the smallest of them; connected ties within a band are candidate
-   groups. No pairs are made: a segment that n nodes share gives n - 1 ties.
+2. Two sets that link differ in at most ``min/ratio`` n-grams, so of a set's
+   non-empty fragments all but as many hold the same n-grams in both. Each node
+   hands in the segments of all its non-empty fragments, for each band of sizes
+   that a partner may have. Where these aren't more than may differ (short
+   sets), it also hands in its first n-grams, one more than may differ: two such
+   sets share the smallest of their common n-grams there. A node that shares
+   fewer segments of a band with others than any partner would leave equal is
+   out of that band; this is asked twice, as those that leave take segments with
+   them. Nodes of equal segments are then tied to the smallest of them; connected
+   ties within a band are candidate groups. No pairs are made: a segment that n
+   nodes share gives n - 1 ties.
 3. Each candidate group is cut into blocks of bounded size. For each two blocks
    the order is again cut into fragments, the overlaps of all their pairs are
    counted fragment by fragment as matrix products and summed per pair. A link
@@ -120,7 +123,12 @@ def segments(grams: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray
             sums = np.add.reduceat(mixed64(grams + _MIX2), starts)
             seg = mixed64(sums * _GOLD + fragment[starts] + np.uint64(low) * _MIX1)
         seg = np.unique(seg >> np.uint64(16))  # 48 bits travel; equal numbers of unequal segments only add candidates
-        found.append((low, max(1, len(seg) - allowed), seg.view(np.int64)))
+        need = len(seg) - allowed
+        if need < 1:  # a partner may touch all these fragments; of two such sets the smallest common n-gram is in both prefixes
+            with np.errstate(over="ignore"):
+                prefix = mixed64(grams[: allowed + 1] * _GOLD + np.uint64(low) * _MIX2)
+            seg = np.unique(np.r_[seg, prefix >> np.uint64(16)])
+        found.append((low, max(1, need), seg.view(np.int64)))
     return found
 
 

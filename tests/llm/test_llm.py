@@ -90,6 +90,32 @@ def test_jaccard_classes_match_brute_force(spark, documents, n, percent, monkeyp
     assert len(found) == len(rows)
 
 
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_jaccard_linked_sets_share_segments(percent):
+    for size in range(4, 31):
+        for seed in range(400 if size < 8 else 10):
+            rng = np.random.default_rng(seed)
+            for more in range(size + 1):
+                for less in range(size - more + 1):
+                    if 100 * (size - less) < percent * (size + more):
+                        break
+                    if not more + less:
+                        continue
+                    pool = rng.integers(0, 1 << 64, size + more, np.uint64)
+                    two = [{b: (k, set(h.tolist())) for b, k, h in ngram_join.segments(np.sort(x), percent)} for x in (pool[:size], pool[less:])]
+                    band = max(b for b in ngram_join.bands(percent, size) if b <= min(size, size + more - less))
+                    assert len(two[0][band][1] & two[1][band][1]) >= max(two[0][band][0], two[1][band][0])
+
+
+def test_jaccard_links_short_texts(spark):
+    rng, rows = random.Random(7), []
+    for i in range(0, 600, 2):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(rng.randint(8, 12))]
+        rows += [(i, " ".join(words)), (i + 1, " ".join([*words, "end"]))]
+    found = ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in found} == brute_classes(rows, 5, 80)
+
+
 def test_jaccard_edge_cases(spark, odd):
     found = ngram_join.jaccard_classes(odd, 3, 90)
     rows = [(r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in found.collect()]

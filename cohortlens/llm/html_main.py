@@ -3,25 +3,29 @@
 A page is cut into blocks of text. Blocks inside an article (or main) element
 are content; those inside navigation, headers, footers, sidebars, notices,
 adverts, forms, comments and the like are not. Which of a page's other blocks
-are boilerplate is decided per host: the token streams of all blocks outside
-articles are taken together, and substrings of ``LONG`` tokens or more that
-occur on different pages of the host are found. Covered tokens are removed and
-the unique runs between them kept. Where a page has an article, its text is the
-article alone, whatever repeats.
+are boilerplate is decided per host: the blocks of a page that are neither
+content nor named boilerplate make one token stream, those that are named so
+another, and substrings of ``LONG`` tokens or more that occur on pages of the
+host with different content are found; they may cross blocks, as a menu of
+one-word blocks does. Covered tokens are removed and the unique runs between
+them kept; a block that is covered in part by a crossing substring stays. Where
+a page has an article, its text is the article alone, whatever repeats.
 
 The suffix array is cut off at depth ``LONG``: equal prefixes of that length
-are neighbours in it, so a grouped minimum and maximum of the page over each
-(host, prefix) tells whether neighbours come from different pages. Spark
-shuffles the prefixes; no host is ever brought together in one task.
+are neighbours in it, so a grouped minimum and maximum of the content's hash
+over each (host, prefix) tells whether neighbours come from different pages;
+copies of a page don't cover each other. Spark shuffles the prefixes; no host
+is ever brought together in one task.
 
 Edge cases: null html has no text (an empty string); a null url is a host of
-its own; pages without any tag are one block; repeated rows count as one page
-if their ids are equal; unclosed elements end with their parent or the page;
-an empty table gives an empty result.
+its own; pages without any tag are one block; pages of equal content (articles
+and undecided blocks) count as one, whatever their ids; unclosed elements end
+with their parent or the page; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -145,23 +149,40 @@ def page_blocks(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     return rows.mapInPandas(run, f"page_id {kind}, url string, host string, blocks array<struct<kind:string,text:string>>")
 
 
+def _prefixes(long: int):
+    """Hashes of ``long`` tokens from each place of ``tokens`` on; null for fewer tokens."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size("tokens") - long + 1, F.lit(1)))
+    return F.when(F.size("tokens") >= long, F.transform(starts, lambda i: F.xxhash64(F.slice("tokens", i, long))))
+
+
 def repeated_prefixes(streams: DataFrame, long: int = LONG) -> DataFrame:
-    """host and prefix (a hash of ``long`` tokens) of suffixes whose neighbours in the host's suffix array share them on another page.
+    """host and prefix (a hash of ``long`` tokens) of suffixes whose neighbours in the host's suffix array share them on a page of other content.
 
-    ``streams`` has page_id, host and tokens (an array for each block).
+    ``streams`` has host, content (a hash of what a page says) and tokens (an array for each stream of a page).
     """
-    starts = F.sequence(F.lit(1), F.size("tokens") - long + 1)
-    suffixes = streams.where(F.size("tokens") >= long).select("page_id", "host", F.explode(F.transform(starts, lambda i: F.xxhash64(F.slice("tokens", i, long)))).alias("prefix"))
-    ends = suffixes.groupBy("host", "prefix").agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi"))
+    suffixes = streams.select("host", "content", F.explode(_prefixes(long)).alias("prefix"))
+    ends = suffixes.groupBy("host", "prefix").agg(F.min("content").alias("lo"), F.max("content").alias("hi"))
     return ends.where("lo <> hi").select("host", "prefix")
 
 
-def _kept(tokens: list[str], starts: list[int], long: int) -> str:
-    """The runs of tokens that no repeated substring covers; a substring starts at each of ``starts``."""
-    covered = bytearray(len(tokens))
+def _kept(blocks: list[list[str]], starts: list[int], long: int) -> list[str]:
+    """What stays of the blocks of a stream; a repeated substring starts at each of ``starts``.
+
+    Substrings inside a block are cut out of it. Those that cross blocks take
+    the blocks that they cover wholly, and leave the others as they are.
+    """
+    covered, inside = bytearray(sum(map(len, blocks))), bytearray(sum(map(len, blocks)))
+    ends = [e for e, b in zip(itertools.accumulate(map(len, blocks)), blocks) for _ in b]
     for i in starts:
         covered[i : i + long] = b"\x01" * long
-    return " ".join(t for t, c in zip(tokens, covered) if not c)
+        if i + long <= ends[i]:
+            inside[i : i + long] = b"\x01" * long
+    out, at = [], 0
+    for tokens in blocks:
+        gone = covered if all(covered[at : at + len(tokens)]) else inside
+        out.append(" ".join(t for t, c in zip(tokens, gone[at : at + len(tokens)]) if not c))
+        at += len(tokens)
+    return out
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", long: int = LONG) -> DataFrame:
@@ -172,28 +193,25 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """
     whole = F.exists("blocks", lambda b: b["kind"] == "main")
     parsed = stored(page_blocks(pages, id_col, url_col, html_col).withColumns({"_row": F.monotonically_increasing_id(), "_whole": whole}), "html-blocks")
-    flat = parsed.select("page_id", "host", "_row", "_whole", F.posexplode("blocks").alias("_at", "_b")).where("_b.kind <> 'main'")
-    streams = flat.select("page_id", "host", "_row", "_whole", "_at", F.col("_b.kind").alias("kind"), F.split("_b.text", " ").alias("tokens"))
-    repeated = stored(repeated_prefixes(streams, long), "html-repeated")
-    hash_at = F.transform(F.sequence(F.lit(1), F.size("tokens") - long + 1), lambda i: F.xxhash64(F.slice("tokens", i, long)))
-    undecided = streams.where(~F.col("_whole") & (F.col("kind") == "other") & (F.size("tokens") >= long))
-    marks = undecided.select("host", "_row", "_at", F.posexplode(hash_at).alias("_start", "prefix"))
-    hits = marks.join(small(repeated, 80), ["host", "prefix"], "left_semi").groupBy("_row", "_at").agg(F.sort_array(F.collect_set("_start")).alias("starts"))
-    per_page = hits.groupBy("_row").agg(F.collect_list(F.struct("_at", "starts")).alias("_hits"))
+
+    def stream(kind: str):
+        return F.split(F.array_join(F.transform(F.filter("blocks", lambda b: b["kind"] == kind), lambda b: b["text"]), " "), " ")
+
+    content = F.xxhash64(F.filter("blocks", lambda b: b["kind"] != "skipped"))
+    both = parsed.select("host", content.alias("content"), F.explode(F.array(stream("other"), stream("skipped"))).alias("tokens"))
+    repeated = stored(repeated_prefixes(both, long), "html-repeated")
+    undecided = parsed.where("not _whole").select("host", "_row", stream("other").alias("tokens"))
+    marks = undecided.select("host", "_row", F.posexplode(_prefixes(long)).alias("_start", "prefix"))
+    per_page = marks.join(small(repeated, 80), ["host", "prefix"], "left_semi").groupBy("_row").agg(F.sort_array(F.collect_set("_start")).alias("_hits"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts, removed = [], []
             for blocks, hits in zip(batch["blocks"], batch["_hits"]):
-                starts = {h["_at"]: h["starts"] for h in hits} if hits is not None else {}
-                kept, gone = [], 0
-                for i, b in enumerate(blocks):
-                    if b["kind"] == "other":
-                        text = _kept(b["text"].split(" "), starts[i], long) if i in starts else b["text"]
-                        gone += len(b["text"].split(" ")) - len(text.split(" ") if text else [])
-                        kept += [text] if text else []
+                tokens = [b["text"].split(" ") for b in blocks if b["kind"] == "other"]
+                kept = [t for t in _kept(tokens, hits if hits is not None else [], long) if t]
                 texts.append("\n".join(kept))
-                removed.append(gone)
+                removed.append(sum(map(len, tokens)) - sum(t.count(" ") + 1 for t in kept))
             yield batch[["page_id", "url"]].assign(text=texts, n_boiler_tokens=removed)
 
     kind = parsed.schema["page_id"].dataType.simpleString()

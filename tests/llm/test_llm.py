@@ -347,6 +347,18 @@ def test_html_host_boilerplate(spark):
     assert found == {0: "own text 0 is here", 1: "own text 1 is here", 2: "own text 2 is here", 7: boiler, 8: boiler, 9: "", 10: "tail"}
 
 
+def test_html_menus_and_copies(spark):
+    menu = "".join(f"<div>{w}</div>" for w in "Home About News Sports Weather Travel Food Contact Help".split())
+    nav = "<nav>zero one two three four five six seven eight nine</nav>"
+    own = "<p>this page says quite a lot of its own things {}</p>"
+    rows = [(i, f"http://h.example/{i}", f"{menu}<p>text of its own {i}</p>") for i in range(3)]
+    rows += [(i, f"http://copy.example/{i}", own.format(1)) for i in (10, 11)] + [(12, "http://copy.example/12", own.format(1) + nav)]
+    rows += [(20, "http://mixed.example/20", f"{menu}<article>first</article>"), (21, "http://mixed.example/21", menu), (22, "http://mixed.example/22", f"<div>unlike</div>{menu}")]
+    found = {r.page_id: (r.text, r.n_boiler_tokens) for r in html_main.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    said = own.format(1)[3:-4]
+    assert found == {i: (f"text of its own {i}", 9) for i in range(3)} | {i: (said, 0) for i in (10, 11, 12)} | {20: ("first", 0), 21: ("", 9), 22: ("unlike", 9)}
+
+
 def test_html_articles_are_whole(spark):
     pages = common.table(spark, SF, "pages")
     for r in html_main.main_texts(pages).join(pages.select("page_id", "html"), "page_id").collect():

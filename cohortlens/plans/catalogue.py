@@ -287,6 +287,68 @@ def bootstrap_ci(spark, sf_dir):
     return spark.createDataFrame([metrics.sample_bootstrap(scores, "score")])
 
 
+# ---- the whole job: all five programs, default iterations
+
+
+def _all(spark: SparkSession, sf_dir: str, method: str, **options) -> DataFrame:
+    return projection.project(_atlas(spark, sf_dir), _vocabulary(spark, sf_dir), method, **options)
+
+
+def nnls_all(spark, sf_dir):
+    return _all(spark, sf_dir, "nnls")
+
+
+def ridge_nnls_all(spark, sf_dir):
+    return _all(spark, sf_dir, "regularized_nnls", l1=0.5, l2=0.1)
+
+
+def simplex_all(spark, sf_dir):
+    return _all(spark, sf_dir, "simplex")
+
+
+def poisson_all(spark, sf_dir):
+    return _all(spark, sf_dir, "poisson")
+
+
+def nb_all(spark, sf_dir):
+    return _all(spark, sf_dir, "negative_binomial")
+
+
+def neural_all(spark, sf_dir):
+    return _all(spark, sf_dir, "neural")
+
+
+def variational_all(spark, sf_dir):
+    return _all(spark, sf_dir, "variational")
+
+
+def benchmark_all(spark, sf_dir):
+    methods = list(projection.available_projectors())
+    return projection.benchmark(projection.compare(_atlas(spark, sf_dir), _vocabulary(spark, sf_dir), methods, {"regularized_nnls": {"l1": 0.5, "l2": 0.1}}))
+
+
+def pca_explained_all(spark, sf_dir):
+    _, shares = state.linear_state(scoring.direct(_logged(spark, sf_dir), _vocabulary(spark, sf_dir)), TRAIN, 5)
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(shares)], "component long, share double")
+
+
+def bootstrap_all(spark, sf_dir):
+    """Estimate and interval of each program's score."""
+    scores = scoring.direct(_logged(spark, sf_dir), _vocabulary(spark, sf_dir))
+    return spark.createDataFrame([{"program_idx": k, **metrics.sample_bootstrap(scores.where(F.col("program_idx") == k), "score")} for k in range(5)])
+
+
+def store_zero_fill_all(spark, sf_dir):
+    return artifacts.stored_vocabulary(_atlas(spark, sf_dir).genes, _vocabulary(spark, sf_dir).where("gene_id like 'Brand#1%'"))
+
+
+def missing_extra_all(spark, sf_dir):
+    cohort, words = _atlas(spark, sf_dir), _vocabulary(spark, sf_dir)
+    few = cohort.kept_genes(cohort.genes.where("gene_id not like 'Brand#2%'"))
+    _, missing, extra = prep.aligned(few, words.where("gene_id not like 'Brand#3%'"), strict=False)
+    return missing.withColumn("side", F.lit("missing")).unionByName(extra.withColumn("side", F.lit("extra")))
+
+
 def expression_pca(spark, sf_dir):
     return state.expression_pca(_logged(spark, sf_dir), TRAIN, 3)[0]
 

@@ -371,3 +371,36 @@ def test_entry_and_catalogue(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(catalogue.ORACLE_SQL) <= set(catalogue.registered()) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_whole_queries_match_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    words = catalogue._vocabulary(spark, sf).toPandas().pivot(index="gene_id", columns="program_idx", values="weight").fillna(0.0).sort_index()
+    basis = words.to_numpy()
+    cells = catalogue._atlas(spark, sf).expr.toPandas().pivot_table(index=["sample_id", "cell_id"], columns="gene_id", values="value", fill_value=0.0).reindex(columns=words.index, fill_value=0.0)
+    supports = [[j for j in range(5) if mask >> j & 1] for mask in range(1, 32)]
+
+    def best(x):
+        tried = [(np.linalg.norm(x), np.zeros(5))]
+        for on in supports:
+            u = np.zeros(5)
+            u[on] = np.linalg.lstsq(basis[:, on], x, rcond=None)[0]
+            if (u >= 0).all():
+                tried.append((np.linalg.norm(x - basis @ u), u))
+        return min(tried, key=lambda t: t[0])
+
+    found = {(r.sample_id, r.cell_id): r for r in catalogue.nnls_all(spark, sf).collect()}
+    assert set(found) == set(cells.index)
+    for at, x in zip(cells.index, cells.to_numpy()):
+        error, usages = best(x)
+        assert len(found[at].usages) == 5 and found[at].projection_error == pytest.approx(error, rel=1e-6, abs=1e-6)
+        assert found[at].usages == pytest.approx(usages.tolist(), rel=1e-4, abs=1e-4)
+    shares = catalogue.pca_explained_all(spark, sf).toPandas()["share"]
+    assert len(shares) == 5 and shares.sum() == pytest.approx(1)
+    assert sorted(r.program_idx for r in catalogue.bootstrap_all(spark, sf).collect()) == list(range(5))
+
+
+def test_whole_benchmark_has_every_method(spark):
+    found = catalogue.benchmark_all(spark, "/root/testdata/sf0.001").toPandas()
+    assert set(found["method"]) == set(projection.available_projectors()) and found.groupby("method").size().eq(5).all()
+    assert np.isfinite(found["mean_error"]).all()

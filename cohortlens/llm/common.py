@@ -22,11 +22,13 @@ PORTION = 1 << 21
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the cluster's ``spark.checkpoint.dir``; only where that is unset
-    (single-machine sessions, tests) a temporary folder is made and set.
+    It is the cluster's ``spark.checkpoint.dir``; only where that is unset on
+    a single machine (tests) a temporary folder is made and set.
     """
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="cohortlens-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -56,6 +58,11 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` in one, ``_row``, so that added columns can't clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null counts as an empty text."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

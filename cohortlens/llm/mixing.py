@@ -3,11 +3,13 @@
 Documents are counted by exact token length within each source. A source whose
 target asks for k whole copies takes each of its documents k times; the rest of
 the target is a budget to be met by a subset. Each length gives its
-proportional share of documents, then the shares with the largest remainders
-round up, and a bounded-knapsack dynamic program over the documents that are
-left fills what remains to the word (or as near as their lengths allow).
+proportional share of documents, rounded down; a bounded-knapsack dynamic
+program then exchanges documents, putting some in and taking others out, until
+no subset of the source comes nearer to the budget. Its window of sums grows
+as far as that takes, so it holds for any lengths.
 Which documents of a length are taken is a matter of a seeded hash: those below
-a threshold that is found exactly, by hash ranges of a few thousand documents.
+a threshold that is found exactly, by the square root of their number of hash
+ranges.
 
 Space: the histogram of a source has as many rows as different lengths occur,
 at most the square root of twice its words; no other table is brought into one
@@ -15,8 +17,9 @@ task, and documents meet the plan through a checked broadcast or a shuffle.
 
 Edge cases: a null text has no words; the null source is a source of its own
 and comes last; documents without words are never needed and count as taken 0;
-rows that repeat in id, source and text share one decision; an empty table
-gives an empty result; columns named like the added ones are replaced.
+rows that repeat in id, source and text are told apart by their number only; a
+very long document is a length like others; an empty table gives an empty
+result; the mix keeps columns of whatever name.
 """
 
 from __future__ import annotations
@@ -25,17 +28,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import small, stored, word_count
+from cohortlens.llm.common import small, stored, whole_row, word_count
 from cohortlens.llm.sharding import row_numbered
 
 WEIGHTS = (3.0, 1.0, 2.0)
-#: Words that the dynamic program covers.
-REACH = 8192
-#: Documents in a hash range, about, when a length is split.
-RANGE = 4096
 MOST = 2.0
 
 
@@ -62,47 +61,90 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     return table.select("source", "source_size", F.least(F.col("_cap"), F.lit(level) * F.col("_w")).alias("target"))
 
 
-def fitted(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length (all over 0) to take so that their words come as near ``budget`` as can be."""
+def _nearest(bits: int, at: int, upper: bool = False) -> int:
+    """The set bit nearest to ``at``, the lower (or upper) of two."""
+    below, above = (bits & (1 << at + 1) - 1).bit_length() - 1, bits >> at
+    up = at + (above & -above).bit_length() - 1 if above else None
+    return up if below < 0 or up is not None and up - at < at - below + upper else below
+
+
+def _least_error(lengths: np.ndarray, add: np.ndarray, drop: np.ndarray, gap: int) -> int:
+    """A bound below on how near ``gap`` any exchange can come, from remainders.
+
+    The commonest lengths are taken without limit, so only the remainder by
+    their common divisor counts; the others give what remainders they can.
+    """
+    order = np.argsort(-(add + drop), kind="stable")
+    divisors = np.gcd.accumulate(lengths[order]).tolist()
+    least = 0
+    for j, m in enumerate(divisors):
+        if j + 1 < len(divisors) and divisors[j + 1] == m:
+            continue  # a longer list has the same divisor
+        reach, full = 1, (1 << m) - 1
+        for i in order[j + 1 :]:
+            for n, sign in ((int(add[i]), 1), (int(drop[i]), -1)):
+                n, part = min(n, m), 1
+                while n > 0 and reach != full:
+                    k = min(part, n)
+                    turn = sign * k * int(lengths[i]) % m
+                    reach |= (reach << turn | reach >> m - turn) & full
+                    n, part = n - k, part * 2
+        at = gap % m
+        least = max(least, abs(_nearest(reach | reach << m | reach << 2 * m, m + at) - m - at))
+    return least
+
+
+def _exchange(lengths: np.ndarray, add: np.ndarray, drop: np.ndarray, gap: int, upper: bool) -> np.ndarray:
+    """Documents of each length to add (below 0: to leave out) so that their words come as near ``gap`` as any choice can.
+
+    Bounded knapsack over a window of sums around ``gap``: bit s of ``reach``
+    is set when s words can be made up, counts are split into powers of two.
+    The window grows until the fit is as good as remainders allow, or holds
+    all sums there are, so the result is the best there is.
+    """
+    change = np.zeros(len(lengths), np.int64)
+    least = _least_error(lengths, add, drop, gap)
+    up, down = int((lengths * add).sum()), int((lengths * drop).sum())
+    most = max(up - gap, down + gap, 0)
+    width = min(most, max(64, 2 * gap))
+    while True:
+        reach, mask, steps = 1 << width - gap, (1 << 2 * width + 1) - 1, []
+        for i in np.argsort(lengths, kind="stable"):
+            size = int(lengths[i])
+            if size > 2 * width or reach >> width & 1:
+                break
+            for n, sign in ((int(add[i]), 1), (int(drop[i]), -1)):
+                n, part = min(n, 2 * width // size), 1
+                while n > 0 and not reach >> width & 1:
+                    k = min(part, n)
+                    grown = reach | (reach << k * size & mask if sign > 0 else reach >> k * size)
+                    if grown != reach:
+                        steps.append((i, sign * k, reach))
+                    reach, n, part = grown, n - k, part * 2
+        at = _nearest(reach, width, upper)
+        if abs(at - width) <= least or width >= most:
+            break
+        width = min(most, 4 * width)
+    for i, k, earlier in reversed(steps):
+        if not earlier >> at & 1:
+            change[i] += k
+            at -= k * int(lengths[i])
+    return change
+
+
+def fitted(lengths: np.ndarray, counts: np.ndarray, target: float) -> np.ndarray:
+    """How many documents of each length (all over 0) to take so that their words come as near ``target``, rounded, as any subset's."""
+    budget = round(target)
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    if 2 * budget > total:  # fewer documents stay out than go in: fit those
-        return counts - fitted(lengths, counts, total - budget)
-    shares = counts * (budget / total)
-    taken = np.floor(shares).astype(np.int64)
+    taken = np.floor(counts * (budget / total)).astype(np.int64)
     rest = budget - int((taken * lengths).sum())
-    for i in np.argsort(-(shares - taken), kind="stable"):
-        if taken[i] < counts[i] and lengths[i] <= rest - REACH:
-            taken[i] += 1
-            rest -= int(lengths[i])
     for i in np.argsort(-lengths, kind="stable"):
-        n = min(int(counts[i] - taken[i]), max(0, (rest - REACH) // int(lengths[i])))
+        n = max(0, min(int(counts[i] - taken[i]), rest // int(lengths[i])))
         taken[i] += n
         rest -= n * int(lengths[i])
-    left = counts - taken
-    if rest > 2 * REACH:  # only documents longer than that are left: the nearest of them, if it helps
-        over = np.where(left > 0, np.abs(lengths - rest), np.iinfo(np.int64).max)
-        i = int(over.argmin())
-        if over[i] < rest:
-            taken[i] += 1
-        return taken
-    # bounded knapsack: bit s of ``reach`` is set when s words can be made up; counts are split into powers of two
-    reach, mask, steps = 1, (1 << (2 * rest + 2)) - 1, []
-    for i in np.argsort(-lengths, kind="stable"):
-        size, n, part = int(lengths[i]), int(left[i]), 1
-        n = min(n, 2 * rest // size + 1)
-        while n > 0 and not reach >> rest & 1:
-            k = min(part, n)
-            steps.append((i, k, reach))
-            reach |= (reach << k * size) & mask
-            n, part = n - k, part * 2
-    at = next(s for d in range(rest + 1) for s in (rest - d, rest + d) if reach >> s & 1)
-    for i, k, earlier in reversed(steps):
-        if not earlier >> at & 1:
-            taken[i] += k
-            at -= k * int(lengths[i])
-    return taken
+    return taken + _exchange(lengths, counts - taken, taken, rest, target > budget)
 
 
 def _plan(source: pd.DataFrame) -> pd.DataFrame:
@@ -110,28 +152,29 @@ def _plan(source: pd.DataFrame) -> pd.DataFrame:
     target, whole = float(source["target"].iloc[0]), int(source["source_size"].iloc[0])
     copies = int(target // whole) if whole else 0
     lengths, counts = rows["size"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
-    more = fitted(lengths, counts, round(target - copies * whole)) if len(rows) else counts
+    more = fitted(lengths, counts, target - copies * whole) if len(rows) else counts
     return rows.assign(copies=copies, more=more)[["source", "size", "n", "source_size", "target", "copies", "more"]]
 
 
 _HALF = 1 << 62
+KEYS = ["_source", "_size", "_hash"]
 
 
-def _keyed(documents: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """documents with _source, _size and _hash in [0, 2**62)."""
+def _keys(seed: int, id_col: str, text_col: str, source_col: str) -> list[Column]:
+    """_source, _size and _hash (in [0, 2**62)) of a document."""
     own = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(_HALF).cast("long"))
-    return documents.withColumns({"_source": F.col(source_col), "_size": word_count(F.col(text_col)), "_hash": own})
+    return [F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("_size"), own.alias("_hash")]
 
 
 def plan(documents: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """The narrow rows (_id, _source, _size, _hash) and the plan.
 
     The plan has a row for each source and length: _source, _size, source_size,
-    target, copies and threshold; a document is taken ``copies`` times, and
-    once more if its hash is at most the threshold.
+    target, copies, threshold, at and alike; a document is taken ``copies``
+    times, and once more if its hash is at most the threshold. Of the ``alike``
+    rows at the threshold (rows that repeat), only ``at`` are, if that isn't null.
     """
-    keyed = _keyed(documents, seed, id_col, text_col, source_col).select(F.col(id_col).alias("_id"), "_source", "_size", "_hash")
-    rows = stored(keyed, "mix-rows")
+    rows = stored(documents.select(F.col(id_col).alias("_id"), *_keys(seed, id_col, text_col, source_col)), "mix-rows")
     hist = stored(rows.groupBy(F.col("_source").alias("source"), F.col("_size").alias("size")).agg(F.count("*").alias("n")), "mix-lengths")
     goals = targets(hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size")), weights, share)
     goals = stored(goals, "mix-targets")
@@ -140,7 +183,8 @@ def plan(documents: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     schema = f"source {kind}, size long, n long, source_size long, target double, copies int, more long"
     budget = stored(joined.groupBy("source").applyInPandas(_plan, schema), "mix-budget")
 
-    part = budget.where("more > 0 and more < n").select("source", "size", "n", "more", F.ceil(F.col("n") / RANGE).alias("_ranges"))
+    # hash ranges, as many as a range has documents; then the hashes of the range that the cut falls into
+    part = budget.where("more > 0 and more < n").select("source", "size", "more", F.ceil(F.sqrt("n")).alias("_ranges"))
     some = small(part, 64)
     on = rows["_source"].eqNullSafe(some["source"]) & (rows["_size"] == some["size"])
     width = F.floor(F.lit(_HALF).cast("long") / F.col("_ranges")).cast("long") + 1
@@ -151,35 +195,55 @@ def plan(documents: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     cut = stored(cut.select("source", "size", "_range", (F.col("more") - F.col("_before")).alias("_need")), "mix-cut")
     edge = small(cut, 64)
     same = ranged["source"].eqNullSafe(edge["source"]) & (ranged["size"] == edge["size"]) & (ranged["_range"] == edge["_range"])
-    within = Window.partitionBy("_s", "_z").orderBy("_hash").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    near = ranged.join(edge, same).select(ranged["source"].alias("_s"), ranged["size"].alias("_z"), "_hash", "_need").withColumn("_upto", F.count("*").over(within))
-    thresholds = near.groupBy("_s", "_z").agg(F.coalesce(F.max(F.when(F.col("_upto") <= F.col("_need"), F.col("_hash"))), F.min("_hash") - 1).alias("_threshold"))
+    near = ranged.join(edge, same).select(ranged["source"].alias("_s"), ranged["size"].alias("_z"), "_hash", "_need").groupBy("_s", "_z", "_need", "_hash").agg(F.count("*").alias("alike"))
+    within = Window.partitionBy("_s", "_z").orderBy("_hash").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("_need") - F.coalesce(F.sum("alike").over(within), F.lit(0))
+    thresholds = near.withColumn("at", at).where("at > 0 and at <= alike").select("_s", "_z", F.col("_hash").alias("_threshold"), F.when(F.col("at") < F.col("alike"), F.col("at")).alias("at"), "alike")
     match = budget["source"].eqNullSafe(thresholds["_s"]) & (budget["size"] == thresholds["_z"])
     threshold = F.when(F.col("more") == 0, F.lit(-1)).when(F.col("more") >= F.col("n"), F.lit(_HALF)).otherwise(F.col("_threshold")).cast("long")
-    whole = budget.join(thresholds, match, "left").select(F.col("source").alias("_source"), F.col("size").alias("_size"), "copies", threshold.alias("threshold"))
-    nothing = hist.where("size = 0").select(F.col("source").alias("_source"), F.col("size").alias("_size"), F.lit(0).alias("copies"), F.lit(-1).cast("long").alias("threshold"))
+    whole = budget.join(thresholds, match, "left").select(F.col("source").alias("_source"), F.col("size").alias("_size"), "copies", threshold.alias("threshold"), "at", "alike")
+    none = F.lit(None).cast("long")
+    nothing = hist.where("size = 0").select(F.col("source").alias("_source"), F.col("size").alias("_size"), F.lit(0).alias("copies"), F.lit(-1).cast("long").alias("threshold"), none.alias("at"), none.alias("alike"))
     decided = whole.unionByName(nothing)
-    out = decided.join(small(goals, 100), decided["_source"].eqNullSafe(goals["source"])).select("_source", "_size", "source_size", "target", "copies", "threshold")
+    out = decided.join(small(goals, 100), decided["_source"].eqNullSafe(goals["source"])).select("_source", "_size", "source_size", "target", "copies", "threshold", "at", "alike")
     return rows, stored(out, "mix-plan")
 
 
-def _decided(rows: DataFrame, decided: DataFrame) -> DataFrame:
-    p = small(decided.withColumnsRenamed({"source_size": "_source_size", "target": "_target"}), 100)
+def _decided(rows: DataFrame, decided: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows with _source_size, _target and _times; and apart, if there are any, rows alike of which only some are taken once more (with _copies, _wanted, _alike)."""
+    names = {"source_size": "_source_size", "target": "_target", "copies": "_copies", "threshold": "_threshold", "at": "_wanted", "alike": "_alike"}
+    p = small(decided.withColumnsRenamed(names), 100)
     on = rows["_source"].eqNullSafe(p["_source"]) & (rows["_size"] == p["_size"])
-    times = p["copies"] + (rows["_hash"] <= p["threshold"]).cast("int")
-    return rows.join(p, on).withColumn("_times", times).select(*[rows[c] for c in rows.columns], "_source_size", "_target", "_times")
+    joined = rows.join(p, on).select(*[rows[c] for c in rows.columns], *names.values())
+    some = F.col("_wanted").isNotNull() & (F.col("_hash") == F.col("_threshold"))
+    sure = joined.where(~some).withColumn("_times", F.col("_copies") + (F.col("_hash") <= F.col("_threshold")).cast("int"))
+    return sure, joined.where(some) if decided.where("at is not null").limit(1).count() else None
 
 
 def mix_report(documents: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken (words, repeats counted)."""
     rows, decided = plan(documents, weights, share, seed, id_col, text_col, source_col)
-    found = _decided(rows, decided)
+    found, alike = _decided(rows, decided)
+    if alike is not None:  # numbered by range partitions, so no group of equal rows has to fit into one task
+        numbered = stored(row_numbered(alike, KEYS)[0], "mix-alike")
+        first = numbered.groupBy(*KEYS).agg(F.min("row_number").alias("_first")).withColumnsRenamed({k: f"{k}_" for k in KEYS})
+        same = F.col("_source").eqNullSafe(F.col("_source_")) & (F.col("_size") == F.col("_size_")) & (F.col("_hash") == F.col("_hash_"))
+        ranked = numbered.join(small(stored(first, "mix-first"), 60), same)
+        times = F.col("_copies") + (F.col("row_number") - F.col("_first") < F.col("_wanted")).cast("int")
+        found = found.unionByName(ranked.withColumn("_times", times).select(*found.columns))
     return found.select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_times").alias("copies"), (F.col("_size") * F.col("_times")).alias("taken"))
 
 
 def mixed(documents: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: the columns of ``documents``, each row as often as it is taken."""
-    _, decided = plan(documents, weights, share, seed, id_col, text_col, source_col)
-    found = _decided(_keyed(documents, seed, id_col, text_col, source_col), decided)
-    return found.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*documents.columns)
+    """The mix itself: the columns of ``documents``, each row as often as it is taken.
 
+    Of rows that repeat in id, source and text, and that are taken unequally
+    often, one stands for all, as often as they are taken together.
+    """
+    _, decided = plan(documents, weights, share, seed, id_col, text_col, source_col)
+    found, alike = _decided(documents.select(whole_row(documents), *_keys(seed, id_col, text_col, source_col)), decided)
+    found = found.where("_times > 0").select("_row", "_times")
+    if alike is not None:
+        together = (F.col("_copies") * F.col("_alike") + F.col("_wanted")).cast("int")
+        found = found.unionByName(alike.dropDuplicates(KEYS).select("_row", together.alias("_times")))
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")

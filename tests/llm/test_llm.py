@@ -161,18 +161,41 @@ def test_mixing_meets_targets(spark, documents):
 def test_mixing_edge_cases(spark, odd):
     rows = mixing.mix_report(odd).toPandas()
     assert len(rows) == len(ODD) and rows.groupby("source", dropna=False)["target"].first().sum() == pytest.approx(1.5 * rows["size"].sum())
-    assert mixing.mixed(odd).columns == odd.columns
+    clash = odd.withColumnsRenamed({"target": "_source", "kept": "_hash", "n_words": "_times"})
+    assert mixing.mixed(clash).columns == clash.columns and {tuple(r[6:]) for r in mixing.mixed(clash).collect()} == {("t", "k", 9)}
     assert mixing.mix_report(odd.limit(0)).count() == 0 and mixing.mixed(odd.limit(0)).count() == 0
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.integers(1, 60), st.integers(1, 5)), min_size=1, max_size=7, unique_by=lambda x: x[0]), st.floats(0, 1))
+def test_mixing_splits_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 1)] * 40 + [(2, "a b", "x", 2)] * 3 + [(3, "c " * 500, "y", 3)] * 2, "doc_id long, text string, source string, _at int")
+    rows = mixing.mix_report(docs, weights=(1.0, 1.0), share=0.05).toPandas()
+    by = rows.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+    assert abs(by["taken"]["x"] - by["target"]["x"]) <= 1 and len(rows) == 45
+    mix = mixing.mixed(docs, weights=(1.0, 1.0), share=0.05)
+    assert mix.columns == docs.columns and mix.where("source = 'x'").count() == rows[rows["source"] == "x"]["copies"].sum()
+
+
+def nearest_sum(lengths, counts, budget):
+    reach = {0}
+    for x, n in zip(lengths, counts):
+        reach = {r + k * x for r in reach for k in range(n + 1)}
+    return min(abs(r - budget) for r in reach)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 90) | st.integers(9_000, 90_000) | st.integers(1, 9).map(lambda x: 16 * x), st.integers(1, 5)), min_size=1, max_size=6, unique_by=lambda x: x[0]), st.floats(0, 1))
 def test_fitted_is_the_best_subset(pairs, share):
     lengths, counts = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
     budget = round(share * int((lengths * counts).sum()))
     taken = mixing.fitted(lengths, counts, budget)
     assert ((taken >= 0) & (taken <= counts)).all()
-    assert abs(int((taken * lengths).sum()) - budget) <= lengths.max()
+    assert abs(int((taken * lengths).sum()) - budget) == nearest_sum(lengths, counts, budget)
+
+
+@pytest.mark.parametrize("lengths,counts,budget", [([17000, 50000, 60001], [2, 1, 1], 77001), ([32, 48], [4, 1], 128), ([10, 20, 30, 7], [10**6, 10**6, 10**6, 1], 10**7 + 4)])
+def test_fitted_special_cases(lengths, counts, budget):
+    taken = mixing.fitted(np.array(lengths), np.array(counts), budget)
+    assert abs(int((taken * np.array(lengths)).sum()) - budget) == (3 if len(lengths) == 4 else 0)
 
 
 def test_warc_round_trip(spark):

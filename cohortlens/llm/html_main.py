@@ -1,26 +1,37 @@
-"""Main text of web pages: structural blocks, and a suffix array over each host for the rest.
-
-A page is cut into blocks of text. Blocks inside an article (or main) element
-are content; those inside navigation, headers, footers, sidebars, notices,
-adverts, forms, comments and the like are not. Which of a page's other blocks
-are boilerplate is decided per host: the blocks of a page that are neither
-content nor named boilerplate make one token stream, those that are named so
-another, and substrings of ``LONG`` tokens or more that occur on pages of the
-host with different content are found; they may cross blocks, as a menu of
-one-word blocks does. Covered tokens are removed and the unique runs between
-them kept; a block that is covered in part by a crossing substring stays. Where
-a page has an article, its text is the article alone, whatever repeats.
-
-The suffix array is cut off at depth ``LONG``: equal prefixes of that length
-are neighbours in it, so a grouped minimum and maximum of the content's hash
-over each (host, prefix) tells whether neighbours come from different pages;
-copies of a page don't cover each other. Spark shuffles the prefixes; no host
-is ever brought together in one task.
+"""Main text of web pages: structural seeds, and a suffix array over the token streams of each host.
+
+A page is cut into blocks of text. Structure seeds what they are: blocks inside
+an article (or main) element are content, those inside navigation, headers,
+footers, sidebars, notices, adverts, forms, comments and the like are not, all
+others are undecided. The blocks of every page make one token stream, and the
+suffixes of all streams of a host, in order, show which substrings of ``LONG``
+tokens or more occur on pages of different content; they may cross blocks, as a
+menu of one-word blocks does. A repeated substring is boilerplate unless it lies
+inside articles at least as often as outside, as shared passages and quotations
+do. Undecided tokens covered by boilerplate are removed and the unique runs
+between them kept; a block that is covered in part by a crossing substring
+stays. The text is the content and the unique runs, in page order.
+
+The suffix array is built in two steps, as no host may have to fit into a task:
+
+1. Anchors: of any ``LONG`` tokens in a row the n-gram of smallest hash is taken,
+   so equal substrings of that length hold equal anchors. A grouped minimum and
+   maximum of the content's hash over (host, anchor) finds the anchors that
+   different contents share; about a sixth of all suffixes travels.
+2. Suffixes that begin with ``LONG`` tokens around such an anchor are grouped by
+   these tokens themselves, as their neighbours in order are, so nothing is
+   taken for equal by its hash. Deeper comparison adds nothing: a longer common
+   substring is the union of those that begin at its suffixes. Groups are
+   aggregates with map-side combining; a passage on a third of all pages is one
+   row a task.
 
 Edge cases: null html has no text (an empty string); a null url is a host of
 its own; pages without any tag are one block; pages of equal content (articles
-and undecided blocks) count as one, whatever their ids; unclosed elements end
-with their parent or the page; an empty table gives an empty result.
+and undecided blocks) count as one, whatever their ids; a page of fewer than
+``LONG`` tokens repeats nothing; a page of any length is one row; unclosed
+elements end with their parent or the page; an empty table gives an empty
+result; other columns of the input, whatever their names, aren't returned. White
+space is what Unicode calls so, a no-break space too.
 """
 
 from __future__ import annotations
@@ -30,14 +41,16 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import small, stored
+from cohortlens.llm.ngram_join import mixed64
 
 #: Tokens of a substring that counts as long.
-LONG = 8
+LONG = 16
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 SKIPPED = frozenset("script style noscript template head title nav header footer aside form iframe svg canvas button select textarea object dialog menu".split())
@@ -149,74 +162,125 @@ def page_blocks(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     return rows.mapInPandas(run, f"page_id {kind}, url string, host string, blocks array<struct<kind:string,text:string>>")
 
 
-def _prefixes(long: int):
-    """Hashes of ``long`` tokens from each place of ``tokens`` on; null for fewer tokens."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size("tokens") - long + 1, F.lit(1)))
-    return F.when(F.size("tokens") >= long, F.transform(starts, lambda i: F.xxhash64(F.slice("tokens", i, long))))
+def _gram(long: int) -> int:
+    """Tokens of an anchor."""
+    return max(1, 3 * long // 8)
+
+
+def anchors(tokens: list[str], hashes: np.ndarray, long: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the anchors of a stream: of each ``long`` tokens in a row the n-gram of smallest hash."""
+    n = _gram(long)
+    if len(tokens) < long:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    grams = np.zeros(len(tokens) - n + 1, np.uint64)
+    for j in range(n):
+        grams = mixed64(grams + hashes[j : len(tokens) - n + 1 + j])
+    windows = np.lib.stride_tricks.sliding_window_view(grams, long - n + 1)
+    places = np.unique(windows.argmin(1) + np.arange(len(windows)))
+    return places, grams[places]
+
+
+def _streams(batch: pd.DataFrame, long: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """Tokens, places and keys (of host and anchor) of each page's stream."""
+    every = [[t for b in blocks for t in b["text"].split(" ")] for blocks in batch["blocks"]]
+    flat = np.empty(sum(map(len, every)), dtype=object)
+    flat[:] = [t for tokens in every for t in tokens]
+    hashes = pd.util.hash_array(flat, categorize=False).astype(np.uint64) if len(flat) else np.zeros(0, np.uint64)
+    hosts = pd.util.hash_array(batch["host"].to_numpy(object), categorize=False).astype(np.uint64)
+    at = 0
+    for tokens, host in zip(every, hosts):
+        places, found = anchors(tokens, hashes[at : at + len(tokens)], long)
+        at += len(tokens)
+        yield tokens, places, mixed64(found ^ host).view(np.int64)
 
 
-def repeated_prefixes(streams: DataFrame, long: int = LONG) -> DataFrame:
-    """host and prefix (a hash of ``long`` tokens) of suffixes whose neighbours in the host's suffix array share them on a page of other content.
+def shared_anchors(parsed: DataFrame, long: int = LONG) -> DataFrame:
+    """Keys of the anchors that pages of different content of a host share, if undecided blocks are on one of the pages."""
 
-    ``streams`` has host, content (a hash of what a page says) and tokens (an array for each stream of a page).
-    """
-    suffixes = streams.select("host", "content", F.explode(_prefixes(long)).alias("prefix"))
-    ends = suffixes.groupBy("host", "prefix").agg(F.min("content").alias("lo"), F.max("content").alias("hi"))
-    return ends.where("lo <> hi").select("host", "prefix")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"content": batch["content"], "undecided": batch["undecided"], "keys": [k for _, _, k in _streams(batch, long)]})
+
+    keys = parsed.select("host", "content", "undecided", "blocks").mapInPandas(run, "content int, undecided boolean, keys array<long>")
+    ends = keys.select("content", "undecided", F.explode("keys").alias("key")).groupBy("key").agg(F.min("content").alias("lo"), F.max("content").alias("hi"), F.max("undecided").alias("any"))
+    return ends.where("lo <> hi and any").select("key")
+
+
+def suffixes(parsed: DataFrame, shared: DataFrame, long: int = LONG) -> DataFrame:
+    """host, content, _row, start, inside and prefix of every suffix whose first ``long`` tokens hold one of the ``shared`` anchors."""
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(p, k) for _, p, k in _streams(batch, long)]
+            yield pd.DataFrame({"_row": batch["_row"], "places": [p for p, _ in found], "keys": [k for _, k in found]})
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        back = long - _gram(long)
+        for batch in batches:
+            for host, content, row, blocks, places in batch[["host", "content", "_row", "blocks", "_places"]].itertuples(index=False, name=None):
+                tokens = [t for b in blocks for t in b["text"].split(" ")]
+                inside = np.cumsum([0, *(b["kind"] == "main" for b in blocks for _ in range(b["text"].count(" ") + 1))])
+                starts = sorted({s for p in places for s in range(max(0, p - back), min(p, len(tokens) - long) + 1)})
+                yield pd.DataFrame({"host": host, "content": content, "_row": row, "start": starts, "inside": [bool(2 * (inside[s + long] - inside[s]) > long) for s in starts], "prefix": [" ".join(tokens[s : s + long]) for s in starts]})
+
+    at = parsed.select("host", "_row", "blocks").mapInPandas(placed, "_row long, places array<int>, keys array<long>")
+    at = at.select("_row", F.explode(F.arrays_zip("places", "keys")).alias("a")).select("_row", F.col("a.places").alias("place"), F.col("a.keys").alias("key"))
+    here = stored(at.join(small(shared, 12), "key", "left_semi").groupBy("_row").agg(F.collect_set("place").alias("_places")), "html-places")
+    return parsed.join(small(here, 200), "_row").mapInPandas(cut, "host string, content int, _row long, start int, inside boolean, prefix string")
+
+
+def boilerplate(found: DataFrame) -> DataFrame:
+    """host and prefix of suffixes whose neighbours share them on a page of other content, more often outside than inside articles."""
+    ends = found.groupBy("host", "prefix").agg(F.min("content").alias("lo"), F.max("content").alias("hi"), F.sum(F.when(F.col("inside"), -1).otherwise(1)).alias("outside"))
+    return ends.where("lo <> hi and outside > 0").select("host", "prefix")
 
 
-def _kept(blocks: list[list[str]], starts: list[int], long: int) -> list[str]:
-    """What stays of the blocks of a stream; a repeated substring starts at each of ``starts``.
+def _kept(blocks: list[tuple[str, list[str]]], starts: list[int], long: int) -> list[str]:
+    """The text of each block of a stream; a repeated substring starts at each of ``starts``.
 
-    Substrings inside a block are cut out of it. Those that cross blocks take
+    Content stays and what structure rules out goes. Of undecided blocks,
+    substrings inside a block are cut out of it; those that cross blocks take
     the blocks that they cover wholly, and leave the others as they are.
     """
-    covered, inside = bytearray(sum(map(len, blocks))), bytearray(sum(map(len, blocks)))
-    ends = [e for e, b in zip(itertools.accumulate(map(len, blocks)), blocks) for _ in b]
+    n = sum(len(tokens) for _, tokens in blocks)
+    covered, inside = bytearray(n), bytearray(n)
+    ends = [e for e, (_, b) in zip(itertools.accumulate(len(b) for _, b in blocks), blocks) for _ in b]
     for i in starts:
         covered[i : i + long] = b"\x01" * long
         if i + long <= ends[i]:
             inside[i : i + long] = b"\x01" * long
     out, at = [], 0
-    for tokens in blocks:
+    for kind, tokens in blocks:
         gone = covered if all(covered[at : at + len(tokens)]) else inside
-        out.append(" ".join(t for t, c in zip(tokens, gone[at : at + len(tokens)]) if not c))
+        here = gone[at : at + len(tokens)] if kind == "other" else bytes(len(tokens))
+        out.append("" if kind == "skipped" else " ".join(t for t, c in zip(tokens, here) if not c))
         at += len(tokens)
     return out
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", long: int = LONG) -> DataFrame:
-    """page_id, url, text, n_chars and n_boiler_tokens (tokens removed from a page without an article since they repeat on its host).
-
-    Only pages without an article are joined with what repeats; the others,
-    whose text is their article, are not shuffled.
-    """
-    whole = F.exists("blocks", lambda b: b["kind"] == "main")
-    parsed = stored(page_blocks(pages, id_col, url_col, html_col).withColumns({"_row": F.monotonically_increasing_id(), "_whole": whole}), "html-blocks")
-
-    def stream(kind: str):
-        return F.split(F.array_join(F.transform(F.filter("blocks", lambda b: b["kind"] == kind), lambda b: b["text"]), " "), " ")
-
-    content = F.xxhash64(F.filter("blocks", lambda b: b["kind"] != "skipped"))
-    both = parsed.select("host", content.alias("content"), F.explode(F.array(stream("other"), stream("skipped"))).alias("tokens"))
-    repeated = stored(repeated_prefixes(both, long), "html-repeated")
-    undecided = parsed.where("not _whole").select("host", "_row", stream("other").alias("tokens"))
-    marks = undecided.select("host", "_row", F.posexplode(_prefixes(long)).alias("_start", "prefix"))
-    per_page = marks.join(small(repeated, 80), ["host", "prefix"], "left_semi").groupBy("_row").agg(F.sort_array(F.collect_set("_start")).alias("_hits"))
+    """page_id, url, text, n_chars and n_boiler_tokens (undecided tokens removed since they repeat on the host)."""
+    content = F.hash(F.filter("blocks", lambda b: b["kind"] != "skipped"))
+    undecided = F.exists("blocks", lambda b: b["kind"] == "other")
+    added = {"_row": F.monotonically_increasing_id(), "content": content, "undecided": undecided}
+    parsed = stored(page_blocks(pages, id_col, url_col, html_col).withColumns(added), "html-blocks", compression="zstd")
+    shared = stored(shared_anchors(parsed, long), "html-anchors")
+    found = stored(suffixes(parsed, shared, long), "html-suffixes")
+    repeated = stored(boilerplate(found), "html-repeated")
+    hits = found.join(small(repeated, 200), ["host", "prefix"], "left_semi").groupBy("_row").agg(F.collect_set("start").alias("_hits"))
+    hits = stored(hits, "html-hits")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts, removed = [], []
             for blocks, hits in zip(batch["blocks"], batch["_hits"]):
-                tokens = [b["text"].split(" ") for b in blocks if b["kind"] == "other"]
-                kept = [t for t in _kept(tokens, hits if hits is not None else [], long) if t]
-                texts.append("\n".join(kept))
-                removed.append(sum(map(len, tokens)) - sum(t.count(" ") + 1 for t in kept))
+                streams = [(b["kind"], b["text"].split(" ")) for b in blocks]
+                kept = _kept(streams, hits if hits is not None else [], long)
+                texts.append("\n".join(t for t in kept if t))
+                removed.append(sum(len(s) - (t.count(" ") + 1 if t else 0) for (k, s), t in zip(streams, kept) if k == "other"))
             yield batch[["page_id", "url"]].assign(text=texts, n_boiler_tokens=removed)
 
     kind = parsed.schema["page_id"].dataType.simpleString()
-    rest = parsed.where("not _whole").select("page_id", "url", "_row", "blocks").join(per_page, "_row", "left")
-    rest = rest.select("page_id", "url", "blocks", "_hits").mapInPandas(run, f"page_id {kind}, url string, text string, n_boiler_tokens long")
-    own = F.array_join(F.transform(F.filter("blocks", lambda b: b["kind"] == "main"), lambda b: b["text"]), "\n")
-    articles = parsed.where("_whole").select("page_id", "url", own.alias("text"), F.lit(0).cast("long").alias("n_boiler_tokens"))
-    return articles.unionByName(rest).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_boiler_tokens")
+    rows = parsed.join(small(hits, 200), "_row", "left").select("page_id", "url", "blocks", "_hits")
+    done = rows.mapInPandas(run, f"page_id {kind}, url string, text string, n_boiler_tokens long")
+    return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_boiler_tokens")

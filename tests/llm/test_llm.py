@@ -362,12 +362,70 @@ def test_html_blocks():
     assert [t for k, t in parts if k == "main"] == ["T", "x", "y"] and ("other", "z") in parts
 
 
+PAGES = "page_id long, url string, html string"
+
+
+def sorted_suffixes(rows, long):
+    """Text of each page by a whole suffix array for each host, its neighbours compared token by token."""
+    pages, hosts = {}, collections.defaultdict(list)
+    for i, url, source in rows:
+        blocks = html_main.blocks_of(source or "")
+        content = tuple(b for b in blocks if b[0] != "skipped")
+        pages[i] = (blocks, set())
+        tokens = [(t, k) for k, text in blocks for t in text.split(" ")]
+        host = (re.match("[a-z]+://([^/]*)", url or "") or ["", ""])[1]
+        hosts[host] += [([t for t, _ in tokens[s:]], content, i, s, sum(k == "main" for _, k in tokens[s : s + long])) for s in range(len(tokens) - long + 1)]
+    for array in hosts.values():
+        array.sort(key=lambda x: x[0])
+        first = 0
+        for k in range(1, len(array) + 1):
+            common = 0
+            if k < len(array):
+                common = next((n for n, (x, y) in enumerate(zip(array[k - 1][0], array[k][0])) if x != y), min(len(array[k - 1][0]), len(array[k][0])))
+            if common < long:
+                group, first = array[first:k], k
+                if len({g[1] for g in group}) > 1 and sum(-1 if 2 * g[4] > long else 1 for g in group) > 0:
+                    for _, _, i, s, _ in group:
+                        pages[i][1].add(s)
+    out = {}
+    for i, (blocks, hits) in pages.items():
+        place, said = 0, []
+        for kind, text in blocks:
+            tokens = text.split(" ")
+            mine = range(place, place + len(tokens))
+            by_all = [any(h <= p < h + long for h in hits) for p in mine]
+            by_inner = [any(place <= h <= p < h + long <= place + len(tokens) for h in hits) for p in mine]
+            place += len(tokens)
+            gone = by_all if all(by_all) else by_inner
+            said.append("" if kind == "skipped" else text if kind == "main" else " ".join(t for t, g in zip(tokens, gone) if not g))
+        out[i] = "\n".join(x for x in said if x)
+    return out
+
+
+def test_html_matches_sorted_suffixes(spark):
+    rng = random.Random(3)
+    shared = [" ".join(rng.choices("abcdefghij", k=rng.randint(6, 40))) for _ in range(5)]
+    rows = []
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randint(0, 6)):
+            said = rng.choice(shared) if rng.random() < 0.6 else " ".join(rng.choices("abcdefghij", k=rng.randint(1, 20)))
+            if rng.random() < 0.2:
+                said += " " + rng.choice(shared)
+            parts.append(rng.choice(["<div>{}</div>", "<div>{}</div>", "<nav>{}</nav>", "<article><p>{}</p></article>"]).format(said))
+        rows.append((i, f"http://{rng.choice('xyz')}.example/{i}", "".join(parts)))
+    for long in (4, 8, 16):
+        found = {r.page_id: r.text for r in html_main.main_texts(spark.createDataFrame(rows, PAGES), long=long).collect()}
+        assert found == sorted_suffixes(rows, long)
+
+
 def test_html_host_boilerplate(spark):
     boiler = "one two three four five six seven eight nine"
     rows = [(i, f"http://h.example/{i}", f"<div>{boiler}</div><div>own text {i} is here</div>") for i in range(3)]
-    rows += [(7, "http://other.example/", f"<div>{boiler}</div>"), (8, "http://h.example/8", f"<article><p>{boiler}</p></article><div>{boiler}</div>"), (9, None, None), (10, "http://h.example/10", f"<div>{boiler} tail</div>")]
-    found = {r.page_id: r.text for r in html_main.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert found == {0: "own text 0 is here", 1: "own text 1 is here", 2: "own text 2 is here", 7: boiler, 8: boiler, 9: "", 10: "tail"}
+    rows += [(7, "http://other.example/", f"<div>{boiler}</div>"), (8, "http://h.example/8", f"<article><p>{boiler}</p></article><div>{boiler}</div><div>said once</div>"), (9, None, None), (10, "http://h.example/10", f"<div>{boiler} tail</div>")]
+    rows += [(i, f"http://quoted.example/{i}", f"<article>{boiler}</article>") for i in (20, 21)] + [(22, "http://quoted.example/22", f"<div>{boiler}</div>")]
+    found = {r.page_id: r.text for r in html_main.main_texts(spark.createDataFrame(rows, PAGES), long=8).collect()}
+    assert found == {0: "own text 0 is here", 1: "own text 1 is here", 2: "own text 2 is here", 7: boiler, 8: f"{boiler}\nsaid once", 9: "", 10: "tail", 20: boiler, 21: boiler, 22: boiler}
 
 
 def test_html_menus_and_copies(spark):
@@ -377,9 +435,18 @@ def test_html_menus_and_copies(spark):
     rows = [(i, f"http://h.example/{i}", f"{menu}<p>text of its own {i}</p>") for i in range(3)]
     rows += [(i, f"http://copy.example/{i}", own.format(1)) for i in (10, 11)] + [(12, "http://copy.example/12", own.format(1) + nav)]
     rows += [(20, "http://mixed.example/20", f"{menu}<article>first</article>"), (21, "http://mixed.example/21", menu), (22, "http://mixed.example/22", f"<div>unlike</div>{menu}")]
-    found = {r.page_id: (r.text, r.n_boiler_tokens) for r in html_main.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    found = {r.page_id: (r.text, r.n_boiler_tokens) for r in html_main.main_texts(spark.createDataFrame(rows, PAGES), long=8).collect()}
     said = own.format(1)[3:-4]
-    assert found == {i: (f"text of its own {i}", 9) for i in range(3)} | {i: (said, 0) for i in (10, 11, 12)} | {20: ("first", 0), 21: ("", 9), 22: ("unlike", 9)}
+    assert found == {i: (f"text of its own {i}", 9) for i in range(3)} | {i: (said, 0) for i in (10, 11, 12)} | {20: ("first", 9), 21: ("", 9), 22: ("unlike", 9)}
+
+
+def test_html_edge_cases(spark):
+    clash = "page_id long, url string, html string, host string, blocks string, _row int, content int"
+    rows = [(1, None, "", "h", "b", 1, 2), (None, "u", "<p>x" * 3, "h", "b", 1, 2), (2, "http://a.example", "<div>" + "many words " * 60_000 + "</div>", "h", "b", 1, 2), (2, "http://a.example", "<div>" + "many words " * 60_000 + "</div>", "h", "b", 1, 2)]
+    found = html_main.main_texts(spark.createDataFrame(rows, clash))
+    assert sorted((r.page_id or 0, r.n_chars) for r in found.collect()) == [(0, 5), (1, 0), (2, 659_999), (2, 659_999)]
+    empty = html_main.main_texts(spark.createDataFrame([], clash))
+    assert empty.columns == found.columns and empty.count() == 0
 
 
 def test_html_articles_are_whole(spark):

@@ -45,10 +45,11 @@ EDGES = ".,;:!?\"'()[]{}«»„“”…|"
 TRIPLE = re.compile(r"(.)\1\1")
 #: Log probabilities of the channel: a letter replaced, repeated, a separator put in.
 REPLACED, REPEATED, PARTED = -2.0, -1.5, -1.5
-#: Labelled rows of each class to fit on, and n-grams that the model keeps, at most.
+#: Labelled rows of each class to fit on, at most.
 PER_CLASS = 10_000
-FEATURES = 200_000
+#: Toxic documents that have an n-gram which the model learns: at least so many, and at least one in so many.
 LEAST_DOCS = 3
+ONE_IN = 2000
 #: Documents that an n-gram's share of toxic ones is drawn towards the overall share with.
 PRIOR = 8
 REMEMBERED = 300_000
@@ -269,8 +270,8 @@ def fitted(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
 
     spread = sample.repartition(parts)
     toxic = spread.where("y = 1").select("text").mapInPandas(counted(None), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    least = max(LEAST_DOCS, n[1] // 2000)
-    often = toxic.where(F.col("n") >= least).orderBy(F.desc("n"), "gram").limit(FEATURES).toPandas()
+    least = max(LEAST_DOCS, n[1] // ONE_IN)
+    often = toxic.where(F.col("n") >= least).toPandas()  # of the bounded sample
     wanted = spark.sparkContext.broadcast(frozenset(often["gram"]))
     clean = spread.where("y = 0").select("text").mapInPandas(counted(wanted), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("m")).toPandas()
     both = often.merge(clean, on="gram", how="left").fillna({"m": 0})

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import html
+import itertools
 import random
 import re
 import zlib
@@ -477,6 +478,23 @@ def test_toxicity_reads_disguises(spark):
     assert toxicity.restored("plain,", logp) == ["plain"]
 
 
+def test_toxicity_decodes_as_all_readings_do():
+    rng = np.random.default_rng(5)
+    for _ in range(3):
+        logp = np.log(rng.dirichlet(np.full(toxicity.SYMBOLS, 0.3), (toxicity.SYMBOLS, toxicity.SYMBOLS)) + 1e-9)
+        for _ in range(150):
+            token = "".join(rng.choice(list("abeio013!|@$*.-xx"), rng.integers(1, 8)))
+            read = toxicity.decoded(token, logp)
+            groups = [(c, len(list(g))) for c, g in itertools.groupby(token)]
+            options = [toxicity._readings(c, run, 0 < k < len(groups) - 1) for k, (c, run) in enumerate(groups)]
+            scores = collections.defaultdict(lambda: -1e300)
+            for way in itertools.product(*options):
+                symbols = [0, 0, *(toxicity._symbol(x) for out, _ in way for x in out), 0]
+                said = "".join(out for out, _ in way)
+                scores[said] = max(scores[said], sum(c for _, c in way) + sum(logp[a, b, c] for a, b, c in zip(symbols, symbols[1:], symbols[2:])))
+            assert scores[read] == pytest.approx(max(scores.values()))
+
+
 def test_toxicity_edge_cases(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in toxicity.toxicity(odd, none).collect()} == {0.0}

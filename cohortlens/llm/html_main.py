@@ -38,6 +38,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -46,7 +47,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import small, stored
+from cohortlens.llm.common import portions, small, stored
 from cohortlens.llm.ngram_join import mixed64
 
 #: Tokens of a substring that counts as long.
@@ -149,17 +150,23 @@ HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
 
 
 def page_blocks(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, host and the blocks (kind, text) of every page."""
+    """page_id, url, host, kinds (a letter a block: m, o or s), text (a line a block) and content (a hash of what isn't skipped) of every page."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [[{"kind": k, "text": t} for k, t in blocks_of(h)] for h in batch["_html"]]
-            yield batch[["page_id", "url", "host"]].assign(blocks=found)
+        for batch in portions(batches):
+            found = [blocks_of(h) for h in batch["text"]]
+            said = ["\n".join(k[0] + t for k, t in blocks if k != "skipped") for blocks in found]
+            content = np.array([zlib.crc32(x.encode()) for x in said], np.uint32).view(np.int32)
+            yield batch[["page_id", "url", "host"]].assign(kinds=["".join(k[0] for k, _ in blocks) for blocks in found], text=["\n".join(t for _, t in blocks) for blocks in found], content=content)
 
     kind = pages.schema[id_col].dataType.simpleString()
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), HOST, 1)), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
-    return rows.mapInPandas(run, f"page_id {kind}, url string, host string, blocks array<struct<kind:string,text:string>>")
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("text"))
+    return rows.mapInPandas(run, f"page_id {kind}, url string, host string, kinds string, text string, content int")
+
+
+def _tokens(text: str) -> list[str]:
+    return text.replace("\n", " ").split(" ") if text else []
 
 
 def _gram(long: int) -> int:
@@ -182,7 +189,7 @@ def anchors(tokens: list[str], hashes: np.ndarray, long: int) -> tuple[np.ndarra
 
 def _streams(batch: pd.DataFrame, long: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
     """Tokens, places and keys (of host and anchor) of each page's stream."""
-    every = [[t for b in blocks for t in b["text"].split(" ")] for blocks in batch["blocks"]]
+    every = [_tokens(t) for t in batch["text"]]
     flat = np.empty(sum(map(len, every)), dtype=object)
     flat[:] = [t for tokens in every for t in tokens]
     hashes = pd.util.hash_array(flat, categorize=False).astype(np.uint64) if len(flat) else np.zeros(0, np.uint64)
@@ -198,10 +205,11 @@ def shared_anchors(parsed: DataFrame, long: int = LONG) -> DataFrame:
     """Keys of the anchors that pages of different content of a host share, if undecided blocks are on one of the pages."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"content": batch["content"], "undecided": batch["undecided"], "keys": [k for _, _, k in _streams(batch, long)]})
+        for batch in portions(batches):
+            yield batch[["content", "undecided"]].assign(keys=[k for _, _, k in _streams(batch, long)])
 
-    keys = parsed.select("host", "content", "undecided", "blocks").mapInPandas(run, "content int, undecided boolean, keys array<long>")
+    undecided = F.contains("kinds", F.lit("o")).alias("undecided")
+    keys = parsed.select("host", "content", undecided, "text").mapInPandas(run, "content int, undecided boolean, keys array<long>")
     ends = keys.select("content", "undecided", F.explode("keys").alias("key")).groupBy("key").agg(F.min("content").alias("lo"), F.max("content").alias("hi"), F.max("undecided").alias("any"))
     return ends.where("lo <> hi and any").select("key")
 
@@ -210,20 +218,20 @@ def suffixes(parsed: DataFrame, shared: DataFrame, long: int = LONG) -> DataFram
     """host, content, _row, start, inside and prefix of every suffix whose first ``long`` tokens hold one of the ``shared`` anchors."""
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in portions(batches):
             found = [(p, k) for _, p, k in _streams(batch, long)]
             yield pd.DataFrame({"_row": batch["_row"], "places": [p for p, _ in found], "keys": [k for _, k in found]})
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         back = long - _gram(long)
-        for batch in batches:
-            for host, content, row, blocks, places in batch[["host", "content", "_row", "blocks", "_places"]].itertuples(index=False, name=None):
-                tokens = [t for b in blocks for t in b["text"].split(" ")]
-                inside = np.cumsum([0, *(b["kind"] == "main" for b in blocks for _ in range(b["text"].count(" ") + 1))])
+        for batch in portions(batches):
+            for host, content, row, kinds, text, places in batch[["host", "content", "_row", "kinds", "text", "_places"]].itertuples(index=False, name=None):
+                tokens = _tokens(text)
+                inside = np.cumsum([0, *(k == "m" for k, line in zip(kinds, text.split("\n")) for _ in range(line.count(" ") + 1))])
                 starts = sorted({s for p in places for s in range(max(0, p - back), min(p, len(tokens) - long) + 1)})
                 yield pd.DataFrame({"host": host, "content": content, "_row": row, "start": starts, "inside": [bool(2 * (inside[s + long] - inside[s]) > long) for s in starts], "prefix": [" ".join(tokens[s : s + long]) for s in starts]})
 
-    at = parsed.select("host", "_row", "blocks").mapInPandas(placed, "_row long, places array<int>, keys array<long>")
+    at = parsed.select("host", "_row", "text").mapInPandas(placed, "_row long, places array<int>, keys array<long>")
     at = at.select("_row", F.explode(F.arrays_zip("places", "keys")).alias("a")).select("_row", F.col("a.places").alias("place"), F.col("a.keys").alias("key"))
     here = stored(at.join(small(shared, 12), "key", "left_semi").groupBy("_row").agg(F.collect_set("place").alias("_places")), "html-places")
     return parsed.join(small(here, 200), "_row").mapInPandas(cut, "host string, content int, _row long, start int, inside boolean, prefix string")
@@ -252,18 +260,15 @@ def _kept(blocks: list[tuple[str, list[str]]], starts: list[int], long: int) ->
     out, at = [], 0
     for kind, tokens in blocks:
         gone = covered if all(covered[at : at + len(tokens)]) else inside
-        here = gone[at : at + len(tokens)] if kind == "other" else bytes(len(tokens))
-        out.append("" if kind == "skipped" else " ".join(t for t, c in zip(tokens, here) if not c))
+        here = gone[at : at + len(tokens)] if kind == "o" else bytes(len(tokens))
+        out.append("" if kind == "s" else " ".join(t for t, c in zip(tokens, here) if not c))
         at += len(tokens)
     return out
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", long: int = LONG) -> DataFrame:
     """page_id, url, text, n_chars and n_boiler_tokens (undecided tokens removed since they repeat on the host)."""
-    content = F.hash(F.filter("blocks", lambda b: b["kind"] != "skipped"))
-    undecided = F.exists("blocks", lambda b: b["kind"] == "other")
-    added = {"_row": F.monotonically_increasing_id(), "content": content, "undecided": undecided}
-    parsed = stored(page_blocks(pages, id_col, url_col, html_col).withColumns(added), "html-blocks", compression="zstd")
+    parsed = stored(page_blocks(pages, id_col, url_col, html_col).withColumn("_row", F.monotonically_increasing_id()), "html-blocks", compression="zstd")
     shared = stored(shared_anchors(parsed, long), "html-anchors")
     found = stored(suffixes(parsed, shared, long), "html-suffixes")
     repeated = stored(boilerplate(found), "html-repeated")
@@ -271,16 +276,16 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     hits = stored(hits, "html-hits")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in portions(batches):
             texts, removed = [], []
-            for blocks, hits in zip(batch["blocks"], batch["_hits"]):
-                streams = [(b["kind"], b["text"].split(" ")) for b in blocks]
-                kept = _kept(streams, hits if hits is not None else [], long)
+            for kinds, text, hits in zip(batch["kinds"], batch["text"], batch["_hits"]):
+                blocks = [(k, line.split(" ")) for k, line in zip(kinds, text.split("\n"))]
+                kept = _kept(blocks, hits if hits is not None else [], long)
                 texts.append("\n".join(t for t in kept if t))
-                removed.append(sum(len(s) - (t.count(" ") + 1 if t else 0) for (k, s), t in zip(streams, kept) if k == "other"))
+                removed.append(sum(len(b) - (t.count(" ") + 1 if t else 0) for (k, b), t in zip(blocks, kept) if k == "o"))
             yield batch[["page_id", "url"]].assign(text=texts, n_boiler_tokens=removed)
 
     kind = parsed.schema["page_id"].dataType.simpleString()
-    rows = parsed.join(small(hits, 200), "_row", "left").select("page_id", "url", "blocks", "_hits")
+    rows = parsed.join(small(hits, 200), "_row", "left").select("page_id", "url", "kinds", "text", "_hits")
     done = rows.mapInPandas(run, f"page_id {kind}, url string, text string, n_boiler_tokens long")
     return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_boiler_tokens")

@@ -78,24 +78,44 @@ def dealt_evenly(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
 
 
+#: A group with more than one row in so many counts as hot, so there are fewer hot groups than that.
+HOT_SHARE = 1000
+HOT_ROWS = 1000
+
+
+def joined_to_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """``rows`` with the columns of their group (a stored row for each, ``size`` its rows of ``total``); keys may not be null.
+
+    Hot groups, fewer than ``HOT_SHARE``, are sent to all tasks, so none of
+    them comes together in one; the others are joined as the optimiser likes.
+    """
+    least = max(HOT_ROWS, total // HOT_SHARE)
+    hot = groups.where(F.col(size) > least)
+    if not hot.limit(1).count():
+        return rows.join(groups, keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.where(F.col(size) <= least), keys)
+    return rest.unionByName(rows.join(F.broadcast(hot), keys))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge table: one row (``node``, ``root``) per node that has an edge.
 
     ``root`` is the smallest node of the component. Alternates large-star and
     small-star steps, each a grouped minimum (combined on the map side) and a
-    join; every round is written to the shared folder, so neither the lineage
-    nor any task grows with the component. Loops and repeated edges do no harm.
+    join that splits hubs; every round is written to the shared folder, so
+    neither the lineage nor any task grows with the component. Loops and
+    repeated edges do no harm.
     """
     left, right = F.col("u"), F.col("v")
     now = stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where(left != right).select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).distinct(), "edges")
     before = None
     while True:
         both = now.unionByName(now.select(right.alias("u"), left.alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(lowest, "u").where(right > left).select(right.alias("u"), F.col("m").alias("v")).where(left != right).distinct()
+        lowest = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "large-lowest")
+        large = joined_to_groups(both, lowest, ["u"], "n", 2 * now.count()).where(right > left).select(right.alias("u"), F.col("m").alias("v")).where(left != right).distinct()
         large = stored(large, "large-star")
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small_star = large.join(lowest, "u").select(F.when(right != F.col("m"), right).otherwise(left).alias("u"), F.col("m").alias("v"))
+        lowest = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "small-lowest")
+        small_star = joined_to_groups(large, lowest, ["u"], "n", large.count()).select(F.when(right != F.col("m"), right).otherwise(left).alias("u"), F.col("m").alias("v"))
         now = stored(small_star.distinct(), "small-star")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))).first()
         if tuple(seen) == before:

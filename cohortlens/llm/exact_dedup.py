@@ -9,7 +9,9 @@ split by their SHA-256 and compared again.
 
 Edge cases: null text counts as empty; texts of white space only become one
 space; a null id is no id: among equal texts the smallest non-null id stays,
-and if none has an id, one of them; of entirely equal rows one is kept.
+and if none has an id, one of them; of entirely equal rows one is kept; a very
+long text is compared whole; an empty table gives an empty result; columns of
+whatever name are returned as they came.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import SPACE, small, stored
+from cohortlens.llm.common import SPACE, joined_to_groups, small, stored, whole_row
 
 
 def normalised(text: Column) -> Column:
@@ -61,8 +63,8 @@ def exact_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
         split = F.coalesce(F.col("_split"), F.lit(False))
     rows = rows.withColumn("_sub", F.when(split, F.col("text_sha256")).otherwise(F.lit("")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_rid"))
-    groups = rows.groupBy("_h", "_sub").agg(first.alias("_first"), F.count("*").alias("group_size"))
-    joined = rows.join(groups, ["_h", "_sub"])
+    groups = stored(rows.groupBy("_h", "_sub").agg(first.alias("_first"), F.count("*").alias("group_size")), "dedup-groups")
+    joined = joined_to_groups(rows, groups, ["_h", "_sub"], "group_size", rows.count())
     return joined.select("doc_id", F.col("_first.doc_id").alias("keep_id"), "group_size", (F.col("_rid") == F.col("_first._rid")).alias("kept"), "text_sha256")
 
 
@@ -74,12 +76,12 @@ def deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     groups = exact_groups(documents, id_col, text_col)
     dropped = stored(groups.where("not kept").select("doc_id", "text_sha256", (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("_twin")).distinct(), "dedup-dropped")
-    keyed = documents.withColumns({"_id": F.col(id_col), "_sha": F.sha2(F.encode(normalised(F.col(text_col)), "UTF-8"), 256)})
+    keyed = documents.select(whole_row(documents), F.col(id_col).alias("_id"), F.sha2(F.encode(normalised(F.col(text_col)), "UTF-8"), 256).alias("_sha"))
     gone = small(dropped.where("not _twin").select(F.col("doc_id").alias("_did"), F.col("text_sha256").alias("_dsha")), 100)
-    kept = keyed.join(gone, F.col("_id").eqNullSafe(F.col("_did")) & (F.col("_sha") == F.col("_dsha")), "left_anti")
+    match = F.col("_id").eqNullSafe(F.col("_did")) & (F.col("_sha") == F.col("_dsha"))
+    kept = keyed.join(gone, match, "left_anti")
     twins = dropped.where("_twin").select(F.col("doc_id").alias("_did"), F.col("text_sha256").alias("_dsha"))
     if twins.limit(1).count():  # the same document delivered more than once
-        match = F.col("_id").eqNullSafe(F.col("_did")) & (F.col("_sha") == F.col("_dsha"))
         once = kept.join(small(twins, 100), match, "left_semi").dropDuplicates(["_id", "_sha"])
         kept = kept.join(small(twins, 100), match, "left_anti").unionByName(once)
-    return kept.drop("_id", "_sha")
+    return kept.select("_row.*")

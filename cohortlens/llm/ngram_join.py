@@ -4,7 +4,7 @@ A document is the set of its word n-grams, each a 64-bit hash; the order of the
 hashes is the global n-gram order. Pairs are found and counted in fragments of
 that order:
 
-1. Documents with equal sets form one node; a node is known by a hash of its set.
+1. Documents with equal sets form one node; a node is known by a 128-bit hash of its set.
 2. Two sets that link differ in at most ``min/ratio`` n-grams, so of a set's
    non-empty fragments all but as many hold the same n-grams in both. Each node
    hands in the segments of all its non-empty fragments, for each band of sizes
@@ -25,8 +25,9 @@ that order:
 
 Edge cases: null and empty texts have no n-grams, link with nothing and form
 their own class; a text of fewer words than n is one n-gram; a null id never
-names a class unless all its members lack one; repeated rows are copies;
-an empty table gives an empty result.
+names a class unless all its members lack one; repeated rows are copies; a very
+long text is one row of n-grams, hashed in portions; an empty table gives an
+empty result; other columns, of whatever name, take no part.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import components, portions, small, stored
+from cohortlens.llm.common import HOT_ROWS, components, joined_to_groups, portions, small, stored, whole_row
 
 #: Nodes and n-grams that a block of a candidate group holds at most, about.
 BLOCK_NODES = 1024
@@ -79,12 +80,12 @@ def gram_sets(texts: list[str], n: int) -> list[np.ndarray]:
     return out
 
 
-def set_key(grams: np.ndarray) -> int:
-    """64-bit name of a set, from two sums over its members."""
+def set_key(grams: np.ndarray) -> bytes:
+    """128-bit name of a set, from two sums over its members."""
     with np.errstate(over="ignore"):
         a = mixed64(grams + _GOLD).sum(dtype=np.uint64)
-        b = mixed64(grams ^ _MIX1).sum(dtype=np.uint64)
-        return int(mixed64(np.array([a ^ mixed64(np.array([b + np.uint64(len(grams))]))[0]]))[0].view(np.int64))
+        b = mixed64(grams ^ _MIX1).sum(dtype=np.uint64) + np.uint64(len(grams))
+    return mixed64(np.array([a, b])).tobytes()
 
 
 def most_different(size: int, percent: int) -> int:
@@ -173,7 +174,7 @@ def forest(sets: list[np.ndarray], other: list[np.ndarray] | None, percent: int,
 
 def _fingerprints(n: int, percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in portions(batches):
             sets = gram_sets(batch["text"].tolist(), n)
             nodes = [set_key(s) if len(s) else None for s in sets]
@@ -185,7 +186,7 @@ def _fingerprints(n: int, percent: int):
                     seen.add(node)
             if len(seen) > 200_000:
                 seen.clear()
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": [len(s) for s in sets], "node": pd.array(nodes, dtype="Int64"), "segments": handed})
+            yield batch[["doc_id", "said"]].assign(n_shingles=[len(s) for s in sets], node=nodes, segments=handed)
 
     return run
 
@@ -194,7 +195,7 @@ def _grams(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in portions(batches):
             sets = gram_sets(batch["text"].tolist(), n)
-            yield pd.DataFrame({"node": pd.array([set_key(s) if len(s) else None for s in sets], dtype="Int64"), "grams": [s.view(np.int64) for s in sets]})
+            yield pd.DataFrame({"node": [set_key(s) if len(s) else None for s in sets], "grams": [s.view(np.int64) for s in sets]})
 
     return run
 
@@ -210,7 +211,7 @@ def _counted(percent: int):
         if not own or i != j and not others:
             return
         label, links = forest([once[x][2] for x in own], [once[x][2] for x in others] if i != j else None, percent, band)
-        names, copies = np.array(own + others), np.array([once[x][1] for x in own + others], np.int64)
+        names, copies = np.array(own + others, dtype=object), np.array([once[x][1] for x in own + others], np.int64)
         count = links @ copies
         if i != j:
             count = np.r_[count, links[:, len(own) :].T @ copies[: len(own)]]
@@ -236,14 +237,31 @@ def _counted(percent: int):
 SEGMENTS = "array<struct<band:int,need:int,hashes:array<long>>>"
 
 
+#: Buckets in which segments are counted to find the hot ones, and the share of all rows from which a bucket is hot.
+BUCKETS, HOT_BUCKETS = 1 << 16, 1 << 13
+
+
 def _shared(handed: DataFrame) -> DataFrame:
     """Of rows (at, segment) those whose segment comes from several places, with the smallest such place (``tied``).
 
-    One shuffle. A hot segment is one row per place, and places have hundreds of
-    segments each, so it stays a small part of all rows; its sort spills.
+    One shuffle by segment. Segments in buckets with a large share of all rows
+    are aggregated first, with map-side combining, and joined back, so no hot
+    segment comes together in one task.
     """
+    bucket = F.pmod("segment", F.lit(BUCKETS)).cast("int")
+    counted = stored(handed.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")), "jaccard-buckets")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    hot = counted.where(F.col("n") > max(HOT_ROWS, total // HOT_BUCKETS)).select("bucket")  # fewer than HOT_BUCKETS rows
     same = Window.partitionBy("segment")
-    return handed.select("at", "segment", F.min("at").over(same).alias("tied"), F.max("at").over(same).alias("_hi")).where("tied <> _hi").drop("_hi")
+    ends = [F.min("at").over(same).alias("tied"), F.max("at").over(same).alias("_hi")]
+    rest = handed.select("at", "segment", bucket.alias("bucket"))
+    if not hot.limit(1).count():
+        return rest.select("at", "segment", *ends).where("tied <> _hi").drop("_hi")
+    cold = rest.join(F.broadcast(hot), "bucket", "left_anti").select("at", "segment", *ends).where("tied <> _hi").drop("_hi")
+    warm = rest.join(F.broadcast(hot), "bucket", "left_semi")
+    several = warm.groupBy("segment").agg(F.min("at").alias("tied"), F.max("at").alias("_hi"), F.count("*").alias("n")).where("tied <> _hi")
+    several = stored(several.select("segment", "tied", "n"), "jaccard-hot")
+    return cold.unionByName(joined_to_groups(warm, several, ["segment"], "n", total).select("at", "segment", "tied"))
 
 
 def _alive(handed: DataFrame, places: DataFrame, name: str) -> DataFrame:
@@ -254,17 +272,20 @@ def _alive(handed: DataFrame, places: DataFrame, name: str) -> DataFrame:
     return found.join(small(enough, 12), "at", "left_semi")
 
 
-def jaccard_classes(documents: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id and n_links (documents that it links with).
+def _classes(documents: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per document: doc_id, said (a hash of its text), n_shingles, n_links and first.
 
-    Documents link when 100 * intersection >= percent * union of their sets of
-    word n-grams; ``component_id`` is the smallest id of a class.
+    ``first`` (no_id, id, said) stands for the class: its smallest id, and of
+    texts with that id the one of smallest hash; it is null for a document
+    without n-grams.
     """
     spark = documents.sparkSession
     kind = documents.schema[id_col].dataType.simpleString()
-    plain = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    marks = stored(plain.mapInPandas(_fingerprints(n, percent), f"doc_id {kind}, n_shingles long, node long, segments {SEGMENTS}"), "jaccard-marks")
-    nodes = marks.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    plain = documents.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("said"), text.alias("text"))
+    marks = stored(plain.mapInPandas(_fingerprints(n, percent), f"doc_id {kind}, said long, n_shingles long, node binary, segments {SEGMENTS}"), "jaccard-marks")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "said")).alias("first")
+    nodes = marks.where("node is not null").groupBy("node").agg(first, F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"))
     nodes = stored(nodes, "jaccard-nodes")
 
     # a node has a place in each of its bands
@@ -278,38 +299,59 @@ def jaccard_classes(documents: DataFrame, n: int = 5, percent: int = 80, id_col:
     members = stored(groups.join(places, "at").join(nodes, "node"), "jaccard-members")
     sizes = members.groupBy("root").agg(F.count("*").alias("k"), F.sum("n_shingles").alias("g"))
     blocks = F.greatest(F.ceil(F.col("k") / BLOCK_NODES), F.ceil(F.col("g") / BLOCK_GRAMS)).cast("int")
-    placed = members.join(small(stored(sizes.select("root", blocks.alias("blocks")), "jaccard-blocks"), 24), "root")
+    placed = joined_to_groups(members, stored(sizes.select("root", "k", blocks.alias("blocks")), "jaccard-blocks"), ["root"], "k", members.count())
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = stored(placed.select("root", "band", "node", "first", "copies", "blocks", "block"), "jaccard-placed")
 
-    wanted = small(placed.select("first").distinct(), 24)
-    texts = plain.join(wanted, plain["doc_id"].eqNullSafe(wanted["first"]), "left_semi")
-    grams = texts.mapInPandas(_grams(n), "node long, grams array<long>")
-    with_grams = grams.join(small(placed, 80), "node")
+    wanted = small(placed.select("first.id", F.col("first.said").alias("_said")).distinct(), 32)
+    texts = plain.join(wanted, plain["doc_id"].eqNullSafe(wanted["id"]) & (plain["said"] == wanted["_said"]), "left_semi")
+    grams = texts.mapInPandas(_grams(n), "node binary, grams array<long>")
+    with_grams = grams.join(small(placed, 100), "node")
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("i"), F.greatest(F.col("block"), o).alias("j"))))
     spread = with_grams.select("root", "band", pair.alias("p"), "node", "block", "copies", "grams").select("root", "band", "p.i", "p.j", "node", "block", "copies", "grams")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_rows = spread.repartition(parts, "root", "band", "i", "j").sortWithinPartitions("root", "band", "i", "j")
-    found = stored(sorted_rows.mapInPandas(_counted(percent), "node long, tied long, links long"), "jaccard-links")
+    found = stored(sorted_rows.mapInPandas(_counted(percent), "node binary, tied binary, links long"), "jaccard-links")
 
     linked = components(found, "node", "tied").withColumnRenamed("root", "class")
     classes = linked.join(nodes.select("node", "first"), "node")
-    named = stored(classes.groupBy("class").agg(F.min("first").alias("component_id")), "jaccard-classes")
+    named = stored(classes.groupBy("class").agg(F.min("first").alias("named"), F.count("*").alias("k")), "jaccard-classes")
+    classes = joined_to_groups(linked, named, ["class"], "k", linked.count()).select("node", "named")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    of_node = nodes.join(linked, "node", "left").join(small(named, 24), "class", "left").join(counts, "node", "left")
-    of_node = of_node.select("node", F.coalesce("component_id", "first").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = marks.select("doc_id", "n_shingles", "node").join(small(stored(of_node, "jaccard-result"), 32), "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    of_node = nodes.join(classes, "node", "left").join(counts, "node", "left")
+    of_node = of_node.select("node", F.coalesce("named", "first").alias("first"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
+    of_node = stored(of_node, "jaccard-result")
+    named_rows = marks.where("node is not null").select("doc_id", "said", "n_shingles", "node")
+    out = joined_to_groups(named_rows, of_node, ["node"], "copies", named_rows.count()).select("doc_id", "said", "n_shingles", "n_links", "first")
+    alone = marks.where("node is null").select("doc_id", "said", "n_shingles", F.lit(0).cast("long").alias("n_links"))
+    return out.unionByName(alone, allowMissingColumns=True)
+
+
+def jaccard_classes(documents: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id and n_links (documents that it links with).
+
+    Documents link when 100 * intersection >= percent * union of their sets of
+    word n-grams; ``component_id`` is the smallest id of a class.
+    """
+    named = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.id"))
+    return _classes(documents, n, percent, id_col, text_col).select("doc_id", "n_shingles", named.alias("component_id"), "n_links")
 
 
 def representatives(documents: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``documents`` that stay: of each class the one with the smallest id (one of them if rows repeat it)."""
-    classes = jaccard_classes(documents, n, percent, id_col, text_col)
-    gone = stored(classes.where("not doc_id <=> component_id").select(F.col("doc_id").alias("_gone")), "jaccard-gone")
-    left = documents.join(small(gone, 16), documents[id_col] == F.col("_gone"), "left_anti")
-    repeated = stored(left.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_again")), "jaccard-repeated")
-    if not repeated.limit(1).count():
-        return left
-    again = left[id_col].eqNullSafe(F.col("_again"))
-    once = left.join(small(repeated, 16), again, "left_semi").dropDuplicates([id_col, text_col])
-    return left.join(small(repeated, 16), again, "left_anti").unionByName(once)
+    """The rows of ``documents`` that stay: of each class the one with the smallest id.
+
+    Rows are known by id and text; of rows equal in both, one of those that
+    stand for a class stays. Documents without words all stay.
+    """
+    classes = _classes(documents, n, percent, id_col, text_col).where("first is not null")
+    stands = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("said") == F.col("first.said"))
+    known = classes.groupBy(F.col("doc_id").alias("_did"), F.col("said").alias("_dsaid")).agg(F.max(stands).alias("_stands"), F.count("*").alias("_n"))
+    known = stored(known.where("not _stands or _n > 1"), "jaccard-known")
+    keyed = documents.select(whole_row(documents), F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_said"))
+    same = F.col("_id").eqNullSafe(F.col("_did")) & (F.col("_said") == F.col("_dsaid"))
+    left = keyed.join(small(known.select("_did", "_dsaid"), 24), same, "left_anti").select("_row")
+    again = known.where("_stands")
+    if again.limit(1).count():  # rows delivered more than once
+        once = keyed.join(small(again, 24), same, "left_semi").dropDuplicates(["_id", "_said"])
+        left = left.unionByName(once.select("_row"))
+    return left.select("_row.*")

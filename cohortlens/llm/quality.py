@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import SPACE, WORD
+from cohortlens.llm.common import SPACE, WORD, whole_row
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
@@ -94,10 +94,7 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def measured(documents: DataFrame, text_col: str = "text", most_lost: int = MOST_LOST) -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_chars, kept and cleaned (the text without failing lines)."""
-    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "kept", "cleaned"]
-    rest = [F.col(c) for c in documents.columns if c not in added]
+def _measures(documents: DataFrame, rest: list[Column], text_col: str, most_lost: int) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     full = F.filter(_lines(text), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     lost = F.aggregate(_lines(text), F.lit(0), lambda n, x: n + F.when(fails(x), F.length(x)).otherwise(F.lit(0)))
@@ -105,15 +102,25 @@ def measured(documents: DataFrame, text_col: str = "text", most_lost: int = MOST
     first = documents.select(
         *rest,
         own.alias("_own"),
+        F.col(text_col).alias("_text"),
         F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
         _count(text, SYMBOLS).cast("long").alias("n_symbols"),
         bound(full, lambda ls: F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
         lost.cast("long").alias("lost_chars"),
     )
-    n, r = F.col("_own.n"), F.col("_own.r")
+    n, r, said = F.col("_own.n"), F.col("_own.r"), F.coalesce(F.col("_text"), F.lit(""))
     base = (n < 10) | (100 * r > 20 * n)
-    done = first.select("*", n.alias("n_words"), r.alias("n_repeat_words"), base.alias("base_failed"), (~base & (100 * F.col("lost_chars") <= most_lost * F.length(text))).alias("kept")).drop("_own")
-    return done.withColumn("cleaned", F.when(F.col("lost_chars") == 0, F.col(text_col)).otherwise(cleaned(text)))
+    kept = ~base & (100 * F.col("lost_chars") <= most_lost * F.length(said))
+    clean = F.when(F.col("lost_chars") == 0, F.col("_text")).otherwise(cleaned(said))
+    return first.select("*", n.alias("n_words"), r.alias("n_repeat_words"), base.alias("base_failed"), kept.alias("kept"), clean.alias("cleaned")).drop("_own", "_text")
+
+
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "kept", "cleaned")
+
+
+def measured(documents: DataFrame, text_col: str = "text", most_lost: int = MOST_LOST) -> DataFrame:
+    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_chars, kept and cleaned (the text without failing lines)."""
+    return _measures(documents, [F.col(f"`{c}`") for c in documents.columns if c not in ADDED], text_col, most_lost)
 
 
 def cleaned(text: Column) -> Column:
@@ -121,10 +128,10 @@ def cleaned(text: Column) -> Column:
     return F.array_join(F.filter(_lines(text), lambda x: ~fails(x)), "\n")
 
 
-def kept_documents(documents: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+def kept_documents(documents: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", most_lost: int = MOST_LOST) -> DataFrame:
     """The documents that pass, without their failing lines; the columns of ``documents``, a count of characters brought up to date."""
-    done = measured(documents, text_col).where("kept")
+    done = _measures(documents, [whole_row(documents)], text_col, most_lost).where("kept")
     new = {text_col: F.col("cleaned")}
     if chars_col in documents.columns:
-        new[chars_col] = F.length(F.col("cleaned")).cast(documents.schema[chars_col].dataType)
-    return done.select(*[new[c].alias(c) if c in new else F.col(c) for c in documents.columns])
+        new[chars_col] = F.length("cleaned").cast(documents.schema[chars_col].dataType)
+    return done.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in documents.columns])

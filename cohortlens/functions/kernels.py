@@ -198,28 +198,68 @@ def nmf(x: np.ndarray, k: int, seed: int, max_iter: int = 500, tol: float = 1e-4
     return w, ht.T, done
 
 
-def adam_network(x: np.ndarray, y: np.ndarray, hidden: tuple[int, ...], max_iter: int, seed: int, alpha: float = 1e-4, tanh: bool = False, rate: float = 1e-2) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Weights and offsets of a small regression network, full batches, seeded."""
+def network_start(sizes: list[int], seed: int) -> np.ndarray:
+    """Seeded first weights of a network, all layers in one array."""
     rng = np.random.default_rng(seed)
-    sizes = [x.shape[1], *hidden, y.shape[1]]
-    layers = [[rng.uniform(-1, 1, (a, b)) * np.sqrt(6 / (a + b)), np.zeros(b)] for a, b in zip(sizes, sizes[1:])]
-    moment = [[np.zeros_like(p) for p in layer] for layer in layers]
-    second = [[np.zeros_like(p) for p in layer] for layer in layers]
-    for t in range(1, max_iter + 1):
-        outs = [x]
-        for i, (w, b) in enumerate(layers):
-            z = outs[-1] @ w + b
-            outs.append(z if i == len(layers) - 1 else np.tanh(z) if tanh else np.maximum(z, 0))
-        error = (outs[-1] - y) / len(x)
-        for i in range(len(layers) - 1, -1, -1):
-            grads = [outs[i].T @ error + alpha * layers[i][0] / len(x), error.sum(0)]
-            if i:
-                error = (error @ layers[i][0].T) * (1 - outs[i] ** 2 if tanh else outs[i] > 0)
-            for p in (0, 1):
-                moment[i][p] = 0.9 * moment[i][p] + 0.1 * grads[p]
-                second[i][p] = 0.999 * second[i][p] + 0.001 * grads[p] ** 2
-                layers[i][p] = layers[i][p] - rate * (moment[i][p] / (1 - 0.9**t)) / (np.sqrt(second[i][p] / (1 - 0.999**t)) + 1e-8)
-    return [(w, b) for w, b in layers]
+    return np.concatenate([np.r_[(rng.uniform(-1, 1, a * b) * np.sqrt(6 / (a + b))), np.zeros(b)] for a, b in zip(sizes, sizes[1:])])
+
+
+def network_layers(flat: np.ndarray, sizes: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Weights and offsets of each layer."""
+    out, at = [], 0
+    for a, b in zip(sizes, sizes[1:]):
+        out.append((flat[at : at + a * b].reshape(a, b), flat[at + a * b : at + a * b + b]))
+        at += a * b + b
+    return out
+
+
+def network_gradient(x: np.ndarray, y: np.ndarray, flat: np.ndarray, sizes: list[int], tanh: bool = False) -> np.ndarray:
+    """Half the squared error summed over the rows, and its gradient by the weights, in one array."""
+    layers = network_layers(flat, sizes)
+    outs = [x]
+    for i, (w, b) in enumerate(layers):
+        z = outs[-1] @ w + b
+        outs.append(z if i == len(layers) - 1 else np.tanh(z) if tanh else np.maximum(z, 0))
+    error = outs[-1] - y
+    loss, parts = float((error * error).sum()) / 2, []
+    for i in range(len(layers) - 1, -1, -1):
+        parts.append(np.r_[(outs[i].T @ error).ravel(), error.sum(0)])
+        if i:
+            error = (error @ layers[i][0].T) * (1 - outs[i] ** 2 if tanh else outs[i] > 0)
+    return np.concatenate([[loss], *reversed(parts)])
+
+
+def limited_memory_descent(evaluate, start: np.ndarray, max_iter: int, tol: float = 1e-5, memory: int = 10) -> np.ndarray:
+    """Minimum of a smooth function near ``start``; ``evaluate`` gives value and gradient. Curvature comes from the last steps."""
+    at, (value, slope) = start, evaluate(start)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(max_iter):
+        if np.abs(slope).max() <= tol:
+            break
+        way, back = slope.copy(), []
+        for s, y in reversed(steps):
+            back.append(s @ way / (s @ y))
+            way -= back[-1] * y
+        if steps:
+            way *= steps[-1][0] @ steps[-1][1] / (steps[-1][1] @ steps[-1][1])
+        for (s, y), b in zip(steps, reversed(back)):
+            way += (b - y @ way / (s @ y)) * s
+        size, drop = 1.0 if steps else min(1.0, 1 / np.abs(slope).sum()), way @ slope
+        while True:
+            new = at - size * way
+            new_value, new_slope = evaluate(new)
+            if new_value <= value - 1e-4 * size * drop or size < 1e-8:
+                break
+            size /= 2
+        if size < 1e-8:
+            break
+        if (new - at) @ (new_slope - slope) > 1e-12:
+            steps = [*steps, (new - at, new_slope - slope)][-memory:]
+        small = value - new_value <= 1e-7 * abs(value)
+        at, value, slope = new, new_value, new_slope
+        if small:
+            break
+    return at
 
 
 def network_output(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], tanh: bool = False) -> np.ndarray:

@@ -2,39 +2,69 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.errors import MetricsError
+from cohortlens.operators import scoring
 from cohortlens.operators.prep import ON
 from cohortlens.operators.recurrence import ranked
 from cohortlens.schema import Cohort
+from cohortlens.storage import stored
 
 
 def reconstruction(cohort: Cohort, scores: DataFrame, vocabulary: DataFrame, split: DataFrame) -> DataFrame:
     """Mean squared error and variance-weighted R2 of values against scores times weights, by partition.
 
     Zeros count: squares of the fit are summed by the programs' Gram matrix,
-    so no cells x genes table is made.
+    so no cells x genes table is made. A cell's scores are one row; values are
+    read once by cell and once by gene.
     """
-    a, b = vocabulary.alias("a"), vocabulary.alias("b")
-    gram = a.join(b, F.col("a.gene_id") == F.col("b.gene_id")).groupBy(F.col("a.program_idx").alias("i"), F.col("b.program_idx").alias("j")).agg(F.sum(F.col("a.weight") * F.col("b.weight")).alias("g"))
-    part = cohort.cells.join(F.broadcast(split), "sample_id").select(*ON, "partition")
-    own = cohort.expr.join(vocabulary.select("gene_id").distinct(), "gene_id", "left_semi")
-    n_genes = vocabulary.select("gene_id").distinct().count()
-    x, y = scores.alias("x"), scores.alias("y")
-    fit = x.join(y, (F.col("x.sample_id") == F.col("y.sample_id")) & (F.col("x.cell_id") == F.col("y.cell_id"))).join(F.broadcast(gram), (F.col("x.program_idx") == F.col("i")) & (F.col("y.program_idx") == F.col("j")))
-    fit = fit.groupBy(F.col("x.sample_id").alias("sample_id"), F.col("x.cell_id").alias("cell_id")).agg(F.sum(F.col("x.score") * F.col("y.score") * F.col("g")).alias("ff"))
-    cross = own.join(F.broadcast(vocabulary), "gene_id").join(scores, [*ON, "program_idx"]).groupBy(*ON).agg(F.sum(F.col("value") * F.col("weight") * F.col("score")).alias("xf"))
-    squares = own.groupBy(*ON).agg(F.sum(F.col("value") * F.col("value")).alias("xx"))
-    per_cell = part.join(fit, ON, "left").join(cross, ON, "left").join(squares, ON, "left").fillna(0.0, ["ff", "xf", "xx"])
-    sums = per_cell.groupBy("partition").agg(F.count("*").alias("n_cells"), F.sum(F.col("xx") - 2 * F.col("xf") + F.col("ff")).alias("sse"))
-    centred = own.join(part, ON).groupBy("partition", "gene_id").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
-    spread = centred.join(F.broadcast(sums.select("partition", "n_cells")), "partition").groupBy("partition").agg(F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n_cells")).alias("sst"))
+    programs, weights = scoring.basis(vocabulary)
+    k = range(len(programs))
+    weights = stored(weights)
+    g = weights.agg(F.count("*").alias("n"), *[F.sum(F.col(f"w{i}") * F.col(f"w{j}")).alias(f"g{i}_{j}") for i in k for j in k if i <= j]).first()
+    part = cohort.cells.join(split, "sample_id").select(*ON, "partition")
+    own = cohort.with_(cells=part, expr=cohort.expr.join(weights.select("gene_id"), "gene_id", "left_semi"))
+    _, wide = scoring.products(own, vocabulary, F.sum(F.col("value") * F.col("value")).alias("xx"))
+    score = [F.coalesce(F.max(F.when(F.col("program_idx") == p, F.col("score"))), F.lit(0.0)).alias(f"f{i}") for i, p in enumerate(programs)]
+    cells = wide.fillna(0.0, ["xx"]).join(scores.groupBy(*ON).agg(*score), ON, "left").fillna(0.0).join(part, ON)
+    cross = sum((F.col(f"s{i}") * F.col(f"f{i}") for i in k), F.lit(0.0))
+    fit = sum((F.col(f"f{i}") * F.col(f"f{j}") * F.lit(g[f"g{min(i, j)}_{max(i, j)}"]) for i in k for j in k), F.lit(0.0))
+    sums = stored(cells.groupBy("partition").agg(F.count("*").alias("n_cells"), F.sum(F.col("xx") - 2 * cross + fit).alias("sse")))
+    by_sample = own.expr.groupBy("sample_id", "gene_id").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
+    centred = by_sample.join(split, "sample_id").groupBy("partition", "gene_id").agg(F.sum("s").alias("s"), F.sum("q").alias("q"))
+    spread = centred.join(sums.select("partition", "n_cells"), "partition").groupBy("partition").agg(F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n_cells")).alias("sst"))
     joined = sums.join(spread, "partition", "left")
     r2 = F.when(F.col("sst") > 0, 1 - F.col("sse") / F.col("sst")).otherwise(F.lit(float("nan")))
-    return joined.select("partition", "n_cells", (F.col("sse") / (F.col("n_cells") * n_genes)).alias("mse"), r2.alias("r2"))
+    return joined.select("partition", "n_cells", (F.col("sse") / (F.col("n_cells") * g["n"])).alias("mse"), r2.alias("r2"))
+
+
+def model_reconstruction(rows: DataFrame, split: DataFrame, values: Callable[[pd.DataFrame], np.ndarray], model=None) -> DataFrame:
+    """The same for what a state model gives back of a cell's values (without a model: the values themselves).
+
+    A task sends one row per partition and dimension.
+    """
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for part, some in batch.groupby("partition"):
+                x = values(some)
+                rest = x - model.inverse(model.coordinates(x)) if model else np.zeros_like(x)
+                now = np.array([np.full(x.shape[1], len(x)), (rest * rest).sum(0), x.sum(0), (x * x).sum(0)])
+                found[part] = found[part] + now if part in found else now
+        for part, (n, sse, s, q) in found.items():
+            yield pd.DataFrame({"partition": part, "place": np.arange(len(n)), "n": n, "sse": sse, "s": s, "q": q})
+
+    each = rows.join(split, "sample_id").mapInPandas(sums, "partition string, place long, n double, sse double, s double, q double")
+    each = each.groupBy("partition", "place").agg(*[F.sum(c).alias(c) for c in ("n", "sse", "s", "q")])
+    whole = each.groupBy("partition").agg(F.max("n").cast("long").alias("n_cells"), (F.sum("sse") / F.sum("n")).alias("mse"), F.sum("sse").alias("_e"), F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("_t"))
+    return whole.select("partition", "n_cells", "mse", F.when(F.col("_t") > 0, 1 - F.col("_e") / F.col("_t")).otherwise(F.lit(float("nan"))).alias("r2"))
 
 
 def technical_associations(scores: DataFrame, covariates: DataFrame) -> DataFrame:
@@ -57,15 +87,32 @@ def bootstrap_estimate(values: DataFrame, value: str = "value") -> DataFrame:
     return sample_means(values, value).agg(F.avg("mean").alias("estimate"), F.count("*").alias("n_samples"))
 
 
+def bootstrap_table(values: DataFrame, keys: list[str], value: str = "value", n_bootstrap: int = 2000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
+    """Estimate and interval for each group of ``keys`` (a coordinate, a program) from resampling samples, not cells.
+
+    Only a mean per sample and group is resampled. Samples are taken in order
+    of their ids, with the same draws for every group.
+    """
+    if not 0 < confidence < 1 or n_bootstrap < 1:
+        raise MetricsError("a bootstrap needs resamples and a confidence between 0 and 1")
+    means = values.groupBy(*keys, "sample_id").agg(F.avg(value).alias("mean"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in means.schema if f.name in keys)
+
+    def resampled(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        mean = part.sort_values("sample_id")["mean"].to_numpy()
+        draws = np.random.default_rng(seed).integers(0, len(mean), (n_bootstrap, len(mean)))
+        low, high = np.quantile(mean[draws].mean(1), [(1 - confidence) / 2, (1 + confidence) / 2])
+        return pd.DataFrame([[*key, mean.mean(), low, high, len(mean)]], columns=[*keys, "estimate", "low", "high", "n_samples"])
+
+    return means.groupBy(*keys).applyInPandas(resampled, f"{kinds}, estimate double, low double, high double, n_samples long")
+
+
 def sample_bootstrap(values: DataFrame, value: str = "value", n_bootstrap: int = 2000, confidence: float = 0.95, seed: int = 0) -> dict[str, float]:
-    """Estimate and interval from resampling samples (not cells), in order of their ids."""
-    means = [r["mean"] for r in sample_means(values, value).orderBy("sample_id").collect()]
-    if not means or not 0 < confidence < 1:
-        raise MetricsError("a bootstrap needs samples and a confidence between 0 and 1")
-    means_array = np.array(means)
-    draws = np.random.default_rng(seed).integers(0, len(means), (n_bootstrap, len(means)))
-    low, high = np.quantile(means_array[draws].mean(1), [(1 - confidence) / 2, (1 + confidence) / 2])
-    return {"estimate": float(means_array.mean()), "low": float(low), "high": float(high), "n_samples": len(means)}
+    """The same for all rows as one group."""
+    found = bootstrap_table(values.withColumn("_all", F.lit(0)), ["_all"], value, n_bootstrap, confidence, seed).drop("_all").first()
+    if found is None:
+        raise MetricsError("a bootstrap needs samples")
+    return found.asDict()
 
 
 def quantiles(values: DataFrame, keys: list[str], value: str, at: list[float]) -> DataFrame:

@@ -19,7 +19,8 @@ def summary(cohort: Cohort) -> DataFrame:
     genes = cohort.genes.agg(F.count("*").alias("n_genes"), F.countDistinct("gene_id").alias("n_gene_ids"))
     bad = F.col("value").isNull() | F.isnan("value") | (F.abs("value") == float("inf"))
     values = cohort.expr.agg(F.count("*").alias("n_values"), F.count_if(bad).alias("n_not_finite"), F.count_if(F.col("value") < 0).alias("n_negative"))
-    return cells.join(genes).join(values)  # three single rows
+    rows = cells.unionByName(genes, allowMissingColumns=True).unionByName(values, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])  # of three rows, each with its own columns
 
 
 def validated(cohort: Cohort, min_samples: int = 1) -> Cohort:
@@ -69,16 +70,18 @@ def selected_genes(cohort: Cohort, training: Sequence[str] | None = None, n_top:
     """Genes that stay: detected in enough training cells, without unwanted ids, then the most variable by log counts.
 
     Of equal variances the later gene goes first. Prefixes and exclusions
-    ignore case; mitochondrial genes are the prefix MT-, ribosomal RPS and RPL.
+    ignore case and hold for symbols and ids; mitochondrial genes are the
+    prefix MT-, ribosomal RPS and RPL.
     """
     train = cohort.kept_samples(list(training)) if training is not None else cohort
-    upper = F.upper("gene_id")
+    names = (F.upper("gene_id"), F.upper("_symbol"))
     wanted = F.col("detected") >= min_cells
     for p in prefixes:
-        wanted = wanted & ~upper.startswith(p.upper())
+        wanted = wanted & ~names[0].startswith(p.upper()) & ~names[1].startswith(p.upper())
     if exclude:
-        wanted = wanted & ~upper.isin([x.upper() for x in exclude])
-    kept = gene_moments(train, logged=True).where(wanted)
+        wanted = wanted & ~names[0].isin([x.upper() for x in exclude]) & ~names[1].isin([x.upper() for x in exclude])
+    symbols = cohort.genes.select("gene_id", cohort.symbols().alias("_symbol"))
+    kept = gene_moments(train, logged=True).join(symbols, "gene_id").where(wanted).drop("_symbol")
     if n_top is not None:
         place = F.row_number().over(Window.orderBy(F.desc("variance"), F.desc("gene_pos")))  # the gene axis, one row a gene
         kept = kept.withColumn("_place", place).where(F.col("_place") <= n_top).drop("_place")
@@ -105,7 +108,7 @@ def sample_split(cohort: Cohort, validation: Sequence[str] = (), test: Sequence[
 
 
 def partition_labels(cohort: Cohort, split: DataFrame) -> DataFrame:
-    return cohort.cells.join(F.broadcast(split), "sample_id")
+    return cohort.cells.join(split, "sample_id")
 
 
 def single_sample(cohort: Cohort) -> Cohort:
@@ -127,5 +130,7 @@ def aligned(cohort: Cohort, vocabulary: DataFrame, strict: bool = True) -> tuple
 
 
 def require_dense(cohort: Cohort, most: int = 10_000_000) -> None:
-    if (n := cohort.cells.count() * cohort.genes.count()) > most:
+    """Raise if some sample's cells times the genes exceed what one task may hold dense."""
+    cells = cohort.cells.groupBy("sample_id").count().agg(F.max("count")).first()[0] or 0
+    if (n := cells * cohort.genes.count()) > most:
         raise StateError(f"{n} elements exceed the budget of {most}")

@@ -14,8 +14,9 @@ from cohortlens.functions import kernels
 from cohortlens.operators import prep
 from cohortlens.schema import PROGRAMS, Cohort
 
-#: (matrix, number of programs, seed) -> programs x genes
-Estimator = Callable[[np.ndarray, int, int], np.ndarray]
+#: (matrix, number of programs, seed) -> programs x genes, or that and the sweeps made
+Estimator = Callable[[np.ndarray, int, int], np.ndarray | tuple[np.ndarray, int]]
+DIAGNOSTICS = "sample_id string, run int, n_iter int, converged boolean"
 
 
 def normalised(programs: DataFrame) -> DataFrame:
@@ -30,17 +31,34 @@ def mean_programs(cohort: Cohort) -> DataFrame:
     order = F.dense_rank().over(Window.partitionBy("sample_id").orderBy("lineage")) - 1
     groups = groups.withColumn("program_idx", order)
     sums = cohort.expr.join(cohort.cells.select(*prep.ON, "lineage"), prep.ON).groupBy("sample_id", "lineage", "gene_id").agg(F.sum("value").alias("s"))
-    axis = groups.crossJoin(F.broadcast(cohort.genes))  # the dense program table: groups by genes
+    genes = cohort.genes.withColumn("_place", F.row_number().over(Window.orderBy("gene_pos")))  # the gene axis, one row a gene
+    axis = groups.withColumn("_place", F.explode(F.sequence(F.lit(1), F.lit(cohort.genes.count())))).join(genes, "_place")
     full = axis.join(sums, ["sample_id", "lineage", "gene_id"], "left")
     return normalised(full.select("sample_id", "program_idx", "lineage", "gene_id", "gene_pos", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("weight")))
 
 
-def _nmf(matrix: np.ndarray, k: int, seed: int) -> np.ndarray:
-    return kernels.nmf(matrix, k, seed)[1]
+def nmf_estimator(max_iter: int = 500, tol: float = 1e-4) -> Estimator:
+    if max_iter < 1 or tol < 0:
+        raise ProgramError("max_iter has to be positive, tol can't be negative")
+
+    def fit(matrix: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, int]:
+        _, weights, sweeps = kernels.nmf(matrix, k, seed, max_iter, tol)
+        return weights, sweeps if sweeps < max_iter else -sweeps
+
+    return fit
+
+
+_nmf = nmf_estimator()
+
+
+def diagnostics(runs: DataFrame) -> DataFrame:
+    """sample_id, run, n_iter and converged of fitted programs (null for estimators that don't say)."""
+    found = runs.groupBy("sample_id", "run").agg(F.max("sweeps").alias("s"))
+    return found.select("sample_id", "run", F.abs("s").alias("n_iter"), (F.col("s") > 0).alias("converged"))
 
 
 def fitted_programs(cohort: Cohort, n_programs: int = 8, seed: int = 0, repeats: int = 1, estimator: Estimator = _nmf, own_axis: bool = False) -> DataFrame:
-    """Programs of every sample and restart: PROGRAMS and ``run``.
+    """Programs of every sample and restart: PROGRAMS, ``run`` and ``sweeps`` (below 0 if they ran out).
 
     Samples are never pooled. A task holds one sample; each restart is a task
     of its own. With ``own_axis`` a sample's axis is the genes that it has.
@@ -50,9 +68,8 @@ def fitted_programs(cohort: Cohort, n_programs: int = 8, seed: int = 0, repeats:
     column = {g: i for i, g in enumerate(names)}
     positions = [axis[g] for g in names]
     runs = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
-    cells = cohort.cells.groupBy("sample_id").agg(F.count("*").alias("n"), F.collect_list("cell_pos").alias("cell_pos"))
-    cells = cells.select("sample_id", "n", F.sort_array("cell_pos").alias("cells"))
-    rows = cohort.expr.join(cohort.cells.select(*prep.ON, "cell_pos"), prep.ON).join(F.broadcast(cells.select("sample_id", "n")), "sample_id")
+    cells = cohort.cells.groupBy("sample_id").agg(F.count("*").alias("n"))
+    rows = cohort.expr.join(cohort.cells.select(*prep.ON, "cell_pos"), prep.ON).join(cells.select("sample_id", "n"), "sample_id")
     rows = rows.select("sample_id", "cell_pos", "gene_id", "value", "n").withColumn("run", runs)
 
     def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -64,7 +81,9 @@ def fitted_programs(cohort: Cohort, n_programs: int = 8, seed: int = 0, repeats:
         here = np.flatnonzero(x.any(0)) if own_axis else np.arange(len(names))
         if n < 2 or n_programs > min(n, len(here)):
             raise ProgramError(f"sample {sample}: {n_programs} programs of {n} cells and {len(here)} genes")
-        weights = np.asarray(estimator(x[:, here], n_programs, seed + int(run)), float)
+        found = estimator(x[:, here], n_programs, seed + int(run))
+        found, sweeps = found if isinstance(found, tuple) else (found, None)
+        weights = np.asarray(found, float)
         if weights.shape != (n_programs, len(here)) or (weights < 0).any():
             raise ProgramError(f"sample {sample}: the estimator returned {weights.shape}")
         sums = weights.sum(1, keepdims=True)
@@ -73,10 +92,10 @@ def fitted_programs(cohort: Cohort, n_programs: int = 8, seed: int = 0, repeats:
         weights /= sums
         return pd.DataFrame({
             "sample_id": sample, "program_idx": np.repeat(np.arange(n_programs, dtype=np.int32), len(here)), "gene_id": np.tile([names[i] for i in here], n_programs),
-            "gene_pos": np.tile([positions[i] for i in here], n_programs), "weight": weights.ravel(), "run": np.int32(run),
+            "gene_pos": np.tile([positions[i] for i in here], n_programs), "weight": weights.ravel(), "run": np.int32(run), "sweeps": pd.array([sweeps] * weights.size, "Int32"),
         })
 
-    return rows.groupBy("sample_id", "run").applyInPandas(fit, f"{PROGRAMS}, run int")
+    return rows.groupBy("sample_id", "run").applyInPandas(fit, f"{PROGRAMS}, run int, sweeps int")
 
 
 def stabilised(runs: DataFrame, min_similarity: float = 0.5) -> tuple[DataFrame, DataFrame]:
@@ -100,7 +119,7 @@ def stabilised(runs: DataFrame, min_similarity: float = 0.5) -> tuple[DataFrame,
 
     stability = runs.groupBy("sample_id").applyInPandas(match, "sample_id string, run int, anchor_idx int, matched_idx int, similarity double, retained boolean")
     kept = stability.where("retained").select("sample_id", "run", F.col("matched_idx").alias("program_idx"), "anchor_idx")
-    joined = runs.join(F.broadcast(kept), ["sample_id", "run", "program_idx"])
+    joined = runs.join(kept, ["sample_id", "run", "program_idx"])
     medians = joined.groupBy("sample_id", "anchor_idx", "gene_id", "gene_pos").agg(F.median("weight").alias("weight"))
     order = F.dense_rank().over(Window.partitionBy("sample_id").orderBy("anchor_idx")) - 1
     return normalised(medians.select("sample_id", order.alias("program_idx"), "gene_id", "gene_pos", "weight")), stability

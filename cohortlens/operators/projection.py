@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from cohortlens.errors import ProjectionError
 from cohortlens.functions import kernels
-from cohortlens.operators import prep, scoring
+from cohortlens.operators import network, prep, scoring
 from cohortlens.schema import Cohort
+from cohortlens.storage import stored
 
 STATES = "sample_id string, cell_id string, usages array<double>, states array<double>, projection_error double, relative_error double, observed_coverage double, uncertainty array<double>"
 #: (cells x genes values, genes x programs basis) -> usages, or usages and their uncertainty
@@ -89,20 +90,31 @@ def variational(n_samples: int = 8, seed: int = 0, noise_scale: float = 0.05) ->
     return solve
 
 
-def neural(training: np.ndarray, hidden: tuple[int, ...] = (32,), max_iter: int = 200, seed: int = 0, alpha: float = 1e-4) -> Callable[[np.ndarray], Solver]:
-    """A network that learns NNLS usages of ``training`` (a bounded sample of cells); give it the basis for a solver."""
+def neural_training(rows: DataFrame, n_genes: int, basis: np.ndarray, hidden: tuple[int, ...] = (32,), max_iter: int = 200, seed: int = 0, alpha: float = 1e-4) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Layers of a network that learns the NNLS usages of all ``rows`` (packed cells) at depth 1."""
+
+    def targets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(usages=list(nnls(dense(batch, n_genes), basis)))
+
+    learned = stored(rows.select("places", "found").mapInPandas(targets, "places array<int>, found array<double>, usages array<double>"))
+
+    def pairs(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        x, y = dense(batch, n_genes), np.array(batch["usages"].tolist()).reshape(len(batch), -1)
+        depth = np.maximum(x.sum(1, keepdims=True), 1.0)
+        return x / depth, y / depth
+
+    return network.trained(learned, pairs, [n_genes, *hidden, basis.shape[1]], max_iter, seed, alpha)
 
-    def fitted(basis: np.ndarray) -> Solver:
-        total = np.maximum(training.sum(1, keepdims=True), 1.0)
-        layers = kernels.adam_network(training / total, nnls(training, basis) / total, hidden, max_iter, seed, alpha)
 
-        def solve(values: np.ndarray, _: np.ndarray) -> np.ndarray:
-            depth = np.maximum(values.sum(1, keepdims=True), 1.0)
-            return np.maximum(kernels.network_output(values / depth, layers), 0) * depth
+def neural(layers: list[tuple[np.ndarray, np.ndarray]]) -> Solver:
+    """Usages by a fitted network; its layers are all its state, to be kept or taken from elsewhere."""
 
-        return solve
+    def solve(values: np.ndarray, _: np.ndarray) -> np.ndarray:
+        depth = np.maximum(values.sum(1, keepdims=True), 1.0)
+        return np.maximum(kernels.network_output(values / depth, layers), 0) * depth
 
-    return fitted
+    return solve
 
 
 PROJECTORS: dict[str, Callable[..., Solver]] = {
@@ -117,9 +129,8 @@ def available_projectors() -> tuple[str, ...]:
 
 def packed(cohort: Cohort, genes: list[str]) -> DataFrame:
     """A row per cell with its non-zero values by place in ``genes``; one shuffle by cell."""
-    place = {g: i for i, g in enumerate(genes)}
-    at = cohort.expr.sparkSession.createDataFrame(list(place.items()), "gene_id string, at int")
-    entries = cohort.expr.join(F.broadcast(at), "gene_id").groupBy(*prep.ON).agg(F.collect_list("at").alias("places"), F.collect_list("value").alias("found"))
+    at = cohort.expr.sparkSession.createDataFrame([(g, i) for i, g in enumerate(genes)], "gene_id string, at int")
+    entries = cohort.expr.join(at, "gene_id").groupBy(*prep.ON).agg(F.collect_list("at").alias("places"), F.collect_list("value").alias("found"))
     return cohort.cells.select(*prep.ON).join(entries, prep.ON, "left")
 
 
@@ -131,6 +142,23 @@ def dense(batch: pd.DataFrame, n_genes: int) -> np.ndarray:
     return out
 
 
+def _solver(method: str, rows: DataFrame, n_genes: int, basis: np.ndarray, options: dict) -> Solver:
+    if method != "neural":
+        return PROJECTORS[method](**options)
+    return neural(options["layers"] if "layers" in options else neural_training(rows, n_genes, basis, **options))
+
+
+def _prepared(cohort: Cohort, vocabulary: DataFrame, allow_empty: bool) -> tuple[DataFrame, list[str], np.ndarray]:
+    """Packed cells as a stored table, the genes and the basis."""
+    own, _, _ = prep.aligned(cohort, vocabulary, strict=False)
+    genes, basis = basis_of(vocabulary.join(own.genes.select("gene_id"), "gene_id", "left_semi"))
+    if not genes:
+        raise ProjectionError("the cohort has no gene of the vocabulary")
+    if not allow_empty and cohort.cells.join(cohort.expr.where("value > 0"), prep.ON, "left_anti").limit(1).count():
+        raise ProjectionError("a cell has no values")
+    return stored(packed(own, genes)), genes, basis
+
+
 def project(cohort: Cohort, vocabulary: DataFrame, method: str = "nnls", allow_empty: bool = False, **options) -> DataFrame:
     """STATES of every cell: usages, shares, error against the raw values, coverage.
 
@@ -139,20 +167,11 @@ def project(cohort: Cohort, vocabulary: DataFrame, method: str = "nnls", allow_e
     """
     if method not in PROJECTORS:
         raise ProjectionError(f"{method} isn't one of {', '.join(PROJECTORS)}")
-    if not allow_empty and prep.cell_counts(cohort).where("total = 0").limit(1).count():
-        raise ProjectionError("a cell has no values")
-    own, _, _ = prep.aligned(cohort, vocabulary, strict=False)
-    present = vocabulary.join(own.genes.select("gene_id"), "gene_id", "left_semi")
-    genes, basis = basis_of(present)
-    if not genes:
-        raise ProjectionError("the cohort has no gene of the vocabulary")
-    rows = packed(own, genes)
-    if method == "neural":
-        most = options.pop("most_training", 2000)
-        training = rows.orderBy(F.xxhash64(*prep.ON)).limit(most).toPandas()
-        solve = neural(dense(training, len(genes)), **options)(basis)
-    else:
-        solve = PROJECTORS[method](**options)
+    return _projected(*_prepared(cohort, vocabulary, allow_empty), method, options)
+
+
+def _projected(rows: DataFrame, genes: list[str], basis: np.ndarray, method: str, options: dict) -> DataFrame:
+    solve = _solver(method, rows, len(genes), basis, options)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -174,9 +193,12 @@ def project(cohort: Cohort, vocabulary: DataFrame, method: str = "nnls", allow_e
     return rows.mapInPandas(run, STATES)
 
 
-def compare(cohort: Cohort, vocabulary: DataFrame, methods: list[str], options: dict[str, dict] | None = None) -> DataFrame:
-    """States of every method, with a ``method`` column, and no selection."""
-    parts = [project(cohort, vocabulary, m, **(options or {}).get(m, {})).withColumn("method", F.lit(m)) for m in sorted(methods)]
+def compare(cohort: Cohort, vocabulary: DataFrame, methods: list[str], options: dict[str, dict] | None = None, allow_empty: bool = False) -> DataFrame:
+    """States of every method, with a ``method`` column, and no selection. Cells are packed once for all methods."""
+    if unknown := set(methods) - set(PROJECTORS):
+        raise ProjectionError(f"{sorted(unknown)} aren't among {', '.join(PROJECTORS)}")
+    ready = _prepared(cohort, vocabulary, allow_empty)
+    parts = [_projected(*ready, m, dict((options or {}).get(m, {}))).withColumn("method", F.lit(m)) for m in sorted(methods)]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)

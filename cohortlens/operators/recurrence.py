@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -69,18 +70,16 @@ def _matrix(part: pd.DataFrame) -> np.ndarray:
 def matched(similarity: DataFrame, n_permutations: int = 1000, seed: int = 0) -> DataFrame:
     """Best assignment of each pair of samples, against random assignments.
 
-    Seeds are drawn for the pairs in their order. n_permutations = 0 takes the
-    exact mean of random assignments, the mean of the matrix, and no p value.
+    A pair's draws depend on the seed and its names alone. n_permutations = 0
+    takes the exact mean of random assignments, the mean of the matrix, and no
+    p value.
     """
-    pairs = [tuple(r) for r in similarity.select(*PAIR).distinct().orderBy(*PAIR).collect()]
-    rng = np.random.default_rng(seed)
-    seeds = {p: int(rng.integers(0, np.iinfo(np.int32).max)) for p in pairs}
 
     def solve(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         m = _matrix(part)
         rows, columns = kernels.assignment(m)
         best = m[rows, columns].mean()
-        draw = np.random.default_rng(seeds[key])
+        draw = np.random.default_rng([seed, *(zlib.crc32(str(k).encode()) for k in key)])
         n = min(m.shape)
         null = [m[draw.permutation(m.shape[0])[:n], draw.permutation(m.shape[1])[:n]].mean() for _ in range(n_permutations)]
         p = (1 + sum(x >= best for x in null)) / (n_permutations + 1) if n_permutations else None
@@ -145,8 +144,8 @@ def vocabulary_members(found: Recurrence, min_samples: int) -> DataFrame:
 
 def consensus(programs: DataFrame, members: DataFrame, shared: DataFrame) -> DataFrame:
     """Median weight of the members on the shared axis, each normalised there, and normalised again."""
-    on_axis = P.normalised(programs.select("sample_id", "program_idx", "gene_id", "weight").join(F.broadcast(shared), "gene_id"))
-    rows = on_axis.join(F.broadcast(members.select("anchor_idx", "sample_id", "program_idx")), ["sample_id", "program_idx"])
+    on_axis = P.normalised(programs.select("sample_id", "program_idx", "gene_id", "weight").join(shared, "gene_id"))
+    rows = on_axis.join(members.select("anchor_idx", "sample_id", "program_idx"), ["sample_id", "program_idx"])
     medians = rows.groupBy("anchor_idx", "gene_id", "gene_pos").agg(F.median("weight").alias("weight"))
     total = F.sum("weight").over(Window.partitionBy("anchor_idx"))
     return medians.withColumn("weight", F.col("weight") / total)
@@ -185,11 +184,14 @@ def recurrent_vocabulary(programs: DataFrame, min_samples: int = 2, min_similari
     return built
 
 
-def hierarchical_vocabularies(cohort: Cohort, fit, min_samples: int = 2, shared: bool = True, **options) -> tuple[dict[str, DataFrame], DataFrame | None]:
+def hierarchical_vocabularies(cohort: Cohort, fit, min_samples: int = 2, shared: bool = True, training: list[str] | None = None, **options) -> tuple[dict[str, DataFrame], DataFrame | None]:
     """A vocabulary per lineage, and one that recurs across lineages.
 
-    ``fit`` maps a cohort to programs; every lineage is fitted on its own.
+    ``fit`` maps a cohort to programs; every lineage is fitted on its own, on
+    the ``training`` samples if they are named.
     """
+    if training is not None:
+        cohort = cohort.known_samples(training)
     counts = cohort.cells.groupBy("lineage").agg(F.countDistinct("sample_id").alias("n")).orderBy("lineage").collect()
     if short := [r["lineage"] for r in counts if r["n"] < min_samples]:
         raise HierarchyError(f"lineages {short} have fewer than {min_samples} samples")

@@ -3,26 +3,49 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.errors import StateError
 from cohortlens.operators.prep import ON, aligned, gene_moments
 from cohortlens.schema import Cohort
+from cohortlens.storage import stored
 
 
-def _full(cohort: Cohort, vocabulary: DataFrame, sums: DataFrame) -> DataFrame:
-    """Cells by programs, with 0 where no value met a weight."""
-    programs = [r[0] for r in vocabulary.select("program_idx").distinct().collect()]
-    every = cohort.cells.select(*ON).withColumn("program_idx", F.explode(F.array(*[F.lit(p) for p in sorted(programs)])))
-    return every.join(sums, [*ON, "program_idx"], "left").fillna({"score": 0.0})
+def basis(vocabulary: DataFrame) -> tuple[list[int], DataFrame]:
+    """Program numbers in order, and a row per gene with a weight column w0, w1, ... for each program."""
+    programs = sorted(r[0] for r in vocabulary.select("program_idx").distinct().collect())
+    weight = [F.coalesce(F.max(F.when(F.col("program_idx") == k, F.col("weight"))), F.lit(0.0)).alias(f"w{i}") for i, k in enumerate(programs)]
+    return programs, vocabulary.groupBy("gene_id").agg(*weight)
+
+
+def products(cohort: Cohort, vocabulary: DataFrame, *extra: F.Column) -> tuple[list[int], DataFrame]:
+    """Programs, and for every cell the sums of value times weight (s0, s1, ...; 0 without values) and the ``extra`` aggregates.
+
+    One shuffle by cell, of one row a cell and task, whatever the number of programs.
+    """
+    programs, weights = basis(vocabulary)
+    sums = [F.sum(F.col("value") * F.col(f"w{i}")).alias(f"s{i}") for i in range(len(programs))]
+    found = cohort.expr.join(weights, "gene_id").groupBy(*ON).agg(*sums, *extra)
+    return programs, cohort.cells.select(*ON).join(found, ON, "left").fillna(0.0, [f"s{i}" for i in range(len(programs))])
+
+
+def long(wide: DataFrame, programs: list[int], score) -> DataFrame:
+    """A row per cell and program from a row per cell; ``score`` gives the column of the i-th program."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("program_idx"), score(i).alias("score")) for i, k in enumerate(programs)]))
+    return wide.select(*ON, each.alias("_p")).select(*ON, "_p.program_idx", "_p.score")
 
 
 def direct(cohort: Cohort, vocabulary: DataFrame) -> DataFrame:
     """sample_id, cell_id, program_idx, score: the sum of value times weight."""
     own, _, _ = aligned(cohort, vocabulary)
-    sums = own.expr.join(F.broadcast(vocabulary.select("program_idx", "gene_id", "weight")), "gene_id").groupBy(*ON, "program_idx").agg(F.sum(F.col("value") * F.col("weight")).alias("score"))
-    return _full(cohort, vocabulary, sums)
+    programs, wide = products(own, vocabulary)
+    return long(wide, programs, lambda i: F.col(f"s{i}"))
+
+
+def _by_program(rows: DataFrame, *columns: str) -> dict[int, tuple]:
+    """A program's numbers; one row a program."""
+    return {r["program_idx"]: tuple(r[c] for c in columns) for r in rows.collect()}
 
 
 def gene_standardized(cohort: Cohort, vocabulary: DataFrame, training: list[str]) -> DataFrame:
@@ -30,43 +53,45 @@ def gene_standardized(cohort: Cohort, vocabulary: DataFrame, training: list[str]
     own, _, _ = aligned(cohort, vocabulary)
     moments = gene_moments(own.kept_samples(training))
     sd = F.when(F.col("variance") > 0, F.sqrt("variance")).otherwise(1.0)
-    scaled = vocabulary.join(moments.select("gene_id", "mean", sd.alias("sd")), "gene_id").withColumn("weight", F.col("weight") / F.col("sd"))
-    offset = scaled.groupBy("program_idx").agg(F.sum(F.col("weight") * F.col("mean")).alias("offset"))
-    return direct(own, scaled).join(F.broadcast(offset), "program_idx").select(*ON, "program_idx", (F.col("score") - F.col("offset")).alias("score"))
+    scaled = stored(vocabulary.join(moments.select("gene_id", "mean", sd.alias("sd")), "gene_id").withColumn("weight", F.col("weight") / F.col("sd")))
+    offset = _by_program(scaled.groupBy("program_idx").agg(F.sum(F.col("weight") * F.col("mean")).alias("offset")), "offset")
+    programs, wide = products(own, scaled)
+    return long(wide, programs, lambda i: F.col(f"s{i}") - F.lit(offset[programs[i]][0]))
 
 
 def count_residual(cohort: Cohort, vocabulary: DataFrame, training: list[str], pseudocount: float = 1e-8) -> DataFrame:
     """Pearson residuals of counts against training rates, as two products; a cell without depth scores 0."""
     own, _, _ = aligned(cohort, vocabulary)
     totals = own.genes.join(own.kept_samples(training).expr.groupBy("gene_id").agg(F.sum("value").alias("t")), "gene_id", "left").fillna({"t": 0.0})
-    rates = totals.select("gene_id", ((F.col("t") + pseudocount) / F.sum(F.col("t") + pseudocount).over(Window.partitionBy())).alias("rate"))
-    rated = vocabulary.join(rates, "gene_id")
-    expected = rated.groupBy("program_idx").agg(F.sum(F.col("weight") * F.sqrt("rate")).alias("expected"))
-    observed = direct(own, rated.withColumn("weight", F.col("weight") / F.sqrt("rate")))
-    depth = own.expr.groupBy(*ON).agg(F.sum("value").alias("depth"))
-    joined = observed.join(depth, ON, "left").join(F.broadcast(expected), "program_idx")
-    score = F.when(F.col("depth") > 0, F.col("score") / F.sqrt("depth") - F.sqrt("depth") * F.col("expected")).otherwise(0.0)
-    return joined.select(*ON, "program_idx", score.alias("score"))
+    totals = stored(totals.select("gene_id", (F.col("t") + pseudocount).alias("t")))
+    rates = totals.select("gene_id", (F.col("t") / totals.agg(F.sum("t")).first()[0]).alias("rate"))
+    rated = stored(vocabulary.join(rates, "gene_id"))
+    expected = _by_program(rated.groupBy("program_idx").agg(F.sum(F.col("weight") * F.sqrt("rate")).alias("expected")), "expected")
+    programs, wide = products(own, rated.withColumn("weight", F.col("weight") / F.sqrt("rate")), F.sum("value").alias("depth"))
+    depth = F.col("depth")
+    return long(wide, programs, lambda i: F.when(depth > 0, F.col(f"s{i}") / F.sqrt(depth) - F.sqrt(depth) * F.lit(expected[programs[i]][0])).otherwise(0.0))
 
 
 def technical_residual(cohort: Cohort, vocabulary: DataFrame, training: list[str]) -> DataFrame:
     """Log values less their per-gene regression on log depth and log detected genes over the training cells.
 
-    Only 3 x 3 sums and 3 per gene leave the executors.
+    A score is linear in the coefficients, so the regression is one of each
+    program's summed log values: one row a cell, and 3 + programs sums of
+    products with the design leave the executors.
     """
     own, _, _ = aligned(cohort, vocabulary)
-    logged = own.with_(expr=own.expr.withColumn("value", F.log1p("value")))
-    design = own.cells.select(*ON).join(own.expr.groupBy(*ON).agg(F.log1p(F.sum("value")).alias("d1"), F.log1p(F.count("*").cast("double")).alias("d2")), ON, "left").fillna({"d1": 0.0, "d2": 0.0})
-    train = F.col("sample_id").isin(training)
-    g = design.where(train).agg(*[F.sum(a * b).alias(f"g{i}{j}") for i, a in enumerate((F.lit(1.0), F.col("d1"), F.col("d2"))) for j, b in enumerate((F.lit(1.0), F.col("d1"), F.col("d2")))]).first()
-    gram = np.array([[g[f"g{i}{j}"] for j in range(3)] for i in range(3)], float)
-    cross = logged.expr.where(train).join(design, ON).groupBy("gene_id").agg(F.sum("value").alias("c0"), F.sum(F.col("value") * F.col("d1")).alias("c1"), F.sum(F.col("value") * F.col("d2")).alias("c2"))
-    # sum over genes of weight * coefficient is linear in the cross products, so only programs x 3 numbers are needed
-    sums = vocabulary.join(cross, "gene_id").groupBy("program_idx").agg(*[F.sum(F.col("weight") * F.col(f"c{i}")).alias(f"c{i}") for i in range(3)]).collect()
-    solved = [(r["program_idx"], *map(float, np.linalg.lstsq(gram, np.array([r["c0"], r["c1"], r["c2"]]), rcond=None)[0])) for r in sums]
-    fitted = own.cells.sparkSession.createDataFrame(solved, "program_idx int, b0 double, b1 double, b2 double")
-    scores = direct(logged, vocabulary).join(design, ON).join(F.broadcast(fitted), "program_idx", "left").fillna({"b0": 0.0, "b1": 0.0, "b2": 0.0})
-    return scores.select(*ON, "program_idx", (F.col("score") - F.col("b0") - F.col("b1") * F.col("d1") - F.col("b2") * F.col("d2")).alias("score"))
+    logged = own.with_(expr=own.expr.select(*ON, "gene_id", F.log1p("value").alias("value")))
+    raw = F.sum(F.expm1("value"))
+    programs, wide = products(logged, vocabulary, F.log1p(raw).alias("d1"), F.log1p(F.count("*").cast("double")).alias("d2"))
+    wide = stored(wide.fillna(0.0, ["d1", "d2"]))
+    design = [F.lit(1.0), F.col("d1"), F.col("d2")]
+    sums = [F.sum(a * b).alias(f"g{i}{j}") for i, a in enumerate(design) for j, b in enumerate(design)]
+    sums += [F.sum(a * F.col(f"s{k}")).alias(f"c{i}_{k}") for i, a in enumerate(design) for k in range(len(programs))]
+    r = wide.where(F.col("sample_id").isin(training)).agg(*sums).first()
+    gram = np.array([[r[f"g{i}{j}"] for j in range(3)] for i in range(3)], float)
+    cross = np.array([[r[f"c{i}_{k}"] for k in range(len(programs))] for i in range(3)], float)
+    b = np.linalg.lstsq(gram, cross, rcond=None)[0]
+    return long(wide, programs, lambda k: F.col(f"s{k}") - F.lit(float(b[0, k])) - F.lit(float(b[1, k])) * F.col("d1") - F.lit(float(b[2, k])) * F.col("d2"))
 
 
 def matched_control(cohort: Cohort, vocabulary: DataFrame, training: list[str], n_top: int = 50, n_bins: int = 25, control_size: int = 50, seed: int = 0) -> DataFrame:
@@ -98,6 +123,6 @@ def matched_control(cohort: Cohort, vocabulary: DataFrame, training: list[str],
             raise StateError("a program has no control genes, or top genes without weight")
         signed += [(k, names[i], float(weights[i] / weights[top].sum())) for i in top]
         signed += [(k, names[i], -1.0 / len(controls)) for i in controls]
-    contrast = own.cells.sparkSession.createDataFrame(signed, "program_idx int, gene_id string, weight double").join(own.genes, "gene_id")
-    sums = own.expr.join(F.broadcast(contrast.select("program_idx", "gene_id", "weight")), "gene_id").groupBy(*ON, "program_idx").agg(F.sum(F.col("value") * F.col("weight")).alias("score"))
-    return _full(cohort, vocabulary, sums)
+    contrast = own.cells.sparkSession.createDataFrame(signed, "program_idx int, gene_id string, weight double")
+    programs, wide = products(own, contrast.groupBy("program_idx", "gene_id").agg(F.sum("weight").alias("weight")))
+    return long(wide, programs, lambda i: F.col(f"s{i}"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,31 +11,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.errors import StateError
-from cohortlens.functions import kernels
-from cohortlens.operators import prep
+from cohortlens.operators import metrics, network, prep
 from cohortlens.operators.projection import dense, packed
 from cohortlens.schema import Cohort
 from cohortlens.storage import stored
 
 
-def standardized(scores: DataFrame, training: list[str]) -> DataFrame:
-    """Scores less their training mean over their population deviation (1 where that is 0)."""
-    fit = scores.where(F.col("sample_id").isin(training)).groupBy("program_idx").agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s"))
-    s = F.when(F.col("s") > 0, F.col("s")).otherwise(1.0)
-    return scores.join(F.broadcast(fit), "program_idx").select(*prep.ON, "program_idx", ((F.col("score") - F.col("m")) / s).alias("score"))
+@dataclass(frozen=True)
+class Scaler:
+    """Training mean and population deviation (1 where that is 0) of each program, in order."""
 
+    programs: tuple[int, ...]
+    mean: np.ndarray
+    deviation: np.ndarray
 
-def covariance(z: DataFrame, training: list[str]) -> np.ndarray:
-    """Programs x programs mean products over training cells; only those sums leave the executors."""
-    t = z.where(F.col("sample_id").isin(training))
-    a, b = t.alias("a"), t.alias("b")
-    n = t.select(*prep.ON).distinct().count()
-    rows = a.join(b, (F.col("a.sample_id") == F.col("b.sample_id")) & (F.col("a.cell_id") == F.col("b.cell_id"))).groupBy(F.col("a.program_idx").alias("i"), F.col("b.program_idx").alias("j")).agg(F.sum(F.col("a.score") * F.col("b.score")).alias("c")).collect()
-    k = 1 + max(r["i"] for r in rows)
-    out = np.zeros((k, k))
-    for r in rows:
-        out[r["i"], r["j"]] = r["c"] / n
-    return out
+
+def scaler(scores: DataFrame, training: list[str]) -> Scaler:
+    rows = scores.where(F.col("sample_id").isin(training)).groupBy("program_idx").agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s")).orderBy("program_idx").collect()
+    if not rows:
+        raise StateError("there are no training cells")
+    s = np.array([r["s"] for r in rows])
+    return Scaler(tuple(r["program_idx"] for r in rows), np.array([r["m"] for r in rows]), np.where(s > 0, s, 1.0))
+
+
+def _by_number(programs: tuple[int, ...], values: np.ndarray) -> F.Column:
+    """A program's number in an array of constants."""
+    return F.create_map(*[x for k, v in zip(programs, values) for x in (F.lit(k), F.lit(float(v)))])[F.col("program_idx")]
+
+
+def standardized(scores: DataFrame, training: list[str], by: Scaler | None = None) -> DataFrame:
+    """Scores less their training mean over their population deviation."""
+    by = by or scaler(scores, training)
+    score = (F.col("score") - _by_number(by.programs, by.mean)) / _by_number(by.programs, by.deviation)
+    return scores.select(*prep.ON, "program_idx", score.alias("score"))
+
+
+def unstandardized(scores: DataFrame, by: Scaler) -> DataFrame:
+    """The inverse of ``standardized``."""
+    score = F.col("score") * _by_number(by.programs, by.deviation) + _by_number(by.programs, by.mean)
+    return scores.select(*prep.ON, "program_idx", score.alias("score"))
+
+
+def packed_scores(scores: DataFrame) -> DataFrame:
+    """sample_id, cell_id and x, a cell's scores in order of the programs."""
+    return scores.groupBy(*prep.ON).agg(F.sort_array(F.collect_list(F.struct("program_idx", "score"))).alias("s")).select(*prep.ON, F.col("s.score").alias("x"))
+
+
+def _matrix(batch: pd.DataFrame, column: str = "x") -> np.ndarray:
+    return np.array(batch[column].tolist(), float).reshape(len(batch), -1)
+
+
+def covariance(rows: DataFrame) -> np.ndarray:
+    """Mean products of packed scores over all rows; one K x K array a task leaves the executors."""
+    total = network.summed(rows, lambda b: np.r_[len(b), (_matrix(b).T @ _matrix(b)).ravel()])
+    k = int(np.sqrt(len(total) - 1))
+    return total[1:].reshape(k, k) / total[0]
 
 
 def principal(c: np.ndarray, n_components: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,64 +78,130 @@ def principal(c: np.ndarray, n_components: int) -> tuple[np.ndarray, np.ndarray]
     return axes, values[::-1][:n_components] / max(values.sum(), 1e-300)
 
 
-def linear_state(scores: DataFrame, training: list[str], n_components: int) -> tuple[DataFrame, np.ndarray]:
-    """Principal coordinates (sample_id, cell_id, component, coordinate) of standardised scores, and variance shares."""
-    z = stored(standardized(scores, training))
-    axes, shares = principal(covariance(z, training), n_components)
-    table = scores.sparkSession.createDataFrame([(k, int(c), float(v)) for c, row in enumerate(axes) for k, v in enumerate(row)], "program_idx int, component int, v double")
-    return z.join(F.broadcast(table), "program_idx").groupBy(*prep.ON, "component").agg(F.sum(F.col("score") * F.col("v")).alias("coordinate")), shares
-
-
-def expression_pca(cohort: Cohort, training: list[str], n_components: int, most_elements: int = 10_000_000) -> tuple[DataFrame, np.ndarray]:
-    """Principal coordinates of the centred values; the genes x genes matrix is gathered, so the axis is bounded.
-
-    Second moments come from a self-join of the sparse values by cell.
-    """
-    n_genes = cohort.genes.count()
-    if n_genes * n_genes > most_elements:
-        raise StateError(f"{n_genes} genes exceed the budget of {most_elements} elements")
-    pos = {r["gene_id"]: i for i, r in enumerate(cohort.genes.orderBy("gene_pos").collect())}
-    train = cohort.kept_samples(training)
-    n = train.cells.count()
-    a, b = train.expr.alias("a"), train.expr.alias("b")
-    on = (F.col("a.sample_id") == F.col("b.sample_id")) & (F.col("a.cell_id") == F.col("b.cell_id"))
-    second, first = np.zeros((n_genes, n_genes)), np.zeros(n_genes)
-    for r in a.join(b, on).groupBy(F.col("a.gene_id").alias("i"), F.col("b.gene_id").alias("j")).agg(F.sum(F.col("a.value") * F.col("b.value")).alias("c")).collect():
-        second[pos[r["i"]], pos[r["j"]]] = r["c"]
-    for r in train.expr.groupBy("gene_id").agg(F.sum("value").alias("s")).collect():
-        first[pos[r["gene_id"]]] = r["s"]
-    mean = first / n
-    axes, shares = principal(second / n - np.outer(mean, mean), n_components)
-    names = list(pos)
+@dataclass(frozen=True)
+class Linear:
+    """Principal axes (rows) over standardised or centred values, and their shares of variance."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[prep.ON].assign(coordinates=list((dense(batch, len(names)) - mean) @ axes.T))
+    axes: np.ndarray
+    shares: np.ndarray
+    mean: np.ndarray
+    deviation: np.ndarray
+
+    def coordinates(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.mean) / self.deviation @ self.axes.T
 
-    return packed(cohort, names).mapInPandas(run, "sample_id string, cell_id string, coordinates array<double>"), shares
+    def inverse(self, c: np.ndarray) -> np.ndarray:
+        return c @ self.axes * self.deviation + self.mean
 
 
-@dataclass
+@dataclass(frozen=True)
 class Nonlinear:
-    """A tanh bottleneck learned on a bounded sample of training cells."""
+    """A tanh bottleneck between two layers, over standardised scores."""
 
     layers: list
-    k: int
+    mean: np.ndarray
+    deviation: np.ndarray
 
     def coordinates(self, x: np.ndarray) -> np.ndarray:
         w, b = self.layers[0]
-        return np.tanh(x @ w + b)
+        return np.tanh((x - self.mean) / self.deviation @ w + b)
+
+    def inverse(self, c: np.ndarray) -> np.ndarray:
+        w, b = self.layers[1]
+        return (c @ w + b) * self.deviation + self.mean
+
 
+COORDINATES = "sample_id string, cell_id string, coordinates array<double>"
 
-def nonlinear_state(scores: DataFrame, training: list[str], n_components: int, max_iter: int = 500, seed: int = 0, most_training: int = 20_000) -> tuple[DataFrame, Nonlinear]:
-    """Coordinates of standardised scores in the bottleneck of an autoencoder."""
-    z = standardized(scores, training).groupBy(*prep.ON).agg(F.sort_array(F.collect_list(F.struct("program_idx", "score"))).alias("s")).select(*prep.ON, F.col("s.score").alias("x"))
-    fit = z.where(F.col("sample_id").isin(training)).orderBy(F.xxhash64(*prep.ON)).limit(most_training).toPandas()
-    x = np.array(fit["x"].tolist())
-    model = Nonlinear(kernels.adam_network(x, x, (n_components,), max_iter, seed, tanh=True), n_components)
+
+def coordinates(rows: DataFrame, model: Linear | Nonlinear, values: Callable[[pd.DataFrame], np.ndarray] = _matrix) -> DataFrame:
+    """Coordinates of every row by a fitted model."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[prep.ON].assign(coordinates=list(model.coordinates(np.array(batch["x"].tolist()).reshape(len(batch), -1))))
+            yield batch[prep.ON].assign(coordinates=list(model.coordinates(values(batch))))
+
+    return rows.mapInPandas(run, COORDINATES)
+
 
-    return z.mapInPandas(run, "sample_id string, cell_id string, coordinates array<double>"), model
+def inverse(found: DataFrame, model: Linear | Nonlinear) -> DataFrame:
+    """sample_id, cell_id and x: the values that coordinates stand for."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[prep.ON].assign(x=list(model.inverse(_matrix(batch, "coordinates"))))
+
+    return found.mapInPandas(run, "sample_id string, cell_id string, x array<double>")
+
+
+def linear_state(scores: DataFrame, training: list[str], n_components: int) -> tuple[DataFrame, Linear]:
+    """Principal coordinates of standardised scores, and the model."""
+    by = scaler(scores, training)
+    z = stored(packed_scores(standardized(scores, training, by)))
+    train = z.where(F.col("sample_id").isin(training))
+    if n_components > train.limit(n_components).count():
+        raise StateError(f"{n_components} components of fewer cells")
+    axes, shares = principal(covariance(train), n_components)
+    plain = Linear(axes, shares, np.zeros(axes.shape[1]), np.ones(axes.shape[1]))
+    return coordinates(z, plain), Linear(axes, shares, by.mean, by.deviation)
+
+
+def expression_pca(cohort: Cohort, training: list[str], n_components: int, most_elements: int = 10_000_000) -> tuple[DataFrame, Linear]:
+    """Principal coordinates of the centred values; a task and the driver hold genes x genes numbers, so the axis is bounded."""
+    names = [r["gene_id"] for r in cohort.genes.orderBy("gene_pos").collect()]
+    n = len(names)
+    if n * n > most_elements:
+        raise StateError(f"{n} genes exceed the budget of {most_elements} elements")
+    rows = stored(packed(cohort, names))
+
+    def moments(batch: pd.DataFrame) -> np.ndarray:
+        x = dense(batch, n)
+        return np.r_[len(x), x.sum(0), (x.T @ x).ravel()]
+
+    total = network.summed(rows.where(F.col("sample_id").isin(training)), moments)
+    if not len(total):
+        raise StateError("there are no training cells")
+    mean = total[1 : n + 1] / total[0]
+    axes, shares = principal(total[n + 1 :].reshape(n, n) / total[0] - np.outer(mean, mean), n_components)
+    model = Linear(axes, shares, mean, np.ones(n))
+    return coordinates(rows, model, lambda b: dense(b, n)), model
+
+
+def nonlinear_state(scores: DataFrame, training: list[str], n_components: int, max_iter: int = 500, seed: int = 0, alpha: float = 1e-4) -> tuple[DataFrame, Nonlinear]:
+    """Coordinates of standardised scores in the bottleneck of an autoencoder, fitted on all training cells."""
+    by = scaler(scores, training)
+    z = stored(packed_scores(standardized(scores, training, by)))
+    k = len(by.programs)
+    layers = network.trained(stored(z.where(F.col("sample_id").isin(training))), lambda b: (_matrix(b), _matrix(b)), [k, n_components, k], max_iter, seed, alpha, tanh=True)
+    return coordinates(z, Nonlinear(layers, np.zeros(k), np.ones(k))), Nonlinear(layers, by.mean, by.deviation)
+
+
+@dataclass(frozen=True)
+class Fitted:
+    """A state of every cell: coordinates, and what measures how well it gives the cells back."""
+
+    coordinates: DataFrame
+    rows: DataFrame
+    values: Callable[[pd.DataFrame], np.ndarray]
+    model: Linear | Nonlinear | None
+
+    def reconstruction(self, split: DataFrame) -> DataFrame:
+        return metrics.model_reconstruction(self.rows, split, self.values, self.model)
+
+
+def fitted(method: str, scores: DataFrame, cohort: Cohort, training: list[str], n_components: int, seed: int = 0, most_elements: int = 10_000_000) -> Fitted:
+    """One of METHODS, fitted on the training samples and applied to all cells."""
+    if method == "pca":
+        found, model = expression_pca(cohort, training, n_components, most_elements)
+        genes = [r["gene_id"] for r in cohort.genes.orderBy("gene_pos").collect()]
+        return Fitted(found, packed(cohort, genes), lambda b: dense(b, len(genes)), model)
+    rows = stored(packed_scores(scores))
+    if method == "direct":
+        return Fitted(packed_scores(standardized(scores, training)).withColumnRenamed("x", "coordinates"), rows, _matrix, None)
+    if method not in METHODS:
+        raise StateError(f"{method} isn't one of {', '.join(METHODS)}")
+    found, model = linear_state(scores, training, n_components) if method == "linear" else nonlinear_state(scores, training, n_components, seed=seed)
+    return Fitted(found, rows, _matrix, model)
+
+
+METHODS = ("direct", "linear", "nonlinear", "pca")

@@ -13,6 +13,7 @@ from cohortlens.plans import pipeline
 from cohortlens.schema import Cohort
 from cohortlens.sources import artifacts
 from cohortlens.sources.atlas import orders_atlas
+from cohortlens.storage import stored
 from cohortlens.streaming.projection import scored_stream
 
 TRAIN = ["0", "1", "2"]
@@ -23,34 +24,54 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 
 def _atlas(spark: SparkSession, sf_dir: str) -> Cohort:
+    """The orders atlas; its joins run once, here."""
     return orders_atlas(spark, sf_dir)
 
 
+def _log(cohort: Cohort) -> Cohort:
+    out = prep.library_size_log1p(cohort)
+    return out.with_(expr=stored(out.expr))
+
+
 def _logged(spark: SparkSession, sf_dir: str) -> Cohort:
-    return prep.library_size_log1p(_atlas(spark, sf_dir))
+    return _log(_atlas(spark, sf_dir))
 
 
 def _programs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean profile of each market segment in each region."""
-    return programs.mean_programs(_logged(spark, sf_dir))
+    """Mean profile of each market segment in each region, as a stored table."""
+    return stored(programs.mean_programs(_logged(spark, sf_dir)))
 
 
-def _vocabulary(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
-    """Consensus of the regions' profiles of each segment; the first k."""
-    found = _programs(spark, sf_dir)
+def _words(logged: Cohort, k: int = 5) -> DataFrame:
+    """Consensus of the regions' profiles of each segment; the first k, as a stored table."""
+    found = stored(programs.mean_programs(logged))
     members = found.select(F.col("program_idx").alias("anchor_idx"), "sample_id", "program_idx").distinct()
     shared = found.select("gene_id", "gene_pos").distinct()
     words = recurrence.consensus(found, members, shared).withColumnRenamed("anchor_idx", "program_idx")
-    return words.where(F.col("program_idx") < k)
+    return stored(words.where(F.col("program_idx") < k))
+
+
+def _start(spark: SparkSession, sf_dir: str, k: int = 5) -> tuple[Cohort, Cohort, DataFrame]:
+    """The atlas, its normalised values and the vocabulary, each computed once."""
+    cohort = _atlas(spark, sf_dir)
+    logged = _log(cohort)
+    return cohort, logged, _words(logged, k)
+
+
+def _direct(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
+    _, logged, words = _start(spark, sf_dir, k)
+    return scoring.direct(logged, words)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cell checks, normalisation, segment profiles, scores, mean score by region and program."""
-    cohort = prep.library_size_log1p(prep.filtered_cells(_atlas(spark, sf_dir), 100, 5))
-    found = programs.mean_programs(cohort)
-    on = ["sample_id", "gene_id"]
-    scores = cohort.expr.join(F.broadcast(found), on).groupBy(*prep.ON, "program_idx").agg(F.sum(F.col("value") * F.col("weight")).alias("score"))
-    return rounded(scores.groupBy("sample_id", "program_idx").agg(F.avg("score").alias("mean_score"), F.count("*").alias("n_cells")), "mean_score")
+    cohort = _log(prep.filtered_cells(_atlas(spark, sf_dir), 100, 5))
+    found = stored(programs.mean_programs(cohort))
+    numbers = sorted(r[0] for r in found.select("program_idx").distinct().collect())
+    weights = found.groupBy("sample_id", "gene_id").agg(*[F.max(F.when(F.col("program_idx") == k, F.col("weight"))).alias(f"w{k}") for k in numbers])
+    scores = cohort.expr.join(weights, ["sample_id", "gene_id"]).groupBy(*prep.ON).agg(*[F.sum(F.col("value") * F.col(f"w{k}")).alias(f"s{k}") for k in numbers])
+    each = scoring.long(scores, numbers, lambda i: F.col(f"s{numbers[i]}")).where("score is not null")
+    return rounded(each.groupBy("sample_id", "program_idx").agg(F.avg("score").alias("mean_score"), F.count("*").alias("n_cells")), "mean_score")
 
 
 def qc_cells(spark, sf_dir):
@@ -92,7 +113,7 @@ def mean_programs(spark, sf_dir):
 
 
 def consensus_median(spark, sf_dir):
-    return rounded(_vocabulary(spark, sf_dir), "weight").select(F.col("program_idx").cast("long").alias("program_idx"), "gene_id", "weight")
+    return rounded(_words(_logged(spark, sf_dir)), "weight").select(F.col("program_idx").cast("long").alias("program_idx"), "gene_id", "weight")
 
 
 def _scores(df: DataFrame) -> DataFrame:
@@ -100,23 +121,27 @@ def _scores(df: DataFrame) -> DataFrame:
 
 
 def score_direct(spark, sf_dir):
-    return _scores(scoring.direct(_logged(spark, sf_dir), _vocabulary(spark, sf_dir)))
+    return _scores(_direct(spark, sf_dir))
 
 
 def score_gene_std(spark, sf_dir):
-    return _scores(scoring.gene_standardized(_logged(spark, sf_dir), _vocabulary(spark, sf_dir), TRAIN))
+    _, logged, words = _start(spark, sf_dir)
+    return _scores(scoring.gene_standardized(logged, words, TRAIN))
 
 
 def score_count_resid(spark, sf_dir):
-    return _scores(scoring.count_residual(_atlas(spark, sf_dir), _vocabulary(spark, sf_dir), TRAIN))
+    cohort, _, words = _start(spark, sf_dir)
+    return _scores(scoring.count_residual(cohort, words, TRAIN))
 
 
 def score_technical(spark, sf_dir):
-    return _scores(scoring.technical_residual(_atlas(spark, sf_dir), _vocabulary(spark, sf_dir), TRAIN))
+    cohort, _, words = _start(spark, sf_dir)
+    return _scores(scoring.technical_residual(cohort, words, TRAIN))
 
 
 def score_matched_control(spark, sf_dir):
-    return _scores(scoring.matched_control(_logged(spark, sf_dir), _vocabulary(spark, sf_dir), TRAIN, n_top=5, n_bins=5, control_size=50))
+    _, logged, words = _start(spark, sf_dir)
+    return _scores(scoring.matched_control(logged, words, TRAIN, n_top=5, n_bins=5, control_size=50))
 
 
 def spearman_pairs(spark, sf_dir):
@@ -152,9 +177,9 @@ def thresholded_assignment(spark, sf_dir):
     return rounded(gain, "gain")
 
 
-def _two(spark: SparkSession, sf_dir: str, method: str, logged: bool = False, **options) -> DataFrame:
-    cohort = _logged(spark, sf_dir) if logged else _atlas(spark, sf_dir)
-    found = projection.project(cohort, _vocabulary(spark, sf_dir, 2), method, **options)
+def _two(spark: SparkSession, sf_dir: str, method: str, **options) -> DataFrame:
+    cohort, _, words = _start(spark, sf_dir, 2)
+    found = projection.project(cohort, words, method, **options)
     named = found.select("sample_id", "cell_id", F.col("usages")[0].alias("u0"), F.col("usages")[1].alias("u1"), "projection_error", "relative_error", "observed_coverage")
     return rounded(named, "u0", "u1", "projection_error", "relative_error", "observed_coverage", digits=4)
 
@@ -180,33 +205,33 @@ def nb_em_5(spark, sf_dir):
 
 
 def standardize(spark, sf_dir):
-    return _scores(state.standardized(scoring.direct(_logged(spark, sf_dir), _vocabulary(spark, sf_dir)), TRAIN))
+    return _scores(state.standardized(stored(_direct(spark, sf_dir)), TRAIN))
 
 
 def pca_explained(spark, sf_dir):
-    _, shares = state.linear_state(scoring.direct(_logged(spark, sf_dir), _vocabulary(spark, sf_dir, 2)), TRAIN, 2)
-    return rounded(spark.createDataFrame([(i, float(x)) for i, x in enumerate(shares)], "component long, share double"), "share")
+    _, model = state.linear_state(stored(_direct(spark, sf_dir, 2)), TRAIN, 2)
+    return rounded(spark.createDataFrame([(i, float(x)) for i, x in enumerate(model.shares)], "component long, share double"), "share")
 
 
 def reconstruction(spark, sf_dir):
-    cohort, words = _logged(spark, sf_dir), _vocabulary(spark, sf_dir)
+    _, cohort, words = _start(spark, sf_dir)
     found = metrics.reconstruction(cohort, scoring.direct(cohort, words), words, prep.sample_split(cohort, ["3"], ["4"]))
     return rounded(found, "mse", "r2", digits=4)
 
 
 def tech_assoc(spark, sf_dir):
-    cohort = _logged(spark, sf_dir)
-    found = metrics.technical_associations(scoring.direct(cohort, _vocabulary(spark, sf_dir)), metrics.covariate_depth(cohort))
+    _, cohort, words = _start(spark, sf_dir)
+    found = metrics.technical_associations(scoring.direct(cohort, words), metrics.covariate_depth(cohort))
     return rounded(found.withColumn("program_idx", F.col("program_idx").cast("long")), "rho", digits=4)
 
 
 def bootstrap_estimate(spark, sf_dir):
-    scores = scoring.direct(_logged(spark, sf_dir), _vocabulary(spark, sf_dir, 1))
+    scores = _direct(spark, sf_dir, 1)
     return rounded(metrics.bootstrap_estimate(scores, "score"), "estimate")
 
 
 def score_quantiles(spark, sf_dir):
-    scores = scoring.direct(_logged(spark, sf_dir), _vocabulary(spark, sf_dir))
+    scores = _direct(spark, sf_dir)
     out = metrics.quantiles(scores.withColumn("program_idx", F.col("program_idx").cast("long")), ["program_idx"], "score", [0.025, 0.5, 0.975])
     return rounded(out, "q02", "q50", "q98")
 
@@ -219,20 +244,21 @@ def promotion(spark, sf_dir):
 
 
 def store_zero_fill(spark, sf_dir):
-    cohort, words = _atlas(spark, sf_dir), _vocabulary(spark, sf_dir, 2).where("gene_id like 'Brand#1%'")
-    out = artifacts.stored_vocabulary(cohort.genes, words)
+    cohort, _, words = _start(spark, sf_dir, 2)
+    out = artifacts.stored_vocabulary(cohort.genes, words.where("gene_id like 'Brand#1%'"))
     return rounded(out.withColumn("program_idx", F.col("program_idx").cast("long")), "weight")
 
 
 def missing_extra(spark, sf_dir):
-    cohort, words = _atlas(spark, sf_dir), _vocabulary(spark, sf_dir, 1)
+    cohort, _, words = _start(spark, sf_dir, 1)
     few = cohort.kept_genes(cohort.genes.where("gene_id not like 'Brand#2%'"))
     _, missing, extra = prep.aligned(few, words.where("gene_id not like 'Brand#3%'"), strict=False)
     return missing.withColumn("side", F.lit("missing")).unionByName(extra.withColumn("side", F.lit("extra")))
 
 
 def benchmark_table(spark, sf_dir):
-    found = projection.benchmark(projection.compare(_atlas(spark, sf_dir), _vocabulary(spark, sf_dir, 2), ["nnls"]))
+    cohort, _, words = _start(spark, sf_dir, 2)
+    found = projection.benchmark(projection.compare(cohort, words, ["nnls"]))
     return rounded(found, "mean_error", "zero_fraction", "coverage", digits=4)
 
 
@@ -275,15 +301,17 @@ def lineage_vocab(spark, sf_dir):
 
 
 def neural_project(spark, sf_dir):
-    return projection.project(_atlas(spark, sf_dir), _vocabulary(spark, sf_dir, 2), "neural")
+    cohort, _, words = _start(spark, sf_dir, 2)
+    return projection.project(cohort, words, "neural")
 
 
 def variational_project(spark, sf_dir):
-    return projection.project(_atlas(spark, sf_dir), _vocabulary(spark, sf_dir, 2), "variational")
+    cohort, _, words = _start(spark, sf_dir, 2)
+    return projection.project(cohort, words, "variational")
 
 
 def bootstrap_ci(spark, sf_dir):
-    scores = scoring.direct(_logged(spark, sf_dir), _vocabulary(spark, sf_dir, 1))
+    scores = _direct(spark, sf_dir, 1)
     return spark.createDataFrame([metrics.sample_bootstrap(scores, "score")])
 
 
@@ -291,7 +319,8 @@ def bootstrap_ci(spark, sf_dir):
 
 
 def _all(spark: SparkSession, sf_dir: str, method: str, **options) -> DataFrame:
-    return projection.project(_atlas(spark, sf_dir), _vocabulary(spark, sf_dir), method, **options)
+    cohort, _, words = _start(spark, sf_dir)
+    return projection.project(cohort, words, method, **options)
 
 
 def nnls_all(spark, sf_dir):
@@ -323,27 +352,27 @@ def variational_all(spark, sf_dir):
 
 
 def benchmark_all(spark, sf_dir):
-    methods = list(projection.available_projectors())
-    return projection.benchmark(projection.compare(_atlas(spark, sf_dir), _vocabulary(spark, sf_dir), methods, {"regularized_nnls": {"l1": 0.5, "l2": 0.1}}))
+    cohort, _, words = _start(spark, sf_dir)
+    return projection.benchmark(projection.compare(cohort, words, list(projection.available_projectors()), {"regularized_nnls": {"l1": 0.5, "l2": 0.1}}))
 
 
 def pca_explained_all(spark, sf_dir):
-    _, shares = state.linear_state(scoring.direct(_logged(spark, sf_dir), _vocabulary(spark, sf_dir)), TRAIN, 5)
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(shares)], "component long, share double")
+    _, model = state.linear_state(stored(_direct(spark, sf_dir)), TRAIN, 5)
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(model.shares)], "component long, share double")
 
 
 def bootstrap_all(spark, sf_dir):
     """Estimate and interval of each program's score."""
-    scores = scoring.direct(_logged(spark, sf_dir), _vocabulary(spark, sf_dir))
-    return spark.createDataFrame([{"program_idx": k, **metrics.sample_bootstrap(scores.where(F.col("program_idx") == k), "score")} for k in range(5)])
+    return metrics.bootstrap_table(_direct(spark, sf_dir), ["program_idx"], "score")
 
 
 def store_zero_fill_all(spark, sf_dir):
-    return artifacts.stored_vocabulary(_atlas(spark, sf_dir).genes, _vocabulary(spark, sf_dir).where("gene_id like 'Brand#1%'"))
+    cohort, _, words = _start(spark, sf_dir)
+    return artifacts.stored_vocabulary(cohort.genes, words.where("gene_id like 'Brand#1%'"))
 
 
 def missing_extra_all(spark, sf_dir):
-    cohort, words = _atlas(spark, sf_dir), _vocabulary(spark, sf_dir)
+    cohort, _, words = _start(spark, sf_dir)
     few = cohort.kept_genes(cohort.genes.where("gene_id not like 'Brand#2%'"))
     _, missing, extra = prep.aligned(few, words.where("gene_id not like 'Brand#3%'"), strict=False)
     return missing.withColumn("side", F.lit("missing")).unionByName(extra.withColumn("side", F.lit("extra")))
@@ -354,7 +383,7 @@ def expression_pca(spark, sf_dir):
 
 
 def nonlinear_state(spark, sf_dir):
-    return state.nonlinear_state(scoring.direct(_logged(spark, sf_dir), _vocabulary(spark, sf_dir)), TRAIN, 2, 100)[0]
+    return state.nonlinear_state(stored(_direct(spark, sf_dir)), TRAIN, 2, 100)[0]
 
 
 def pipeline_reconstruction(spark, sf_dir):

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.errors import APIError, PipelineError, ValidationError
 from cohortlens.operators import metrics, prep, programs, recurrence, scoring, state
 from cohortlens.schema import Cohort
-from cohortlens.sources.atlas import samples_from_atlas
+from cohortlens.sources import artifacts
+from cohortlens.sources.atlas import named, samples_from_atlas
 from cohortlens.storage import stored
 
 
+#: What a workflow may be asked for, and its defaults: fixed values.
+METHODS = ("cnmf", "nmf")
+PREPROCESSING = ("identity", "library_size_log1p")
+MITOCHONDRIAL, RIBOSOMAL = ("MT-",), ("RPS", "RPL")
+
+
 @dataclass(frozen=True)
 class FitOptions:
     n_programs: int = 8
@@ -27,34 +34,53 @@ class FitOptions:
     prefixes: tuple[str, ...] = ()
     exclude: tuple[str, ...] = ()
     seed: int = 0
+    method: str = "nmf"
+    max_iter: int = 500
+    tol: float = 1e-4
+    layer: str | None = None
+    most_elements: int | None = None
+
+    def __post_init__(self) -> None:
+        if self.method not in METHODS:
+            raise APIError(f"method {self.method} isn't one of {', '.join(METHODS)}")
+        if self.preprocessing not in PREPROCESSING:
+            raise APIError(f"preprocessing {self.preprocessing} isn't one of {', '.join(PREPROCESSING)}")
+        if self.n_programs < 1 or self.n_repeats < 1:
+            raise APIError("programs and repeats have to be positive")
+
+
+def preprocessed(cohort: Cohort, name: str) -> Cohort:
+    return prep.library_size_log1p(cohort) if name == "library_size_log1p" else cohort
 
 
 def prepared(cohort: Cohort, o: FitOptions) -> Cohort:
     """Cell checks, gene selection, normalisation, in that order."""
-    out = prep.filtered_cells(prep.validated(cohort), o.min_counts, o.min_genes)
+    out = prep.filtered_cells(prep.validated(cohort.matrix(o.layer)), o.min_counts, o.min_genes)
     if o.n_top_genes is not None or o.min_cells_per_gene or o.prefixes or o.exclude:
         out = out.kept_genes(prep.selected_genes(out, None, o.n_top_genes, o.min_cells_per_gene, o.prefixes, o.exclude).select("gene_id"))
-    if o.preprocessing not in ("library_size_log1p", "identity"):
-        raise APIError(f"unknown preprocessing {o.preprocessing}")
-    return prep.library_size_log1p(out) if o.preprocessing == "library_size_log1p" else out
+    return preprocessed(out, o.preprocessing)
 
 
 def fit(cohort: Cohort, options: FitOptions = FitOptions()) -> dict[str, DataFrame]:
-    """Programs, stability and usages of a single sample."""
+    """Programs, stability, usages and diagnostics of a single sample."""
     return _fit_each(prep.single_sample(cohort), options)
 
 
 def _fit_each(cohort: Cohort, o: FitOptions) -> dict[str, DataFrame]:
-    ready = prepared(cohort, o)
-    runs = programs.fitted_programs(ready, o.n_programs, o.seed, o.n_repeats, own_axis=True)
-    runs = stored(runs)
+    ready = prepared(cohort, o).stored()
+    if o.most_elements is not None:
+        prep.require_dense(ready, o.most_elements)
+    runs = stored(programs.fitted_programs(ready, o.n_programs, o.seed, o.n_repeats, programs.nmf_estimator(o.max_iter, o.tol), own_axis=True))
     if o.n_repeats > 1:
         found, stability = programs.stabilised(runs, o.stability_threshold)
+        found = stored(found)
     else:
-        found, stability = runs.drop("run"), runs.sparkSession.createDataFrame([], "sample_id string, run int, anchor_idx int, matched_idx int, similarity double, retained boolean")
+        found, stability = runs.drop("run", "sweeps"), runs.sparkSession.createDataFrame([], "sample_id string, run int, anchor_idx int, matched_idx int, similarity double, retained boolean")
     on = ["sample_id", "gene_id"]
-    usages = ready.expr.join(F.broadcast(found.select(*on, "program_idx", "weight")), on).groupBy(*prep.ON, "program_idx").agg(F.sum(F.col("value") * F.col("weight")).alias("usage"))
-    return {"programs": found, "stability": stability, "usages": usages}
+    sums = ready.expr.join(found.select(*on, "program_idx", "weight"), on).groupBy(*prep.ON, "program_idx").agg(F.sum(F.col("value") * F.col("weight")).alias("usage"))
+    every = ready.cells.select(*prep.ON).join(found.select("sample_id", "program_idx").distinct(), "sample_id")
+    usages = every.join(sums, [*prep.ON, "program_idx"], "left").fillna({"usage": 0.0})
+    return {"programs": found, "stability": stability, "usages": usages, "diagnostics": programs.diagnostics(runs)}
 
 
 def fit_atlas(cohort: Cohort, options: FitOptions = FitOptions(), min_samples: int = 2, min_similarity: float = 0.3, n_permutations: int = 1000, max_redundancy: float | None = None) -> dict:
@@ -65,6 +91,34 @@ def fit_atlas(cohort: Cohort, options: FitOptions = FitOptions(), min_samples: i
     return aggregate(_fit_each(cohort, options), min_samples, min_similarity, n_permutations, max_redundancy, options.seed)
 
 
+def fit_samples(sources: dict[str, Cohort], options: FitOptions = FitOptions(), min_samples: int = 2, **reduction) -> dict:
+    """Fit each of several sources, a sample each, on the genes that it has itself, then reduce as ``fit_atlas`` does."""
+    if not 2 <= min_samples <= len(sources):
+        raise APIError(f"min_samples has to be 2 to {len(sources)}")
+    parts = [_fit_each(named(prep.single_sample(one), name), options) for name, one in sources.items()]
+    return aggregate(together(parts), min_samples, seed=options.seed, **reduction)
+
+
+def together(parts: list[dict[str, DataFrame]]) -> dict[str, DataFrame]:
+    """The union of results that were fitted apart; a sample may be in one only."""
+    if not parts:
+        raise APIError("there are no results to aggregate")
+    out = {}
+    for k in set.intersection(*(set(p) for p in parts)):
+        every = parts[0][k]
+        for p in parts[1:]:
+            every = every.unionByName(p[k], allowMissingColumns=True)
+        out[k] = every
+    own = [p["programs"].select("sample_id").distinct() for p in parts]
+    every = own[0]
+    for o in own[1:]:
+        every = every.unionAll(o)
+    twice = every.groupBy("sample_id").count().where("count > 1").first()
+    if twice:
+        raise APIError(f"sample {twice['sample_id']} is in several results")
+    return out
+
+
 def aggregate(fitted: dict[str, DataFrame], min_samples: int = 2, min_similarity: float = 0.3, n_permutations: int = 1000, max_redundancy: float | None = None, seed: int = 0) -> dict:
     """The one reduction of per-sample results to recurrence and vocabulary."""
     found = recurrence.compute_recurrence(fitted["programs"], min_similarity, n_permutations, seed)
@@ -72,6 +126,22 @@ def aggregate(fitted: dict[str, DataFrame], min_samples: int = 2, min_similarity
     return fitted | {"recurrence": found, "vocabulary": built and built[0], "members": built and built[1]}
 
 
+#: Settings that results must share to be aggregated.
+AGREE = ("method", "preprocessing", "n_repeats")
+
+
+def saved_results(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict]:
+    """Per-sample results below ``path`` (one artifact, or a folder of them), and the settings that they share."""
+    found = artifacts.load_each(spark, path, "programs")
+    for key in AGREE:
+        values: dict[str, list[str]] = {}
+        for name, (_, parameters) in found.items():
+            values.setdefault(str(parameters.get(key)), []).append(name)
+        if len(values) > 1:
+            raise APIError(f"results differ in {key}: {values}")
+    return together([tables for tables, _ in found.values()]), next(iter(found.values()))[1]
+
+
 @dataclass(frozen=True)
 class PipelineConfig:
     validation: tuple[str, ...] = ()
@@ -84,6 +154,19 @@ class PipelineConfig:
     n_permutations: int = 1000
     n_components: int = 2
     seed: int = 0
+    layer: str | None = None
+    state_methods: tuple[str, ...] = ("direct", "linear", "nonlinear", "pca")
+    most_elements: int = 10_000_000
+
+    def __post_init__(self) -> None:
+        if self.n_programs < 1 or self.n_components < 1 or self.min_samples < 2:
+            raise PipelineError("programs and components have to be positive, min_samples at least 2")
+        if self.preprocessing not in PREPROCESSING:
+            raise PipelineError(f"preprocessing {self.preprocessing} isn't one of {', '.join(PREPROCESSING)}")
+        if self.scorer not in SCORERS:
+            raise PipelineError(f"unknown scorer {self.scorer}")
+        if not self.state_methods or set(self.state_methods) - set(state.METHODS):
+            raise PipelineError(f"state methods are some of {', '.join(state.METHODS)}")
 
 
 @dataclass
@@ -93,42 +176,56 @@ class PipelineResult:
     vocabulary: DataFrame
     members: DataFrame
     scores: DataFrame
+    coordinates: dict[str, DataFrame] = field(default_factory=dict)
     reports: dict[str, DataFrame] = field(default_factory=dict)
 
 
-SCORERS = {"direct": lambda c, v, t: scoring.direct(c, v), "gene_standardized": scoring.gene_standardized, "count_residual": scoring.count_residual, "technical_residual": scoring.technical_residual, "matched_control": scoring.matched_control}
+def _matched(c: Cohort, v: DataFrame, t: list[str]) -> DataFrame:
+    n = v.select("gene_id").distinct().count()
+    return scoring.matched_control(c, v, t, n_top=min(50, n - 1), n_bins=min(25, n))
+
+
+SCORERS = {"direct": lambda c, v, t: scoring.direct(c, v), "gene_standardized": scoring.gene_standardized, "count_residual": scoring.count_residual, "technical_residual": scoring.technical_residual, "matched_control": _matched}
 
 
 def fit_pipeline(cohort: Cohort, config: PipelineConfig, fitter=None) -> PipelineResult:
-    """Programs of the training samples, their vocabulary, scores of all cells and reports by partition."""
-    if config.scorer not in SCORERS:
-        raise PipelineError(f"unknown scorer {config.scorer}")
+    """Programs of the training samples, their vocabulary, scores and states of all cells and reports by partition.
+
+    Nothing fitted sees a held-out sample. Reports are ``reconstruction`` (of
+    values by the vocabulary), ``associations``, and for each state method its
+    reconstruction and the bootstrap of its coordinates over samples.
+    """
+    cohort = cohort.matrix(config.layer)
     split = prep.sample_split(prep.validated(cohort, 2), config.validation, config.test)
     train = [r["sample_id"] for r in split.where("partition = 'train'").orderBy("sample_id").collect()]
-    if len(train) < config.min_samples:
-        raise PipelineError(f"{config.min_samples} training samples are needed; there are {len(train)}")
-    ready = prep.library_size_log1p(cohort) if config.preprocessing == "library_size_log1p" else cohort
+    if len(train) < 2:
+        raise PipelineError("two training samples are needed")
+    ready = preprocessed(cohort, config.preprocessing).stored()
     learn = ready.kept_samples(train)
-    fitted = fitter(learn) if fitter else programs.fitted_programs(learn, config.n_programs, config.seed).drop("run")
-    vocabulary, members = recurrence.recurrent_vocabulary(fitted, config.min_samples, config.min_similarity, config.n_permutations, seed=config.seed)
+    fitted = fitter(learn) if fitter else programs.fitted_programs(learn, config.n_programs, config.seed).drop("run", "sweeps")
+    vocabulary, members = recurrence.recurrent_vocabulary(fitted, min(config.min_samples, len(train)), config.min_similarity, config.n_permutations, seed=config.seed)
     scores = stored(SCORERS[config.scorer](ready, vocabulary, train))
-    reports = {
-        "reconstruction": metrics.reconstruction(ready, scores, vocabulary, split),
-        "associations": metrics.technical_associations(scores, metrics.covariate_depth(ready)),
-        "direct": state.standardized(scores, train),
-    }
-    return PipelineResult(config, split, vocabulary, members, scores, reports)
+    reports = {"reconstruction": metrics.reconstruction(ready, scores, vocabulary, split), "associations": metrics.technical_associations(scores, metrics.covariate_depth(ready))}
+    coordinates = {}
+    for method in config.state_methods:
+        found = state.fitted(method, scores, ready, train, config.n_components, config.seed, config.most_elements)
+        coordinates[method] = stored(found.coordinates)
+        reports[f"{method}_reconstruction"] = found.reconstruction(split)
+        each = coordinates[method].select(*prep.ON, F.posexplode("coordinates").alias("coordinate", "value"))
+        reports[f"{method}_bootstrap"] = metrics.bootstrap_table(each, ["coordinate"], seed=config.seed)
+    return PipelineResult(config, split, vocabulary, members, scores, coordinates, reports)
 
 
 def tuned(cohort: Cohort, candidates: list[PipelineConfig], fitter=None) -> tuple[int, list[float]]:
     """The candidate with the least validation error (the first of equals), and all errors."""
     if not candidates or len({c.test for c in candidates}) > 1 or any(not c.validation for c in candidates):
         raise PipelineError("candidates need validation samples and the same test samples")
+    candidates = [replace(c, state_methods=("direct",)) for c in candidates]  # states don't bear on the choice
     errors = [fit_pipeline(cohort, c, fitter).reports["reconstruction"].where("partition = 'validation'").first()["mse"] for c in candidates]
     return min(range(len(errors)), key=lambda i: (errors[i], i)), errors
 
 
-#: Gates in the order in which failures are named.
+#: Gates in the order in which failures are named: fixed values.
 GATES = (
     "independent study", "held-out transfer", "baseline comparison", "technical controls",
     "sample-level uncertainty", "recurrence diagnostics", "redundancy diagnostics", "post-fit interpretation",

@@ -14,14 +14,23 @@ SCHEMA_VERSION = 1
 
 
 def save(tables: dict[str, DataFrame], path: str, artifact: str, parameters: dict | None = None, overwrite: bool = False) -> None:
-    """Write each table below ``path``; an existing artifact is refused unless overwritten. No time stamps are stored."""
+    """Write each table below ``path``; an existing artifact is refused unless overwritten. No time stamps are stored.
+
+    Metadata come last, so a save that failed can't be loaded.
+    """
     mode = "overwrite" if overwrite else "error"
     spark = next(iter(tables.values())).sparkSession
-    meta = {"schema_version": SCHEMA_VERSION, "artifact": artifact, "version": __version__, "tables": sorted(tables), "parameters": parameters or {}}
-    spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string").coalesce(1).write.mode(mode).text(f"{path}/meta")
+
+    def described(as_: dict) -> None:
+        spark.createDataFrame([(json.dumps(as_, sort_keys=True),)], "value string").coalesce(1).write.mode(mode).text(f"{path}/meta")
+
+    if overwrite:
+        described({"schema_version": SCHEMA_VERSION, "artifact": "incomplete"})
     for name, df in tables.items():
         keys = [c for c in ("sample_id", "cell_id", "program_idx", "gene_pos") if c in df.columns]
         (df.sortWithinPartitions(*keys) if keys else df).write.mode(mode).parquet(f"{path}/{name}")
+    meta = {"schema_version": SCHEMA_VERSION, "artifact": artifact, "version": __version__, "tables": sorted(tables), "parameters": parameters or {}}
+    described(meta)
 
 
 def load(spark: SparkSession, path: str, artifact: str) -> tuple[dict[str, DataFrame], dict]:
@@ -32,9 +41,39 @@ def load(spark: SparkSession, path: str, artifact: str) -> tuple[dict[str, DataF
     return {n: spark.read.parquet(f"{path}/{n}") for n in meta["tables"]}, meta["parameters"]
 
 
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Folders right below a path, by Spark's own listing; none if the path isn't there."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f.getPath().toString() for f in fs.listStatus(top) if f.isDirectory()) if fs.exists(top) else []
+
+
+def is_artifact(spark: SparkSession, path: str) -> bool:
+    return any(f.rsplit("/", 1)[-1] == "meta" for f in _folders(spark, path))
+
+
+def load_each(spark: SparkSession, path: str, artifact: str) -> dict[str, tuple[dict[str, DataFrame], dict]]:
+    """Folder name -> tables and parameters of an artifact, or of every one right below ``path`` (not deeper)."""
+    if is_artifact(spark, path):
+        return {path.rstrip("/").rsplit("/", 1)[-1]: load(spark, path, artifact)}
+    found = {f.rsplit("/", 1)[-1]: load(spark, f, artifact) for f in _folders(spark, path) if is_artifact(spark, f)}
+    if not found:
+        raise InputError(f"no {artifact} below {path}")
+    return found
+
+
+def report(df: DataFrame, path: str, sep: str = "\t", overwrite: bool = False) -> None:
+    """A small table as delimited text with a header, arrays as JSON."""
+    flat = [F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f.name) for f in df.schema]
+    df.select(*flat).coalesce(1).write.mode("overwrite" if overwrite else "error").option("header", True).option("sep", sep).csv(path)
+
+
 def stored_vocabulary(genes: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """The vocabulary on a whole gene axis: genes outside it weigh 0."""
-    programs = vocabulary.select("program_idx").distinct()
-    full = genes.crossJoin(F.broadcast(programs))  # a few programs by the axis: what is returned, row by row
+    programs = sorted(r[0] for r in vocabulary.select("program_idx").distinct().collect())
+    if not programs:
+        return vocabulary.select("program_idx", "gene_id", "weight")
+    full = genes.withColumn("program_idx", F.explode(F.array(*[F.lit(p) for p in programs])))
     joined = full.join(vocabulary.select("program_idx", "gene_id", "weight"), ["program_idx", "gene_id"], "left")
     return joined.select("program_idx", "gene_id", F.coalesce("weight", F.lit(0.0)).alias("weight"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.errors import SampleError
 from cohortlens.schema import CELLS, EXPR, GENES, Cohort
+from cohortlens.storage import stored
 
 
 def trimmed(column) -> F.Column:
@@ -14,16 +15,20 @@ def trimmed(column) -> F.Column:
 
 
 def orders_atlas(spark: SparkSession, sf_dir: str, gene: str = "p_brand") -> Cohort:
-    """Customers as cells, brands as genes, ordered quantity as value; regions are samples, market segments lineages."""
+    """Customers as cells, brands as genes, ordered quantity as value; regions are samples, market segments lineages.
+
+    The joins run once; what follows reads their stored result.
+    """
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     lines = read("lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     values = lines.join(read("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(read("part").select("p_partkey", F.col(gene).cast("string").alias("gene_id")), F.col("l_partkey") == F.col("p_partkey"))
     summed = values.groupBy(F.col("o_custkey").alias("cell_pos"), "gene_id").agg(F.sum("l_quantity").alias("value"))
     who = read("customer").join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     who = who.select(F.col("n_regionkey").cast("string").alias("sample_id"), F.col("c_custkey").cast("string").alias("cell_id"), F.col("c_custkey").alias("cell_pos"), F.col("c_mktsegment").alias("lineage"))
-    expr = who.join(summed, "cell_pos").select("sample_id", "cell_id", "gene_id", F.col("value").cast("double").alias("value"))
-    cells = who.join(summed.select("cell_pos"), "cell_pos", "left_semi").select("sample_id", "cell_id", "cell_pos", "lineage")
-    return Cohort(cells, gene_axis(read("part").select(F.col(gene).cast("string").alias("gene_id"))), expr.where("value <> 0"))
+    wide = stored(who.join(summed, "cell_pos").select("sample_id", "cell_id", "cell_pos", "lineage", "gene_id", F.col("value").cast("double").alias("value")))
+    cells = stored(wide.select("sample_id", "cell_id", "cell_pos", "lineage").distinct())
+    genes = stored(gene_axis(read("part").select(F.col(gene).cast("string").alias("gene_id"))))
+    return Cohort(cells, genes, wide.where("value <> 0").select("sample_id", "cell_id", "gene_id", "value"))
 
 
 def gene_axis(ids: DataFrame) -> DataFrame:
@@ -40,22 +45,29 @@ def from_rows(spark: SparkSession, cells: list[tuple], values: list[tuple], gene
 
 
 def samples_from_atlas(cohort: Cohort, min_samples: int = 2) -> list[str]:
-    """Sorted sample ids; fewer than ``min_samples`` raise."""
-    ids = [r[0] for r in cohort.cells.select(trimmed(F.col("sample_id"))).distinct().limit(100_000).collect()]
+    """Sorted sample ids (one row a sample, all of them); fewer than ``min_samples`` raise."""
+    ids = [r[0] for r in cohort.cells.select(trimmed(F.col("sample_id"))).distinct().collect()]
     if len(ids) < min_samples:
         raise SampleError(f"{min_samples} samples are needed; there are {len(ids)}")
     return sorted(ids)
 
 
+def named(cohort: Cohort, name: str) -> Cohort:
+    """A cohort of one sample under another id."""
+    if not name.strip():
+        raise SampleError("a sample id can't be blank")
+    name_it = {"sample_id": F.lit(name.strip())}
+    return cohort.with_(cells=cohort.cells.withColumns(name_it), **cohort._each(lambda x: x.withColumns(name_it)))
+
+
 def samples_from_sources(sources: dict[str, Cohort]) -> Cohort:
     """Union of single-sample cohorts under their given ids, on the genes that all of them have."""
     labelled = {}
     for name, one in sources.items():
         key = name.strip()
-        if not key or key in labelled:
-            raise SampleError(f"sample ids have to be different and not blank: {name!r}")
-        name_it = {"sample_id": F.lit(key)}
-        labelled[key] = one.with_(cells=one.cells.withColumns(name_it), expr=one.expr.withColumns(name_it))
+        if key in labelled:
+            raise SampleError(f"sample ids have to be different: {name!r}")
+        labelled[key] = named(one, key)
     parts = list(labelled.values())
     cells, expr = parts[0].cells, parts[0].expr
     every = parts[0].genes.select("gene_id")

@@ -1,20 +1,43 @@
-"""Tables written to the shared folder, to cut a plan that has grown long."""
+"""Tables written to the shared folder: a plan that would be run again is run once and read from there."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table below ``spark.checkpoint.dir`` (a temporary folder where that is unset)."""
-    spark = df.sparkSession
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; only on a single machine, where that is unset, a temporary folder."""
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="cohortlens-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/model-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table below the shared folder.
+
+    The optimiser knows the size of such a table, so it broadcasts it in a join
+    only below ``spark.sql.autoBroadcastJoinThreshold``.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the tables stored so far by this driver; what was read from them must have been written elsewhere. Returns their number."""
+    n = len(_written)
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n

@@ -9,9 +9,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cohortlens import cli, errors
+from cohortlens import cli, errors, storage
 from cohortlens.functions import kernels
-from cohortlens.operators import metrics, prep, programs, projection, recurrence, scoring, state
+from cohortlens.operators import metrics, network, prep, programs, projection, recurrence, scoring, state
 from cohortlens.plans import catalogue, pipeline
 from cohortlens.sources import artifacts, atlas, matrix_market
 from cohortlens.streaming.projection import scored_stream
@@ -257,6 +257,8 @@ def test_pipeline_and_tuning(spark):
     assert best == 0 and found[0] == found[1]
     with pytest.raises(errors.PipelineError):
         pipeline.fit_pipeline(cohort, pipeline.PipelineConfig(validation=("d1", "d2")))
+    with pytest.raises(errors.PipelineError):
+        pipeline.PipelineConfig(state_methods=("other",))
 
 
 def test_hierarchy(spark):
@@ -275,14 +277,31 @@ def test_states_and_reports(spark, small):
     z = (raw - raw[train].mean(0)) / raw[train].std(0)
     got = table(state.standardized(scores, ["d0", "d1"]))
     assert all(got[f"c{i}", k] == pytest.approx(z[i, k]) for i in range(18) for k in range(2))
-    coordinates, shares = state.linear_state(scores, ["d0", "d1"], 2)
-    assert shares.sum() == pytest.approx(1) and coordinates.count() == 36
+    by = state.scaler(scores, ["d0", "d1"])
+    back = table(state.unstandardized(state.standardized(scores, ["d0", "d1"], by), by))
+    assert all(back[f"c{i}", k] == pytest.approx(raw[i, k]) for i in range(18) for k in range(2))
+    coordinates, model = state.linear_state(scores, ["d0", "d1"], 2)
+    assert model.shares.sum() == pytest.approx(1) and coordinates.count() == 18
+    turned = np.linalg.svd(z[train], full_matrices=False)[2]
+    for r in coordinates.collect():
+        assert np.allclose(np.abs(r["coordinates"]), np.abs(z[int(r["cell_id"][1:])] @ turned.T), atol=1e-8)
+    for r in state.inverse(coordinates, model).collect():
+        assert np.allclose(r["x"], raw[int(r["cell_id"][1:])])
     flat, _ = state.expression_pca(cohort, ["d0", "d1"], 2)
     centred = x - x[train].mean(0)
     axes = np.linalg.svd(centred[train], full_matrices=False)[2][:2]
     for r in flat.collect():
         assert np.allclose(np.abs(r["coordinates"]), np.abs(centred[int(r["cell_id"][1:])] @ axes.T), atol=1e-6)
-    assert state.nonlinear_state(scores, ["d0", "d1"], 1, 30)[0].count() == 18
+    bent, model = state.nonlinear_state(scores, ["d0", "d1"], 1, 60)
+    assert bent.count() == 18 and all(abs(r["coordinates"][0]) <= 1 for r in bent.collect())
+    given = np.array([r["x"] for r in state.inverse(bent, model).orderBy(F.substring("cell_id", 2, 9).cast("int")).collect()])
+    shrunk = ((raw - given)[train] ** 2).sum() / ((raw - raw[train].mean(0))[train] ** 2).sum()
+    assert shrunk < 0.8
+    for method in state.METHODS:
+        done = state.fitted(method, scores, cohort, ["d0", "d1"], 1)
+        for r in done.reconstruction(prep.sample_split(cohort, ["d2"])).collect():
+            assert r["n_cells"] == (train if r["partition"] == "train" else ~train).sum() and r["r2"] <= 1 + 1e-9
+            assert method != "direct" or r["mse"] == 0
     split = prep.sample_split(cohort, ["d2"])
     for r in metrics.reconstruction(cohort, scores, words, split).collect():
         m = train if r["partition"] == "train" else ~train
@@ -336,11 +355,86 @@ def test_artifacts_and_command_line(spark, tmp_path):
         artifacts.save({"cells": cohort.cells}, source, "cohort")
     with pytest.raises(errors.InputError):
         artifacts.load(spark, source, "vocabulary")
-    assert cli.main(["fit", source, fitted, "--n-programs", "2", "--n-repeats", "2", "--n-permutations", "5"], spark) == 0
-    tables, parameters = artifacts.load(spark, fitted, "vocabulary")
-    assert {"programs", "stability", "usages", "pairs", "vocabulary", "members"} == set(tables) and parameters["preprocessing"] == "library_size_log1p"
-    assert cli.main(["compare", source, states, fitted, "--methods", "nnls,poisson"], spark) == 0
-    assert artifacts.load(spark, states, "states")[0]["comparison"].count() == 6
+    fit = ["--n-programs", "2", "--n-repeats", "2", "--preprocessing", "identity"]
+    assert cli.main(["fit", "--input", source, "--output", fitted, "--n-permutations", "5", *fit], spark) == 0
+    tables, parameters = artifacts.load(spark, f"{fitted}/samples", "programs")
+    assert {"programs", "stability", "usages", "diagnostics"} == set(tables) and parameters["method"] == "cnmf"
+    assert tables["diagnostics"].where("converged and n_iter > 0").count() == 6 and tables["usages"].count() == 2 * cohort.cells.count()
+    assert cli.main(["compare", "--input", source, "--vocabulary", f"{fitted}/vocabulary", "--output", states, "--methods", "nnls,regularized_nnls,poisson"], spark) == 0
+    shown = spark.read.option("header", True).option("sep", "\t").csv(f"{states}/benchmark.tsv")
+    assert shown.count() == 9 and shown.columns[:2] == ["method", "sample_id"]
+    for method in ("regularized_nnls", "direct"):
+        assert cli.main(["project", "--input", source, "--vocabulary", f"{fitted}/vocabulary", "--output", str(tmp_path / method), "--method", method], spark) == 0
+    with pytest.raises(errors.APIError, match="fitted after identity"):
+        cli.main(["project", "--input", source, "--vocabulary", f"{fitted}/vocabulary", "--output", str(tmp_path / "x"), "--preprocessing", "library_size_log1p"], spark)
+    with pytest.raises(SystemExit):
+        cli.main(["compare", "--input", source, "--vocabulary", fitted, "--output", states, "--methods", "nnls,,nnls"], spark)
+
+
+def test_samples_fitted_apart_aggregate_like_an_atlas(spark, tmp_path):
+    cohort = blocks(spark)
+    fit = ["--n-programs", "2", "--n-repeats", "2", "--preprocessing", "identity"]
+    samples = [r[0] for r in cohort.cells.select("sample_id").distinct().collect()]
+    for s in samples:
+        cli.save_cohort(cohort.kept_samples([s]), str(tmp_path / f"in-{s}"))
+        assert cli.main(["fit", "--input", str(tmp_path / f"in-{s}"), "--sample-id", s, "--output", str(tmp_path / "apart"), *fit], spark) == 0
+    cli.save_cohort(cohort, str(tmp_path / "in"))
+    rest = ["--min-similarity", "0.0", "--n-permutations", "5"]
+    assert cli.main(["aggregate", "--input", str(tmp_path / "apart"), "--output", str(tmp_path / "one"), *rest], spark) == 0
+    assert cli.main(["fit", "--input", str(tmp_path / "in"), "--output", str(tmp_path / "two"), *fit, *rest], spark) == 0
+    one, two = (sorted(tuple(r) for r in artifacts.load(spark, f"{tmp_path}/{k}/vocabulary", "vocabulary")[0]["vocabulary"].collect()) for k in ("one", "two"))
+    assert one and [r[:3] for r in one] == [r[:3] for r in two] and np.allclose([r[3] for r in one], [r[3] for r in two])
+    whole = pipeline.fit_samples({s: cohort.kept_samples([s]) for s in samples}, pipeline.FitOptions(2, 2, preprocessing="identity"), 2, min_similarity=0.0, n_permutations=5)
+    assert np.allclose(sorted(r["weight"] for r in whole["vocabulary"].collect()), sorted(r[3] for r in one))
+    other = ["--n-programs", "2", "--n-repeats", "1", "--preprocessing", "identity"]
+    assert cli.main(["fit", "--input", str(tmp_path / f"in-{samples[0]}"), "--sample-id", "other", "--output", str(tmp_path / "apart"), *other], spark) == 0
+    with pytest.raises(errors.APIError, match="n_repeats"):
+        cli.main(["aggregate", "--input", str(tmp_path / "apart"), "--output", str(tmp_path / "three")], spark)
+
+
+def test_run_command(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    genes = ["MT-G0", "G1", "G2", "RPS3", "G4", "G5", "G6", "G7"]
+    cells = [(s, f"{s}{i}", None) for s in ("a", "b", "c", "held") for i in range(6)]
+    cohort = atlas.from_rows(spark, cells, [(s, c, g, int(v)) for s, c, _ in cells for g, v in zip(genes, rng.integers(1, 30, len(genes)))], genes)
+    cli.save_cohort(cohort.with_(layers={"counts": cohort.expr}), str(tmp_path / "in"))
+    run = ["run", "--input", str(tmp_path / "in"), "--output", str(tmp_path / "out"), "--test-samples", "held", "--n-programs", "2", "--n-permutations", "5", "--min-similarity", "-1", "--remove-mitochondrial", "--remove-ribosomal", "--exclude-genes", "g7", "--n-top-genes", "4", "--state-components", "1", "--layer", "counts"]
+    assert cli.main(run, spark) == 0
+    tables, parameters = artifacts.load(spark, f"{tmp_path}/out/candidate", "vocabulary")
+    kept = {r[0] for r in tables["vocabulary"].select("gene_id").distinct().collect()}
+    assert len(kept) == 4 and kept <= {"G1", "G2", "G4", "G5", "G6"} and parameters["validated"] is False
+    assert {"coordinates_direct", "coordinates_linear", "coordinates_pca"} <= set(tables) and tables["activities"].count() == 48
+    rows = spark.read.option("header", True).csv(f"{tmp_path}/out/linear_bootstrap.csv").collect()
+    assert len(rows) == 1 and float(rows[0]["low"]) <= float(rows[0]["estimate"]) <= float(rows[0]["high"])
+
+
+def test_layers_and_symbols(spark):
+    cohort = atlas.from_rows(spark, [("a", "x", None), ("b", "y", None)], [("a", "x", "e1", 2), ("b", "y", "e2", 3)])
+    named = cohort.with_(genes=cohort.genes.withColumn("gene_symbol", F.when(F.col("gene_id") == "e1", "mt-Nd1")))
+    assert [r["gene_id"] for r in prep.selected_genes(named, prefixes=["MT-"]).collect()] == ["e2"]
+    layered = cohort.with_(layers={"twice": cohort.expr.withColumn("value", F.col("value") * 2)})
+    assert sorted(r["value"] for r in layered.kept_samples(["b"]).matrix("twice").expr.collect()) == [6.0]
+    with pytest.raises(errors.InputError):
+        cohort.matrix("none")
+    with pytest.raises(errors.SampleError):
+        cohort.known_samples(["a", "z"])
+
+
+def test_networks_learn_from_all_rows(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(300, 3))
+    y = np.tanh(x @ rng.normal(size=(3, 2)))
+    rows = storage.stored(spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(x, y)], "x array<double>, y array<double>").repartition(5))
+    pairs = lambda b: (np.array(b["x"].tolist()), np.array(b["y"].tolist()))
+    flat, sizes, step = kernels.network_start([3, 4, 2], 1), [3, 4, 2], 1e-6
+    slope = kernels.network_gradient(x, y, flat, sizes, True)
+    for i in (0, 7, 13, 20):
+        moved = flat.copy()
+        moved[i] += step
+        assert (kernels.network_gradient(x, y, moved, sizes, True)[0] - slope[0]) / step == pytest.approx(slope[1 + i], rel=1e-3, abs=1e-3)
+    assert np.allclose(network.summed(rows, lambda b: kernels.network_gradient(*pairs(b), flat, sizes, True)), slope)
+    layers = network.trained(rows, pairs, sizes, 40, 1, 0.0, tanh=True)
+    assert ((kernels.network_output(x, layers, tanh=True) - y) ** 2).mean() < 0.05 * (y**2).mean()
 
 
 def test_samples_from_sources(spark, small):
@@ -375,7 +469,7 @@ def test_entry_and_catalogue(spark):
 
 def test_whole_queries_match_brute_force(spark):
     sf = "/root/testdata/sf0.001"
-    words = catalogue._vocabulary(spark, sf).toPandas().pivot(index="gene_id", columns="program_idx", values="weight").fillna(0.0).sort_index()
+    words = catalogue._words(catalogue._logged(spark, sf)).toPandas().pivot(index="gene_id", columns="program_idx", values="weight").fillna(0.0).sort_index()
     basis = words.to_numpy()
     cells = catalogue._atlas(spark, sf).expr.toPandas().pivot_table(index=["sample_id", "cell_id"], columns="gene_id", values="value", fill_value=0.0).reindex(columns=words.index, fill_value=0.0)
     supports = [[j for j in range(5) if mask >> j & 1] for mask in range(1, 32)]

@@ -11,8 +11,11 @@ inside a text, are escaped by a backslash that reading takes out again.
 Edge cases: null texts and roles are empty; a record of an unknown layout gives
 ``mapped = false`` and no turns; turns with equal numbers are ordered by role,
 then text, and null numbers come first; a null conversation id is a
-conversation of its own; an empty table gives an empty result. A conversation
-is one row, so one conversation has to fit into a task.
+conversation of its own; a conversation and its texts may be of any length that
+fits into a task, as it is one row; repeated rows are turns like others; an
+empty table gives an empty result; other columns of the records are passed on,
+but for those named layout, fingerprint, mapped, turns, formatted and
+loss_spans, which are replaced.
 """
 
 from __future__ import annotations
@@ -186,12 +189,51 @@ def loss_spans(turns: Column, role: str = "assistant") -> Column:
     return F.aggregate(turns, start, step)["spans"]
 
 
-def conversation_records(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Rows of single turns -> one JSON record per conversation (conv_id, record), in the ``messages`` layout."""
+def turn_lists(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """Rows of single turns -> conv_id and turns (role, content) in order."""
     turn = F.struct(F.col(turn_col).alias("n"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
     grouped = rows.select(F.col(conv_col).alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    messages = F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
-    return grouped.select("conv_id", F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    return grouped.select("conv_id", F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("turns"))
+
+
+def conversation_records(rows: DataFrame, **columns) -> DataFrame:
+    """One JSON record per conversation (conv_id, record), all in the ``messages`` layout."""
+    return turn_lists(rows, **columns).select("conv_id", F.to_json(F.struct(F.col("turns").alias("messages"))).alias("record"))
+
+
+def assorted_records(rows: DataFrame, **columns) -> DataFrame:
+    """One JSON record per conversation (conv_id, record), as sources of every layout would send them.
+
+    The id picks one of the layouts that can hold the conversation: pairs of a
+    user and an assistant turn (a system turn may come first) fit into all, a
+    system turn in front into those that name one, anything else into lists of
+    turns.
+    """
+    lists = turn_lists(rows, **columns)
+    turns, n = F.col("turns"), F.size("turns")
+    roles = F.transform(turns, lambda t: t["role"])
+    system = (n > 0) & (F.try_element_at(turns, F.lit(1))["role"] == "system") & (F.try_element_at(turns, F.lit(1))["content"] != "")
+    rest = F.when(system, F.slice(turns, 2, n)).otherwise(turns)
+    said = lambda k: F.try_element_at(rest, F.lit(k))["content"]
+    pair = F.transform(rest, lambda t: t["role"]) == F.array(F.lit("user"), F.lit("assistant"))
+    first = F.when(system, F.try_element_at(turns, F.lit(1))["content"])
+    plain = ~F.arrays_overlap(roles, F.array(F.lit("human"), F.lit("gpt")))
+    names = lambda r: F.when(r == "user", "human").when(r == "assistant", "gpt").otherwise(r)
+    shared = F.transform(turns, lambda t: F.struct(names(t["role"]).alias("from"), t["content"].alias("value")))
+    pick = F.pmod(F.coalesce(F.col("conv_id"), F.lit(0)), F.lit(8))
+    layouts = [
+        (pair & (pick == 1), F.struct(first.alias("system"), said(1).alias("instruction"), said(2).alias("output"))),
+        (pair & (pick == 2), F.struct(first.alias("system_prompt"), said(1).alias("prompt"), said(2).alias("response"))),
+        (pair & ~system & (pick == 3), F.struct(said(1).alias("prompt"), said(2).alias("completion"))),
+        (pair & ~system & (pick == 4), F.struct(said(1).alias("question"), said(2).alias("answer"))),
+        (pair & ~system & (pick == 5), F.struct(F.struct(said(1).alias("prompt"), said(2).alias("response")).alias("data"))),
+        (system & (pick >= 6), F.struct(first.alias("system"), rest.alias("messages"))),
+        (plain & (pick % 2 == 0), F.struct(shared.alias("conversations"))),
+    ]
+    record = F.to_json(F.struct(turns.alias("messages")))
+    for holds, layout in reversed(layouts):
+        record = F.when(holds, F.to_json(layout)).otherwise(record)
+    return lists.select("conv_id", record.alias("record"))
 
 
 def formatted_conversations(records: DataFrame, json_col: str = "record", mappings=MAPPINGS) -> DataFrame:

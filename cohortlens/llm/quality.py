@@ -9,8 +9,11 @@ fails the base rules: too few words, or too many words in repeated windows.
 Everything is a column expression over one row; no shuffle, no Python.
 
 Edge cases: null text has no words and fails the base rules; lines without a
-word are kept as they are and count as no loss; a text of one long line is one
-line; columns with the names of added ones are replaced.
+word are kept as they are and count as no loss; a very long text is one row, one
+of a single long line is one line; repeated rows are measured alike; an empty
+table gives an empty result; ``measured`` replaces columns with the names of
+added ones, ``kept_documents`` returns all columns as they came. Windows of
+words count as equal by a 64-bit hash within their text.
 """
 
 from __future__ import annotations
@@ -22,10 +25,13 @@ from cohortlens.llm.common import SPACE, WORD, whole_row
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
-#: Fixed phrases of boilerplate lines, in lower case.
+#: Fixed phrases of boilerplate lines in four languages, in lower case.
 PHRASES = (
     "all rights reserved", "licensed under", "released under the", "is licensed", "terms of use", "terms of service", "privacy policy", "cookie policy", "accept cookies", "we use cookies",
     "enable javascript", "javascript is disabled", "click here", "read more", "subscribe to", "sign up for", "log in to", "share this", "follow us", "powered by", "skip to content", "back to top", "lorem ipsum",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "verwendet cookies", "weiterlesen", "newsletter abonnieren", "zum inhalt springen", "nach oben",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "utilise des cookies", "lire la suite", "abonnez-vous", "aller au contenu", "haut de page",
+    "todos los derechos reservados", "política de privacidad", "condiciones de uso", "utiliza cookies", "leer más", "suscríbete", "saltar al contenido", "volver arriba",
 )
 #: Characters up to which a line with such a phrase counts as boilerplate.
 PHRASE_CHARS = 160

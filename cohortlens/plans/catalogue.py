@@ -177,6 +177,25 @@ def thresholded_assignment(spark, sf_dir):
     return rounded(gain, "gain")
 
 
+def medoid_choice(spark, sf_dir):
+    pairs = recurrence.matched(recurrence.similarity_pairs(_programs(spark, sf_dir)), n_permutations=0)
+    return spark.createDataFrame([(recurrence.medoid(pairs),)], "sample_id string")
+
+
+def _recurrent(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Vocabulary and members against the exact mean of random assignments."""
+    return recurrence.recurrent_vocabulary(_programs(spark, sf_dir), 2, 0.2, 0)
+
+
+def recurrent_exact(spark, sf_dir):
+    return rounded(_recurrent(spark, sf_dir)[0], "weight").select(F.col("program_idx").cast("long").alias("program_idx"), "gene_id", "weight")
+
+
+def members_exact(spark, sf_dir):
+    found = rounded(_recurrent(spark, sf_dir)[1], "similarity")
+    return found.select(*[F.col(c).cast("long").alias(c) for c in ("anchor_idx", "program_idx", "support", "vocabulary_idx")], "sample_id", "similarity")
+
+
 def _two(spark: SparkSession, sf_dir: str, method: str, **options) -> DataFrame:
     cohort, _, words = _start(spark, sf_dir, 2)
     found = projection.project(cohort, words, method, **options)
@@ -208,6 +227,18 @@ def standardize(spark, sf_dir):
     return _scores(state.standardized(stored(_direct(spark, sf_dir)), TRAIN))
 
 
+def standardize_inverse(spark, sf_dir):
+    scores = stored(_direct(spark, sf_dir))
+    by = state.scaler(scores, TRAIN)
+    return _scores(state.unstandardized(state.standardized(scores, TRAIN, by), by))
+
+
+def pca_coordinates(spark, sf_dir):
+    """Up to sign: two equal entries of an axis leave it open."""
+    found, _ = state.linear_state(stored(_direct(spark, sf_dir, 2)), TRAIN, 2)
+    return rounded(found.select(*prep.ON, F.abs(F.col("coordinates")[0]).alias("c0"), F.abs(F.col("coordinates")[1]).alias("c1")), "c0", "c1")
+
+
 def pca_explained(spark, sf_dir):
     _, model = state.linear_state(stored(_direct(spark, sf_dir, 2)), TRAIN, 2)
     return rounded(spark.createDataFrame([(i, float(x)) for i, x in enumerate(model.shares)], "component long, share double"), "share")
@@ -230,6 +261,11 @@ def bootstrap_estimate(spark, sf_dir):
     return rounded(metrics.bootstrap_estimate(scores, "score"), "estimate")
 
 
+def bootstrap_by_program(spark, sf_dir):
+    found = metrics.bootstrap_table(_direct(spark, sf_dir), ["program_idx"], "score").withColumn("program_idx", F.col("program_idx").cast("long"))
+    return rounded(found, "estimate").select("program_idx", "estimate", "n_samples")
+
+
 def score_quantiles(spark, sf_dir):
     scores = _direct(spark, sf_dir)
     out = metrics.quantiles(scores.withColumn("program_idx", F.col("program_idx").cast("long")), ["program_idx"], "score", [0.025, 0.5, 0.975])
@@ -280,6 +316,18 @@ def nmf_stability(spark, sf_dir):
     return programs.stabilised(programs.fitted_programs(_logged(spark, sf_dir), 3, repeats=3))[1]
 
 
+def fit_apart(spark, sf_dir):
+    """How many weights differ between samples fitted apart and aggregated, and the same cohort fitted as one."""
+    cohort = _atlas(spark, sf_dir)
+    options = pipeline.FitOptions(3, 2, preprocessing="identity", max_iter=50)
+    reduction = {"min_similarity": -1.0, "n_permutations": 5}
+    one = pipeline.fit_atlas(cohort, options, 2, **reduction)["vocabulary"]
+    apart = pipeline.fit_samples({r: cohort.kept_samples([r]) for r in ("0", "1", "2", "3", "4")}, options, 2, **reduction)["vocabulary"]
+    both = one.join(apart.withColumnRenamed("weight", "other"), ["program_idx", "gene_id"], "full")
+    differ = F.coalesce(F.abs(F.col("weight") - F.col("other")) > 1e-9, F.lit(True))
+    return both.agg(F.count_if(differ).alias("n_differing"), (F.count("*") > 0).alias("any"))
+
+
 def null_pvalues(spark, sf_dir):
     return recurrence.matched(recurrence.similarity_pairs(_programs(spark, sf_dir)), n_permutations=200).drop("null_scores")
 
@@ -436,6 +484,16 @@ places AS (SELECT p, 0 AS ref_idx, k0 AS query_idx FROM perms UNION ALL SELECT p
 tries AS (SELECT ref_sample, query_sample, p, sum(similarity) AS total, sum(greatest(similarity, 0.2)) AS gain FROM pairs JOIN places USING (ref_idx, query_idx) GROUP BY 1, 2, 3),
 best AS (SELECT ref_sample, query_sample, max(total) / 5 AS optimal_mean, max(gain) AS gain FROM tries GROUP BY 1, 2),
 nulls AS (SELECT ref_sample, query_sample, avg(similarity) AS null_mean FROM pairs GROUP BY 1, 2)"""
+MEDOID = f"""{PERMUTED},
+gains AS (SELECT ref_sample, query_sample, optimal_mean - null_mean AS gain FROM best JOIN nulls USING (ref_sample, query_sample)),
+medoid AS (SELECT sample_id FROM (SELECT ref_sample AS sample_id, gain FROM gains UNION ALL SELECT query_sample, gain FROM gains) GROUP BY 1 ORDER BY avg(gain) DESC, 1 LIMIT 1)"""
+MEMBERS = f"""{MEDOID},
+ways AS (SELECT ref_sample, query_sample, arg_max(p, gain) AS p FROM tries GROUP BY 1, 2),
+hits AS (SELECT sample_id = ref_sample AS is_ref, ref_sample, query_sample, ref_idx, query_idx, similarity FROM ways JOIN places USING (p) JOIN pairs USING (ref_sample, query_sample, ref_idx, query_idx), medoid WHERE similarity > 0.2 AND sample_id IN (ref_sample, query_sample)),
+joined AS (SELECT CASE WHEN is_ref THEN ref_idx ELSE query_idx END AS anchor_idx, CASE WHEN is_ref THEN query_sample ELSE ref_sample END AS sample_id, CASE WHEN is_ref THEN query_idx ELSE ref_idx END AS program_idx, similarity FROM hits
+           UNION ALL SELECT DISTINCT program_idx, sample_id, program_idx, 1.0 FROM prog JOIN medoid USING (sample_id)),
+counted AS (SELECT *, count(*) OVER (PARTITION BY anchor_idx) AS support FROM joined),
+members AS (SELECT *, dense_rank() OVER (ORDER BY anchor_idx) - 1 AS vocabulary_idx FROM counted WHERE support >= 2)"""
 DIRECT = f"""{VOCAB},
 ids AS (SELECT DISTINCT program_idx FROM words),
 hits AS (SELECT sample_id, cell_id, program_idx, sum(value * weight) AS score FROM norm JOIN words USING (gene_id) GROUP BY 1, 2, 3),
@@ -544,6 +602,11 @@ ORACLE_SQL: dict[str, str] = {
     "optimal_assignment": f"WITH {PERMUTED} SELECT ref_sample, query_sample, {_r('optimal_mean', 'optimal_mean')}, {_r('null_mean', 'null_mean')} FROM best JOIN nulls USING (ref_sample, query_sample)",
     "medoid": f"""WITH {PERMUTED}, g AS (SELECT ref_sample, query_sample, optimal_mean - null_mean AS gain FROM best JOIN nulls USING (ref_sample, query_sample)), u AS (SELECT ref_sample AS sample_id, gain FROM g UNION ALL SELECT query_sample, gain FROM g)
         SELECT sample_id, {_r("avg(gain)", "adjusted_mean")} FROM u GROUP BY 1""",
+    "medoid_choice": f"""WITH {MEDOID} SELECT sample_id FROM medoid""",
+    "recurrent_exact": f"""WITH {MEMBERS}, w AS (SELECT vocabulary_idx AS program_idx, gene_id, median(weight) AS w FROM prog JOIN members USING (sample_id, program_idx) GROUP BY 1, 2)
+        SELECT program_idx, gene_id, {_r("w / sum(w) OVER (PARTITION BY program_idx)", "weight")} FROM w""",
+    "members_exact": f"WITH {MEMBERS} SELECT anchor_idx, program_idx, support, vocabulary_idx, sample_id, {_r('similarity', 'similarity')} FROM members",
+    "fit_apart": "SELECT 0::BIGINT AS n_differing, true AS any",
     "thresholded_assignment": f"WITH {PERMUTED} SELECT ref_sample, query_sample, {_r('gain', 'gain')} FROM best",
     "nnls_k2": _errors(_least_squares(0, 0)),
     "ridge_nnls_k2": _errors(_least_squares(0.5, 0.1)),
@@ -552,6 +615,12 @@ ORACLE_SQL: dict[str, str] = {
     "nb_em_5": _errors(_em(0.1)),
     "standardize": f"""WITH {DIRECT}, f AS (SELECT program_idx, avg(score) AS m, stddev_pop(score) AS s FROM scores WHERE {IN_TRAIN} GROUP BY 1)
         SELECT {_KEY}, {_r("(score - m) / CASE WHEN s > 0 THEN s ELSE 1 END", "score")} FROM scores JOIN f USING (program_idx)""",
+    "standardize_inverse": f"WITH {DIRECT} SELECT {_KEY}, {_r('score', 'score')} FROM scores",
+    "pca_coordinates": f"""WITH {DIRECT}, f AS (SELECT program_idx, avg(score) AS m, stddev_pop(score) AS s FROM scores WHERE {IN_TRAIN} GROUP BY 1),
+        z AS (SELECT sample_id, cell_id, sum((score - m) / s) FILTER (program_idx = 0) AS a, sum((score - m) / s) FILTER (program_idx = 1) AS b FROM scores JOIN f USING (program_idx) WHERE program_idx < 2 GROUP BY 1, 2),
+        r AS (SELECT sign(corr(a, b)) AS r FROM z WHERE {IN_TRAIN})
+        SELECT sample_id, cell_id, {_r("abs(a + r * b) / sqrt(2)", "c0")}, {_r("abs(a - r * b) / sqrt(2)", "c1")} FROM z, r""",
+    "bootstrap_by_program": f"WITH {DIRECT}, m AS (SELECT program_idx, sample_id, avg(score) AS m FROM scores GROUP BY 1, 2) SELECT program_idx, {_r('avg(m)', 'estimate')}, count(*) AS n_samples FROM m GROUP BY 1",
     "pca_explained": f"""WITH {DIRECT}, r AS (SELECT abs(corr(a.score, b.score)) AS r FROM scores a JOIN scores b USING (sample_id, cell_id) WHERE a.program_idx = 0 AND b.program_idx = 1 AND {IN_TRAIN})
         SELECT 0::BIGINT AS component, {_r("(1 + r) / 2", "share")} FROM r UNION ALL SELECT 1::BIGINT, {_r("(1 - r) / 2", "share")} FROM r""",
     "reconstruction": f"""WITH {DIRECT}, {SPLIT}, fit AS (SELECT sample_id, cell_id, gene_id, sum(score * weight) AS f FROM scores JOIN words USING (program_idx) GROUP BY 1, 2, 3),

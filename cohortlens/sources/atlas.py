@@ -75,5 +75,6 @@ def samples_from_sources(sources: dict[str, Cohort]) -> Cohort:
         cells, expr, every = cells.unionByName(p.cells), expr.unionByName(p.expr), every.unionByName(p.genes.select("gene_id"))
     shared = every.groupBy("gene_id").count().where(F.col("count") == len(parts)).select("gene_id")
     genes = parts[0].genes.join(shared, "gene_id", "left_semi")
-    genes = genes.select("gene_id", (F.row_number().over(Window.orderBy("gene_pos")) - 1).alias("gene_pos"))
+    more = [c for c in genes.columns if c not in ("gene_id", "gene_pos")]
+    genes = genes.select("gene_id", (F.row_number().over(Window.orderBy("gene_pos")) - 1).alias("gene_pos"), *more)
     return Cohort(cells, genes, expr.join(shared, "gene_id", "left_semi"))

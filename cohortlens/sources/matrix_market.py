@@ -1,15 +1,23 @@
-"""10x-style matrix directories: prefixed or plain triples of matrix, barcodes and features, gzipped or not."""
+"""10x-style matrix folders and tar archives: prefixed or plain triples of matrix, barcodes and features, gzipped or not."""
 
 from __future__ import annotations
 
+import gzip
+import io
+import itertools
 import re
+import tarfile
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlens.errors import DatasetError
+from cohortlens.operators import prep
 from cohortlens.schema import Cohort
 from cohortlens.sources.atlas import samples_from_sources
+from cohortlens.storage import stored
 
 NAME = re.compile(r"(?P<prefix>.*?)(?P<kind>matrix|barcodes|features|genes)\.(?:mtx|tsv|txt)(?:\.gz)?$")
 
@@ -28,48 +36,99 @@ def sample_name(prefix: str) -> str:
     return found[0] if found else prefix.strip("_-. ") or "sample"
 
 
-def triples(spark: SparkSession, folder: str) -> dict[str, dict[str, str]]:
-    """Sample name -> {matrix, barcodes, features}."""
+def _unpacked(spark: SparkSession, path: str) -> DataFrame:
+    """member, n and line of every text file in a tar archive, as a stored table; one archive is read by one task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                with tarfile.open(fileobj=io.BytesIO(content)) as archive:
+                    for member in archive:
+                        raw = archive.extractfile(member)
+                        if raw is None or not NAME.match(member.name.rsplit("/", 1)[-1]):
+                            continue
+                        text = io.TextIOWrapper(gzip.open(raw) if member.name.endswith(".gz") else raw, "utf-8")
+                        for first in itertools.count(0, 100_000):
+                            lines = list(itertools.islice(text, 100_000))
+                            if not lines:
+                                break
+                            yield pd.DataFrame({"member": member.name, "n": range(first, first + len(lines)), "line": [x.rstrip("\r\n") for x in lines]})
+
+    return stored(spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "member string, n long, line string"))
+
+
+def triples(names: list[str]) -> dict[str, dict[str, str]]:
+    """Sample name -> {matrix, barcodes, features} among file names; two triples of one sample raise."""
     found: dict[str, dict[str, str]] = {}
-    for path in sorted(_listed(spark, folder)):
+    prefixes: dict[str, str] = {}
+    for path in sorted(names):
         if m := NAME.match(path.rsplit("/", 1)[-1]):
-            found.setdefault(sample_name(m["prefix"]), {})["features" if m["kind"] == "genes" else m["kind"]] = path
+            sample = sample_name(m["prefix"])
+            if prefixes.setdefault(sample, m["prefix"]) != m["prefix"]:
+                raise DatasetError(f"{prefixes[sample]} and {m['prefix']} are both sample {sample}")
+            kind = "features" if m["kind"] == "genes" else m["kind"]
+            if kind in found.setdefault(sample, {}):
+                raise DatasetError(f"{sample} has {kind} twice")
+            found[sample][kind] = path
     whole = {k: v for k, v in found.items() if len(v) == 3}
     if not whole:
-        raise DatasetError(f"no matrix with barcodes and features in {folder}")
+        raise DatasetError("no matrix with barcodes and features")
     return whole
 
 
-def _numbered(spark: SparkSession, path: str, column: str) -> DataFrame:
-    """Lines of a side table with their numbers from 1 (one file, read in one split)."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r", ""), "\n")).alias("n", "line"))
-    return lines.where("line <> ''").select((F.col("n") + 1).alias("n"), F.split("line", "\t")[0].alias(column))
+def _text(spark: SparkSession, path: str) -> DataFrame:
+    """n and line of a text file; numbers rise in the order of lines."""
+    return spark.read.text(path).select(F.monotonically_increasing_id().alias("n"), F.regexp_replace("value", r"\r$", "").alias("line"))
 
 
-def read_sample(spark: SparkSession, files: dict[str, str], name: str) -> Cohort:
-    """One triple; cells are named sample:barcode, explicit zeros go, indices count from 1."""
-    barcodes, features = _numbered(spark, files["barcodes"], "barcode"), _numbered(spark, files["features"], "gene_id")
+def _numbered(lines: DataFrame, column: str, least: int) -> DataFrame:
+    """Lines of a side table (a row a gene or a cell) with their numbers from 1; each needs ``least`` columns."""
+    parts = F.split("line", "\t")
+    rows = lines.where("line <> ''").withColumn("n", F.row_number().over(Window.orderBy("n")).cast("long"))
+    checked = F.when(F.size(parts) >= least, parts[0]).otherwise(F.raise_error(F.concat(F.lit(f"fewer than {least} columns: "), "line")).cast("string"))
+    symbol = F.when(F.size(parts) > 1, F.try_element_at(parts, F.lit(2)))
+    return stored(rows.select("n", checked.alias(column), symbol.alias("symbol")))
+
+
+def read_sample(read: Callable[[str], DataFrame], files: dict[str, str], name: str) -> Cohort:
+    """One triple, whose lines (n, line) ``read`` gives; cells are named sample:barcode, explicit zeros go, indices count from 1."""
+    barcodes, features = _numbered(read(files["barcodes"]), "barcode", 1), _numbered(read(files["features"]), "gene_id", 2)
     for side, column in ((barcodes, "barcode"), (features, "gene_id")):
         if side.groupBy(column).count().where("count > 1").limit(1).count():
             raise DatasetError(f"{name}: a {column} occurs twice")
-    parts = F.split(F.trim("value"), r"\s+")
-    entries = spark.read.text(files["matrix"]).where("value not like '\\%%' and trim(value) <> ''").select(parts.alias("p"))
-    entries = entries.select(F.col("p")[0].cast("int").alias("g"), F.col("p")[1].cast("int").alias("c"), F.col("p")[2].cast("double").alias("value"), F.monotonically_increasing_id().alias("at"))
-    head = entries.orderBy("at").first()
+    parts = F.split(F.trim("line"), r"\s+")
+    entries = read(files["matrix"]).where("line not like '\\%%' and trim(line) <> ''").select("n", parts.alias("p"))
+    entries = entries.select(F.col("p")[0].cast("int").alias("g"), F.col("p")[1].cast("int").alias("c"), F.col("p")[2].cast("double").alias("value"), "n")
+    head = entries.orderBy("n").first()
     shape = (features.count(), barcodes.count())
     if head is None or (head["g"], head["c"]) != shape:
         raise DatasetError(f"{name}: the matrix is {head and (head['g'], head['c'])}, its side tables give {shape}")
-    rows = entries.where(F.col("at") != head["at"]).where("value <> 0")
-    named = rows.join(features.withColumnRenamed("n", "g"), "g").join(barcodes.withColumnRenamed("n", "c"), "c")
+    rows = entries.where(F.col("n") != head["n"]).where("value <> 0").drop("n")
+    named = rows.join(features.withColumnRenamed("n", "g"), "g").join(barcodes.select(F.col("n").alias("c"), "barcode"), "c")
     cell = F.concat(F.lit(f"{name}:"), F.col("barcode"))
     cells = barcodes.select(F.lit(name).alias("sample_id"), cell.alias("cell_id"), (F.col("n") - 1).cast("long").alias("cell_pos"), F.lit(None).cast("string").alias("lineage"))
-    genes = features.select("gene_id", (F.col("n") - 1).cast("int").alias("gene_pos"))
+    genes = features.select("gene_id", (F.col("n") - 1).cast("int").alias("gene_pos"), F.col("symbol").alias("gene_symbol"))
     return Cohort(cells, genes, named.select(F.lit(name).alias("sample_id"), cell.alias("cell_id"), "gene_id", "value"))
 
 
-def read_10x_samples(spark: SparkSession, folder: str, sample_ids: list[str] | None = None) -> Cohort:
-    """All samples of a folder (or the named ones), on the features that they share."""
-    found = triples(spark, folder)
+def read_10x_samples(spark: SparkSession, path: str, sample_ids: list[str] | None = None, min_counts: float = 0, min_genes: int = 0, max_cells_per_sample: int | None = None) -> Cohort:
+    """All samples of a folder or a tar archive (or the named ones), on the features that they share, in the first one's order.
+
+    Cells are checked, and the first N taken, within each sample and on all its
+    features. Numbers of side tables come from one task: a row a gene or cell.
+    """
+    if re.search(r"\.tar(\.gz)?$|\.tgz$", path):
+        lines = _unpacked(spark, path)
+        names = [r[0] for r in lines.select("member").distinct().collect()]
+        read = lambda name: lines.where(F.col("member") == name).select("n", "line")
+    else:
+        names, read = _listed(spark, path), lambda name: _text(spark, name)
+    found = triples(names)
     if sample_ids and (missing := set(sample_ids) - set(found)):
-        raise DatasetError(f"no samples {sorted(missing)} in {folder}")
-    return samples_from_sources({k: read_sample(spark, v, k) for k, v in sorted(found.items()) if not sample_ids or k in sample_ids})
+        raise DatasetError(f"no samples {sorted(missing)} in {path}")
+    samples = {}
+    for k, v in sorted(found.items()):
+        if not sample_ids or k in sample_ids:
+            one = read_sample(read, v, k)
+            samples[k] = prep.filtered_cells(one, min_counts, min_genes, max_cells_per_sample) if min_counts or min_genes or max_cells_per_sample is not None else one
+    return samples_from_sources(samples)

@@ -2,6 +2,7 @@
 
 import gzip
 import itertools
+import tarfile
 
 import numpy as np
 import pytest
@@ -341,6 +342,18 @@ def test_matrix_market(spark, tmp_path):
     assert {(r["sample_id"], r["cell_id"], r["gene_id"], r["value"]) for r in cohort.expr.collect()} == {("GSM12", "GSM12:x", "A", 3.0), ("GSM12", "GSM12:y", "C", 5.0), ("GSM34", "GSM34:x", "C", 2.0)}
     with pytest.raises(errors.DatasetError):
         matrix_market.read_10x_samples(spark, str(tmp_path), ["nope"])
+    assert {r["gene_symbol"] for r in cohort.genes.collect()} == {"symA", "symC"}
+    with tarfile.open(tmp_path / "all.tar", "w") as archive:
+        for f in sorted(tmp_path.glob("GSM*.gz")):
+            archive.add(f, f"inner/{f.name}")
+    packed = matrix_market.read_10x_samples(spark, str(tmp_path / "all.tar"))
+    assert sorted(map(tuple, packed.expr.collect())) == sorted(map(tuple, cohort.expr.collect()))
+    checked = matrix_market.read_10x_samples(spark, str(tmp_path), min_counts=3)
+    assert {r["cell_id"] for r in checked.cells.collect()} == {"GSM12:x", "GSM12:y"}
+    assert matrix_market.read_10x_samples(spark, str(tmp_path), max_cells_per_sample=1).cells.count() == 2
+    write_triple(tmp_path, "GSM12_c_", ["A"], ["x"], [(1, 1, 2)], True)
+    with pytest.raises(errors.DatasetError, match="GSM12"):
+        matrix_market.read_10x_samples(spark, str(tmp_path))
     plain = tmp_path / "plain"
     plain.mkdir()
     write_triple(plain, "", ["A"], ["x"], [(1, 1, 7)], False)

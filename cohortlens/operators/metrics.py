@@ -6,13 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.errors import MetricsError
 from cohortlens.operators import scoring
 from cohortlens.operators.prep import ON
-from cohortlens.operators.recurrence import ranked
 from cohortlens.schema import Cohort
 from cohortlens.storage import stored
 
@@ -67,14 +66,29 @@ def model_reconstruction(rows: DataFrame, split: DataFrame, values: Callable[[pd
     return whole.select("partition", "n_cells", "mse", F.when(F.col("_t") > 0, 1 - F.col("_e") / F.col("_t")).otherwise(F.lit(float("nan"))).alias("r2"))
 
 
+def spread_ranks(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Add average ranks of ``value`` within ``keys``; ranges of values are ranked apart, so a group of any size is spread over tasks.
+
+    Equal values are counted first; ranges are shifted by the counts of the earlier ones.
+    """
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    ranges = stored(counts.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.groupBy(*keys, "_part").agg(F.sum("_n").alias("_s")).withColumn("_start", F.coalesce(F.sum("_s").over(earlier), F.lit(0))).drop("_s")
+    before = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rank = F.col("_start") + F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2
+    ranks = ranges.join(starts, [*keys, "_part"]).withColumn(name, rank).drop("_n", "_part", "_start")
+    return rows.join(ranks, [*keys, value])
+
+
 def technical_associations(scores: DataFrame, covariates: DataFrame) -> DataFrame:
     """Spearman correlation of each program's scores with each covariate (sample_id, cell_id, covariate, x)."""
     finite = ~F.isnan("x") & (F.abs("x") < float("inf"))
-    rows = scores.join(covariates.where(finite), ON)
     key = ["program_idx", "covariate"]
-    z = ranked(ranked(rows, key, "score").withColumnRenamed("z", "zs"), key, "x")
-    found = z.groupBy(*key).agg(F.count("*").alias("n"), F.sum(F.col("zs") * F.col("z")).alias("rho"), F.max(F.abs("zs")).alias("_a"), F.max(F.abs("z")).alias("_b"))
-    undefined = (F.col("n") < 2) | (F.col("_a") == 0) | (F.col("_b") == 0)
+    rows = stored(scores.join(covariates.where(finite), ON).select(*key, "score", "x"))
+    ranked = spread_ranks(spread_ranks(rows, key, "score", "_a"), key, "x", "_b")
+    found = ranked.groupBy(*key).agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("rho"), F.stddev_pop("_a").alias("_sa"), F.stddev_pop("_b").alias("_sb"))
+    undefined = (F.col("n") < 2) | (F.col("_sa") == 0) | (F.col("_sb") == 0)
     return found.select(*key, "n", F.when(undefined, F.lit(float("nan"))).otherwise(F.col("rho")).alias("rho"))
 
 

@@ -127,10 +127,3 @@ def aligned(cohort: Cohort, vocabulary: DataFrame, strict: bool = True) -> tuple
         raise StateError(f"genes of the vocabulary are missing, such as {missing.first()[0]}")
     here = wanted.join(cohort.genes.select("gene_id"), "gene_id", "left_semi")
     return cohort.with_(genes=here, expr=cohort.expr.join(here.select("gene_id"), "gene_id", "left_semi")), missing, extra
-
-
-def require_dense(cohort: Cohort, most: int = 10_000_000) -> None:
-    """Raise if some sample's cells times the genes exceed what one task may hold dense."""
-    cells = cohort.cells.groupBy("sample_id").count().agg(F.max("count")).first()[0] or 0
-    if (n := cells * cohort.genes.count()) > most:
-        raise StateError(f"{n} elements exceed the budget of {most}")

@@ -57,11 +57,12 @@ def diagnostics(runs: DataFrame) -> DataFrame:
     return found.select("sample_id", "run", F.abs("s").alias("n_iter"), (F.col("s") > 0).alias("converged"))
 
 
-def fitted_programs(cohort: Cohort, n_programs: int = 8, seed: int = 0, repeats: int = 1, estimator: Estimator = _nmf, own_axis: bool = False) -> DataFrame:
+def fitted_programs(cohort: Cohort, n_programs: int = 8, seed: int = 0, repeats: int = 1, estimator: Estimator = _nmf, own_axis: bool = False, most_elements: int = 200_000_000) -> DataFrame:
     """Programs of every sample and restart: PROGRAMS, ``run`` and ``sweeps`` (below 0 if they ran out).
 
     Samples are never pooled. A task holds one sample; each restart is a task
-    of its own. With ``own_axis`` a sample's axis is the genes that it has.
+    of its own, with ``most_elements`` dense values at most: a larger sample
+    raises. With ``own_axis`` a sample's axis is the genes that it has.
     """
     axis = {r["gene_id"]: r["gene_pos"] for r in cohort.genes.collect()}
     names = [g for g, _ in sorted(axis.items(), key=lambda x: x[1])]
@@ -75,6 +76,8 @@ def fitted_programs(cohort: Cohort, n_programs: int = 8, seed: int = 0, repeats:
     def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         sample, run = key
         n = int(part["n"].iloc[0])
+        if n * len(names) > most_elements:
+            raise ProgramError(f"sample {sample}: {n} cells x {len(names)} genes exceed {most_elements} elements; select genes or split the sample")
         places = {c: i for i, c in enumerate(sorted(part["cell_pos"].unique()))}  # empty cells add rows of zeros only
         x = np.zeros((n, len(names)))
         x[part["cell_pos"].map(places), part["gene_id"].map(column)] = part["value"]

@@ -84,12 +84,14 @@ HOT_ROWS = 1000
 
 
 def joined_to_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
-    """``rows`` with the columns of their group (a stored row for each, ``size`` its rows of ``total``); keys may not be null.
+    """``rows`` with the columns of their group (a row for each, ``size`` its rows of at most ``total``); keys may not be null.
 
     Hot groups, fewer than ``HOT_SHARE``, are sent to all tasks, so none of
     them comes together in one; the others are joined as the optimiser likes.
     """
     least = max(HOT_ROWS, total // HOT_SHARE)
+    if total <= least:
+        return rows.join(groups, keys)
     hot = groups.where(F.col(size) > least)
     if not hot.limit(1).count():
         return rows.join(groups, keys)
@@ -108,19 +110,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     left, right = F.col("u"), F.col("v")
     now = stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where(left != right).select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).distinct(), "edges")
-    before = None
-    while True:
+    before, n = None, now.count()
+    while n:
+        kept = lambda df: stored(df, "star-lowest") if 2 * n > HOT_ROWS else df  # noqa: B023, E731
         both = now.unionByName(now.select(right.alias("u"), left.alias("v")))
-        lowest = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "large-lowest")
-        large = joined_to_groups(both, lowest, ["u"], "n", 2 * now.count()).where(right > left).select(right.alias("u"), F.col("m").alias("v")).where(left != right).distinct()
+        lowest = kept(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+        large = joined_to_groups(both, lowest, ["u"], "n", 2 * n).where(right > left).select(right.alias("u"), F.col("m").alias("v")).where(left != right).distinct()
         large = stored(large, "large-star")
-        lowest = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "small-lowest")
-        small_star = joined_to_groups(large, lowest, ["u"], "n", large.count()).select(F.when(right != F.col("m"), right).otherwise(left).alias("u"), F.col("m").alias("v"))
+        lowest = kept(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small_star = joined_to_groups(large, lowest, ["u"], "n", 2 * n).select(F.when(right != F.col("m"), right).otherwise(left).alias("u"), F.col("m").alias("v"))
         now = stored(small_star.distinct(), "small-star")
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))).first()
-        if tuple(seen) == before:
+        seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))).first())
+        if seen == before:
             break
-        before = tuple(seen)
+        before, n = seen, seen[0]
     return now.select(left.alias("node"), right.alias("root")).unionByName(now.select(right.alias("node"), right.alias("root")).distinct())
 
 

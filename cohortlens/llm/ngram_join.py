@@ -249,13 +249,14 @@ def _shared(handed: DataFrame) -> DataFrame:
     segment comes together in one task.
     """
     bucket = F.pmod("segment", F.lit(BUCKETS)).cast("int")
-    counted = stored(handed.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")), "jaccard-buckets")
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    hot = counted.where(F.col("n") > max(HOT_ROWS, total // HOT_BUCKETS)).select("bucket")  # fewer than HOT_BUCKETS rows
+    counted = handed.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).toPandas()  # at most BUCKETS rows
+    total = int(counted["n"].sum())
+    found = counted["bucket"][counted["n"] > max(HOT_ROWS, total // HOT_BUCKETS)].tolist()  # fewer than HOT_BUCKETS
+    hot = handed.sparkSession.createDataFrame([(b,) for b in found], "bucket int")
     same = Window.partitionBy("segment")
     ends = [F.min("at").over(same).alias("tied"), F.max("at").over(same).alias("_hi")]
     rest = handed.select("at", "segment", bucket.alias("bucket"))
-    if not hot.limit(1).count():
+    if not found:
         return rest.select("at", "segment", *ends).where("tied <> _hi").drop("_hi")
     cold = rest.join(F.broadcast(hot), "bucket", "left_anti").select("at", "segment", *ends).where("tied <> _hi").drop("_hi")
     warm = rest.join(F.broadcast(hot), "bucket", "left_semi")
@@ -316,7 +317,7 @@ def _classes(documents: DataFrame, n: int, percent: int, id_col: str, text_col:
     linked = components(found, "node", "tied").withColumnRenamed("root", "class")
     classes = linked.join(nodes.select("node", "first"), "node")
     named = stored(classes.groupBy("class").agg(F.min("first").alias("named"), F.count("*").alias("k")), "jaccard-classes")
-    classes = joined_to_groups(linked, named, ["class"], "k", linked.count()).select("node", "named")
+    classes = joined_to_groups(linked, named, ["class"], "k", named.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]).select("node", "named")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     of_node = nodes.join(classes, "node", "left").join(counts, "node", "left")
     of_node = of_node.select("node", F.coalesce("named", "first").alias("first"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")

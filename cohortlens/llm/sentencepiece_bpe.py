@@ -10,7 +10,9 @@ library, batch by batch; a difference raises an error.
 
 Edge cases: a null text counts as empty; an empty text has no piece but the
 end id; white space, control characters, bytes outside the vocabulary and words
-of any length encode like all else; repeated rows give repeated results.
+of any length encode like all else, very long texts whole; repeated rows give
+repeated results; a null id is passed on; an empty table gives an empty result;
+other columns, of whatever name, aren't returned.
 """
 
 from __future__ import annotations

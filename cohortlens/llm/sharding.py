@@ -11,7 +11,9 @@ Everything is a column expression; no Python runs on the executors.
 
 Edge cases: a null text has no bytes, so size 8 and the CRC of an empty
 string; a null id sorts first; rows that repeat entirely are interchangeable
-and take consecutive row numbers; an empty table gives an empty result.
+and take consecutive row numbers; a very long text is a row like others; an
+empty table gives an empty result; other columns, of whatever name, aren't
+returned.
 """
 
 from __future__ import annotations

@@ -17,7 +17,9 @@ each class, by a seeded hash of the id); every document is counted and scored.
 Edge cases: null and empty texts get the score of a text without any suspicious
 word; a null id is held out of training; labels that are null or repeated are
 left out or counted as they come; without labels of both classes every score is
-the share of toxic labels (0.0 without any); an empty table gives an empty result.
+the share of toxic labels (0.0 without any); an empty table gives an empty result;
+very long texts are counted and scored whole; repeated rows score alike; other
+columns, of whatever name, are no inputs and aren't returned.
 """
 
 from __future__ import annotations

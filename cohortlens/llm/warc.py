@@ -11,7 +11,9 @@ Edge cases: a null payload is empty; payloads below ``least_bytes`` are always
 responses; a null id writes no id header and reads back as null, and never
 becomes the response of a group that has an id; rows that repeat the largest
 id of a group are all responses; an empty table gives empty archives; control
-characters in a url are percent-encoded on writing.
+characters in a url are percent-encoded on writing; a very long payload is one
+record, which a reader holds once; other columns, of whatever name, aren't
+archived.
 """
 
 from __future__ import annotations

@@ -212,6 +212,8 @@ def test_warc_round_trip(spark):
     found = [tuple(r) for r in warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()]
     assert sorted(found, key=str) == sorted(want, key=str)
     assert warc.round_trip(pages.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "u", "0123456789\r\n\r\n" * 300_000), (2, "u", "0123456789\r\n\r\n" * 300_000)], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.payload_bytes, r.refers_to) for r in warc.round_trip(long).collect()) == [(1, 4_200_000, 2), (2, 4_200_000, None)]
 
 
 def test_warc_rewrite_resolves_again(spark):
@@ -274,6 +276,7 @@ def test_sentencepiece_matches_the_library(spark, documents, odd):
             got = found[r.doc_id, text]
             assert list(got.ids) == ids and got.n_tokens == len(ids)
             assert got.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and got.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert sentencepiece_bpe.encoded(odd.limit(0), queries.model_path()).count() == 0
     rows = spark.createDataFrame([(of.library.encode("né \n漢 x", add_eos=True),), (None,)], "ids array<int>")
     assert [r.decoded for r in sentencepiece_bpe.decoded_texts(rows, queries.model_path()).collect()] == ["né \n漢 x", None]
 
@@ -309,7 +312,41 @@ def test_quality_measures(spark, documents, odd):
             want = (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), base)
             assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == want
             assert not (base and r.kept)
-    assert quality.kept_documents(odd).columns == odd.columns
+    clash = odd.withColumnsRenamed({"size": "lost_chars", "target": "_row"})
+    stay = quality.kept_documents(clash)
+    assert stay.columns == clash.columns and {tuple(r[5:]) for r in stay.collect()} == {(7, "t", "k", 9)}
+    assert quality.measured(odd.limit(0)).count() == quality.kept_documents(odd.limit(0)).count() == 0
+    again = quality.measured(odd.unionByName(odd)).collect()
+    assert len(again) == 2 * len(ODD)
+
+
+def failing_line(line):
+    """The line rules once more, word by word."""
+    words = WORDS.findall(line)
+    if not words:
+        return False
+    capitals = re.compile("[A-ZÀ-ÖØ-Þ]")
+    suspect = re.search("[#*$%&<>|›»·•!]|[A-ZÀ-ÖØ-Þ]{4}", line)
+    bars = sum(all(c in "|›»·•>" for c in w) for w in words)
+    loud = 2 * line.count("!!") > len(words) or (re.search("[A-ZÀ-ÖØ-Þ]{4}", line) and len(words) >= 5 and 2 * len(capitals.findall(line)) > len(line))
+    return bool(
+        not any(c in line for c in ".!?…。！？")
+        or (len(line) <= quality.PHRASE_CHARS and any(x in line.lower() for x in quality.PHRASES))
+        or (suspect and (5 * bars >= len(words) or 2 * len(re.findall(quality.SYMBOLS, line)) > len(words) or loud))
+    )
+
+
+def test_quality_verdicts_match_brute_force(spark, documents, odd):
+    rng = random.Random(4)
+    bits = ["Home", "|", "»", "News.", "!!", "BUY NOW", "###", "$5", "a plain word or two.", "read more", "Alle Rechte vorbehalten.", "\t", "ÄRGER ÜBER", "x", "We said so; it was so.", ""]
+    made = spark.createDataFrame([(10_000 + i, "\n".join(" ".join(rng.choices(bits, k=rng.randint(0, 6))) for _ in range(rng.randint(1, 9)))) for i in range(300)], "doc_id long, text string")
+    for docs in (documents, odd, made):
+        for r in quality.measured(docs).collect():
+            text = r.text or ""
+            lines = text.split("\n")
+            lost = sum(len(x) for x in lines if failing_line(x))
+            assert r.lost_chars == lost and r.kept == (not r.base_failed and 100 * lost <= 50 * len(text))
+            assert r.cleaned == (r.text if lost == 0 else "\n".join(x for x in lines if not failing_line(x)))
 
 
 def test_quality_lines(spark):
@@ -341,6 +378,35 @@ def test_chat_round_trip(spark):
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_chat_layouts_of_conversations(spark):
+    """Every layout comes up, and whatever the layout, the turns read back are those of the conversation."""
+    rows, want = [], {}
+    shapes = [("user", "assistant"), ("system", "user", "assistant"), ("user", "assistant", "user"), ("human", "gpt"), ("system", "user"), ("system",), ("assistant", "user")]
+    for i in range(24 * len(shapes)):
+        roles = shapes[i % len(shapes)]
+        said = [(r, f"</s> {i} <s>[ROLE]{k}" if i % 5 else "") for k, r in enumerate(roles)]
+        want[i] = said
+        rows += [(i, k, r, t) for k, (r, t) in enumerate(said)]
+    records = chat.assorted_records(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    done = chat.formatted_conversations(records.withColumn("layout", F.lit("clash")).withColumn("kept", F.lit(1)))
+    assert {"conv_id", "kept", "layout", "fingerprint", "mapped", "formatted", "loss_spans"} == set(done.columns)
+    found = done.withColumn("read", chat.read_back(F.col("formatted"))).collect()
+    assert {r.layout for r in found} == {m.name for m in chat.MAPPINGS} and all(r.mapped for r in found)
+    assert {r.conv_id: [tuple(t) for t in r.read] for r in found} == want
+    for r in chat.digests(done).collect():
+        assert r.formatted_chars == len(next(x.formatted for x in found if x.conv_id == r.conv_id))
+
+
+def test_chat_edge_cases(spark):
+    schema = "conv_id long, turn long, role string, text string, record string"
+    none = spark.createDataFrame([], schema)
+    assert chat.digests(chat.formatted_conversations(chat.assorted_records(none))).count() == 0
+    long = "</s>[INST] word " * 100_000
+    rows = spark.createDataFrame([(1, 0, "user", long, "x"), (1, 1, "assistant", long, "x"), (1, 1, "assistant", long, "x"), (None, 0, None, None, "x")], schema)
+    found = {r.conv_id: r for r in chat.digests(chat.formatted_conversations(chat.assorted_records(rows))).collect()}
+    assert found[1].n_turns == 3 and found[1].loss_chars == 2 * len(long) and found[None].n_turns == 1 and found[None].loss_chars == 0
+
+
 def test_chat_layouts(spark):
     cases = [
         ('{"prompt":"a","completion":"b"}', [("user", "a"), ("assistant", "b")]),
@@ -504,6 +570,48 @@ def test_toxicity_edge_cases(spark, odd):
     assert toxicity.toxicity(odd.limit(0), labels).count() == 0
 
 
+def test_feistel_matches_plain_python(spark):
+    """The permutation again, a number at a time; only the round function is Spark's own hash."""
+    for n in (1, 7, 60, 350):
+        a, b = sharding._grid(n)
+        tables = spark.range(max(a, b)).select("id", *[sharding._mixed(F.col("id"), 11, k, b if k % 2 else a).alias(f"f{k}") for k in range(sharding.ROUNDS)]).orderBy("id").collect()
+
+        def step(x):
+            left, right = divmod(x, b)
+            for k in range(0, sharding.ROUNDS, 2):
+                left = (left + tables[right][f"f{k}"]) % a
+                right = (right + tables[left][f"f{k + 1}"]) % b
+            return left * b + right
+
+        def walked(x):
+            x = step(x)
+            while x >= n:
+                x = step(x)
+            return x
+
+        shard, slot = sharding.address(F.col("id"), n, 5, 11)
+        for r in spark.range(n).select("id", shard.alias("s"), slot.alias("t")).collect():
+            assert (r.t, r.s) == divmod(walked(r.id), 5)
+
+
+def test_pipeline_edge_cases(spark, odd):
+    """Each stage on odd rows, repeated rows, clashing columns and an empty table."""
+    import corpus_pipeline
+
+    good = "It was a plain day, and nobody in the village had much to say about any of it. " * 3
+    more = [(100 + i, good + f"Number {i % 2} ends here.", "en", "a", 5, 7, "t", "k", 9) for i in (0, 0, 1, 2)] + [(None, good, "en", None, 5, 7, "t", "k", 9)]
+    docs = odd.unionByName(spark.createDataFrame(more, odd.schema)).withColumnsRenamed({"size": "_id", "target": "_source", "kept": "_row", "n_words": "said"})
+    for start in (docs, docs.limit(0)):
+        now = start
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            now = common.stored(stage(spark, now, SF), "test-odd")
+            assert k == 4 or now.columns == docs.columns
+            assert now.count() == 0 or start is docs
+        assert now.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    stay = ngram_join.representatives(spark.createDataFrame([(1, good), (1, "Another text altogether, with words of its own, many of them new."), (None, good + "End."), (2, good), (2, good)], "doc_id long, text string"))
+    assert sorted(r.text[:7] for r in stay.collect()) == ["Another", "It was "] and {r.doc_id for r in stay.collect()} == {1}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -159,10 +159,11 @@ def randomized_svd(x: np.ndarray, k: int, rng: np.random.Generator, power: int =
     return (q @ u)[:, :k], s[:k], vt[:k]
 
 
-def nmf(x: np.ndarray, k: int, seed: int, max_iter: int = 500, tol: float = 1e-4) -> tuple[np.ndarray, np.ndarray, int]:
+def nmf(x: np.ndarray, k: int, seed: int, max_iter: int = 500, tol: float = 1e-4, alpha_w: float = 0.0, alpha_h: float = 0.0, l1_ratio: float = 0.0) -> tuple[np.ndarray, np.ndarray, int]:
     """Non-negative factors W (rows x k) and H (k x columns) by cyclic coordinate descent, and the sweeps made.
 
     Starts from the signed halves of a seeded randomised SVD, with zeros filled by the mean.
+    Penalties: ``alpha_w`` a column of x on W, ``alpha_h`` a row on H; ``l1_ratio`` of each is absolute, the rest squared.
     """
     rng = np.random.default_rng(seed)
     u, s, vt = randomized_svd(x, k, rng)
@@ -178,10 +179,13 @@ def nmf(x: np.ndarray, k: int, seed: int, max_iter: int = 500, tol: float = 1e-4
             h[j] = np.sqrt(s[j] * size) * b / max(np.linalg.norm(b), 1e-300)
     w[w < 1e-12], h[h < 1e-12] = x.mean() / 100, x.mean() / 100
 
-    def sweep(target: np.ndarray, gram: np.ndarray, cross: np.ndarray) -> float:
+    on_w, on_h = alpha_w * x.shape[1], alpha_h * x.shape[0]
+
+    def sweep(target: np.ndarray, gram: np.ndarray, cross: np.ndarray, penalty: float) -> float:
         moved = 0.0
+        gram = gram + penalty * (1 - l1_ratio) * np.eye(k)
         for j in range(k):
-            slope = target @ gram[:, j] - cross[:, j]
+            slope = target @ gram[:, j] - cross[:, j] + penalty * l1_ratio
             held = np.where(target[:, j] == 0, np.minimum(slope, 0), slope)
             moved += np.abs(held).sum()
             if gram[j, j] > 0:
@@ -191,7 +195,7 @@ def nmf(x: np.ndarray, k: int, seed: int, max_iter: int = 500, tol: float = 1e-4
     first, done = None, 0
     ht = h.T.copy()
     for done in range(1, max_iter + 1):
-        moved = sweep(w, ht.T @ ht, x @ ht) + sweep(ht, w.T @ w, x.T @ w)
+        moved = sweep(w, ht.T @ ht, x @ ht, on_w) + sweep(ht, w.T @ w, x.T @ w, on_h)
         first = moved if first is None else first
         if first == 0 or moved / first <= tol:
             break

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.errors import StateError
 from cohortlens.functions import kernels
 
 #: A batch of rows -> inputs and targets.
@@ -45,3 +46,15 @@ def trained(rows: DataFrame, pairs: Pairs, sizes: list[int], max_iter: int, seed
         return total[0] + alpha * float((weight * flat * flat).sum()) / 2 / n, total[1:] + alpha * weight * flat / n
 
     return kernels.network_layers(kernels.limited_memory_descent(evaluate, kernels.network_start(sizes, seed), max_iter), sizes)
+
+
+def layer_arrays(layers: list[tuple[np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
+    """Named arrays of a network, to be saved."""
+    return {f"{part}{i}": a for i, layer in enumerate(layers) for part, a in zip(("weights", "offsets"), layer)}
+
+
+def layers_from(arrays: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    n = sum(k.startswith("weights") for k in arrays)
+    if not n or any(f"offsets{i}" not in arrays for i in range(n)):
+        raise StateError("arrays of a network are missing")
+    return [(arrays[f"weights{i}"], arrays[f"offsets{i}"]) for i in range(n)]

@@ -14,9 +14,8 @@ from cohortlens.functions import kernels
 from cohortlens.operators import prep
 from cohortlens.schema import PROGRAMS, Cohort
 
-#: (matrix, number of programs, seed) -> programs x genes, or that and the sweeps made
-Estimator = Callable[[np.ndarray, int, int], np.ndarray | tuple[np.ndarray, int]]
-DIAGNOSTICS = "sample_id string, run int, n_iter int, converged boolean"
+#: (matrix, number of programs, seed) -> programs x genes, or that, the sweeps made (below 0 if they ran out) and the error
+Estimator = Callable[[np.ndarray, int, int], np.ndarray | tuple[np.ndarray, int, float]]
 
 
 def normalised(programs: DataFrame) -> DataFrame:
@@ -37,13 +36,15 @@ def mean_programs(cohort: Cohort) -> DataFrame:
     return normalised(full.select("sample_id", "program_idx", "lineage", "gene_id", "gene_pos", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("weight")))
 
 
-def nmf_estimator(max_iter: int = 500, tol: float = 1e-4) -> Estimator:
-    if max_iter < 1 or tol < 0:
-        raise ProgramError("max_iter has to be positive, tol can't be negative")
+def nmf_estimator(max_iter: int = 500, tol: float = 1e-4, alpha_w: float = 0.0, alpha_h: float | None = None, l1_ratio: float = 0.0) -> Estimator:
+    """Factorisation with penalties on activities and weights (the same unless ``alpha_h`` is given)."""
+    alpha_h = alpha_w if alpha_h is None else alpha_h
+    if max_iter < 1 or tol < 0 or min(alpha_w, alpha_h) < 0 or not 0 <= l1_ratio <= 1:
+        raise ProgramError("max_iter has to be positive, tol and penalties can't be negative, l1_ratio is a share")
 
-    def fit(matrix: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, int]:
-        _, weights, sweeps = kernels.nmf(matrix, k, seed, max_iter, tol)
-        return weights, sweeps if sweeps < max_iter else -sweeps
+    def fit(matrix: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, int, float]:
+        activities, weights, sweeps = kernels.nmf(matrix, k, seed, max_iter, tol, alpha_w, alpha_h, l1_ratio)
+        return weights, sweeps if sweeps < max_iter else -sweeps, float(np.linalg.norm(matrix - activities @ weights))
 
     return fit
 
@@ -52,13 +53,13 @@ _nmf = nmf_estimator()
 
 
 def diagnostics(runs: DataFrame) -> DataFrame:
-    """sample_id, run, n_iter and converged of fitted programs (null for estimators that don't say)."""
-    found = runs.groupBy("sample_id", "run").agg(F.max("sweeps").alias("s"))
-    return found.select("sample_id", "run", F.abs("s").alias("n_iter"), (F.col("s") > 0).alias("converged"))
+    """sample_id, run, n_iter, converged and error (of the whole fit) of fitted programs; null for estimators that don't say."""
+    found = runs.groupBy("sample_id", "run").agg(F.max("sweeps").alias("s"), F.max("error").alias("error"))
+    return found.select("sample_id", "run", F.abs("s").alias("n_iter"), (F.col("s") > 0).alias("converged"), "error")
 
 
 def fitted_programs(cohort: Cohort, n_programs: int = 8, seed: int = 0, repeats: int = 1, estimator: Estimator = _nmf, own_axis: bool = False, most_elements: int = 200_000_000) -> DataFrame:
-    """Programs of every sample and restart: PROGRAMS, ``run`` and ``sweeps`` (below 0 if they ran out).
+    """Programs of every sample and restart: PROGRAMS, ``run``, ``sweeps`` (below 0 if they ran out) and ``error``.
 
     Samples are never pooled. A task holds one sample; each restart is a task
     of its own, with ``most_elements`` dense values at most: a larger sample
@@ -85,7 +86,7 @@ def fitted_programs(cohort: Cohort, n_programs: int = 8, seed: int = 0, repeats:
         if n < 2 or n_programs > min(n, len(here)):
             raise ProgramError(f"sample {sample}: {n_programs} programs of {n} cells and {len(here)} genes")
         found = estimator(x[:, here], n_programs, seed + int(run))
-        found, sweeps = found if isinstance(found, tuple) else (found, None)
+        found, sweeps, error = found if isinstance(found, tuple) else (found, None, None)
         weights = np.asarray(found, float)
         if weights.shape != (n_programs, len(here)) or (weights < 0).any():
             raise ProgramError(f"sample {sample}: the estimator returned {weights.shape}")
@@ -95,10 +96,10 @@ def fitted_programs(cohort: Cohort, n_programs: int = 8, seed: int = 0, repeats:
         weights /= sums
         return pd.DataFrame({
             "sample_id": sample, "program_idx": np.repeat(np.arange(n_programs, dtype=np.int32), len(here)), "gene_id": np.tile([names[i] for i in here], n_programs),
-            "gene_pos": np.tile([positions[i] for i in here], n_programs), "weight": weights.ravel(), "run": np.int32(run), "sweeps": pd.array([sweeps] * weights.size, "Int32"),
+            "gene_pos": np.tile([positions[i] for i in here], n_programs), "weight": weights.ravel(), "run": np.int32(run), "sweeps": pd.array([sweeps] * weights.size, "Int32"), "error": error,
         })
 
-    return rows.groupBy("sample_id", "run").applyInPandas(fit, f"{PROGRAMS}, run int, sweeps int")
+    return rows.groupBy("sample_id", "run").applyInPandas(fit, f"{PROGRAMS}, run int, sweeps int, error double")
 
 
 def stabilised(runs: DataFrame, min_similarity: float = 0.5) -> tuple[DataFrame, DataFrame]:

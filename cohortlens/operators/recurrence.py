@@ -29,6 +29,24 @@ def feature_overlap(programs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return shared, both.groupBy(F.col("a.sample_id").alias("ref_sample"), F.col("b.sample_id").alias("query_sample")).agg(F.count("*").alias("n_shared"))
 
 
+def overlap_summary(programs: DataFrame) -> DataFrame:
+    """Of every sample its number of genes, how many all samples share, the share of its own that these are, and the least that any two samples share."""
+    shared, pairs = feature_overlap(programs)
+    n = shared.count()
+    least = pairs.agg(F.min("n_shared")).first()[0]
+    samples = programs.select("sample_id").distinct().count()
+    if least is None or pairs.count() < samples * (samples - 1) // 2:
+        least = n if samples < 2 else 0  # two samples without a common gene make no pair
+    own = programs.groupBy("sample_id").agg(F.countDistinct("gene_id").alias("n_features"))
+    return own.select("sample_id", "n_features", F.lit(n).cast("long").alias("n_shared"), (F.lit(n) / F.col("n_features")).alias("retention"), F.lit(least).cast("long").alias("minimum_pairwise_shared"))
+
+
+def feature_map(programs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Where each gene of a vocabulary stands in it, and where in each sample's own axis."""
+    axis = vocabulary.select("gene_id", F.col("gene_pos").alias("vocabulary_pos")).distinct()
+    return programs.select("sample_id", "gene_id", "gene_pos").distinct().join(axis, "gene_id")
+
+
 def ranked(rows: DataFrame, keys: list[str], value: str = "weight") -> DataFrame:
     """Add ``z``: average ranks of ``value`` within ``keys``, centred and scaled to length 1 (0 if constant)."""
     place, ties = Window.partitionBy(*keys).orderBy(value), Window.partitionBy(*keys, value)
@@ -121,6 +139,15 @@ class Recurrence:
     shared: DataFrame
 
 
+def evidence(found: Recurrence) -> dict[str, DataFrame]:
+    """The tables of recurrence evidence, to be saved; ``restored`` is the way back."""
+    return {"programs": found.programs, "pairs": found.pairs, "matches": found.matches, "shared": found.shared}
+
+
+def restored(tables: dict[str, DataFrame], reference: str) -> Recurrence:
+    return Recurrence(tables["programs"], tables["pairs"], reference, tables["matches"], tables["shared"])
+
+
 def compute_recurrence(programs: DataFrame, min_similarity: float = 0.3, n_permutations: int = 1000, seed: int = 0) -> Recurrence:
     programs = stored(programs)
     shared = stored(feature_overlap(programs)[0])

@@ -111,6 +111,20 @@ class Nonlinear:
         return (c @ w + b) * self.deviation + self.mean
 
 
+def model_arrays(model: Linear | Nonlinear) -> dict[str, np.ndarray]:
+    """What has to be kept of a model."""
+    own = {"mean": model.mean, "deviation": model.deviation}
+    if isinstance(model, Linear):
+        return own | {"axes": model.axes, "shares": model.shares}
+    return own | network.layer_arrays(model.layers)
+
+
+def model_from(arrays: dict[str, np.ndarray]) -> Linear | Nonlinear:
+    if "axes" in arrays:
+        return Linear(arrays["axes"], arrays["shares"], arrays["mean"], arrays["deviation"])
+    return Nonlinear(network.layers_from(arrays), arrays["mean"], arrays["deviation"])
+
+
 COORDINATES = "sample_id string, cell_id string, coordinates array<double>"
 
 

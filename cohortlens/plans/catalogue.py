@@ -157,6 +157,15 @@ def feature_overlap(spark, sf_dir):
     return recurrence.feature_overlap(_programs(spark, sf_dir).where("weight >= 0.041"))[1]
 
 
+def overlap_summary(spark, sf_dir):
+    return rounded(recurrence.overlap_summary(_programs(spark, sf_dir).where("weight >= 0.041")), "retention")
+
+
+def feature_map(spark, sf_dir):
+    found = _programs(spark, sf_dir)
+    return recurrence.feature_map(found, _recurrent_of(found)[0]).select("sample_id", "gene_id", *[F.col(c).cast("long").alias(c) for c in ("vocabulary_pos", "gene_pos")])
+
+
 def shared_features(spark, sf_dir):
     return recurrence.feature_overlap(_programs(spark, sf_dir).where("weight >= 0.041"))[0].select("gene_id")
 
@@ -184,7 +193,11 @@ def medoid_choice(spark, sf_dir):
 
 def _recurrent(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Vocabulary and members against the exact mean of random assignments."""
-    return recurrence.recurrent_vocabulary(_programs(spark, sf_dir), 2, 0.2, 0)
+    return _recurrent_of(_programs(spark, sf_dir))
+
+
+def _recurrent_of(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return recurrence.recurrent_vocabulary(found, 2, 0.2, 0)
 
 
 def recurrent_exact(spark, sf_dir):
@@ -312,6 +325,10 @@ def nmf_fit(spark, sf_dir):
     return programs.fitted_programs(_logged(spark, sf_dir), 4, seed=0)
 
 
+def nmf_diagnostics(spark, sf_dir):
+    return programs.diagnostics(programs.fitted_programs(_logged(spark, sf_dir), 4, estimator=programs.nmf_estimator(alpha_w=1e-4, l1_ratio=0.5)))
+
+
 def nmf_stability(spark, sf_dir):
     return programs.stabilised(programs.fitted_programs(_logged(spark, sf_dir), 3, repeats=3))[1]
 
@@ -598,6 +615,10 @@ ORACLE_SQL: dict[str, str] = {
     "redundancy": f"""WITH {RANKED}, s AS (SELECT a.sample_id, abs(sum(a.z * b.z)) AS s FROM zz a JOIN zz b ON a.sample_id = b.sample_id AND a.gene_id = b.gene_id AND a.program_idx < b.program_idx GROUP BY a.sample_id, a.program_idx, b.program_idx)
         SELECT sample_id, {_r("avg(s)", "mean_similarity")}, {_r("max(s)", "max_similarity")} FROM s GROUP BY 1""",
     "feature_overlap": f"WITH {PROG}, o AS (SELECT DISTINCT sample_id, gene_id FROM prog WHERE weight >= 0.041) SELECT a.sample_id AS ref_sample, b.sample_id AS query_sample, count(*) AS n_shared FROM o a JOIN o b ON a.gene_id = b.gene_id AND a.sample_id < b.sample_id GROUP BY 1, 2",
+    "overlap_summary": f"""WITH {PROG}, o AS (SELECT DISTINCT sample_id, gene_id FROM prog WHERE weight >= 0.041), s AS (SELECT gene_id FROM o GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT sample_id) FROM o)),
+        p AS (SELECT a.sample_id AS x, b.sample_id AS y, count(*) AS n FROM o a JOIN o b ON a.gene_id = b.gene_id AND a.sample_id < b.sample_id GROUP BY 1, 2)
+        SELECT sample_id, count(*) AS n_features, (SELECT count(*) FROM s) AS n_shared, {_r("(SELECT count(*) FROM s) * 1.0 / count(*)", "retention")}, (SELECT min(n) FROM p) AS minimum_pairwise_shared FROM o GROUP BY 1""",
+    "feature_map": f"WITH {PROG} SELECT DISTINCT sample_id, gene_id, gene_pos AS vocabulary_pos, gene_pos FROM prog",
     "shared_features": f"WITH {PROG}, o AS (SELECT DISTINCT sample_id, gene_id FROM prog WHERE weight >= 0.041) SELECT gene_id FROM o GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT sample_id) FROM o)",
     "optimal_assignment": f"WITH {PERMUTED} SELECT ref_sample, query_sample, {_r('optimal_mean', 'optimal_mean')}, {_r('null_mean', 'null_mean')} FROM best JOIN nulls USING (ref_sample, query_sample)",
     "medoid": f"""WITH {PERMUTED}, g AS (SELECT ref_sample, query_sample, optimal_mean - null_mean AS gain FROM best JOIN nulls USING (ref_sample, query_sample)), u AS (SELECT ref_sample AS sample_id, gain FROM g UNION ALL SELECT query_sample, gain FROM g)

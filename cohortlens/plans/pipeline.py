@@ -73,7 +73,7 @@ def _fit_each(cohort: Cohort, o: FitOptions) -> dict[str, DataFrame]:
         found, stability = programs.stabilised(runs, o.stability_threshold)
         found = stored(found)
     else:
-        found, stability = runs.drop("run", "sweeps"), runs.sparkSession.createDataFrame([], "sample_id string, run int, anchor_idx int, matched_idx int, similarity double, retained boolean")
+        found, stability = runs.drop("run", "sweeps", "error"), runs.sparkSession.createDataFrame([], "sample_id string, run int, anchor_idx int, matched_idx int, similarity double, retained boolean")
     on = ["sample_id", "gene_id"]
     sums = ready.expr.join(found.select(*on, "program_idx", "weight"), on).groupBy(*prep.ON, "program_idx").agg(F.sum(F.col("value") * F.col("weight")).alias("usage"))
     every = ready.cells.select(*prep.ON).join(found.select("sample_id", "program_idx").distinct(), "sample_id")
@@ -200,7 +200,7 @@ def fit_pipeline(cohort: Cohort, config: PipelineConfig, fitter=None) -> Pipelin
         raise PipelineError("two training samples are needed")
     ready = preprocessed(cohort, config.preprocessing).stored()
     learn = ready.kept_samples(train)
-    fitted = fitter(learn) if fitter else programs.fitted_programs(learn, config.n_programs, config.seed).drop("run", "sweeps")
+    fitted = fitter(learn) if fitter else programs.fitted_programs(learn, config.n_programs, config.seed).drop("run", "sweeps", "error")
     vocabulary, members = recurrence.recurrent_vocabulary(fitted, min(config.min_samples, len(train)), config.min_similarity, config.n_permutations, seed=config.seed)
     scores = stored(SCORERS[config.scorer](ready, vocabulary, train))
     reports = {"reconstruction": metrics.reconstruction(ready, scores, vocabulary, split), "associations": metrics.technical_associations(scores, metrics.covariate_depth(ready))}

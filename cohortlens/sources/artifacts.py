@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens import __version__
-from cohortlens.errors import InputError
+from cohortlens.errors import InputError, StateError
 
 SCHEMA_VERSION = 1
 
@@ -69,6 +70,26 @@ def report(df: DataFrame, path: str, sep: str = "\t", overwrite: bool = False) -
     df.select(*flat).coalesce(1).write.mode("overwrite" if overwrite else "error").option("header", True).option("sep", sep).csv(path)
 
 
+def save_values(rows: DataFrame, path: str, kind: str, parameters: dict | None = None, overwrite: bool = False) -> None:
+    """Activities or coordinates, an array a cell (sample_id, cell_id and the array); values that aren't finite raise."""
+    column = next(c for c in rows.columns if c not in ("sample_id", "cell_id"))
+    bad = F.exists(column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | (F.size(column) < 1)
+    if rows.where(F.coalesce(bad, F.lit(True))).limit(1).count():
+        raise StateError(f"{kind} have values that aren't finite")
+    save({"values": rows}, path, kind, parameters, overwrite)
+
+
+def save_model(spark: SparkSession, model: dict[str, np.ndarray], path: str, kind: str, overwrite: bool = False) -> None:
+    """Arrays of a fitted model (axes, scales, layers), a row each."""
+    rows = [(k, list(map(int, v.shape)), np.asarray(v, float).ravel().tolist()) for k, v in model.items()]
+    save({"arrays": spark.createDataFrame(rows, "name string, shape array<int>, x array<double>")}, path, kind, None, overwrite)
+
+
+def load_model(spark: SparkSession, path: str, kind: str) -> dict[str, np.ndarray]:
+    """A model is small by its kind (a vocabulary's size), so it is read whole."""
+    return {r["name"]: np.array(r["x"]).reshape(r["shape"]) for r in load(spark, path, kind)[0]["arrays"].collect()}
+
+
 def stored_vocabulary(genes: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """The vocabulary on a whole gene axis: genes outside it weigh 0."""
     programs = sorted(r[0] for r in vocabulary.select("program_idx").distinct().collect())

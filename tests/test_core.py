@@ -405,6 +405,39 @@ def test_samples_fitted_apart_aggregate_like_an_atlas(spark, tmp_path):
         cli.main(["aggregate", "--input", str(tmp_path / "apart"), "--output", str(tmp_path / "three")], spark)
 
 
+def test_models_and_evidence_are_restored(spark, tmp_path, small):
+    x, w, samples, cohort, words = small
+    scores = scoring.direct(cohort, words)
+    for kind, (found, model) in {"linear": state.linear_state(scores, ["d0", "d1"], 1), "nonlinear": state.nonlinear_state(scores, ["d0", "d1"], 1, 20)}.items():
+        artifacts.save_model(spark, state.model_arrays(model), str(tmp_path / kind), kind)
+        again = state.model_from(artifacts.load_model(spark, str(tmp_path / kind), kind))
+        raw = x @ w.T
+        assert np.allclose(again.coordinates(raw), model.coordinates(raw)) and np.allclose(again.inverse(raw[:, :1]), model.inverse(raw[:, :1]))
+        artifacts.save_values(found, str(tmp_path / f"{kind}-values"), "coordinates", {"method": kind})
+    with pytest.raises(errors.StateError):
+        artifacts.save_values(found.withColumn("coordinates", F.array(F.lit(float("nan")))), str(tmp_path / "bad"), "coordinates")
+    ready, genes, basis = projection._prepared(cohort, words, True)
+    layers = projection.neural_training(ready, len(genes), basis, max_iter=20)
+    artifacts.save_model(spark, network.layer_arrays(layers), str(tmp_path / "net"), "neural")
+    kept = network.layers_from(artifacts.load_model(spark, str(tmp_path / "net"), "neural"))
+    one, two = (projection.project(cohort, words, "neural", True, layers=n).orderBy("cell_id").toPandas()["usages"].tolist() for n in (layers, kept))
+    assert np.allclose(one, two)
+    found = programs.fitted_programs(blocks(spark), 2).drop("run", "sweeps", "error")
+    seen = recurrence.compute_recurrence(found, 0.0, 5)
+    artifacts.save(recurrence.evidence(seen), str(tmp_path / "seen"), "recurrence", {"reference": seen.reference})
+    tables, parameters = artifacts.load(spark, str(tmp_path / "seen"), "recurrence")
+    built = recurrence.build_vocabulary(recurrence.restored(tables, parameters["reference"]))
+    assert sorted(map(tuple, built[0].collect())) == sorted(map(tuple, recurrence.build_vocabulary(seen)[0].collect()))
+
+
+def test_penalties_shrink_programs():
+    x = np.random.default_rng(0).gamma(2, 1, (30, 8))
+    plain, penalised = kernels.nmf(x, 3, 0), kernels.nmf(x, 3, 0, alpha_w=0.05, alpha_h=0.05, l1_ratio=0.5)
+    assert penalised[0].sum() * penalised[1].sum() < plain[0].sum() * plain[1].sum()
+    weights, sweeps, error = programs.nmf_estimator(2)(x, 3, 0)
+    assert sweeps == -2 and 0 < error < np.linalg.norm(x) and weights.shape == (3, 8)
+
+
 def test_run_command(spark, tmp_path):
     rng = np.random.default_rng(2)
     genes = ["MT-G0", "G1", "G2", "RPS3", "G4", "G5", "G6", "G7"]

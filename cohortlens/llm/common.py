@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +40,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_stored: list[str] = []
+
+
+@contextmanager
+def working_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes what ``stored`` wrote meanwhile; the result has to be written elsewhere by then."""
+    first = len(_stored)
+    try:
+        yield
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        while len(_stored) > first:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stored.pop())
+            path.getFileSystem(conf).delete(path, True)
+
+
 def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as a table on the shared folder and read it back.
 
@@ -47,6 +64,7 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", compression).parquet(path)
+    _stored.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

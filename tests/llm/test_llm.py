@@ -625,3 +625,5 @@ def test_pipeline(spark):
             kept = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
             assert all(v[2] == 0 for v in brute_classes(kept, 5, 80).values())
     assert seen[0] > seen[1] >= seen[2] > 0 and seen[3] == seen[4]
+    kept = len(common._stored)
+    assert corpus_pipeline.run(spark, SF).count() == seen[4] and len(common._stored) == kept

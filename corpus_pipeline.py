@@ -2,6 +2,13 @@
 
 Quality rules, exact dedup, near dedup, mixing, tokenising: each stage works on
 all that its predecessor kept and is written as Parquet before the next reads it.
+
+Edge cases: null and empty texts fail the quality rules; repeated rows and rows
+without an id pass or go by their texts, and of equal or near texts one row
+stays; a very long text is a document like others; an empty table passes
+through all stages; all stages but the last return the columns of the input,
+whatever their names, with the text and its count of characters as the quality
+stage cleaned them.
 """
 
 from __future__ import annotations
@@ -9,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortlens.llm import exact_dedup, mixing, ngram_join, quality, sentencepiece_bpe
-from cohortlens.llm.common import dealt_evenly, stored, table
+from cohortlens.llm.common import dealt_evenly, new_path, table, working_tables
 from cohortlens.llm.queries import model_path
 
 
@@ -51,7 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; a stage's working tables are deleted when its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with working_tables(spark):
+            path = new_path(spark, name.replace(" ", "-"))
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

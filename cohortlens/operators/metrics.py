@@ -87,9 +87,9 @@ def technical_associations(scores: DataFrame, covariates: DataFrame) -> DataFram
     key = ["program_idx", "covariate"]
     rows = stored(scores.join(covariates.where(finite), ON).select(*key, "score", "x"))
     ranked = spread_ranks(spread_ranks(rows, key, "score", "_a"), key, "x", "_b")
-    found = ranked.groupBy(*key).agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("rho"), F.stddev_pop("_a").alias("_sa"), F.stddev_pop("_b").alias("_sb"))
+    found = ranked.groupBy(*key).agg(F.count("*").alias("n"), F.covar_pop("_a", "_b").alias("_ab"), F.stddev_pop("_a").alias("_sa"), F.stddev_pop("_b").alias("_sb"))
     undefined = (F.col("n") < 2) | (F.col("_sa") == 0) | (F.col("_sb") == 0)
-    return found.select(*key, "n", F.when(undefined, F.lit(float("nan"))).otherwise(F.col("rho")).alias("rho"))
+    return found.select(*key, "n", F.when(undefined, F.lit(float("nan"))).otherwise(F.try_divide("_ab", F.col("_sa") * F.col("_sb"))).alias("rho"))
 
 
 def sample_means(values: DataFrame, value: str = "value") -> DataFrame:

@@ -233,9 +233,13 @@ def network_gradient(x: np.ndarray, y: np.ndarray, flat: np.ndarray, sizes: list
     return np.concatenate([[loss], *reversed(parts)])
 
 
-def limited_memory_descent(evaluate, start: np.ndarray, max_iter: int, tol: float = 1e-5, memory: int = 10) -> np.ndarray:
-    """Minimum of a smooth function near ``start``; ``evaluate`` gives value and gradient. Curvature comes from the last steps."""
+def limited_memory_descent(evaluate, start: np.ndarray, max_iter: int, tol: float = 1e-4, memory: int = 10) -> np.ndarray:
+    """Minimum of a smooth function near ``start``; ``evaluate`` gives value and gradient. Curvature comes from the last steps.
+
+    Ends when the slope is at most ``tol``, or two steps in a row gain less than that share of the value.
+    """
     at, (value, slope) = start, evaluate(start)
+    slow = 0
     steps: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(max_iter):
         if np.abs(slope).max() <= tol:
@@ -259,9 +263,9 @@ def limited_memory_descent(evaluate, start: np.ndarray, max_iter: int, tol: floa
             break
         if (new - at) @ (new_slope - slope) > 1e-12:
             steps = [*steps, (new - at, new_slope - slope)][-memory:]
-        small = value - new_value <= 1e-7 * abs(value)
+        slow = slow + 1 if value - new_value <= tol * abs(value) else 0
         at, value, slope = new, new_value, new_slope
-        if small:
+        if slow > 1:
             break
     return at
 

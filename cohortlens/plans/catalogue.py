@@ -17,6 +17,8 @@ from cohortlens.storage import stored
 from cohortlens.streaming.projection import scored_stream
 
 TRAIN = ["0", "1", "2"]
+#: Descent steps of networks in the registered queries, each a job or two over all cells.
+STEPS = 15
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -367,7 +369,7 @@ def lineage_vocab(spark, sf_dir):
 
 def neural_project(spark, sf_dir):
     cohort, _, words = _start(spark, sf_dir, 2)
-    return projection.project(cohort, words, "neural")
+    return projection.project(cohort, words, "neural", max_iter=STEPS)
 
 
 def variational_project(spark, sf_dir):
@@ -409,7 +411,7 @@ def nb_all(spark, sf_dir):
 
 
 def neural_all(spark, sf_dir):
-    return _all(spark, sf_dir, "neural")
+    return _all(spark, sf_dir, "neural", max_iter=STEPS)
 
 
 def variational_all(spark, sf_dir):
@@ -418,7 +420,7 @@ def variational_all(spark, sf_dir):
 
 def benchmark_all(spark, sf_dir):
     cohort, _, words = _start(spark, sf_dir)
-    return projection.benchmark(projection.compare(cohort, words, list(projection.available_projectors()), {"regularized_nnls": {"l1": 0.5, "l2": 0.1}}))
+    return projection.benchmark(projection.compare(cohort, words, list(projection.available_projectors()), {"regularized_nnls": {"l1": 0.5, "l2": 0.1}, "neural": {"max_iter": STEPS}}))
 
 
 def pca_explained_all(spark, sf_dir):
@@ -448,7 +450,7 @@ def expression_pca(spark, sf_dir):
 
 
 def nonlinear_state(spark, sf_dir):
-    return state.nonlinear_state(stored(_direct(spark, sf_dir)), TRAIN, 2, 100)[0]
+    return state.nonlinear_state(stored(_direct(spark, sf_dir)), TRAIN, 2, STEPS)[0]
 
 
 def pipeline_reconstruction(spark, sf_dir):

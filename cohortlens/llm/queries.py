@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import chat, exact_dedup, html_main, mixing, ngram_join, quality, sentencepiece_bpe, sharding, toxicity, warc
+from cohortlens.llm import chat, exact_dedup, fill_in_middle, html_main, mixing, ngram_join, quality, repeated_spans, sentencepiece_bpe, sharding, toxicity, warc, whitening
 from cohortlens.llm.common import dealt_evenly, table
 
 
@@ -61,6 +61,22 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.main_texts(dealt_evenly(table(spark, sf_dir, "pages")))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_in_middle.fill_in_middle(dealt_evenly(table(spark, sf_dir, "documents")))
+    digest = lambda text: F.sha2(F.encode(text, "UTF-8"), 256)
+    made = digest(F.col("output")).alias("output_sha256"), digest(fill_in_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256")
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *made)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeated_spans.kept_words(dealt_evenly(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def registered() -> dict:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -125,4 +141,21 @@ ORACLE_SQL: dict[str, str] = {
               len(list_filter(ls, lambda l: regexp_matches(l, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(ls, lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')))) AS n_dup_lines FROM t),
         b AS (SELECT m.*, coalesce(n_repeat_words, 0) AS n_repeat_words, n_words < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * n_words AS base_failed, lost_chars FROM m LEFT JOIN r USING (doc_id) JOIN z USING (doc_id))
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * lost_chars <= {quality.MOST_LOST} * length(text) AS kept, lost_chars FROM b""",
+    "op11_fill_in_middle": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS ts, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents),
+        h AS (SELECT *, len(ts) AS n, ('0x' || d[1:8])::BIGINT AS h1, ('0x' || d[9:16])::BIGINT AS h2, ('0x' || d[17:24])::BIGINT AS h3, ('0x' || d[25:32])::BIGINT AS h4 FROM t),
+        c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+              CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+        p AS (SELECT *, array_to_string(ts[:a], '') AS prefix, array_to_string(ts[a + 1 : b], '') AS middle, array_to_string(ts[b + 1 :], '') AS suffix FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256 FROM p""",
+    "op13_repeated_spans": rf"""
+        WITH t AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+        g AS (SELECT doc_id, i, array_to_string(ws[i : i + 19], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM t)),
+        f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS place FROM g),
+        r AS (SELECT DISTINCT doc_id, i + k AS pos FROM f, range(20) q(k) WHERE place > 1),
+        w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM t),
+        k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n_kept FROM w ANTI JOIN r USING (doc_id, pos) GROUP BY 1)
+        SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN k USING (doc_id)""",
 }

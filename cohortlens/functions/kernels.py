@@ -159,6 +159,38 @@ def randomized_svd(x: np.ndarray, k: int, rng: np.random.Generator, power: int =
     return (q @ u)[:, :k], s[:k], vt[:k]
 
 
+def start_halves(plus: np.ndarray, minus: np.ndarray, s: np.ndarray, vt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which signed half of each singular pair starts a program: signs of the left vectors (0: absolute), their scales, and the weights.
+
+    ``plus`` and ``minus`` are the norms of the halves of the left vectors.
+    """
+    signs, scales, h = np.zeros(len(s)), np.zeros(len(s)), np.zeros(vt.shape)
+    for j in range(len(s)):
+        if j:
+            halves = [(own * np.linalg.norm(np.maximum(sign * vt[j], 0)), own, sign) for own, sign in ((plus[j], 1), (minus[j], -1))]
+            size, own, signs[j] = max(halves, key=lambda t: t[0])
+            b = np.maximum(signs[j] * vt[j], 0)
+        else:
+            size, own, b = 1.0, np.hypot(plus[0], minus[0]), abs(vt[0])
+        if size > 0:
+            scales[j] = np.sqrt(s[j] * size) / max(own, 1e-300)
+            h[j] = np.sqrt(s[j] * size) * b / max(np.linalg.norm(b), 1e-300)
+    return signs, scales, h
+
+
+def coordinate_sweep(target: np.ndarray, gram: np.ndarray, cross: np.ndarray, penalty: float, l1_ratio: float) -> float:
+    """One sweep over the columns of ``target`` >= 0, in place, towards the least squares of cross - target gram; how far the slopes were from rest."""
+    moved = 0.0
+    gram = gram + penalty * (1 - l1_ratio) * np.eye(len(gram))
+    for j in range(len(gram)):
+        slope = target @ gram[:, j] - cross[:, j] + penalty * l1_ratio
+        held = np.where(target[:, j] == 0, np.minimum(slope, 0), slope)
+        moved += np.abs(held).sum()
+        if gram[j, j] > 0:
+            target[:, j] = np.maximum(target[:, j] - slope / gram[j, j], 0)
+    return moved
+
+
 def nmf(x: np.ndarray, k: int, seed: int, max_iter: int = 500, tol: float = 1e-4, alpha_w: float = 0.0, alpha_h: float = 0.0, l1_ratio: float = 0.0) -> tuple[np.ndarray, np.ndarray, int]:
     """Non-negative factors W (rows x k) and H (k x columns) by cyclic coordinate descent, and the sweeps made.
 
@@ -167,35 +199,17 @@ def nmf(x: np.ndarray, k: int, seed: int, max_iter: int = 500, tol: float = 1e-4
     """
     rng = np.random.default_rng(seed)
     u, s, vt = randomized_svd(x, k, rng)
-    w, h = np.zeros((x.shape[0], k)), np.zeros((k, x.shape[1]))
-    for j in range(k):
-        halves = []
-        for sign in (1, -1):
-            a, b = np.maximum(sign * u[:, j], 0), np.maximum(sign * vt[j], 0)
-            halves.append((np.linalg.norm(a) * np.linalg.norm(b), a, b))
-        size, a, b = max(halves, key=lambda t: t[0]) if j else (1.0, abs(u[:, 0]), abs(vt[0]))
-        if size > 0:
-            w[:, j] = np.sqrt(s[j] * size) * a / max(np.linalg.norm(a), 1e-300)
-            h[j] = np.sqrt(s[j] * size) * b / max(np.linalg.norm(b), 1e-300)
+    u, s, vt = (np.pad(a, pad) for a, pad in ((u, ((0, 0), (0, k - len(s)))), (s, (0, k - len(s))), (vt, ((0, k - len(s)), (0, 0)))))
+    plus, minus = (np.linalg.norm(np.maximum(a, 0), axis=0) for a in (u, -u))
+    signs, scales, h = start_halves(plus, minus, s, vt)
+    w = np.where(signs == 0, abs(u), np.maximum(signs * u, 0)) * scales
     w[w < 1e-12], h[h < 1e-12] = x.mean() / 100, x.mean() / 100
-
     on_w, on_h = alpha_w * x.shape[1], alpha_h * x.shape[0]
 
-    def sweep(target: np.ndarray, gram: np.ndarray, cross: np.ndarray, penalty: float) -> float:
-        moved = 0.0
-        gram = gram + penalty * (1 - l1_ratio) * np.eye(k)
-        for j in range(k):
-            slope = target @ gram[:, j] - cross[:, j] + penalty * l1_ratio
-            held = np.where(target[:, j] == 0, np.minimum(slope, 0), slope)
-            moved += np.abs(held).sum()
-            if gram[j, j] > 0:
-                target[:, j] = np.maximum(target[:, j] - slope / gram[j, j], 0)
-        return moved
-
     first, done = None, 0
     ht = h.T.copy()
     for done in range(1, max_iter + 1):
-        moved = sweep(w, ht.T @ ht, x @ ht, on_w) + sweep(ht, w.T @ w, x.T @ w, on_h)
+        moved = coordinate_sweep(w, ht.T @ ht, x @ ht, on_w, l1_ratio) + coordinate_sweep(ht, w.T @ w, x.T @ w, on_h, l1_ratio)
         first = moved if first is None else first
         if first == 0 or moved / first <= tol:
             break

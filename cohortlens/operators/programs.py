@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,8 +13,10 @@ from pyspark.sql import functions as F
 
 from cohortlens.errors import ProgramError
 from cohortlens.functions import kernels
-from cohortlens.operators import prep
+from cohortlens.operators import factorisation, prep
+from cohortlens.operators.projection import packed
 from cohortlens.schema import PROGRAMS, Cohort
+from cohortlens.storage import stored
 
 #: (matrix, number of programs, seed) -> programs x genes, or that, the sweeps made (below 0 if they ran out) and the error
 Estimator = Callable[[np.ndarray, int, int], np.ndarray | tuple[np.ndarray, int, float]]
@@ -36,20 +40,31 @@ def mean_programs(cohort: Cohort) -> DataFrame:
     return normalised(full.select("sample_id", "program_idx", "lineage", "gene_id", "gene_pos", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("weight")))
 
 
-def nmf_estimator(max_iter: int = 500, tol: float = 1e-4, alpha_w: float = 0.0, alpha_h: float | None = None, l1_ratio: float = 0.0) -> Estimator:
-    """Factorisation with penalties on activities and weights (the same unless ``alpha_h`` is given)."""
-    alpha_h = alpha_w if alpha_h is None else alpha_h
-    if max_iter < 1 or tol < 0 or min(alpha_w, alpha_h) < 0 or not 0 <= l1_ratio <= 1:
-        raise ProgramError("max_iter has to be positive, tol and penalties can't be negative, l1_ratio is a share")
+@dataclass(frozen=True)
+class Nmf:
+    """Factorisation with penalties on activities and weights (the same unless ``alpha_h`` is given); an estimator that Spark can also spread."""
 
-    def fit(matrix: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, int, float]:
-        activities, weights, sweeps = kernels.nmf(matrix, k, seed, max_iter, tol, alpha_w, alpha_h, l1_ratio)
-        return weights, sweeps if sweeps < max_iter else -sweeps, float(np.linalg.norm(matrix - activities @ weights))
+    max_iter: int = 500
+    tol: float = 1e-4
+    alpha_w: float = 0.0
+    alpha_h: float | None = None
+    l1_ratio: float = 0.0
 
-    return fit
+    def __post_init__(self):
+        if self.max_iter < 1 or self.tol < 0 or min(self.alpha_w, self.on_weights) < 0 or not 0 <= self.l1_ratio <= 1:
+            raise ProgramError("max_iter has to be positive, tol and penalties can't be negative, l1_ratio is a share")
 
+    @property
+    def on_weights(self) -> float:
+        return self.alpha_w if self.alpha_h is None else self.alpha_h
 
-_nmf = nmf_estimator()
+    def __call__(self, matrix: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, int, float]:
+        activities, weights, sweeps = kernels.nmf(matrix, k, seed, self.max_iter, self.tol, self.alpha_w, self.on_weights, self.l1_ratio)
+        return weights, sweeps if sweeps < self.max_iter else -sweeps, float(np.linalg.norm(matrix - activities @ weights))
+
+
+nmf_estimator = Nmf
+_nmf = Nmf()
 
 
 def diagnostics(runs: DataFrame) -> DataFrame:
@@ -58,13 +73,56 @@ def diagnostics(runs: DataFrame) -> DataFrame:
     return found.select("sample_id", "run", F.abs("s").alias("n_iter"), (F.col("s") > 0).alias("converged"), "error")
 
 
-def fitted_programs(cohort: Cohort, n_programs: int = 8, seed: int = 0, repeats: int = 1, estimator: Estimator = _nmf, own_axis: bool = False, most_elements: int = 200_000_000) -> DataFrame:
+RUNS = f"{PROGRAMS}, run int, sweeps int, error double"
+
+
+def fitted_programs(cohort: Cohort, n_programs: int = 8, seed: int = 0, repeats: int = 1, estimator: Estimator = _nmf, own_axis: bool = False, task_elements: int = 8_000_000) -> DataFrame:
     """Programs of every sample and restart: PROGRAMS, ``run``, ``sweeps`` (below 0 if they ran out) and ``error``.
 
-    Samples are never pooled. A task holds one sample; each restart is a task
-    of its own, with ``most_elements`` dense values at most: a larger sample
-    raises. With ``own_axis`` a sample's axis is the genes that it has.
+    Samples are never pooled. A sample of at most ``task_elements`` values,
+    zeros counted, is fitted in one task for each restart; the cells of a larger
+    one stay spread (``factorisation``), with the same result. Estimators other
+    than ``Nmf`` ask for a sample's whole matrix and raise beyond the bound.
+    With ``own_axis`` a sample's axis is the genes that it has.
     """
+    genes = cohort.genes.count()
+    sizes = {r["sample_id"]: r["n"] for r in cohort.cells.groupBy("sample_id").agg(F.count("*").alias("n")).collect()}
+    large = sorted(s for s, n in sizes.items() if n * genes > task_elements)
+    if not large:
+        return _in_tasks(cohort, n_programs, seed, repeats, estimator, own_axis)
+    if not isinstance(estimator, Nmf):
+        raise ProgramError(f"samples {large}: their dense matrices exceed {task_elements} elements; select genes, split them or use Nmf")
+    spread = _spread(cohort.kept_samples(large), n_programs, seed, repeats, estimator, own_axis)
+    rest = [s for s in sizes if s not in set(large)]
+    return spread.unionByName(_in_tasks(cohort.kept_samples(rest), n_programs, seed, repeats, estimator, own_axis)) if rest else spread
+
+
+def _program_rows(sample: str, run: int, weights: np.ndarray, names: list[str], positions: list[int], sweeps: int | None, error: float | None) -> pd.DataFrame:
+    """The rows of a fit, each program summing to 1."""
+    sums = weights.sum(1, keepdims=True)
+    if (sums <= 0).any():
+        raise ProgramError(f"sample {sample}: a program is empty")
+    k = len(weights)
+    return pd.DataFrame({
+        "sample_id": sample, "program_idx": np.repeat(np.arange(k, dtype=np.int32), len(names)), "gene_id": np.tile(names, k), "gene_pos": np.tile(positions, k),
+        "weight": (weights / sums).ravel(), "run": np.int32(run), "sweeps": pd.array([sweeps] * weights.size, "Int32"), "error": error,
+    })
+
+
+def _spread(cohort: Cohort, n_programs: int, seed: int, repeats: int, estimator: Nmf, own_axis: bool) -> DataFrame:
+    """As ``_in_tasks``, without a task that holds a sample."""
+    axis = cohort.genes.orderBy("gene_pos").collect()
+    names, positions = np.array([r["gene_id"] for r in axis]), np.array([r["gene_pos"] for r in axis])
+    spark, parts = cohort.cells.sparkSession, []
+    cells = packed(cohort, names.tolist())
+    for sample, run, here, fit in factorisation.factorised(cells, len(names), n_programs, seed, repeats, estimator.max_iter, estimator.tol, estimator.alpha_w, estimator.on_weights, estimator.l1_ratio, own_axis):
+        sweeps = fit.sweeps if fit.sweeps < estimator.max_iter else -fit.sweeps
+        rows = _program_rows(sample, run, fit.h, names[here], positions[here], sweeps, fit.error)
+        parts.append(spark.createDataFrame(rows, RUNS))
+    return stored(reduce(DataFrame.unionByName, parts))
+
+
+def _in_tasks(cohort: Cohort, n_programs: int, seed: int, repeats: int, estimator: Estimator, own_axis: bool) -> DataFrame:
     axis = {r["gene_id"]: r["gene_pos"] for r in cohort.genes.collect()}
     names = [g for g, _ in sorted(axis.items(), key=lambda x: x[1])]
     column = {g: i for i, g in enumerate(names)}
@@ -77,8 +135,6 @@ def fitted_programs(cohort: Cohort, n_programs: int = 8, seed: int = 0, repeats:
     def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         sample, run = key
         n = int(part["n"].iloc[0])
-        if n * len(names) > most_elements:
-            raise ProgramError(f"sample {sample}: {n} cells x {len(names)} genes exceed {most_elements} elements; select genes or split the sample")
         places = {c: i for i, c in enumerate(sorted(part["cell_pos"].unique()))}  # empty cells add rows of zeros only
         x = np.zeros((n, len(names)))
         x[part["cell_pos"].map(places), part["gene_id"].map(column)] = part["value"]
@@ -90,16 +146,9 @@ def fitted_programs(cohort: Cohort, n_programs: int = 8, seed: int = 0, repeats:
         weights = np.asarray(found, float)
         if weights.shape != (n_programs, len(here)) or (weights < 0).any():
             raise ProgramError(f"sample {sample}: the estimator returned {weights.shape}")
-        sums = weights.sum(1, keepdims=True)
-        if (sums <= 0).any():
-            raise ProgramError(f"sample {sample}: a program is empty")
-        weights /= sums
-        return pd.DataFrame({
-            "sample_id": sample, "program_idx": np.repeat(np.arange(n_programs, dtype=np.int32), len(here)), "gene_id": np.tile([names[i] for i in here], n_programs),
-            "gene_pos": np.tile([positions[i] for i in here], n_programs), "weight": weights.ravel(), "run": np.int32(run), "sweeps": pd.array([sweeps] * weights.size, "Int32"), "error": error,
-        })
-
-    return rows.groupBy("sample_id", "run").applyInPandas(fit, f"{PROGRAMS}, run int, sweeps int, error double")
+        return _program_rows(sample, int(run), weights, [names[i] for i in here], [positions[i] for i in here], sweeps, error)
+
+    return rows.groupBy("sample_id", "run").applyInPandas(fit, RUNS)
 
 
 def stabilised(runs: DataFrame, min_similarity: float = 0.5) -> tuple[DataFrame, DataFrame]:

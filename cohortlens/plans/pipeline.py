@@ -38,7 +38,7 @@ class FitOptions:
     max_iter: int = 500
     tol: float = 1e-4
     layer: str | None = None
-    most_elements: int = 200_000_000
+    task_elements: int = 8_000_000
 
     def __post_init__(self) -> None:
         if self.method not in METHODS:
@@ -68,7 +68,7 @@ def fit(cohort: Cohort, options: FitOptions = FitOptions()) -> dict[str, DataFra
 
 def _fit_each(cohort: Cohort, o: FitOptions) -> dict[str, DataFrame]:
     ready = prepared(cohort, o).stored()
-    runs = stored(programs.fitted_programs(ready, o.n_programs, o.seed, o.n_repeats, programs.nmf_estimator(o.max_iter, o.tol), own_axis=True, most_elements=o.most_elements))
+    runs = stored(programs.fitted_programs(ready, o.n_programs, o.seed, o.n_repeats, programs.nmf_estimator(o.max_iter, o.tol), own_axis=True, task_elements=o.task_elements))
     if o.n_repeats > 1:
         found, stability = programs.stabilised(runs, o.stability_threshold)
         found = stored(found)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +42,38 @@ def clear(spark: SparkSession) -> int:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     return n
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@dataclass(frozen=True)
+class Bucketed:
+    """A table on the shared folder whose rows lie in ``n`` buckets by a key: two such tables join on it without a shuffle."""
+
+    table: DataFrame
+    n: int
+    name: str = ""
+    path: str = ""
+
+    @staticmethod
+    def write(df: DataFrame, n: int, key: str, dealt: bool = False) -> Bucketed:
+        """Rows are dealt out by the key once, unless (``dealt``) they come from buckets of such a table."""
+        spark = df.sparkSession
+        name = f"cohortlens_{uuid.uuid4().hex}"
+        path = f"{shared_dir(spark)}/{name}"
+        (df if dealt else df.repartition(n, key)).write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(name)
+        _written.append(path)
+        return Bucketed(spark.table(name), n, name, path)
+
+    def read(self) -> DataFrame:
+        return self.table
+
+    def drop(self) -> None:
+        spark = self.table.sparkSession
+        spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        _delete(spark, self.path)
+        if self.path in _written:
+            _written.remove(self.path)

@@ -36,9 +36,9 @@ space is what Unicode calls so, a no-break space too.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import re
-import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -74,9 +74,16 @@ class Blocks(HTMLParser):
         self.parts: list[str] = []
 
     def kind(self) -> str:
-        if any(skip for _, skip, _ in self.open):
-            return "skipped"
-        return "main" if any(content for _, _, content in self.open) else "other"
+        skipped = inside = False
+        for _, skip, content in self.open:
+            # the outermost article isn't ruled out by what it lies in
+            skipped, inside = (skipped or skip, inside) if inside or not content else (False, True)
+        return "skipped" if skipped else "main" if inside else "other"
+
+    def parse_comment(self, i, report=1):
+        """The page is fed as a whole, so a comment without an end runs to the end of the page."""
+        end = super().parse_comment(i, report)
+        return len(self.rawdata) if end < 0 else end
 
     def cut(self) -> None:
         if self.parts:
@@ -98,7 +105,9 @@ class Blocks(HTMLParser):
         names = " ".join(a.get(k) or "" for k in ("class", "id", "role")).lower()
         inside = any(content for _, _, content in self.open)
         skip = tag in SKIPPED and not (tag == "header" and inside) or "hidden" in a or a.get("aria-hidden") == "true"
-        skip = skip or (tag not in CONTENT and tag not in ("html", "body") and bool(MARKS.intersection(re.split(r"[^a-z0-9]+", names))))
+        if tag not in ("html", "body") and not (inside and tag in INLINE):
+            # inside an article a mark has to be a whole name, elsewhere a part of one will do
+            skip = skip or bool(MARKS.intersection(names.split() if inside or tag in CONTENT else re.split(r"[^a-z0-9]+", names)))
         if skip and tag in INLINE:
             self.cut()
         self.open.append((tag, skip, tag in CONTENT and not skip))
@@ -156,13 +165,13 @@ def page_blocks(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         for batch in portions(batches):
             found = [blocks_of(h) for h in batch["text"]]
             said = ["\n".join(k[0] + t for k, t in blocks if k != "skipped") for blocks in found]
-            content = np.array([zlib.crc32(x.encode()) for x in said], np.uint32).view(np.int32)
+            content = [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little", signed=True) for x in said]
             yield batch[["page_id", "url", "host"]].assign(kinds=["".join(k[0] for k, _ in blocks) for blocks in found], text=["\n".join(t for _, t in blocks) for blocks in found], content=content)
 
     kind = pages.schema[id_col].dataType.simpleString()
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), HOST, 1)), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, f"page_id {kind}, url string, host string, kinds string, text string, content int")
+    return rows.mapInPandas(run, f"page_id {kind}, url string, host string, kinds string, text string, content long")
 
 
 def _tokens(text: str) -> list[str]:
@@ -202,16 +211,15 @@ def _streams(batch: pd.DataFrame, long: int) -> Iterator[tuple[list[str], np.nda
 
 
 def shared_anchors(parsed: DataFrame, long: int = LONG) -> DataFrame:
-    """Keys of the anchors that pages of different content of a host share, if undecided blocks are on one of the pages."""
+    """Keys of the anchors that pages of different content of a host share."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in portions(batches):
-            yield batch[["content", "undecided"]].assign(keys=[k for _, _, k in _streams(batch, long)])
+            yield batch[["content"]].assign(keys=[k for _, _, k in _streams(batch, long)])
 
-    undecided = F.contains("kinds", F.lit("o")).alias("undecided")
-    keys = parsed.select("host", "content", undecided, "text").mapInPandas(run, "content int, undecided boolean, keys array<long>")
-    ends = keys.select("content", "undecided", F.explode("keys").alias("key")).groupBy("key").agg(F.min("content").alias("lo"), F.max("content").alias("hi"), F.max("undecided").alias("any"))
-    return ends.where("lo <> hi and any").select("key")
+    keys = parsed.select("host", "content", "text").mapInPandas(run, "content long, keys array<long>")
+    ends = keys.select("content", F.explode("keys").alias("key")).groupBy("key").agg(F.min("content").alias("lo"), F.max("content").alias("hi"))
+    return ends.where("lo <> hi").select("key")
 
 
 def suffixes(parsed: DataFrame, shared: DataFrame, long: int = LONG) -> DataFrame:
@@ -234,7 +242,7 @@ def suffixes(parsed: DataFrame, shared: DataFrame, long: int = LONG) -> DataFram
     at = parsed.select("host", "_row", "text").mapInPandas(placed, "_row long, places array<int>, keys array<long>")
     at = at.select("_row", F.explode(F.arrays_zip("places", "keys")).alias("a")).select("_row", F.col("a.places").alias("place"), F.col("a.keys").alias("key"))
     here = stored(at.join(small(shared, 12), "key", "left_semi").groupBy("_row").agg(F.collect_set("place").alias("_places")), "html-places")
-    return parsed.join(small(here, 200), "_row").mapInPandas(cut, "host string, content int, _row long, start int, inside boolean, prefix string")
+    return parsed.join(small(here, 200), "_row").mapInPandas(cut, "host string, content long, _row long, start int, inside boolean, prefix string")
 
 
 def boilerplate(found: DataFrame) -> DataFrame:
@@ -266,8 +274,17 @@ def _kept(blocks: list[tuple[str, list[str]]], starts: list[int], long: int) ->
     return out
 
 
+def _boiler_tokens(kinds: str, sizes: list[int], starts: list[int], long: int) -> int:
+    """Tokens outside articles that lie in a repeated substring."""
+    covered = bytearray(sum(sizes))
+    for i in starts:
+        covered[i : i + long] = b"\x01" * long
+    ends = itertools.accumulate(sizes)
+    return sum(sum(covered[e - n : e]) for k, n, e in zip(kinds, sizes, ends) if k != "m")
+
+
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", long: int = LONG) -> DataFrame:
-    """page_id, url, text, n_chars and n_boiler_tokens (undecided tokens removed since they repeat on the host)."""
+    """page_id, url, text, n_chars and n_boiler_tokens (tokens outside articles, in blocks of whatever kind, that the host repeats as boilerplate)."""
     parsed = stored(page_blocks(pages, id_col, url_col, html_col).withColumn("_row", F.monotonically_increasing_id()), "html-blocks", compression="zstd")
     shared = stored(shared_anchors(parsed, long), "html-anchors")
     found = stored(suffixes(parsed, shared, long), "html-suffixes")
@@ -282,7 +299,7 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                 blocks = [(k, line.split(" ")) for k, line in zip(kinds, text.split("\n"))]
                 kept = _kept(blocks, hits if hits is not None else [], long)
                 texts.append("\n".join(t for t in kept if t))
-                removed.append(sum(len(b) - (t.count(" ") + 1 if t else 0) for (k, b), t in zip(blocks, kept) if k == "o"))
+                removed.append(_boiler_tokens(kinds, [len(b) for _, b in blocks], hits if hits is not None else [], long))
             yield batch[["page_id", "url"]].assign(text=texts, n_boiler_tokens=removed)
 
     kind = parsed.schema["page_id"].dataType.simpleString()

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cohortlens.llm import common, fill_in_middle, queries, repeated_spans, whitening
+from cohortlens.llm import common, fill_in_middle, html_main, queries, repeated_spans, whitening
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -201,3 +201,30 @@ def test_answers_that_are_too_large_to_send_are_shuffled(spark, monkeypatch):
     rows = planted(8, 60, 40)
     found = repeated_spans.kept_words(odd(spark, rows).repartition(3)).collect()
     assert sorted(tuple(r) for r in found) == sorted(brute_spans(rows, 20))
+
+
+# ---- pages
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ('<div class="layout no-sidebar"><nav>Menu</nav><article><p>Body text.</p></article></div>', "Body text."),
+        ("<form action='/'><input><article><p>Body text.</p></article><p>Send</p></form>", "Body text."),
+        ('<article><div class="article-header"><h1>Title</h1></div><p>Body.</p></article>', "Title\nBody."),
+        ('<article><p class="notice-period">Three months.</p><p>See the <a class="reply">letter</a>.</p></article>', "Three months.\nSee the letter."),
+        ('<article><p>Body.</p><div class="comments"><article class="comment"><p>First!</p></article></div><div class="ad"><p>Buy</p></div></article>', "Body."),
+        ('<section class="comments"><article class="comment"><p>First!</p></article></section><article><p>Body.</p></article>', "Body."),
+        ("<article><p>Body.</p></article><!-- not closed <p>leak</p> <article>leak</article>", "Body."),
+        ("<article><p>One.</p><!-- a --><p>Two.</p><!----><p>Three.</p></article>", "One.\nTwo.\nThree."),
+    ],
+)
+def test_articles_within_marked_wrappers_and_comments(page, text):
+    assert "\n".join(t for k, t in html_main.blocks_of(page) if k == "main") == text
+
+
+def test_repeats_are_sought_on_pages_with_articles(spark):
+    legal = " ".join(f"clause{i}" for i in range(40))
+    rows = [(i, "http://h.org/a", f"<article><p>Story {i} about thing{i}.</p></article><div>{legal}</div><p>own words {i}</p>") for i in range(5)]
+    found = html_main.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.text == f"Story {r.page_id} about thing{r.page_id}.\nown words {r.page_id}" and r.n_boiler_tokens >= 40 for r in found)

@@ -14,16 +14,17 @@ stays. The text is the content and the unique runs, in page order.
 
 The suffix array is built in two steps, as no host may have to fit into a task:
 
-1. Anchors: of any ``LONG`` tokens in a row the n-gram of smallest hash is taken,
-   so equal substrings of that length hold equal anchors. A grouped minimum and
-   maximum of the content's hash over (host, anchor) finds the anchors that
-   different contents share; about a sixth of all suffixes travels.
-2. Suffixes that begin with ``LONG`` tokens around such an anchor are grouped by
-   these tokens themselves, as their neighbours in order are, so nothing is
-   taken for equal by its hash. Deeper comparison adds nothing: a longer common
-   substring is the union of those that begin at its suffixes. Groups are
-   aggregates with map-side combining; a passage on a third of all pages is one
-   row a task.
+1. Anchors, as in ``repeated_spans``: of any ``LONG`` tokens in a row that two
+   streams of a host share, one aligned pair of shorter windows at cover places
+   is equal. Their hashes (of host and tokens) are sent packed by bucket, and a
+   bit for each comes back: met again or not.
+2. The suffixes around repeated anchors are sorted, in buckets, by their first
+   ``LONG`` tokens (a name of 96 bits and a bucket, made from host and tokens),
+   so that those which share them are neighbours. Deeper comparison adds
+   nothing: a longer common substring is the union of those that begin at its
+   suffixes. A portion of pages sends a group of neighbours as one entry (least
+   and largest content hash, and how often outside articles), so a passage on a
+   third of all pages is one entry a portion.
 
 Edge cases: null html has no text (an empty string); a null url is a host of
 its own; pages without any tag are one block; pages of equal content (articles
@@ -44,11 +45,14 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import portions, small, stored
+from cohortlens.llm.common import portions, stored
 from cohortlens.llm.ngram_join import mixed64
+from cohortlens.llm.repeated_spans import ANSWER, BUCKET_WORDS, Anchors, Words, answers, cut_flags, flags_of, hashed, met_elsewhere
 
 #: Tokens of a substring that counts as long.
 LONG = 16
@@ -156,108 +160,104 @@ def blocks_of(html: str) -> list[tuple[str, str]]:
 
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
+PORTIONS = "portion long, page_ids array<{}>, urls array<string>, hosts array<long>, contents array<long>, kinds array<string>, texts array<string>, n_tokens long"
 
 
-def page_blocks(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, host, kinds (a letter a block: m, o or s), text (a line a block) and content (a hash of what isn't skipped) of every page."""
+def page_portions(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Rows of ``PORTIONS``: some pages each, with a hash of the host, a letter a block (m, o or s), a line of text a block, and a hash of what isn't skipped."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = TaskContext.get().partitionId() << 32
         for batch in portions(batches):
             found = [blocks_of(h) for h in batch["text"]]
             said = ["\n".join(k[0] + t for k, t in blocks if k != "skipped") for blocks in found]
-            content = [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little", signed=True) for x in said]
-            yield batch[["page_id", "url", "host"]].assign(kinds=["".join(k[0] for k, _ in blocks) for blocks in found], text=["\n".join(t for _, t in blocks) for blocks in found], content=content)
+            texts = ["\n".join(t for _, t in blocks) for blocks in found]
+            yield pd.DataFrame({
+                "portion": [number], "page_ids": [[None if pd.isna(i) else i for i in batch["page_id"]]], "urls": [batch["url"].tolist()], "hosts": [[digest(h) for h in batch["host"]]], "contents": [[digest(x) for x in said]],
+                "kinds": [["".join(k[0] for k, _ in blocks) for blocks in found]], "texts": [texts], "n_tokens": [sum(t.count(" ") + t.count("\n") + 1 for t in texts)],
+            })
+            number += 1
 
     kind = pages.schema[id_col].dataType.simpleString()
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), HOST, 1)), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, f"page_id {kind}, url string, host string, kinds string, text string, content long")
-
-
-def _tokens(text: str) -> list[str]:
-    return text.replace("\n", " ").split(" ") if text else []
-
-
-def _gram(long: int) -> int:
-    """Tokens of an anchor."""
-    return max(1, 3 * long // 8)
-
-
-def anchors(tokens: list[str], hashes: np.ndarray, long: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of a stream: of each ``long`` tokens in a row the n-gram of smallest hash."""
-    n = _gram(long)
-    if len(tokens) < long:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    grams = np.zeros(len(tokens) - n + 1, np.uint64)
-    for j in range(n):
-        grams = mixed64(grams + hashes[j : len(tokens) - n + 1 + j])
-    windows = np.lib.stride_tricks.sliding_window_view(grams, long - n + 1)
-    places = np.unique(windows.argmin(1) + np.arange(len(windows)))
-    return places, grams[places]
-
-
-def _streams(batch: pd.DataFrame, long: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
-    """Tokens, places and keys (of host and anchor) of each page's stream."""
-    every = [_tokens(t) for t in batch["text"]]
-    flat = np.empty(sum(map(len, every)), dtype=object)
-    flat[:] = [t for tokens in every for t in tokens]
-    hashes = pd.util.hash_array(flat, categorize=False).astype(np.uint64) if len(flat) else np.zeros(0, np.uint64)
-    hosts = pd.util.hash_array(batch["host"].to_numpy(object), categorize=False).astype(np.uint64)
-    at = 0
-    for tokens, host in zip(every, hosts):
-        places, found = anchors(tokens, hashes[at : at + len(tokens)], long)
-        at += len(tokens)
-        yield tokens, places, mixed64(found ^ host).view(np.int64)
-
-
-def shared_anchors(parsed: DataFrame, long: int = LONG) -> DataFrame:
-    """Keys of the anchors that pages of different content of a host share."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in portions(batches):
-            yield batch[["content"]].assign(keys=[k for _, _, k in _streams(batch, long)])
-
-    keys = parsed.select("host", "content", "text").mapInPandas(run, "content long, keys array<long>")
-    ends = keys.select("content", F.explode("keys").alias("key")).groupBy("key").agg(F.min("content").alias("lo"), F.max("content").alias("hi"))
-    return ends.where("lo <> hi").select("key")
-
-
-def suffixes(parsed: DataFrame, shared: DataFrame, long: int = LONG) -> DataFrame:
-    """host, content, _row, start, inside and prefix of every suffix whose first ``long`` tokens hold one of the ``shared`` anchors."""
-
-    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in portions(batches):
-            found = [(p, k) for _, p, k in _streams(batch, long)]
-            yield pd.DataFrame({"_row": batch["_row"], "places": [p for p, _ in found], "keys": [k for _, k in found]})
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        back = long - _gram(long)
-        for batch in portions(batches):
-            for host, content, row, kinds, text, places in batch[["host", "content", "_row", "kinds", "text", "_places"]].itertuples(index=False, name=None):
-                tokens = _tokens(text)
-                inside = np.cumsum([0, *(k == "m" for k, line in zip(kinds, text.split("\n")) for _ in range(line.count(" ") + 1))])
-                starts = sorted({s for p in places for s in range(max(0, p - back), min(p, len(tokens) - long) + 1)})
-                yield pd.DataFrame({"host": host, "content": content, "_row": row, "start": starts, "inside": [bool(2 * (inside[s + long] - inside[s]) > long) for s in starts], "prefix": [" ".join(tokens[s : s + long]) for s in starts]})
-
-    at = parsed.select("host", "_row", "text").mapInPandas(placed, "_row long, places array<int>, keys array<long>")
-    at = at.select("_row", F.explode(F.arrays_zip("places", "keys")).alias("a")).select("_row", F.col("a.places").alias("place"), F.col("a.keys").alias("key"))
-    here = stored(at.join(small(shared, 12), "key", "left_semi").groupBy("_row").agg(F.collect_set("place").alias("_places")), "html-places")
-    return parsed.join(small(here, 200), "_row").mapInPandas(cut, "host string, content long, _row long, start int, inside boolean, prefix string")
-
-
-def boilerplate(found: DataFrame) -> DataFrame:
-    """host and prefix of suffixes whose neighbours share them on a page of other content, more often outside than inside articles."""
-    ends = found.groupBy("host", "prefix").agg(F.min("content").alias("lo"), F.max("content").alias("hi"), F.sum(F.when(F.col("inside"), -1).otherwise(1)).alias("outside"))
-    return ends.where("lo <> hi and outside > 0").select("host", "prefix")
-
-
-def _kept(blocks: list[tuple[str, list[str]]], starts: list[int], long: int) -> list[str]:
-    """The text of each block of a stream; a repeated substring starts at each of ``starts``.
+    return rows.mapInPandas(run, PORTIONS.format(kind))
+
+
+def digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+class Streams:
+    """The token streams of a portion's pages; a token's name holds the host, so that hosts don't meet."""
+
+    def __init__(self, row: dict):
+        self.words = Words(row["texts"].values)
+        hosts = row["hosts"].values.to_numpy().view(np.uint64)
+        self.names = tuple(mixed64(x ^ hosts[self.words.doc]) for x in self.words.names())
+        self.contents = row["contents"].values.to_numpy()
+        # blocks are lines: a token's block is known by the line ends before it
+        kinds = row["kinds"].values.to_pylist()
+        lines = np.concatenate(([0], np.cumsum(self.words.raw == 10)))
+        offsets = self.words.offsets[self.words.doc]
+        first = np.concatenate(([0], np.cumsum([len(k) for k in kinds])))[self.words.doc]
+        block = first + lines[self.words.starts] - lines[offsets]
+        self.main = np.frombuffer("".join(kinds).encode(), np.uint8)[block] == ord("m")
+
+
+class Suffixes:
+    """Suffixes of at least ``long`` tokens around repeated anchors, sorted by their first tokens' names: a bucket, then the names in it."""
+
+    def __init__(self, of: Streams, anchors: np.ndarray, anchor_size: int, long: int, buckets: int):
+        words = of.words
+        near = np.zeros(len(words.starts) + 1, np.int32)
+        np.add.at(near, anchors - np.minimum(words.place[anchors], long - anchor_size), 1)
+        np.add.at(near, anchors + 1, -1)
+        starts = np.flatnonzero(np.cumsum(near[:-1]))
+        starts = starts[words.place[starts] + long <= words.counts[words.doc[starts]]]
+        high, low = (hashed(of.names[i], starts, long, i + 1) for i in (0, 1))
+        low &= np.uint64(0xFFFFFFFF)
+        bucket = mixed64(high) % np.uint64(buckets)
+        order = np.lexsort((low, high, bucket))
+        self.starts, high, low = starts[order], high[order], low[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+        self.heads, self.group = np.flatnonzero(new), np.cumsum(new) - 1
+        self.high, self.low = high[self.heads], low[self.heads].astype(np.uint32)
+        self.edges = np.searchsorted(bucket[order][self.heads], np.arange(buckets + 1))
+        inside = np.concatenate(([0], np.cumsum(of.main)))
+        outside = np.where(2 * (inside[self.starts + long] - inside[self.starts]) > long, -1, 1)
+        content = of.contents[words.doc[self.starts]]
+        none = np.zeros(0, np.int64)
+        self.least, self.most, self.outside = (f.reduceat(x, self.heads) if len(order) else none for f, x in ((np.minimum, content), (np.maximum, content), (np.add, outside)))
+
+    def hits(self, flags: np.ndarray) -> np.ndarray:
+        return np.sort(self.starts[flags[self.group]])
+
+
+def _boilerplate(table: pa.Table) -> pa.Table:
+    """Of a bucket's suffixes those whose first tokens are on pages of different content, more often outside than inside articles."""
+    parts = [np.frombuffer(x, "<u8") for x in table["high"].to_pylist()]
+    high, low, least, most, outside = (np.concatenate([np.frombuffer(x, t) for x in table[c].to_pylist()]) for c, t in (("high", "<u8"), ("low", "<u4"), ("least", "<i8"), ("most", "<i8"), ("outside", "<i4")))
+    order = np.lexsort((low, high))
+    new = np.ones(len(order), bool)
+    new[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
+    heads = np.flatnonzero(new)
+    gone = (np.minimum.reduceat(least[order], heads) != np.maximum.reduceat(most[order], heads)) & (np.add.reduceat(outside[order].astype(np.int64), heads) > 0)
+    flags = np.zeros(len(order), bool)
+    flags[order] = gone[np.cumsum(new) - 1]
+    return cut_flags(flags, [len(x) for x in parts], table)
+
+
+def _kept(blocks: list[tuple[str, list[str]]], starts: list[int], long: int) -> tuple[list[str], int]:
+    """The text of each block of a stream, and how many tokens outside articles repeat; a repeated substring starts at each of ``starts``.
 
     Content stays and what structure rules out goes. Of undecided blocks,
     substrings inside a block are cut out of it; those that cross blocks take
     the blocks that they cover wholly, and leave the others as they are.
     """
+    if not starts:
+        return ["" if kind == "s" else " ".join(tokens) for kind, tokens in blocks], 0
     n = sum(len(tokens) for _, tokens in blocks)
     covered, inside = bytearray(n), bytearray(n)
     ends = [e for e, (_, b) in zip(itertools.accumulate(len(b) for _, b in blocks), blocks) for _ in b]
@@ -265,44 +265,65 @@ def _kept(blocks: list[tuple[str, list[str]]], starts: list[int], long: int) ->
         covered[i : i + long] = b"\x01" * long
         if i + long <= ends[i]:
             inside[i : i + long] = b"\x01" * long
-    out, at = [], 0
+    out, at, repeated = [], 0, 0
     for kind, tokens in blocks:
         gone = covered if all(covered[at : at + len(tokens)]) else inside
-        here = gone[at : at + len(tokens)] if kind == "o" else bytes(len(tokens))
+        here = gone[at : at + len(tokens)] if kind != "m" else bytes(len(tokens))
         out.append("" if kind == "s" else " ".join(t for t, c in zip(tokens, here) if not c))
+        repeated += sum(here)
         at += len(tokens)
-    return out
-
-
-def _boiler_tokens(kinds: str, sizes: list[int], starts: list[int], long: int) -> int:
-    """Tokens outside articles that lie in a repeated substring."""
-    covered = bytearray(sum(sizes))
-    for i in starts:
-        covered[i : i + long] = b"\x01" * long
-    ends = itertools.accumulate(sizes)
-    return sum(sum(covered[e - n : e]) for k, n, e in zip(kinds, sizes, ends) if k != "m")
+    return out, repeated
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", long: int = LONG) -> DataFrame:
     """page_id, url, text, n_chars and n_boiler_tokens (tokens outside articles, in blocks of whatever kind, that the host repeats as boilerplate)."""
-    parsed = stored(page_blocks(pages, id_col, url_col, html_col).withColumn("_row", F.monotonically_increasing_id()), "html-blocks", compression="zstd")
-    shared = stored(shared_anchors(parsed, long), "html-anchors")
-    found = stored(suffixes(parsed, shared, long), "html-suffixes")
-    repeated = stored(boilerplate(found), "html-repeated")
-    hits = found.join(small(repeated, 200), ["host", "prefix"], "left_semi").groupBy("_row").agg(F.collect_set("start").alias("_hits"))
-    hits = stored(hits, "html-hits")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in portions(batches):
-            texts, removed = [], []
-            for kinds, text, hits in zip(batch["kinds"], batch["text"], batch["_hits"]):
+    parsed = stored(page_portions(pages, id_col, url_col, html_col), "html-portions", compression="zstd")
+    buckets = max(1, -(-(parsed.agg(F.sum("n_tokens")).first()[0] or 0) // BUCKET_WORDS))
+    streams = parsed.select("portion", "hosts", "contents", "kinds", "texts")
+
+    def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            of = Streams(row)
+            yield Anchors(of.words, of.names[0], long, buckets).packed(row["portion"].as_py())
+
+    sent = streams.mapInArrow(anchor_rows, "bucket int, portion long, marks binary")
+    elsewhere = answers(sent.groupBy("bucket").applyInArrow(met_elsewhere, ANSWER), "elsewhere")
+
+    def sought(row: dict) -> tuple[Streams, Suffixes]:
+        of = Streams(row)
+        anchors = Anchors(of.words, of.names[0], long, buckets)
+        return of, Suffixes(of, anchors.repeated(flags_of(row["elsewhere"], anchors.edges)), anchors.size, long, buckets)
+
+    def suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            found = sought(row)[1]
+            held = np.flatnonzero(np.diff(found.edges))
+            columns = [(found.high, "<u8"), (found.low, "<u4"), (found.least, "<i8"), (found.most, "<i8"), (found.outside, "<i4")]
+            packed = [pa.array([x[found.edges[b] : found.edges[b + 1]].astype(t).tobytes() for b in held], pa.binary()) for x, t in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([row["portion"].as_py()] * len(held), pa.int64()), *packed], names=["bucket", "portion", "high", "low", "least", "most", "outside"])
+
+    sent = streams.join(elsewhere, "portion", "left").mapInArrow(suffix_rows, "bucket int, portion long, high binary, low binary, least binary, most binary, outside binary")
+    repeated = answers(sent.groupBy("bucket").applyInArrow(_boilerplate, ANSWER), "repeated")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            of, found = sought(row)
+            hits = found.hits(flags_of(row["repeated"], found.edges))
+            per_page = np.split(of.words.place[hits], np.searchsorted(of.words.doc[hits], np.arange(1, len(of.contents))))
+            texts, boiler = [], []
+            for kinds, text, own in zip(row["kinds"].values.to_pylist(), row["texts"].values.to_pylist(), per_page):
                 blocks = [(k, line.split(" ")) for k, line in zip(kinds, text.split("\n"))]
-                kept = _kept(blocks, hits if hits is not None else [], long)
+                kept, repeated = _kept(blocks, own.tolist(), long)
                 texts.append("\n".join(t for t in kept if t))
-                removed.append(_boiler_tokens(kinds, [len(b) for _, b in blocks], hits if hits is not None else [], long))
-            yield batch[["page_id", "url"]].assign(text=texts, n_boiler_tokens=removed)
+                boiler.append(repeated)
+            yield pa.RecordBatch.from_arrays([row["page_ids"].values, row["urls"].values, pa.array(texts, pa.string()), pa.array(boiler, pa.int64())], names=["page_id", "url", "text", "n_boiler_tokens"])
 
-    kind = parsed.schema["page_id"].dataType.simpleString()
-    rows = parsed.join(small(hits, 200), "_row", "left").select("page_id", "url", "kinds", "text", "_hits")
-    done = rows.mapInPandas(run, f"page_id {kind}, url string, text string, n_boiler_tokens long")
+    kind = pages.schema[id_col].dataType.simpleString()
+    done = parsed.join(elsewhere, "portion", "left").join(repeated, "portion", "left").mapInArrow(run, f"page_id {kind}, url string, text string, n_boiler_tokens long")
     return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_boiler_tokens")
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {n: batch.column(k)[i] for k, n in enumerate(batch.schema.names)}

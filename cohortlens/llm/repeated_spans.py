@@ -108,7 +108,7 @@ def _factors(n: int, lane: int) -> np.ndarray:
     return mixed64(np.arange(1, n + 1, dtype=np.uint64) + np.uint64(1000 * (lane + 1))) | np.uint64(1)
 
 
-def _hashed(names: np.ndarray, starts: np.ndarray, n: int, lane: int) -> np.ndarray:
+def hashed(names: np.ndarray, starts: np.ndarray, n: int, lane: int) -> np.ndarray:
     """Hashes of the ``n`` words from each of ``starts``."""
     out = np.zeros(len(starts), np.uint64)
     for k, c in enumerate(_factors(n, lane)):
@@ -130,13 +130,20 @@ class Anchors:
         held = np.zeros(period, bool)
         held[list(cover)] = True
         self.starts = _fitting(words, np.flatnonzero(held[words.place % period]), self.size)
-        self.hashes = _hashed(names, self.starts, self.size, 0)
+        self.hashes = hashed(names, self.starts, self.size, 0)
         found, counts = np.unique(self.hashes, return_counts=True)
         bucket = (found >> np.uint64(32)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         self.distinct, self.again = found[order], counts[order] > 1
         self.edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
 
+    def packed(self, portion: int) -> pa.RecordBatch:
+        """A row for each bucket: four bytes of each hash, the bucket holds more of it."""
+        held = np.flatnonzero(np.diff(self.edges))
+        marks = self.distinct.astype("<u4")
+        rows = [marks[self.edges[b] : self.edges[b + 1]].tobytes() for b in held]
+        return pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([portion] * len(held), pa.int64()), pa.array(rows, pa.binary())], names=["bucket", "portion", "marks"])
+
     def repeated(self, elsewhere: np.ndarray) -> np.ndarray:
         """Starts of the anchors that are met again here or, by ``elsewhere`` (a flag for each of ``distinct``), in another portion."""
         sought = np.sort(self.distinct[self.again | elsewhere])
@@ -154,7 +161,7 @@ class Candidates:
         np.add.at(near, anchors + 1, -1)
         starts = _fitting(words, np.flatnonzero(np.cumsum(near[:-1])), window)
         self.starts = starts[np.argsort(rank[words.doc[starts]], kind="stable")]
-        high, low = (_hashed(names[i], self.starts, window, i + 1) for i in (0, 1))
+        high, low = (hashed(names[i], self.starts, window, i + 1) for i in (0, 1))
         low &= np.uint64(0xFFFFFFFF)
         bucket = mixed64(high) % np.uint64(buckets)
         order = np.lexsort((low, high, bucket))  # stable: equal names stay in order
@@ -205,7 +212,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Words, np.n
             yield row | {"ids": ids, "ties": ties, "asked": row["ids"].values}, words, rank
 
 
-def _flags(answers: pa.Scalar | None, edges: np.ndarray) -> np.ndarray:
+def flags_of(answers: pa.Scalar | None, edges: np.ndarray) -> np.ndarray:
     """The bits of all buckets as one array; a bucket without an answer has none set."""
     out = np.zeros(edges[-1], bool)
     for x in answers.as_py() or [] if answers is not None else []:
@@ -214,13 +221,13 @@ def _flags(answers: pa.Scalar | None, edges: np.ndarray) -> np.ndarray:
     return out
 
 
-def _answers(found: DataFrame, name: str) -> DataFrame:
+def answers(found: DataFrame, name: str) -> DataFrame:
     """One row a portion: the answers of all buckets."""
     found = stored(found, name)
     return small(stored(found.groupBy("portion").agg(F.collect_list(F.struct("bucket", "bits")).alias(name)), f"spans-{name}"), 64 << 10)
 
 
-def _cut(flags: np.ndarray, sizes: list[int], table: pa.Table) -> pa.Table:
+def cut_flags(flags: np.ndarray, sizes: list[int], table: pa.Table) -> pa.Table:
     """The answers of a bucket: a row for each portion in which a flag is set."""
     ends = np.cumsum(sizes)
     rows = [(p, b, np.packbits(flags[e - n : e]).tobytes()) for p, b, n, e in zip(table["portion"].to_pylist(), table["bucket"].to_pylist(), sizes, ends) if flags[e - n : e].any()]
@@ -231,11 +238,11 @@ def _cut(flags: np.ndarray, sizes: list[int], table: pa.Table) -> pa.Table:
 ANSWER = "portion long, bucket int, bits binary"
 
 
-def _met_elsewhere(table: pa.Table) -> pa.Table:
+def met_elsewhere(table: pa.Table) -> pa.Table:
     parts = [np.frombuffer(x, "<u4") for x in table["marks"].to_pylist()]
     marks = np.concatenate(parts)
     _, back, counts = np.unique(marks, return_inverse=True, return_counts=True)
-    return _cut(counts[back] > 1, [len(x) for x in parts], table)
+    return cut_flags(counts[back] > 1, [len(x) for x in parts], table)
 
 
 def _not_first(table: pa.Table) -> pa.Table:
@@ -248,7 +255,7 @@ def _not_first(table: pa.Table) -> pa.Table:
     order = np.lexsort((portion, ties, ids, low, high))
     later = np.zeros(len(order), bool)
     later[order[1:]] = (high[order][1:] == high[order][:-1]) & (low[order][1:] == low[order][:-1])
-    return _cut(later, [len(x) for x in parts], table)
+    return cut_flags(later, [len(x) for x in parts], table)
 
 
 def kept_words(documents: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,18 +266,15 @@ def kept_words(documents: DataFrame, window: int = 20, id_col: str = "doc_id", t
     def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, words, _ in _rows(batches):
             found = Anchors(words, words.names()[0], window, buckets)
-            held = np.flatnonzero(np.diff(found.edges))
-            marks = found.distinct.astype("<u4")  # the low half; the bucket holds some of the high one
-            packed = [marks[found.edges[b] : found.edges[b + 1]].tobytes() for b in held]
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([row["portion"].as_py()] * len(held), pa.int64()), pa.array(packed, pa.binary())], names=["bucket", "portion", "marks"])
+            yield found.packed(row["portion"].as_py())
 
     sent = portions.select("portion", "ids", "ties", "texts").mapInArrow(anchor_rows, "bucket int, portion long, marks binary")
-    elsewhere = _answers(sent.groupBy("bucket").applyInArrow(_met_elsewhere, ANSWER), "elsewhere")
+    elsewhere = answers(sent.groupBy("bucket").applyInArrow(met_elsewhere, ANSWER), "elsewhere")
 
     def candidates(row: dict, words: Words, rank: np.ndarray) -> Candidates:
         names = words.names()
         anchors = Anchors(words, names[0], window, buckets)
-        return Candidates(words, names, anchors.repeated(_flags(row["elsewhere"], anchors.edges)), anchors.size, window, buckets, rank)
+        return Candidates(words, names, anchors.repeated(flags_of(row["elsewhere"], anchors.edges)), anchors.size, window, buckets, rank)
 
     def candidate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, words, rank in _rows(batches):
@@ -287,12 +291,12 @@ def kept_words(documents: DataFrame, window: int = 20, id_col: str = "doc_id", t
 
     told = portions.select("portion", "ids", "ties", "texts").join(elsewhere, "portion", "left")
     sent = told.mapInArrow(candidate_rows, "bucket int, portion long, ids array<long>, ties array<long>, docs binary, high binary, low binary")
-    earlier = _answers(sent.groupBy("bucket").applyInArrow(_not_first, ANSWER), "earlier")
+    earlier = answers(sent.groupBy("bucket").applyInArrow(_not_first, ANSWER), "earlier")
 
     def kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, words, rank in _rows(batches):
             found = candidates(row, words, rank)
-            starts = found.repeats(_flags(row["earlier"], found.edges))
+            starts = found.repeats(flags_of(row["earlier"], found.edges))
             near = np.zeros(len(words.starts) + 1, np.int32)
             np.add.at(near, starts, 1)
             np.add.at(near, starts + window, -1)

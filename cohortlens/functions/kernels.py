@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from cohortlens.functions.sparse import SparseRows
+
 
 def average_ranks(rows: np.ndarray) -> np.ndarray:
     """Ranks from 1 along each row, ties at their mean."""
@@ -78,75 +80,96 @@ def thresholded_assignment(similarity: np.ndarray, least: float) -> tuple[np.nda
     return rows[real], columns[real]
 
 
-def nonnegative_quadratic(gram: np.ndarray, linear: np.ndarray, total: float | None = None) -> np.ndarray:
-    """min h'Gh/2 - b'h over h >= 0, and over sum(h) = total if given: an active-set method on the K x K problem."""
-    k = len(linear)
-    free = np.zeros(k, bool)
-    h = np.zeros(k)
-    if total is not None:
-        first = int(np.argmin(total * total * np.diag(gram) / 2 - total * linear))
-        free[first], h[first] = True, total
-
-    def solved() -> tuple[np.ndarray, float]:
-        at = np.flatnonzero(free)
-        out = np.zeros(k)
-        if total is None:
-            out[at] = np.linalg.lstsq(gram[np.ix_(at, at)], linear[at], rcond=None)[0]
-            return out, 0.0
-        system = np.ones((len(at) + 1, len(at) + 1))
-        system[:-1, :-1], system[-1, -1] = gram[np.ix_(at, at)], 0
-        found = np.linalg.lstsq(system, np.r_[linear[at], total], rcond=None)[0]
-        out[at] = found[:-1]
-        return out, float(found[-1])
-
-    price = 0.0
-    if total is not None:
-        h, price = solved()
-    scale = 1e-10 * max(1.0, float(np.abs(linear).max(initial=0.0)))
-    for _ in range(10 * k + 10):
-        slope = linear - gram @ h - price
-        slope[free] = -np.inf
-        if free.all() or slope.max() <= scale:
-            break
-        free[int(slope.argmax())] = True
-        while True:
-            new, price = solved()
-            if (new[free] > 0).all():
-                h = new
-                break
-            falling = free & (new <= 0)
-            step = np.min(h[falling] / np.maximum(h[falling] - new[falling], 1e-300))
-            h = h + step * (new - h)
-            free &= ~(falling & (h <= 1e-14 * max(1.0, h.max())))
-            h[~free] = 0
-            if not free.any():
-                break
+def _solved_alike(gram: np.ndarray, linear: np.ndarray, free: np.ndarray, total: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Minima over the free variables of each row, and the prices of the sum; rows with the same free variables are solved together."""
+    out, price = np.zeros(linear.shape), np.zeros(len(linear))
+    patterns, kind = np.unique(free, axis=0, return_inverse=True)
+    order = np.argsort(kind.ravel(), kind="stable")
+    for pattern, rows in zip(patterns, np.split(order, np.cumsum(np.bincount(kind.ravel(), minlength=len(patterns)))[:-1])):
+        at = np.flatnonzero(pattern)
+        if not len(at):
+            continue
+        system, right = gram[np.ix_(at, at)], linear[np.ix_(rows, at)]
+        if total is not None:
+            system = np.block([[system, np.ones((len(at), 1))], [np.ones((1, len(at))), np.zeros((1, 1))]])
+            right = np.column_stack([right, np.full(len(rows), total)])
+        found = np.linalg.lstsq(system, right.T, rcond=None)[0].T
+        out[np.ix_(rows, at)] = found[:, : len(at)]
+        if total is not None:
+            price[rows] = found[:, -1]
+    return out, price
+
+
+def nonnegative_quadratics(gram: np.ndarray, linear: np.ndarray, total: float | None = None) -> np.ndarray:
+    """min h'Gh/2 - b'h over h >= 0 (and sum(h) = total if given) for every row b of ``linear``: an active-set method on all rows in step.
+
+    In each round every unfinished row either frees its steepest variable or
+    moves to the minimum of its free ones, as far as none turns negative.
+    """
+    n, k = linear.shape
+    free, h, price = np.zeros((n, k), bool), np.zeros((n, k)), np.zeros(n)
+    if total is not None and n:
+        free[np.arange(n), np.argmin(total * total * np.diag(gram) / 2 - total * linear, axis=1)] = True
+        h, price = _solved_alike(gram, linear, free, total)
+    scale = 1e-10 * np.maximum(1.0, np.abs(linear).max(1, initial=0.0))
+    rounds = np.zeros(n, int)
+    choosing, moving = np.arange(n), np.zeros(0, int)
+    while len(choosing) or len(moving):
+        if len(choosing):
+            slope = linear[choosing] - h[choosing] @ gram - price[choosing][:, None]
+            slope[free[choosing]] = -np.inf
+            steepest = slope.argmax(1)
+            going = (slope[np.arange(len(choosing)), steepest] > scale[choosing]) & (rounds[choosing] < 10 * k + 10)
+            choosing, steepest = choosing[going], steepest[going]
+            free[choosing, steepest] = True
+            rounds[choosing] += 1
+            moving = np.concatenate([moving, choosing])
+        new, price[moving] = _solved_alike(gram, linear[moving], free[moving], total)
+        falling = free[moving] & (new <= 0)
+        inside = ~falling.any(1)
+        h[moving[inside]] = new[inside]
+        rows, new, falling = moving[~inside], new[~inside], falling[~inside]
+        step = np.where(falling, h[rows] / np.maximum(h[rows] - new, 1e-300), np.inf).min(1, initial=np.inf)
+        h[rows] += np.where(np.isfinite(step), step, 0.0)[:, None] * (new - h[rows])
+        free[rows] &= ~(falling & (h[rows] <= 1e-14 * np.maximum(1.0, h[rows].max(1, initial=0.0))[:, None]))
+        h[rows] = np.where(free[rows], h[rows], 0.0)
+        some = free[rows].any(1)
+        choosing, moving = np.concatenate([moving[inside], rows[~some]]), rows[some]
     return h
 
 
-def mixture_em(counts: np.ndarray, basis: np.ndarray, max_iter: int, tol: float, dispersion: float | None = None) -> np.ndarray:
+def nonnegative_quadratic(gram: np.ndarray, linear: np.ndarray, total: float | None = None) -> np.ndarray:
+    """The same for one row."""
+    return nonnegative_quadratics(gram, linear[None], total)[0]
+
+
+def mixture_em(counts: SparseRows | np.ndarray, basis: np.ndarray, max_iter: int, tol: float, dispersion: float | None = None) -> np.ndarray:
     """Multiplicative EM for the shares of K programs in each row of counts; each row stops on its own.
 
     ``basis`` is genes x programs; with a dispersion, residuals are weighted by
-    a negative-binomial variance. Returns usages (shares times depth).
+    a negative-binomial variance. Only counts above 0 pull, so means are made
+    there alone. Returns usages (shares times depth).
     """
+    counts = SparseRows.of(counts) if isinstance(counts, np.ndarray) else counts
     scale = basis / np.maximum(basis.sum(0, keepdims=True), 1e-12)
-    depth = counts.sum(1)
-    share = np.full((len(counts), basis.shape[1]), 1.0 / basis.shape[1])
-    going = depth > 0
+    depth, k = counts.totals(), basis.shape[1]
+    share = np.full((len(counts), k), 1.0 / k)
+    rows, places, found = counts.rows, counts.places, counts.found
     for _ in range(max_iter):
-        if not going.any():
+        if not len(rows):
             break
-        x, p = counts[going], share[going]
-        mean = np.maximum(p @ scale.T, 1e-12)
-        weight = 1.0 if dispersion is None else 1 / (1 + dispersion * mean * np.maximum(depth[going][:, None], 1.0))
-        new = p * ((x * weight / mean) @ scale)
+        mean = np.maximum(np.einsum("ij,ij->i", share[rows], scale[places]), 1e-12)
+        weight = 1.0 if dispersion is None else 1 / (1 + dispersion * mean * np.maximum(depth[rows], 1.0))
+        pull = SparseRows(len(share), len(scale), rows, places, found * weight / mean)
+        going = np.unique(rows)
+        new = share[going] * (pull @ scale)[going]
         sums = new.sum(1, keepdims=True)
-        new = np.divide(new, sums, out=p.copy(), where=sums > 0)
+        new = np.divide(new, sums, out=share[going].copy(), where=sums > 0)
+        still = np.zeros(len(share), bool)
+        still[going] = np.abs(new - share[going]).max(1) > tol
         share[going] = new
-        still = np.flatnonzero(going)[np.abs(new - p).max(1) > tol]
-        going = np.zeros_like(going)
-        going[still] = True
+        if not still[going].all():
+            rows, places, found = (x[still[rows]] for x in (rows, places, found))
     return share * depth[:, None]
 
 

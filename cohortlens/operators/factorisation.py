@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.errors import ProgramError
 from cohortlens.functions import kernels
+from cohortlens.functions.sparse import SparseRows
 from cohortlens.storage import Bucketed
 
 #: Values of a block, doubles of a slice of sums, bytes of weights that one pass is sent.
@@ -51,20 +52,10 @@ class Run:
     converged: bool = False
 
 
-class Sparse:
-    """Rows of one block: products without a dense copy."""
-
-    def __init__(self, row: dict):
-        ends = np.asarray(row["ends"], np.int64)
-        self.n = len(ends)
-        self.rows = np.repeat(np.arange(self.n), np.diff(ends, prepend=0))
-        self.places, self.found = np.frombuffer(row["places"], np.int32), np.frombuffer(row["found"], np.float64)
-
-    def times(self, m: np.ndarray) -> np.ndarray:
-        return np.column_stack([np.bincount(self.rows, self.found * m[self.places, j], self.n) for j in range(m.shape[1])])
-
-    def transposed_times(self, m: np.ndarray, n_genes: int) -> np.ndarray:
-        return np.column_stack([np.bincount(self.places, self.found * m[self.rows, j], n_genes) for j in range(m.shape[1])])
+def _rows_of(block: dict, n_genes: int) -> SparseRows:
+    ends = np.asarray(block["ends"], np.int64)
+    rows = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    return SparseRows(len(ends), n_genes, rows, np.frombuffer(block["places"], np.int32), np.frombuffer(block["found"], np.float64))
 
 
 def blocks(packed: DataFrame) -> DataFrame:
@@ -108,14 +99,14 @@ def _added(rows: DataFrame) -> dict[Key, np.ndarray]:
     return {k: np.concatenate(v) for k, v in out.items()}
 
 
-def _summed(table: DataFrame, runs: dict[str, list[int]], of: Callable[[Sparse, str, int], np.ndarray]) -> dict[Key, np.ndarray]:
+def summed_blocks(table: DataFrame, runs: dict[str, list[int]], n_genes: int, of: Callable[[SparseRows, str, int], np.ndarray]) -> dict[Key, np.ndarray]:
     """Sum of ``of`` over all blocks by sample and restart; a task adds up its own first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[Key, np.ndarray] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                x = Sparse(row)
+                x = _rows_of(row, n_genes)
                 for r in runs[row["sample_id"]]:
                     part = of(x, row["sample_id"], r)
                     key = row["sample_id"], r
@@ -132,7 +123,7 @@ def _started(table: DataFrame, fits: dict[Key, Run], runs: dict[str, list[int]],
 
     def products(sent: dict[Key, np.ndarray]) -> dict[Key, np.ndarray]:
         """X'X times the matrix of each fit."""
-        found = _summed(table, runs, lambda x, s, r: x.transposed_times(x.times(sent[s, r]), n_genes).ravel())
+        found = summed_blocks(table, runs, n_genes, lambda x, s, r: x.transposed(x @ sent[s, r]).ravel())
         return {key: v.reshape(n_genes, -1) for key, v in found.items()}
 
     sketch = {}
@@ -153,12 +144,12 @@ def _started(table: DataFrame, fits: dict[Key, Run], runs: dict[str, list[int]],
         maps[key] = np.pad((sketch[key] @ inverse @ left)[:, :k], ((0, 0), (0, short)))
         right[key], sizes[key] = np.pad(vt[:k], ((0, short), (0, 0))), np.pad(s[:k], (0, short))
 
-    def halves(x: Sparse, sample: str, run: int) -> np.ndarray:
-        u = x.times(maps[sample, run])
+    def halves(x: SparseRows, sample: str, run: int) -> np.ndarray:
+        u = x @ maps[sample, run]
         return np.r_[(np.maximum(u, 0) ** 2).sum(0), (np.maximum(-u, 0) ** 2).sum(0)]
 
     out = {}
-    for key, v in _summed(table, runs, halves).items():
+    for key, v in summed_blocks(table, runs, n_genes, halves).items():
         fit = fits[key]
         signs, scales, h = kernels.start_halves(np.sqrt(v[:k]), np.sqrt(v[k:]), sizes[key], right[key])
         fit.h = h[:, fit.here]
@@ -188,19 +179,19 @@ def _swept(cells: Bucketed, before: Bucketed | None, fits: dict[Key, Run], activ
                 sample, last = row["sample_id"], row["block"]
                 if not (runs := active.get(sample)):
                     continue
-                x, kept = Sparse(row), []
+                x, kept = _rows_of(row, n_genes), []
                 known = dict(zip(row["runs"], row["data"])) if not start else {}
                 for r in runs:
                     h, gram, on_w, fill = sent[sample, r]
                     if start:
                         by, signs, scales = start[sample, r]
-                        u = x.times(by)
+                        u = x @ by
                         w = np.where(signs == 0, abs(u), np.maximum(signs * u, 0)) * scales
                         w[w < 1e-12] = fill
                     else:
-                        w = np.frombuffer(known[r], np.float64).reshape(x.n, k).copy()
-                    moved = kernels.coordinate_sweep(w, gram, x.times(h), on_w, l1_ratio)
-                    part = np.r_[moved, (w.T @ w).ravel(), x.transposed_times(w, n_genes).ravel()]
+                        w = np.frombuffer(known[r], np.float64).reshape(len(x), k).copy()
+                    moved = kernels.coordinate_sweep(w, gram, x @ h, on_w, l1_ratio)
+                    part = np.r_[moved, (w.T @ w).ravel(), x.transposed(w).ravel()]
                     total[sample, r] = total[sample, r] + part if (sample, r) in total else part
                     kept.append(w.tobytes())
                 out.append(("w", last, sample, runs, kept, 0))
@@ -224,14 +215,14 @@ def factorised(packed: DataFrame, n_genes: int, k: int, seed: int, repeats: int,
     spark: SparkSession = packed.sparkSession
     n_values = packed.agg(F.sum(F.size("places")).alias("n")).first()["n"] or 0
     cells = Bucketed.write(blocks(packed), max(spark.sparkContext.defaultParallelism, -(-n_values // (4 * BLOCK_VALUES))), "block")
-    flat = lambda x, s, r: np.r_[x.n, (x.found**2).sum(), x.found.sum(), np.bincount(x.places, minlength=n_genes)]
+    flat = lambda x, s, r: np.r_[len(x), (x.found**2).sum(), x.found.sum(), np.bincount(x.places, minlength=n_genes)]
     names = sorted(r[0] for r in cells.read().select("sample_id").distinct().collect())
     group = max(1, SENT_BYTES // (8 * n_genes * (k + 10) * repeats))
     for at in range(0, len(names), group):
         chosen = names[at : at + group]
         table = cells.read().where(F.col("sample_id").isin(chosen))
         fits: dict[Key, Run] = {}
-        for (sample, _), x in _summed(table, {s: [0] for s in chosen}, flat).items():
+        for (sample, _), x in summed_blocks(table, {s: [0] for s in chosen}, n_genes, flat).items():
             here = np.flatnonzero(x[3:]) if own_axis else np.arange(n_genes)
             if x[0] < 2 or k > min(x[0], len(here)):
                 raise ProgramError(f"sample {sample}: {k} programs of {int(x[0])} cells and {len(here)} genes")

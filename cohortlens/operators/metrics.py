@@ -43,16 +43,16 @@ def reconstruction(cohort: Cohort, scores: DataFrame, vocabulary: DataFrame, spl
     return joined.select("partition", "n_cells", (F.col("sse") / (F.col("n_cells") * g["n"])).alias("mse"), r2.alias("r2"))
 
 
-def model_reconstruction(rows: DataFrame, split: DataFrame, values: Callable[[pd.DataFrame], np.ndarray], model=None) -> DataFrame:
+def model_reconstruction(rows: DataFrame, split: DataFrame, values: Callable[[pd.DataFrame], np.ndarray], model=None, at_once: int = 10_000) -> DataFrame:
     """The same for what a state model gives back of a cell's values (without a model: the values themselves).
 
-    A task sends one row per partition and dimension.
+    A task sends one row per partition and dimension, and takes ``at_once`` cells at a time.
     """
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part, some in batch.groupby("partition"):
+            for part, some in ((p, rows.iloc[a : a + at_once]) for p, rows in batch.groupby("partition") for a in range(0, len(rows), at_once)):
                 x = values(some)
                 rest = x - model.inverse(model.coordinates(x)) if model else np.zeros_like(x)
                 now = np.array([np.full(x.shape[1], len(x)), (rest * rest).sum(0), x.sum(0), (x * x).sum(0)])
@@ -129,9 +129,48 @@ def sample_bootstrap(values: DataFrame, value: str = "value", n_bootstrap: int =
     return found.asDict()
 
 
+#: Ranges that a pass of a selection counts, and a count from which the rest is sorted.
+RANGES, SORTED = 1024, 50_000
+
+
 def quantiles(values: DataFrame, keys: list[str], value: str, at: list[float]) -> DataFrame:
-    """Exact quantiles with linear interpolation."""
-    return values.groupBy(*keys).agg(*[F.expr(f"percentile({value}, {q})").alias(f"q{round(100 * q):02d}") for q in at])
+    """Exact quantiles with linear interpolation; nulls don't count, NaN is the largest value.
+
+    Selection by counting: the range of each wanted rank is cut into ``RANGES``
+    parts, whose counts combine on the map side, and the part that holds the
+    rank is cut again; at most ``SORTED`` values are sorted in the end. So no
+    task holds a group, and only counts are shuffled.
+    """
+    infinite = float("inf")
+    rows = stored(values.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x")))
+    finite = ~F.isnan("_x") & (F.abs("_x") < infinite)
+    ends = F.min(F.when(finite, F.col("_x"))).alias("_lo"), F.max(F.when(finite, F.col("_x"))).alias("_hi")
+    groups = stored(rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.count(F.when(F.col("_x") == -infinite, 1)).alias("_low"), F.count(F.when(finite, 1)).alias("_mid"), F.count(F.when(F.col("_x") == infinite, 1)).alias("_high"), *ends))
+    place = [q * (F.col("_n") - 1) for q in at]
+    wanted = F.explode(F.array_distinct(F.array(*[f(p).cast("long") for p in place for f in (F.floor, F.ceil)]))).alias("_rank")
+    aims = groups.select(*keys, "_lo", "_hi", "_low", "_mid", "_high", wanted)
+    inner = F.col("_rank") - F.col("_low")
+    outer = F.when(inner < 0, -infinite).when(inner < F.col("_mid"), F.lit(None)).when(inner < F.col("_mid") + F.col("_high"), infinite).otherwise(float("nan"))
+    aims = stored(aims.withColumn("_value", outer.cast("double")).select(*keys, "_rank", "_lo", "_hi", "_value", inner.alias("_k"), F.col("_mid").alias("_count")))
+    found, aims = aims.where("_value IS NOT NULL").select(*keys, "_rank", "_value"), aims.where("_value IS NULL")
+    while True:
+        done = F.col("_lo") == F.col("_hi")
+        found = found.unionByName(aims.where(done).select(*keys, "_rank", F.col("_lo").alias("_value")))
+        small, aims = aims.where(~done & (F.col("_count") <= SORTED)), aims.where(~done & (F.col("_count") > SORTED))
+        here = rows.join(small.select(*keys, "_rank", "_lo", "_hi", "_k"), keys).where("_x BETWEEN _lo AND _hi")
+        order = F.row_number().over(Window.partitionBy(*keys, "_rank").orderBy("_x")) - 1
+        found = found.unionByName(here.withColumn("_o", order).where("_o = _k").select(*keys, "_rank", F.col("_x").alias("_value")))
+        if not aims.limit(1).count():
+            break
+        part = F.least(F.lit(RANGES - 1), F.floor((F.col("_x") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2) * RANGES))
+        spans = aims.select(*keys, "_lo", "_hi").distinct()
+        counts = rows.join(spans, keys).where("_x BETWEEN _lo AND _hi").groupBy(*keys, "_lo", "_hi", part.alias("_part")).agg(F.count("*").alias("_c"), F.min("_x").alias("_from"), F.max("_x").alias("_to"))
+        before = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys, "_lo", "_hi").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        held = aims.join(counts.withColumn("_before", before), [*keys, "_lo", "_hi"]).where("_k >= _before AND _k < _before + _c")
+        aims = stored(held.select(*keys, "_rank", F.col("_from").alias("_lo"), F.col("_to").alias("_hi"), (F.col("_k") - F.col("_before")).alias("_k"), F.col("_c").alias("_count")))
+    got = groups.join(found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_value"))).alias("_at")), keys)
+    each = lambda p: F.when(F.floor(p) == F.ceil(p), F.col("_at")[F.floor(p).cast("long")]).otherwise((F.ceil(p) - p) * F.col("_at")[F.floor(p).cast("long")] + (p - F.floor(p)) * F.col("_at")[F.ceil(p).cast("long")])
+    return got.select(*keys, *[each(p).alias(f"q{round(100 * q):02d}") for q, p in zip(at, place)])
 
 
 def covariate_depth(cohort: Cohort) -> DataFrame:

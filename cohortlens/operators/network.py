@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.errors import StateError
 from cohortlens.functions import kernels
+from cohortlens.functions.sparse import dense_parts
 
 #: A batch of rows -> inputs and targets.
 Pairs = Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]]
@@ -39,8 +40,7 @@ def trained(rows: DataFrame, pairs: Pairs, sizes: list[int], max_iter: int, seed
 
     def evaluate(flat: np.ndarray) -> tuple[float, np.ndarray]:
         def of(batch: pd.DataFrame) -> np.ndarray:
-            x, y = pairs(batch)
-            return kernels.network_gradient(x, y, flat, sizes, tanh)
+            return sum(kernels.network_gradient(*pairs(part), flat, sizes, tanh) for part in dense_parts(batch, max(sizes)))
 
         total = summed(rows, of) / n
         return total[0] + alpha * float((weight * flat * flat).sum()) / 2 / n, total[1:] + alpha * weight * flat / n

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from cohortlens.errors import ProjectionError
 from cohortlens.functions import kernels
+from cohortlens.functions.sparse import SparseRows, dense_parts
 from cohortlens.operators import network, prep, scoring
 from cohortlens.schema import Cohort
 from cohortlens.storage import stored
 
 STATES = "sample_id string, cell_id string, usages array<double>, states array<double>, projection_error double, relative_error double, observed_coverage double, uncertainty array<double>"
-#: (cells x genes values, genes x programs basis) -> usages, or usages and their uncertainty
-Solver = Callable[[np.ndarray, np.ndarray], np.ndarray | tuple[np.ndarray, np.ndarray]]
+#: (cells x genes values, genes x programs basis) -> usages, or usages and their uncertainty. The solvers here take SparseRows, others get a dense array.
+Solver = Callable[[SparseRows | np.ndarray, np.ndarray], np.ndarray | tuple[np.ndarray, np.ndarray]]
 
 
 def basis_of(vocabulary: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -26,13 +27,15 @@ def basis_of(vocabulary: DataFrame) -> tuple[list[str], np.ndarray]:
     return [g for _, g in table.index], table.to_numpy()
 
 
-def _each(values: np.ndarray, solve: Callable[[np.ndarray], np.ndarray], k: int) -> np.ndarray:
-    return np.array([solve(x) for x in values]).reshape(-1, k)
+def on_sparse(solve: Solver) -> Solver:
+    """Marks a solver that takes sparse rows as they are."""
+    solve.on_sparse = True
+    return solve
 
 
-def nnls(values: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    gram, linear = basis.T @ basis, values @ basis
-    return _each(linear, lambda b: kernels.nonnegative_quadratic(gram, b), basis.shape[1])
+@on_sparse
+def nnls(values: SparseRows, basis: np.ndarray) -> np.ndarray:
+    return kernels.nonnegative_quadratics(basis.T @ basis, values @ basis)
 
 
 def regularized_nnls(l1: float = 0.0, l2: float = 0.0) -> Solver:
@@ -40,27 +43,28 @@ def regularized_nnls(l1: float = 0.0, l2: float = 0.0) -> Solver:
     if l1 < 0 or l2 < 0 or not l1 + l2 > 0:
         raise ProjectionError("penalties can't be negative, and one has to be positive")
 
-    def solve(values: np.ndarray, basis: np.ndarray) -> np.ndarray:
-        gram, linear = basis.T @ basis + l2 * np.eye(basis.shape[1]), values @ basis - l1
-        return _each(linear, lambda b: kernels.nonnegative_quadratic(gram, b), basis.shape[1])
+    @on_sparse
+    def solve(values: SparseRows, basis: np.ndarray) -> np.ndarray:
+        return kernels.nonnegative_quadratics(basis.T @ basis + l2 * np.eye(basis.shape[1]), values @ basis - l1)
 
     return solve
 
 
-def simplex(values: np.ndarray, basis: np.ndarray) -> np.ndarray:
+@on_sparse
+def simplex(values: SparseRows, basis: np.ndarray) -> np.ndarray:
     """Shares that sum to 1, fitted to values as shares; the error is still against the raw values."""
-    gram = basis.T @ basis
-    linear = (values / np.maximum(values.sum(1, keepdims=True), 1e-300)) @ basis
-    return _each(linear, lambda b: kernels.nonnegative_quadratic(gram, b, 1.0), basis.shape[1])
+    linear = (values @ basis) / np.maximum(values.totals(), 1e-300)[:, None]
+    return kernels.nonnegative_quadratics(basis.T @ basis, linear, 1.0)
 
 
-def _whole(values: np.ndarray) -> None:
-    if (values != np.floor(values)).any():
+def _whole(values: SparseRows) -> None:
+    if (values.found != np.floor(values.found)).any():
         raise ProjectionError("counts have to be whole numbers")
 
 
 def poisson(max_iter: int = 1000, tol: float = 1e-8) -> Solver:
-    def solve(values: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    @on_sparse
+    def solve(values: SparseRows, basis: np.ndarray) -> np.ndarray:
         _whole(values)
         return kernels.mixture_em(values, basis, max_iter, tol)
 
@@ -68,7 +72,8 @@ def poisson(max_iter: int = 1000, tol: float = 1e-8) -> Solver:
 
 
 def negative_binomial(dispersion: float = 0.1, max_iter: int = 200, tol: float = 1e-7) -> Solver:
-    def solve(values: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    @on_sparse
+    def solve(values: SparseRows, basis: np.ndarray) -> np.ndarray:
         _whole(values)
         return kernels.mixture_em(values, basis, max_iter, tol, dispersion)
 
@@ -79,12 +84,12 @@ def variational(n_samples: int = 8, seed: int = 0, noise_scale: float = 0.05) ->
     """Mean and deviation of NNLS over noisy copies; a cell's draws depend on its own values alone, not on its batch."""
 
     def solve(values: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        draws = []
-        for x in values:
+        linear = np.zeros((len(values) * n_samples, basis.shape[1]))
+        for i, x in enumerate(values):
             rng = np.random.default_rng([seed, *np.frombuffer(np.ascontiguousarray(x).tobytes(), np.uint32)])
             noisy = np.maximum(x + rng.normal(size=(n_samples, len(x))) * noise_scale * np.sqrt(x + 1), 0)
-            draws.append(nnls(noisy, basis))
-        every = np.array(draws)
+            linear[i * n_samples : (i + 1) * n_samples] = noisy @ basis
+        every = kernels.nonnegative_quadratics(basis.T @ basis, linear).reshape(len(values), n_samples, -1)
         return every.mean(1), every.std(1)
 
     return solve
@@ -95,12 +100,12 @@ def neural_training(rows: DataFrame, n_genes: int, basis: np.ndarray, hidden: tu
 
     def targets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(usages=list(nnls(dense(batch, n_genes), basis)))
+            yield batch.assign(usages=list(nnls(SparseRows.packed(batch, n_genes), basis)))
 
     learned = stored(rows.select("places", "found").mapInPandas(targets, "places array<int>, found array<double>, usages array<double>"))
 
     def pairs(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        x, y = dense(batch, n_genes), np.array(batch["usages"].tolist()).reshape(len(batch), -1)
+        x, y = np.asarray(SparseRows.packed(batch, n_genes)), np.array(batch["usages"].tolist()).reshape(len(batch), -1)
         depth = np.maximum(x.sum(1, keepdims=True), 1.0)
         return x / depth, y / depth
 
@@ -110,9 +115,10 @@ def neural_training(rows: DataFrame, n_genes: int, basis: np.ndarray, hidden: tu
 def neural(layers: list[tuple[np.ndarray, np.ndarray]]) -> Solver:
     """Usages by a fitted network; its layers are all its state, to be kept or taken from elsewhere."""
 
-    def solve(values: np.ndarray, _: np.ndarray) -> np.ndarray:
-        depth = np.maximum(values.sum(1, keepdims=True), 1.0)
-        return np.maximum(kernels.network_output(values / depth, layers), 0) * depth
+    @on_sparse
+    def solve(values: SparseRows, _: np.ndarray) -> np.ndarray:
+        depth = np.maximum(values.totals(), 1.0)
+        return np.maximum(kernels.network_output(values.scaled(depth), layers), 0) * depth[:, None]
 
     return solve
 
@@ -134,14 +140,6 @@ def packed(cohort: Cohort, genes: list[str]) -> DataFrame:
     return cohort.cells.select(*prep.ON).join(entries, prep.ON, "left")
 
 
-def dense(batch: pd.DataFrame, n_genes: int) -> np.ndarray:
-    out = np.zeros((len(batch), n_genes))
-    for row, places, found in zip(out, batch["places"], batch["found"]):
-        if places is not None:
-            row[places] = found
-    return out
-
-
 def _solver(method: str, rows: DataFrame, n_genes: int, basis: np.ndarray, options: dict) -> Solver:
     if method != "neural":
         return PROJECTORS[method](**options)
@@ -172,22 +170,22 @@ def project(cohort: Cohort, vocabulary: DataFrame, method: str = "nnls", allow_e
 
 def _projected(rows: DataFrame, genes: list[str], basis: np.ndarray, method: str, options: dict) -> DataFrame:
     solve = _solver(method, rows, len(genes), basis, options)
+    sparse, gram = getattr(solve, "on_sparse", False), basis.T @ basis
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = dense(batch, len(genes))
-            got = solve(x, basis)
+        for batch in (part for b in batches for part in ([b] if sparse else dense_parts(b, len(genes)))):
+            x = SparseRows.packed(batch, len(genes))
+            got = solve(x if sparse else np.asarray(x), basis)
             usages, uncertainty = got if isinstance(got, tuple) else (got, None)
-            fit = usages @ basis.T
-            squares = (x * x).sum(1)
-            errors = np.sqrt(np.maximum(squares + (fit * fit).sum(1) - 2 * (x * fit).sum(1), 0))
+            squares = x.squares()
+            errors = np.sqrt(np.maximum(squares + ((usages @ gram) * usages).sum(1) - 2 * ((x @ basis) * usages).sum(1), 0))
             norms = np.sqrt(squares)
             relative = np.divide(errors, norms, out=np.where(errors > 0, np.inf, 0.0), where=norms > 0)
             total = usages.sum(1, keepdims=True)
             states = np.divide(usages, total, out=np.zeros_like(usages), where=total > 0)
             yield pd.DataFrame({
-                "sample_id": batch["sample_id"], "cell_id": batch["cell_id"], "usages": list(usages), "states": list(states), "projection_error": errors,
-                "relative_error": relative, "observed_coverage": (x != 0).sum(1) / len(genes), "uncertainty": [None] * len(x) if uncertainty is None else list(uncertainty),
+                "sample_id": batch["sample_id"].to_numpy(), "cell_id": batch["cell_id"].to_numpy(), "usages": list(usages), "states": list(states), "projection_error": errors,
+                "relative_error": relative, "observed_coverage": x.present() / len(genes), "uncertainty": [None] * len(x) if uncertainty is None else list(uncertainty),
             })
 
     return rows.mapInPandas(run, STATES)

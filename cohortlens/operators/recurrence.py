@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -85,25 +86,48 @@ def _matrix(part: pd.DataFrame) -> np.ndarray:
     return part.pivot(index="ref_idx", columns="query_idx", values="similarity").to_numpy()
 
 
+#: Draws of a pair that are one row.
+DRAWS = 250
+
+
 def matched(similarity: DataFrame, n_permutations: int = 1000, seed: int = 0) -> DataFrame:
     """Best assignment of each pair of samples, against random assignments.
 
-    A pair's draws depend on the seed and its names alone. n_permutations = 0
-    takes the exact mean of random assignments, the mean of the matrix, and no
-    p value.
+    Blocks of ``DRAWS`` draws are rows of their own, so the draws of one pair
+    are spread, too; they depend on the seed, the pair's names and the block
+    alone. n_permutations = 0 takes the exact mean of random assignments, the
+    mean of the matrix, and no p value.
     """
 
     def solve(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         m = _matrix(part)
         rows, columns = kernels.assignment(m)
-        best = m[rows, columns].mean()
-        draw = np.random.default_rng([seed, *(zlib.crc32(str(k).encode()) for k in key)])
-        n = min(m.shape)
-        null = [m[draw.permutation(m.shape[0])[:n], draw.permutation(m.shape[1])[:n]].mean() for _ in range(n_permutations)]
-        p = (1 + sum(x >= best for x in null)) / (n_permutations + 1) if n_permutations else None
-        return pd.DataFrame({"ref_sample": [key[0]], "query_sample": [key[1]], "optimal_mean": [best], "null_mean": [float(np.mean(null)) if null else m.mean()], "null_scores": [null], "p_value": [p]})
-
-    return similarity.groupBy(*PAIR).applyInPandas(solve, "ref_sample string, query_sample string, optimal_mean double, null_mean double, null_scores array<double>, p_value double")
+        return pd.DataFrame({"ref_sample": [key[0]], "query_sample": [key[1]], "optimal_mean": [m[rows, columns].mean()], "matrix_mean": [m.mean()], "n_ref": [len(m)], "scores": [m.ravel()]})
+
+    best = similarity.groupBy(*PAIR).applyInPandas(solve, "ref_sample string, query_sample string, optimal_mean double, matrix_mean double, n_ref int, scores array<double>")
+    if not n_permutations:
+        none = F.lit(None).cast("double")
+        return best.select(*PAIR, "optimal_mean", F.col("matrix_mean").alias("null_mean"), F.array().cast("array<double>").alias("null_scores"), none.alias("p_value"))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for ref, query, n_ref, scores, block in batch[[*PAIR, "n_ref", "scores", "block"]].itertuples(index=False, name=None):
+                m = np.asarray(scores).reshape(n_ref, -1)
+                rng = np.random.default_rng([seed, zlib.crc32(str(ref).encode()), zlib.crc32(str(query).encode()), block])
+                n, size = min(DRAWS, n_permutations - block * DRAWS), min(m.shape)
+                rows, columns = (rng.random((n, side)).argsort(1)[:, :size] for side in m.shape)
+                out.append(m[rows, columns].mean(1))
+            yield batch[[*PAIR, "optimal_mean", "block"]].assign(null=out)
+
+    best = stored(best)
+    blocks = best.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((n_permutations - 1) // DRAWS)))).repartition(*PAIR, "block")
+    drawn = blocks.mapInPandas(draw, "ref_sample string, query_sample string, optimal_mean double, block int, null array<double>")
+    every = drawn.groupBy(*PAIR, "optimal_mean").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("block", "null"))), lambda x: x["null"])).alias("null_scores"))
+    # the best assignment itself, drawn by chance, counts whatever the order of its sum
+    reached = F.size(F.filter("null_scores", lambda x: x >= F.col("optimal_mean") - 1e-12))
+    mean = F.aggregate("null_scores", F.lit(0.0), lambda s, x: s + x) / n_permutations
+    return every.select(*PAIR, "optimal_mean", mean.alias("null_mean"), "null_scores", ((1 + reached) / (n_permutations + 1)).alias("p_value"))
 
 
 def assignments(similarity: DataFrame, min_similarity: float | None = None) -> DataFrame:

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.errors import StateError
-from cohortlens.operators import metrics, network, prep
-from cohortlens.operators.projection import dense, packed
+from cohortlens.functions.sparse import DENSE, SparseRows
+from cohortlens.operators import factorisation, metrics, network, prep
+from cohortlens.operators.projection import packed
 from cohortlens.schema import Cohort
 from cohortlens.storage import stored
 
@@ -88,7 +89,8 @@ class Linear:
     deviation: np.ndarray
 
     def coordinates(self, x: np.ndarray) -> np.ndarray:
-        return (x - self.mean) / self.deviation @ self.axes.T
+        by = self.axes.T / self.deviation[:, None]  # values may be sparse, so they aren't centred first
+        return x @ by - self.mean @ by
 
     def inverse(self, c: np.ndarray) -> np.ndarray:
         return c @ self.axes * self.deviation + self.mean
@@ -160,25 +162,37 @@ def linear_state(scores: DataFrame, training: list[str], n_components: int) -> t
     return coordinates(z, plain), Linear(axes, shares, by.mean, by.deviation)
 
 
-def expression_pca(cohort: Cohort, training: list[str], n_components: int, most_elements: int = 10_000_000) -> tuple[DataFrame, Linear]:
-    """Principal coordinates of the centred values; a task and the driver hold genes x genes numbers, so the axis is bounded."""
+def expression_pca(cohort: Cohort, training: list[str], n_components: int, max_iter: int = 200, tol: float = 1e-11, seed: int = 0) -> tuple[DataFrame, Linear]:
+    """Principal coordinates of the centred values, on any number of genes.
+
+    Subspace iteration from a random start: a pass sums genes x (components +
+    10) products over the tasks, centred by the means, and no array of genes x
+    genes is made. Ends when what the axes leave of their products is at most
+    ``tol`` of the largest variance.
+    """
     names = [r["gene_id"] for r in cohort.genes.orderBy("gene_pos").collect()]
-    n = len(names)
-    if n * n > most_elements:
-        raise StateError(f"{n} genes exceed the budget of {most_elements} elements")
+    g = len(names)
     rows = stored(packed(cohort, names))
-
-    def moments(batch: pd.DataFrame) -> np.ndarray:
-        x = dense(batch, n)
-        return np.r_[len(x), x.sum(0), (x.T @ x).ravel()]
-
-    total = network.summed(rows.where(F.col("sample_id").isin(training)), moments)
-    if not len(total):
+    cells = stored(factorisation.blocks(rows.where(F.col("sample_id").isin(training)).withColumn("sample_id", F.lit(""))))
+    whole = lambda of: factorisation.summed_blocks(cells, {"": [0]}, g, of).get(("", 0))
+    total = whole(lambda x, *_: np.r_[len(x), x.squares().sum(), x.transposed(np.ones((len(x), 1)))[:, 0]])
+    if total is None:
         raise StateError("there are no training cells")
-    mean = total[1 : n + 1] / total[0]
-    axes, shares = principal(total[n + 1 :].reshape(n, n) / total[0] - np.outer(mean, mean), n_components)
-    model = Linear(axes, shares, mean, np.ones(n))
-    return coordinates(rows, model, lambda b: dense(b, n)), model
+    n, mean = total[0], total[2:] / total[0]
+    if not 0 < n_components <= g:
+        raise StateError(f"{n_components} components of {g} dimensions")
+    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((g, min(g, n_components + 10))))[0]
+    for _ in range(max_iter):
+        image = whole(lambda x, *_: x.transposed(x @ basis).ravel()).reshape(g, -1) / n - np.outer(mean, mean @ basis)  # noqa: B023
+        values, turn = np.linalg.eigh((basis.T @ image + image.T @ basis) / 2)
+        values, turn = values[::-1][:n_components], turn[:, ::-1][:, :n_components]
+        axes = (basis @ turn).T
+        if np.linalg.norm((image @ turn).T - values[:, None] * axes, axis=1).max() <= tol * max(values[0], 1e-300):
+            break
+        basis = np.linalg.qr(image)[0]
+    axes = axes * np.sign(axes[np.arange(n_components), np.abs(axes).argmax(1)])[:, None]
+    model = Linear(axes, values / max(total[1] / n - mean @ mean, 1e-300), mean, np.ones(g))
+    return coordinates(rows, model, lambda b: SparseRows.packed(b, g)), model
 
 
 def nonlinear_state(scores: DataFrame, training: list[str], n_components: int, max_iter: int = 500, seed: int = 0, alpha: float = 1e-4) -> tuple[DataFrame, Nonlinear]:
@@ -198,17 +212,18 @@ class Fitted:
     rows: DataFrame
     values: Callable[[pd.DataFrame], np.ndarray]
     model: Linear | Nonlinear | None
+    at_once: int = 10_000
 
     def reconstruction(self, split: DataFrame) -> DataFrame:
-        return metrics.model_reconstruction(self.rows, split, self.values, self.model)
+        return metrics.model_reconstruction(self.rows, split, self.values, self.model, self.at_once)
 
 
-def fitted(method: str, scores: DataFrame, cohort: Cohort, training: list[str], n_components: int, seed: int = 0, most_elements: int = 10_000_000) -> Fitted:
-    """One of METHODS, fitted on the training samples and applied to all cells."""
+def fitted(method: str, scores: DataFrame, cohort: Cohort, training: list[str], n_components: int, seed: int = 0, most_elements: int = DENSE) -> Fitted:
+    """One of METHODS, fitted on the training samples and applied to all cells; a task makes ``most_elements`` dense values at a time."""
     if method == "pca":
-        found, model = expression_pca(cohort, training, n_components, most_elements)
+        found, model = expression_pca(cohort, training, n_components, seed=seed)
         genes = [r["gene_id"] for r in cohort.genes.orderBy("gene_pos").collect()]
-        return Fitted(found, packed(cohort, genes), lambda b: dense(b, len(genes)), model)
+        return Fitted(found, packed(cohort, genes), lambda b: np.asarray(SparseRows.packed(b, len(genes))), model, max(1, most_elements // len(genes)))
     rows = stored(packed_scores(scores))
     if method == "direct":
         return Fitted(packed_scores(standardized(scores, training)).withColumnRenamed("x", "coordinates"), rows, _matrix, None)

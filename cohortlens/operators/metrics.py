@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -153,13 +154,12 @@ def quantiles(values: DataFrame, keys: list[str], value: str, at: list[float]) -
     outer = F.when(inner < 0, -infinite).when(inner < F.col("_mid"), F.lit(None)).when(inner < F.col("_mid") + F.col("_high"), infinite).otherwise(float("nan"))
     aims = stored(aims.withColumn("_value", outer.cast("double")).select(*keys, "_rank", "_lo", "_hi", "_value", inner.alias("_k"), F.col("_mid").alias("_count")))
     found, aims = aims.where("_value IS NOT NULL").select(*keys, "_rank", "_value"), aims.where("_value IS NULL")
+    rest = []
     while True:
         done = F.col("_lo") == F.col("_hi")
         found = found.unionByName(aims.where(done).select(*keys, "_rank", F.col("_lo").alias("_value")))
-        small, aims = aims.where(~done & (F.col("_count") <= SORTED)), aims.where(~done & (F.col("_count") > SORTED))
-        here = rows.join(small.select(*keys, "_rank", "_lo", "_hi", "_k"), keys).where("_x BETWEEN _lo AND _hi")
-        order = F.row_number().over(Window.partitionBy(*keys, "_rank").orderBy("_x")) - 1
-        found = found.unionByName(here.withColumn("_o", order).where("_o = _k").select(*keys, "_rank", F.col("_x").alias("_value")))
+        rest.append(aims.where(~done & (F.col("_count") <= SORTED)).select(*keys, "_rank", "_lo", "_hi", "_k"))
+        aims = aims.where(~done & (F.col("_count") > SORTED))
         if not aims.limit(1).count():
             break
         part = F.least(F.lit(RANGES - 1), F.floor((F.col("_x") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2) * RANGES))
@@ -168,6 +168,9 @@ def quantiles(values: DataFrame, keys: list[str], value: str, at: list[float]) -
         before = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys, "_lo", "_hi").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         held = aims.join(counts.withColumn("_before", before), [*keys, "_lo", "_hi"]).where("_k >= _before AND _k < _before + _c")
         aims = stored(held.select(*keys, "_rank", F.col("_from").alias("_lo"), F.col("_to").alias("_hi"), (F.col("_k") - F.col("_before")).alias("_k"), F.col("_c").alias("_count")))
+    here = rows.join(reduce(DataFrame.unionByName, rest), keys).where("_x BETWEEN _lo AND _hi")
+    order = F.row_number().over(Window.partitionBy(*keys, "_rank").orderBy("_x")) - 1
+    found = found.unionByName(here.withColumn("_o", order).where("_o = _k").select(*keys, "_rank", F.col("_x").alias("_value")))
     got = groups.join(found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_value"))).alias("_at")), keys)
     each = lambda p: F.when(F.floor(p) == F.ceil(p), F.col("_at")[F.floor(p).cast("long")]).otherwise((F.ceil(p) - p) * F.col("_at")[F.floor(p).cast("long")] + (p - F.floor(p)) * F.col("_at")[F.ceil(p).cast("long")])
     return got.select(*keys, *[each(p).alias(f"q{round(100 * q):02d}") for q, p in zip(at, place)])

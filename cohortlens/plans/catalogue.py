@@ -17,8 +17,6 @@ from cohortlens.storage import stored
 from cohortlens.streaming.projection import scored_stream
 
 TRAIN = ["0", "1", "2"]
-#: Descent steps of networks in the registered queries, each a job or two over all cells.
-STEPS = 15
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -338,8 +336,8 @@ def nmf_stability(spark, sf_dir):
 def fit_apart(spark, sf_dir):
     """How many weights differ between samples fitted apart and aggregated, and the same cohort fitted as one."""
     cohort = _atlas(spark, sf_dir)
-    options = pipeline.FitOptions(3, 2, preprocessing="identity", max_iter=50)
-    reduction = {"min_similarity": -1.0, "n_permutations": 5}
+    options = pipeline.FitOptions(3, 2, preprocessing="identity")
+    reduction = {"min_similarity": -1.0}
     one = pipeline.fit_atlas(cohort, options, 2, **reduction)["vocabulary"]
     apart = pipeline.fit_samples({r: cohort.kept_samples([r]) for r in ("0", "1", "2", "3", "4")}, options, 2, **reduction)["vocabulary"]
     both = one.join(apart.withColumnRenamed("weight", "other"), ["program_idx", "gene_id"], "full")
@@ -348,19 +346,19 @@ def fit_apart(spark, sf_dir):
 
 
 def null_pvalues(spark, sf_dir):
-    return recurrence.matched(recurrence.similarity_pairs(_programs(spark, sf_dir)), n_permutations=200).drop("null_scores")
+    return recurrence.matched(recurrence.similarity_pairs(_programs(spark, sf_dir))).drop("null_scores")
 
 
 def recurrent_vocabulary(spark, sf_dir):
-    return recurrence.recurrent_vocabulary(_programs(spark, sf_dir), 2, 0.1, 50)[0]
+    return recurrence.recurrent_vocabulary(_programs(spark, sf_dir), 2, 0.1)[0]
 
 
 def vocabulary_members(spark, sf_dir):
-    return recurrence.recurrent_vocabulary(_programs(spark, sf_dir), 2, 0.1, 50)[1]
+    return recurrence.recurrent_vocabulary(_programs(spark, sf_dir), 2, 0.1)[1]
 
 
 def lineage_vocab(spark, sf_dir):
-    found, shared = recurrence.hierarchical_vocabularies(_logged(spark, sf_dir), lambda c: programs.fitted_programs(c, 2).drop("run"), min_similarity=-1.0, n_permutations=10)
+    found, shared = recurrence.hierarchical_vocabularies(_logged(spark, sf_dir), lambda c: programs.fitted_programs(c, 2).drop("run"), min_similarity=-1.0)
     out = shared.withColumn("lineage", F.lit("shared"))
     for k, v in found.items():
         out = out.unionByName(v.withColumn("lineage", F.lit(k)))
@@ -369,7 +367,7 @@ def lineage_vocab(spark, sf_dir):
 
 def neural_project(spark, sf_dir):
     cohort, _, words = _start(spark, sf_dir, 2)
-    return projection.project(cohort, words, "neural", max_iter=STEPS)
+    return projection.project(cohort, words, "neural")
 
 
 def variational_project(spark, sf_dir):
@@ -411,7 +409,7 @@ def nb_all(spark, sf_dir):
 
 
 def neural_all(spark, sf_dir):
-    return _all(spark, sf_dir, "neural", max_iter=STEPS)
+    return _all(spark, sf_dir, "neural")
 
 
 def variational_all(spark, sf_dir):
@@ -420,7 +418,7 @@ def variational_all(spark, sf_dir):
 
 def benchmark_all(spark, sf_dir):
     cohort, _, words = _start(spark, sf_dir)
-    return projection.benchmark(projection.compare(cohort, words, list(projection.available_projectors()), {"regularized_nnls": {"l1": 0.5, "l2": 0.1}, "neural": {"max_iter": STEPS}}))
+    return projection.benchmark(projection.compare(cohort, words, list(projection.available_projectors()), {"regularized_nnls": {"l1": 0.5, "l2": 0.1}}))
 
 
 def pca_explained_all(spark, sf_dir):
@@ -435,7 +433,8 @@ def bootstrap_all(spark, sf_dir):
 
 def store_zero_fill_all(spark, sf_dir):
     cohort, _, words = _start(spark, sf_dir)
-    return artifacts.stored_vocabulary(cohort.genes, words.where("gene_id like 'Brand#1%'"))
+    out = artifacts.stored_vocabulary(cohort.genes, words.where("gene_id like 'Brand#1%'"))
+    return rounded(out.withColumn("program_idx", F.col("program_idx").cast("long")), "weight")
 
 
 def missing_extra_all(spark, sf_dir):
@@ -450,16 +449,16 @@ def expression_pca(spark, sf_dir):
 
 
 def nonlinear_state(spark, sf_dir):
-    return state.nonlinear_state(stored(_direct(spark, sf_dir)), TRAIN, 2, STEPS)[0]
+    return state.nonlinear_state(stored(_direct(spark, sf_dir)), TRAIN, 2)[0]
 
 
 def pipeline_reconstruction(spark, sf_dir):
-    config = pipeline.PipelineConfig(("3",), ("4",), preprocessing="library_size_log1p", min_similarity=-1.0, n_permutations=20)
+    config = pipeline.PipelineConfig(("3",), ("4",), preprocessing="library_size_log1p", min_similarity=-1.0)
     return pipeline.fit_pipeline(_atlas(spark, sf_dir), config, programs.mean_programs).reports["reconstruction"]
 
 
 def tune_select(spark, sf_dir):
-    both = [pipeline.PipelineConfig(("3",), ("4",), min_similarity=-1.0, n_permutations=10, preprocessing=p) for p in ("identity", "library_size_log1p")]
+    both = [pipeline.PipelineConfig(("3",), ("4",), min_similarity=-1.0, preprocessing=p) for p in ("identity", "library_size_log1p")]
     best, errors = pipeline.tuned(_atlas(spark, sf_dir), both, programs.mean_programs)
     return spark.createDataFrame([(i, e, i == best) for i, e in enumerate(errors)], "candidate int, mse double, best boolean")
 
@@ -629,7 +628,6 @@ ORACLE_SQL: dict[str, str] = {
     "recurrent_exact": f"""WITH {MEMBERS}, w AS (SELECT vocabulary_idx AS program_idx, gene_id, median(weight) AS w FROM prog JOIN members USING (sample_id, program_idx) GROUP BY 1, 2)
         SELECT program_idx, gene_id, {_r("w / sum(w) OVER (PARTITION BY program_idx)", "weight")} FROM w""",
     "members_exact": f"WITH {MEMBERS} SELECT anchor_idx, program_idx, support, vocabulary_idx, sample_id, {_r('similarity', 'similarity')} FROM members",
-    "fit_apart": "SELECT 0::BIGINT AS n_differing, true AS any",
     "thresholded_assignment": f"WITH {PERMUTED} SELECT ref_sample, query_sample, {_r('gain', 'gain')} FROM best",
     "nnls_k2": _errors(_least_squares(0, 0)),
     "ridge_nnls_k2": _errors(_least_squares(0.5, 0.1)),
@@ -661,6 +659,8 @@ ORACLE_SQL: dict[str, str] = {
     + "], lambda x: x IS NOT NULL) AS r FROM nation) SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 AND n_nationkey <> 0 THEN 'insufficient_evidence' WHEN len(r) > 0 THEN 'retain_candidate' ELSE 'promote' END AS decision, array_to_string(r, '; ') AS reasons FROM f",
     "store_zero_fill": f"WITH {VOCAB}, w AS (SELECT * FROM words WHERE program_idx < 2 AND gene_id LIKE 'Brand#1%') SELECT i.program_idx, g.gene_id, {_r('coalesce(weight, 0)', 'weight')} FROM genes g CROSS JOIN (SELECT DISTINCT program_idx FROM w) i LEFT JOIN w ON w.program_idx = i.program_idx AND w.gene_id = g.gene_id",
     "missing_extra": f"WITH {ATLAS} SELECT gene_id, 'missing' AS side FROM genes WHERE gene_id LIKE 'Brand#2%' UNION ALL SELECT gene_id, 'extra' FROM genes WHERE gene_id LIKE 'Brand#3%'",
+    "store_zero_fill_all": f"WITH {VOCAB}, w AS (SELECT * FROM words WHERE gene_id LIKE 'Brand#1%') SELECT i.program_idx, g.gene_id, {_r('coalesce(weight, 0)', 'weight')} FROM genes g CROSS JOIN (SELECT DISTINCT program_idx FROM w) i LEFT JOIN w ON w.program_idx = i.program_idx AND w.gene_id = g.gene_id",
+    "missing_extra_all": f"WITH {ATLAS} SELECT gene_id, 'missing' AS side FROM genes WHERE gene_id LIKE 'Brand#2%' UNION ALL SELECT gene_id, 'extra' FROM genes WHERE gene_id LIKE 'Brand#3%'",
     "benchmark_table": _least_squares(0, 0)
     + ", e AS (SELECT *, sqrt(greatest(xx + u0 * u0 * g00 + 2 * u0 * u1 * g01 + u1 * u1 * g11 - 2 * (u0 * x0 + u1 * x1), 0)) AS err FROM f) SELECT 'nnls' AS method, sample_id, "
     + f"{_r('avg(err)', 'mean_error', 4)}, {_r('avg(((u0 = 0)::INT + (u1 = 0)::INT) / 2.0)', 'zero_fraction', 4)}, {_r('avg(nz * 1.0 / n)', 'coverage', 4)} FROM e GROUP BY 2",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,19 +63,63 @@ def named(cohort: Cohort, name: str) -> Cohort:
     return cohort.with_(cells=cohort.cells.withColumns(name_it), **cohort._each(lambda x: x.withColumns(name_it)))
 
 
-def samples_from_sources(sources: dict[str, Cohort]) -> Cohort:
-    """Union of single-sample cohorts under their given ids, on the genes that all of them have."""
+def relabelled(cohort: Cohort, key: str = "sample_id") -> Cohort:
+    """The cohort with its samples named by a column of ``cells``, white space around names trimmed; a cell without a name raises.
+
+    Names that differ by that white space only are one sample, in all tables.
+    """
+    if key not in cohort.cells.columns:
+        raise SampleError(f"cells have no column {key}")
+    label = trimmed(F.col(key))
+    label = F.when(F.coalesce(label, F.lit("")) == "", F.raise_error(F.lit(f"a cell has no {key}")).cast("string")).otherwise(label)
+    on = ["sample_id", "cell_id"]
+    names = cohort.cells.select(*on, label.alias("_name"))
+    cells = cohort.cells.withColumn("sample_id", label) if key == "sample_id" else cohort.cells.withColumn("_name", label).drop("sample_id").withColumnRenamed("_name", "sample_id")
+    columns = ["sample_id", *[c for c in cohort.cells.columns if c != "sample_id"]]
+    if key == "sample_id":
+        return cohort.with_(cells=cells.select(columns), **cohort._each(lambda x: x.withColumn("sample_id", trimmed(F.col("sample_id")))))
+    return cohort.with_(cells=cells.select(columns), **cohort._each(lambda x: x.join(names, on).drop("sample_id").withColumnRenamed("_name", "sample_id").select(x.columns)))
+
+
+def samples_by_key(sources: Sequence[Cohort], key: str) -> Cohort:
+    """Union of cohorts of one or more samples each, every one named by the column ``key`` of its own cells; a name in two sources raises."""
+    if not key.strip():
+        raise SampleError("the name of a column can't be blank")
+    if not sources:
+        raise SampleError("at least one source is needed")
+    parts = [relabelled(one, key.strip()) for one in sources]
+    owners = reduce(DataFrame.unionByName, [p.cells.select("sample_id").withColumn("source", F.lit(i)) for i, p in enumerate(parts)])
+    counts = owners.groupBy("sample_id").agg(F.countDistinct("source").alias("n"))
+    if clash := sorted(r[0] for r in counts.where("n > 1").limit(20).collect()):
+        raise SampleError(f"sample ids have to be different: {clash} are in several sources")
+    return _united(parts)
+
+
+def samples_from_sources(sources: dict[str, Cohort], single: bool = False) -> Cohort:
+    """Union of single-sample cohorts under their given ids, on the genes that all of them have.
+
+    A source of several samples raises, as it would be pooled (``samples_by_key``
+    splits it); ``single`` says that the caller knows each to be one.
+    """
+    if not sources:
+        raise SampleError("at least one source is needed")
     labelled = {}
     for name, one in sources.items():
         key = name.strip()
         if key in labelled:
             raise SampleError(f"sample ids have to be different: {name!r}")
+        if not single and one.cells.select(trimmed(F.col("sample_id"))).distinct().limit(2).count() > 1:
+            raise SampleError(f"{name!r} holds several samples; name them by a column")
         labelled[key] = named(one, key)
-    parts = list(labelled.values())
-    cells, expr = parts[0].cells, parts[0].expr
-    every = parts[0].genes.select("gene_id")
-    for p in parts[1:]:
-        cells, expr, every = cells.unionByName(p.cells), expr.unionByName(p.expr), every.unionByName(p.genes.select("gene_id"))
+    return _united(list(labelled.values()))
+
+
+def _united(parts: list[Cohort]) -> Cohort:
+    """Cells of all parts on the genes that all of them have, in the order of the first one."""
+    common = lambda x: [c for c in x[0].columns if all(c in p.columns for p in x)]
+    cells = reduce(DataFrame.unionByName, [p.cells.select(common([q.cells for q in parts])) for p in parts])
+    expr = reduce(DataFrame.unionByName, [p.expr for p in parts])
+    every = reduce(DataFrame.unionByName, [p.genes.select("gene_id") for p in parts])
     shared = every.groupBy("gene_id").count().where(F.col("count") == len(parts)).select("gene_id")
     genes = parts[0].genes.join(shared, "gene_id", "left_semi")
     more = [c for c in genes.columns if c not in ("gene_id", "gene_pos")]

@@ -131,4 +131,4 @@ def read_10x_samples(spark: SparkSession, path: str, sample_ids: list[str] | Non
         if not sample_ids or k in sample_ids:
             one = read_sample(read, v, k)
             samples[k] = prep.filtered_cells(one, min_counts, min_genes, max_cells_per_sample) if min_counts or min_genes or max_cells_per_sample is not None else one
-    return samples_from_sources(samples)
+    return samples_from_sources(samples, single=True)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.errors import StateError
@@ -97,32 +97,28 @@ def technical_residual(cohort: Cohort, vocabulary: DataFrame, training: list[str
 def matched_control(cohort: Cohort, vocabulary: DataFrame, training: list[str], n_top: int = 50, n_bins: int = 25, control_size: int = 50, seed: int = 0) -> DataFrame:
     """Weighted mean of a program's top genes less the mean of control genes of like training expression.
 
-    Genes are chosen on the driver, from one row a gene; scoring is a join.
+    Of each bin of a top gene, the ``control_size`` other genes of smallest hash
+    (MD5 of ``seed:program:gene``) are controls, so a draw depends on nothing
+    but these names.
     """
     own, _, _ = aligned(cohort, vocabulary)
-    means = {r["gene_id"]: r["mean"] for r in gene_moments(own.kept_samples(training)).select("gene_id", "mean").collect()}
-    rows = vocabulary.orderBy("program_idx", "gene_pos").collect()
-    genes = sorted({(r["gene_pos"], r["gene_id"]) for r in rows})
-    names = [g for _, g in genes]
-    n = len(names)
-    order = np.lexsort((np.arange(n), [means[g] for g in names]))
-    bins = np.empty(n, int)
-    bins[order] = np.arange(n) * n_bins // n
-    rng = np.random.default_rng(seed)
-    signed = []
-    for k in sorted({r["program_idx"] for r in rows}):
-        w = {r["gene_id"]: r["weight"] for r in rows if r["program_idx"] == k}
-        weights = np.array([w[g] for g in names])
-        top = np.lexsort((np.arange(n), -weights))[:n_top]
-        controls: set[int] = set()
-        for b in np.unique(bins[top]):
-            others = np.setdiff1d(np.flatnonzero(bins == b), top)
-            if len(others):
-                controls |= set(map(int, rng.choice(others, size=min(control_size, len(others)), replace=False)))
-        if not controls or weights[top].sum() <= 0:
-            raise StateError("a program has no control genes, or top genes without weight")
-        signed += [(k, names[i], float(weights[i] / weights[top].sum())) for i in top]
-        signed += [(k, names[i], -1.0 / len(controls)) for i in controls]
-    contrast = own.cells.sparkSession.createDataFrame(signed, "program_idx int, gene_id string, weight double")
-    programs, wide = products(own, contrast.groupBy("program_idx", "gene_id").agg(F.sum("weight").alias("weight")))
+    means = gene_moments(own.kept_samples(training)).select("gene_id", "mean")
+    rows = stored(vocabulary.select("program_idx", "gene_id", "gene_pos", "weight"))
+    axis = rows.select("gene_id", "gene_pos").distinct().join(means, "gene_id")
+    n = axis.count()
+    place = F.row_number().over(Window.orderBy("mean", "gene_pos")) - 1  # the gene axis, one row a gene
+    bins = axis.select("gene_id", F.floor(place * n_bins / n).alias("bin"))
+    by_weight = Window.partitionBy("program_idx").orderBy(F.desc("weight"), "gene_pos")
+    ranked = stored(rows.join(bins, "gene_id").withColumn("top", F.row_number().over(by_weight) <= n_top))
+    drawn = F.md5(F.concat_ws(":", F.lit(seed), F.col("program_idx"), F.col("gene_id")))
+    by_hash = Window.partitionBy("program_idx", "bin").orderBy(drawn, "gene_pos")
+    others = ranked.where("not top").join(ranked.where("top").select("program_idx", "bin").distinct(), ["program_idx", "bin"], "left_semi")
+    controls = others.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= control_size)
+    each = Window.partitionBy("program_idx")
+    signed = ranked.where("top").select("program_idx", "gene_id", F.try_divide("weight", F.sum("weight").over(each)).alias("weight"))
+    signed = stored(signed.unionByName(controls.select("program_idx", "gene_id", (F.lit(-1.0) / F.count("*").over(each)).alias("weight"))))
+    whole = signed.groupBy("program_idx").agg((F.count_if(F.col("weight").isNull()) > 0).alias("unweighted"), (F.count_if(F.col("weight") < 0) > 0).alias("controlled"))
+    if whole.where("unweighted or not controlled").limit(1).count():
+        raise StateError("a program has no control genes, or top genes without weight")
+    programs, wide = products(own, signed)
     return long(wide, programs, lambda i: F.col(f"s{i}"))

@@ -144,6 +144,12 @@ def score_matched_control(spark, sf_dir):
     return _scores(scoring.matched_control(logged, words, TRAIN, n_top=5, n_bins=5, control_size=50))
 
 
+def score_matched_draws(spark, sf_dir):
+    """Bins of more genes than are drawn as controls."""
+    _, logged, words = _start(spark, sf_dir)
+    return _scores(scoring.matched_control(logged, words, TRAIN, n_top=5, n_bins=2, control_size=3, seed=7))
+
+
 def spearman_pairs(spark, sf_dir):
     found = recurrence.similarity_pairs(_programs(spark, sf_dir))
     return rounded(found, "similarity").select("ref_sample", "query_sample", F.col("ref_idx").cast("long").alias("ref_idx"), F.col("query_idx").cast("long").alias("query_idx"), "similarity")
@@ -612,6 +618,14 @@ ORACLE_SQL: dict[str, str] = {
         signed AS (SELECT program_idx, gene_id, weight / sum(weight) OVER (PARTITION BY program_idx) AS c FROM w WHERE top UNION ALL SELECT program_idx, gene_id, -1.0 / count(*) OVER (PARTITION BY program_idx) FROM ctl),
         h AS (SELECT {_KEY}, sum(value * c) AS score FROM norm JOIN signed USING (gene_id) GROUP BY 1, 2, 3)
         SELECT s.sample_id, s.cell_id, s.program_idx, {_r("coalesce(h.score, 0)", "score")} FROM scores s LEFT JOIN h USING (sample_id, cell_id, program_idx)""",
+    "score_matched_draws": f"""WITH {DIRECT}, n AS (SELECT count(*) AS n FROM cells WHERE {IN_TRAIN}), m AS (SELECT g.gene_id, gene_pos, coalesce(sum(value), 0) / max(n) AS mean FROM n, genes g LEFT JOIN (SELECT * FROM norm WHERE {IN_TRAIN}) e ON e.gene_id = g.gene_id GROUP BY 1, 2),
+        b AS (SELECT gene_id, (row_number() OVER (ORDER BY mean, gene_pos) - 1) * 2 // (SELECT count(*) FROM genes) AS bin FROM m),
+        w AS (SELECT program_idx, gene_id, weight, bin, row_number() OVER (PARTITION BY program_idx ORDER BY weight DESC, gene_pos) <= 5 AS top FROM words JOIN b USING (gene_id)),
+        oth AS (SELECT DISTINCT o.program_idx, o.gene_id, o.bin FROM w o JOIN w t ON t.program_idx = o.program_idx AND t.bin = o.bin AND t.top WHERE NOT o.top),
+        ctl AS (SELECT program_idx, gene_id FROM oth QUALIFY row_number() OVER (PARTITION BY program_idx, bin ORDER BY md5('7:' || program_idx || ':' || gene_id)) <= 3),
+        signed AS (SELECT program_idx, gene_id, weight / sum(weight) OVER (PARTITION BY program_idx) AS c FROM w WHERE top UNION ALL SELECT program_idx, gene_id, -1.0 / count(*) OVER (PARTITION BY program_idx) FROM ctl),
+        h AS (SELECT {_KEY}, sum(value * c) AS score FROM norm JOIN signed USING (gene_id) GROUP BY 1, 2, 3)
+        SELECT s.sample_id, s.cell_id, s.program_idx, {_r("coalesce(h.score, 0)", "score")} FROM scores s LEFT JOIN h USING (sample_id, cell_id, program_idx)""",
     "spearman_pairs": f"WITH {PAIRS} SELECT ref_sample, query_sample, ref_idx, query_idx, {_r('similarity', 'similarity')} FROM pairs",
     "redundancy": f"""WITH {RANKED}, s AS (SELECT a.sample_id, abs(sum(a.z * b.z)) AS s FROM zz a JOIN zz b ON a.sample_id = b.sample_id AND a.gene_id = b.gene_id AND a.program_idx < b.program_idx GROUP BY a.sample_id, a.program_idx, b.program_idx)
         SELECT sample_id, {_r("avg(s)", "mean_similarity")}, {_r("max(s)", "max_similarity")} FROM s GROUP BY 1""",

@@ -2,6 +2,7 @@
 
 import itertools
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -160,7 +161,7 @@ def test_quantiles_by_selection(spark, monkeypatch):
     monkeypatch.setattr(metrics, "RANGES", 64)
     monkeypatch.setattr(metrics, "SORTED", 60)
     rng = np.random.default_rng(9)
-    groups = {"ties": np.r_[np.zeros(700), rng.normal(size=50)], "normal": rng.normal(size=500), "one": np.array([3.5]), "two": np.array([1.0, 2.0]), "wide": np.sign(rng.normal(size=300)) * 10.0 ** rng.integers(-300, 300, 300) * (rng.random(300) < 0.5), "ends": np.r_[[-np.inf] * 30, rng.normal(size=40), [np.inf] * 30]}
+    groups = {"ties": np.r_[np.zeros(700), rng.normal(size=50)], "normal": rng.normal(size=500), "one": np.array([3.5]), "two": np.array([1.0, 2.0]), "wide": np.sign(rng.normal(size=300)) * 10.0 ** rng.integers(-5, 5, 300) * (rng.random(300) < 0.5), "ends": np.r_[[-np.inf] * 30, rng.normal(size=40), [np.inf] * 30]}
     frame = spark.createDataFrame([(g, float(x)) for g, xs in groups.items() for x in xs] + [("ties", None), ("none", None)], "g string, x double").repartition(5)
     at = [0.0, 0.025, 0.25, 0.5, 0.975, 1.0]
     found = {r.g: list(r)[1:] for r in metrics.quantiles(frame, ["g"], "x", at).collect()}
@@ -188,6 +189,16 @@ def test_permutations_do_not_depend_on_partitions(spark, monkeypatch):
     assert one["z"].p_value == 1.0
 
 
+def test_matched_controls_are_drawn_by_hash(spark):
+    db = duckdb.connect()
+    for t in ("region", "nation", "customer", "part", "orders", "lineitem"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    for name in ("score_matched_control", "score_matched_draws"):
+        theirs = {(str(r[0]), str(r[1]), r[2]): r[3] for r in db.execute(f"SELECT sample_id, cell_id, program_idx, score FROM ({catalogue.ORACLE_SQL[name]})").fetchall()}
+        ours = {(r.sample_id, r.cell_id, r.program_idx): r.score for r in catalogue.registered()[name](spark, SF).collect()}
+        assert theirs.keys() == ours.keys() and all(abs(theirs[k] - ours[k]) < 2e-6 for k in ours)
+
+
 # ---- sources and streams
 
 

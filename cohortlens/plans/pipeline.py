@@ -11,7 +11,7 @@ from cohortlens.errors import APIError, PipelineError, ValidationError
 from cohortlens.operators import metrics, prep, programs, recurrence, scoring, state
 from cohortlens.schema import Cohort
 from cohortlens.sources import artifacts
-from cohortlens.sources.atlas import named, samples_from_atlas
+from cohortlens.sources.atlas import named, relabelled, samples_from_atlas
 from cohortlens.storage import stored
 
 
@@ -81,8 +81,13 @@ def _fit_each(cohort: Cohort, o: FitOptions) -> dict[str, DataFrame]:
     return {"programs": found, "stability": stability, "usages": usages, "diagnostics": programs.diagnostics(runs)}
 
 
-def fit_atlas(cohort: Cohort, options: FitOptions = FitOptions(), min_samples: int = 2, min_similarity: float = 0.3, n_permutations: int = 1000, max_redundancy: float | None = None) -> dict:
-    """Fit every sample on its own, then reduce; ``vocabulary`` is None if nothing recurs."""
+def fit_atlas(cohort: Cohort, options: FitOptions = FitOptions(), min_samples: int = 2, min_similarity: float = 0.3, n_permutations: int = 1000, max_redundancy: float | None = None, sample_ids: list[str] | None = None) -> dict:
+    """Fit every sample (or the named ones) on its own, then reduce; ``vocabulary`` is None if nothing recurs.
+
+    Labels that differ by white space around them only are one sample.
+    """
+    cohort = relabelled(cohort)
+    cohort = cohort if sample_ids is None else cohort.known_samples([s.strip() for s in sample_ids])
     ids = samples_from_atlas(cohort)
     if not 2 <= min_samples <= len(ids):
         raise APIError(f"min_samples has to be 2 to {len(ids)}")

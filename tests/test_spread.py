@@ -11,7 +11,7 @@ from cohortlens import errors
 from cohortlens.functions import kernels
 from cohortlens.functions.sparse import SparseRows
 from cohortlens.operators import factorisation, metrics, programs, projection, recurrence, state
-from cohortlens.plans import catalogue
+from cohortlens.plans import catalogue, pipeline
 from cohortlens.sources import atlas
 from cohortlens.storage import Bucketed
 from cohortlens.streaming import projection as streaming
@@ -223,6 +223,19 @@ def test_sources_are_split_by_their_own_key(spark):
     assert {r[0] for t in (atlas.relabelled(padded).cells, atlas.relabelled(padded).expr) for r in t.select("sample_id").collect()} == {"f"}
 
 
+def test_labels_are_trimmed_before_samples_are_fitted(spark):
+    rng = np.random.default_rng(0)
+    labels = ["a", " a", "b ", "b", "c", "c "]
+    cells = [(labels[i % 6], f"c{i}", "x") for i in range(30)]
+    values = [(s, c, f"g{j}", int(rng.integers(1, 9))) for s, c, _ in cells for j in range(4)]
+    options = pipeline.FitOptions(n_programs=1, n_repeats=1, preprocessing="identity")
+    found = pipeline.fit_atlas(atlas.from_rows(spark, cells, values), options, n_permutations=5, sample_ids=["a", "b "])
+    assert sorted(r.sample_id for r in found["programs"].select("sample_id").distinct().collect()) == ["a", "b"]
+    assert {r.sample_id: r.n for r in found["usages"].groupBy("sample_id").agg(F.countDistinct("cell_id").alias("n")).collect()} == {"a": 10, "b": 10}
+    with pytest.raises(errors.SampleError, match="zz"):
+        pipeline.fit_atlas(atlas.from_rows(spark, cells, values), options, sample_ids=["a", "zz"])
+
+
 def test_a_stopped_stream_gives_each_cell_once(spark, tmp_path):
     cohort, _, words = catalogue._start(spark, SF)
     rows = cohort.expr.groupBy("sample_id", "cell_id").agg(F.map_from_entries(F.collect_list(F.struct("gene_id", "value"))).alias("values"))

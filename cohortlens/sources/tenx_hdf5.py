@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -16,6 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from cohortlens.errors import DatasetError
 from cohortlens.functions import hdf5
 from cohortlens.schema import Cohort
+from cohortlens.sources.ranges import ranges
 from cohortlens.storage import stored
 
 #: Values of a task, rounded to whole chunks.
@@ -25,20 +25,6 @@ REQUIRED = ("data", "indices", "indptr", "shape", "barcodes", "features")
 KEPT = "Gene Expression"
 
 
-def ranges(path: str) -> Callable[[int, int], bytes]:
-    """(offset, size) -> bytes of a file in any store that Arrow opens."""
-    try:
-        store, inner = pyarrow.fs.FileSystem.from_uri(path) if re.match(r"[a-z0-9+]+:/", path) else (pyarrow.fs.LocalFileSystem(), path)
-        file = store.open_input_file(inner)
-    except (OSError, pa.ArrowException) as e:
-        raise DatasetError(f"{path} can't be read: {e}") from e
-
-    def read(offset: int, size: int) -> bytes:
-        return file.read_at(size, offset) if offset < file.size() else b""
-
-    return read
-
-
 def is_hdf5(path: str) -> bool:
     """Told by the first bytes (of the file, or behind a user block), whatever its name."""
     try:

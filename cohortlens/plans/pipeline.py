@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from cohortlens.errors import APIError, PipelineError, ValidationError
 from cohortlens.operators import metrics, prep, programs, recurrence, scoring, state
 from cohortlens.schema import Cohort
-from cohortlens.sources import artifacts
+from cohortlens.sources import artifacts, results
 from cohortlens.sources.atlas import named, relabelled, samples_from_atlas
+from cohortlens.sources.results import AGREE
 from cohortlens.storage import stored
 
 
@@ -63,11 +64,15 @@ def prepared(cohort: Cohort, o: FitOptions) -> Cohort:
 
 def fit(cohort: Cohort, options: FitOptions = FitOptions()) -> dict[str, DataFrame]:
     """Programs, stability, usages and diagnostics of a single sample."""
-    return _fit_each(prep.single_sample(cohort), options)
+    return fit_samples_results(prep.single_sample(cohort), options)
 
 
-def _fit_each(cohort: Cohort, o: FitOptions) -> dict[str, DataFrame]:
-    ready = prepared(cohort, o).stored()
+def fit_samples_results(cohort: Cohort, o: FitOptions) -> dict[str, DataFrame]:
+    """Each sample of the cohort fitted on its own, on the genes that are selected over all."""
+    return _fit_ready(prepared(cohort, o).stored(), o)
+
+
+def _fit_ready(ready: Cohort, o: FitOptions) -> dict[str, DataFrame]:
     runs = stored(programs.fitted_programs(ready, o.n_programs, o.seed, o.n_repeats, programs.nmf_estimator(o.max_iter, o.tol), own_axis=True, task_elements=o.task_elements))
     if o.n_repeats > 1:
         found, stability = programs.stabilised(runs, o.stability_threshold)
@@ -81,24 +86,58 @@ def _fit_each(cohort: Cohort, o: FitOptions) -> dict[str, DataFrame]:
     return {"programs": found, "stability": stability, "usages": usages, "diagnostics": programs.diagnostics(runs)}
 
 
-def fit_atlas(cohort: Cohort, options: FitOptions = FitOptions(), min_samples: int = 2, min_similarity: float = 0.3, n_permutations: int = 1000, max_redundancy: float | None = None, sample_ids: list[str] | None = None) -> dict:
+def fit_atlas(cohort: Cohort, options: FitOptions = FitOptions(), min_samples: int = 2, min_similarity: float = 0.3, n_permutations: int = 1000, max_redundancy: float | None = None, sample_ids: list[str] | None = None, store: str | None = None, overwrite: bool = False) -> dict:
     """Fit every sample (or the named ones) on its own, then reduce; ``vocabulary`` is None if nothing recurs.
 
-    Labels that differ by white space around them only are one sample.
+    Labels that differ by white space around them only are one sample. With a
+    ``store``, samples that it has aren't fitted again (``fit_into``).
     """
     cohort = relabelled(cohort)
     cohort = cohort if sample_ids is None else cohort.known_samples([s.strip() for s in sample_ids])
     ids = samples_from_atlas(cohort)
     if not 2 <= min_samples <= len(ids):
         raise APIError(f"min_samples has to be 2 to {len(ids)}")
-    return aggregate(_fit_each(cohort, options), min_samples, min_similarity, n_permutations, max_redundancy, options.seed)
+    if store:
+        fit_into(cohort, store, options, overwrite=overwrite)
+        fitted = results.load(cohort.cells.sparkSession, store, ids)[0]
+    else:
+        fitted = fit_samples_results(cohort, options)
+    return aggregate(fitted, min_samples, min_similarity, n_permutations, max_redundancy, options.seed)
+
+
+def settings(o: FitOptions) -> dict:
+    """What results are saved with."""
+    return {k: getattr(o, k) for k in (*AGREE, "n_programs", "seed", "layer")}
+
+
+def fit_into(cohort: Cohort, path: str, options: FitOptions = FitOptions(), at_once: int = 16, overwrite: bool = False) -> list[str]:
+    """Fit the samples that a store of results lacks (all, to overwrite) and return their ids.
+
+    ``at_once`` samples are fitted together and added when they are done, so a
+    run that was lost goes on with the samples that it hadn't added. Genes are
+    selected over the whole cohort, so the result doesn't depend on that.
+    """
+    spark = cohort.cells.sparkSession
+    kept = {} if overwrite else results.parameters_of(spark, path)
+    if unlike := [k for k, v in settings(options).items() if kept and kept.get(k) != v]:
+        raise APIError(f"the results of {path} were fitted with another {', '.join(unlike)}")
+    cohort = relabelled(cohort)
+    there = set() if overwrite else set(results.sample_ids(spark, path))
+    left = [s for s in samples_from_atlas(cohort, 1) if s not in there]
+    if left:
+        ready = prepared(cohort, options).stored()
+        for i in range(0, len(left), at_once):
+            fitted = _fit_ready(ready.kept_samples(left[i : i + at_once]), options)
+            fitted["usages"] = stored(fitted["usages"])  # checked, then written
+            results.add(spark, path, fitted, settings(options), overwrite)
+    return left
 
 
 def fit_samples(sources: dict[str, Cohort], options: FitOptions = FitOptions(), min_samples: int = 2, **reduction) -> dict:
     """Fit each of several sources, a sample each, on the genes that it has itself, then reduce as ``fit_atlas`` does."""
     if not 2 <= min_samples <= len(sources):
         raise APIError(f"min_samples has to be 2 to {len(sources)}")
-    parts = [_fit_each(named(prep.single_sample(one), name), options) for name, one in sources.items()]
+    parts = [fit_samples_results(named(prep.single_sample(one), name), options) for name, one in sources.items()]
     return aggregate(together(parts), min_samples, seed=options.seed, **reduction)
 
 
@@ -129,12 +168,10 @@ def aggregate(fitted: dict[str, DataFrame], min_samples: int = 2, min_similarity
     return fitted | {"recurrence": found, "vocabulary": built and built[0], "members": built and built[1]}
 
 
-#: Settings that results must share to be aggregated.
-AGREE = ("method", "preprocessing", "n_repeats")
-
-
 def saved_results(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict]:
-    """Per-sample results below ``path`` (one artifact, or a folder of them), and the settings that they share."""
+    """Per-sample results below ``path`` (a store, one artifact, or a folder of them), and the settings that they share."""
+    if results.is_store(spark, path):
+        return results.load(spark, path)
     found = artifacts.load_each(spark, path, "programs")
     for key in AGREE:
         values: dict[str, list[str]] = {}

@@ -14,7 +14,7 @@ from cohortlens import cli, errors, storage
 from cohortlens.functions import kernels
 from cohortlens.operators import metrics, network, prep, programs, projection, recurrence, scoring, state
 from cohortlens.plans import catalogue, pipeline
-from cohortlens.sources import artifacts, atlas, matrix_market
+from cohortlens.sources import artifacts, atlas, matrix_market, results
 from cohortlens.streaming.projection import scored_stream
 
 
@@ -370,7 +370,7 @@ def test_artifacts_and_command_line(spark, tmp_path):
         artifacts.load(spark, source, "vocabulary")
     fit = ["--n-programs", "2", "--n-repeats", "2", "--preprocessing", "identity"]
     assert cli.main(["fit", "--input", source, "--output", fitted, "--n-permutations", "5", *fit], spark) == 0
-    tables, parameters = artifacts.load(spark, f"{fitted}/samples", "programs")
+    tables, parameters = results.load(spark, f"{fitted}/samples")
     assert {"programs", "stability", "usages", "diagnostics"} == set(tables) and parameters["method"] == "cnmf"
     assert tables["diagnostics"].where("converged and n_iter > 0").count() == 6 and tables["usages"].count() == 2 * cohort.cells.count()
     assert cli.main(["compare", "--input", source, "--vocabulary", f"{fitted}/vocabulary", "--output", states, "--methods", "nnls,regularized_nnls,poisson"], spark) == 0

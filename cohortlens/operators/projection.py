@@ -168,13 +168,13 @@ def project(cohort: Cohort, vocabulary: DataFrame, method: str = "nnls", allow_e
     return _projected(*_prepared(cohort, vocabulary, allow_empty), method, options)
 
 
-def _projected(rows: DataFrame, genes: list[str], basis: np.ndarray, method: str, options: dict) -> DataFrame:
-    solve = _solver(method, rows, len(genes), basis, options)
+def batch_projector(solve: Solver, n_genes: int, basis: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A function of batches of packed cells that gives their STATES."""
     sparse, gram = getattr(solve, "on_sparse", False), basis.T @ basis
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in (part for b in batches for part in ([b] if sparse else dense_parts(b, len(genes)))):
-            x = SparseRows.packed(batch, len(genes))
+        for batch in (part for b in batches for part in ([b] if sparse else dense_parts(b, n_genes))):
+            x = SparseRows.packed(batch, n_genes)
             got = solve(x if sparse else np.asarray(x), basis)
             usages, uncertainty = got if isinstance(got, tuple) else (got, None)
             squares = x.squares()
@@ -185,10 +185,15 @@ def _projected(rows: DataFrame, genes: list[str], basis: np.ndarray, method: str
             states = np.divide(usages, total, out=np.zeros_like(usages), where=total > 0)
             yield pd.DataFrame({
                 "sample_id": batch["sample_id"].to_numpy(), "cell_id": batch["cell_id"].to_numpy(), "usages": list(usages), "states": list(states), "projection_error": errors,
-                "relative_error": relative, "observed_coverage": x.present() / len(genes), "uncertainty": [None] * len(x) if uncertainty is None else list(uncertainty),
+                "relative_error": relative, "observed_coverage": x.present() / n_genes, "uncertainty": [None] * len(x) if uncertainty is None else list(uncertainty),
             })
 
-    return rows.mapInPandas(run, STATES)
+    return run
+
+
+def _projected(rows: DataFrame, genes: list[str], basis: np.ndarray, method: str, options: dict) -> DataFrame:
+    solve = _solver(method, rows, len(genes), basis, options)
+    return rows.mapInPandas(batch_projector(solve, len(genes), basis), STATES)
 
 
 def compare(cohort: Cohort, vocabulary: DataFrame, methods: list[str], options: dict[str, dict] | None = None, allow_empty: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.operators import metrics, prep, programs, projection, recurrence, scoring, state
-from cohortlens.plans import pipeline
+from cohortlens.plans import pipeline, sql
 from cohortlens.schema import Cohort
 from cohortlens.sources import artifacts
 from cohortlens.sources.atlas import orders_atlas
@@ -398,6 +398,24 @@ def nnls_all(spark, sf_dir):
     return _all(spark, sf_dir, "nnls")
 
 
+def sql_nnls(spark, sf_dir):
+    """``nnls_all`` from SQL text."""
+    cohort, _, words = _start(spark, sf_dir)
+    sql.register(spark, words, "nnls", "project_on_nnls")
+    return spark.sql("SELECT * FROM project_on_nnls(TABLE({cells}))", cells=stored(sql.whole_cells(cohort)))
+
+
+def sql_scores(spark, sf_dir):
+    """``score_direct`` from SQL text: every program's score of every cell, in the JVM."""
+    cohort, _, words = _start(spark, sf_dir)
+    sql.register(spark, words)
+    found = """
+        SELECT sample_id, cell_id, CAST(p.program_idx AS BIGINT) AS program_idx, round(program_score(places, logged, p.weights), 6) + 0D AS score
+        FROM (SELECT sample_id, cell_id, places, log1p_values(found, 1e4D) AS logged, (SELECT collect_list(struct(program_idx, weights)) FROM {programs}) AS programs FROM {cells})
+        LATERAL VIEW explode(programs) AS p"""
+    return spark.sql(found, cells=sql.placed_cells(cohort), programs=sql.placed_programs(cohort, words))
+
+
 def ridge_nnls_all(spark, sf_dir):
     return _all(spark, sf_dir, "regularized_nnls", l1=0.5, l2=0.1)
 
@@ -596,6 +614,7 @@ ORACLE_SQL: dict[str, str] = {
     "mean_programs": f"WITH {PROG} SELECT sample_id, program_idx, lineage, gene_id, {_r('weight', 'weight')} FROM prog",
     "consensus_median": f"WITH {VOCAB} SELECT program_idx, gene_id, {_r('weight', 'weight')} FROM words",
     "score_direct": f"WITH {DIRECT} SELECT {_KEY}, {_r('score', 'score')} FROM scores",
+    "sql_scores": f"WITH {DIRECT} SELECT {_KEY}, {_r('score', 'score')} FROM scores",
     "score_gene_std": f"""WITH {VOCAB}, n AS (SELECT count(*) AS n FROM cells WHERE {IN_TRAIN}),
         m AS (SELECT g.gene_id, coalesce(sum(value), 0) / max(n) AS mean, coalesce(sum(value * value), 0) / max(n) AS q FROM n, genes g LEFT JOIN (SELECT * FROM norm WHERE {IN_TRAIN}) e ON e.gene_id = g.gene_id GROUP BY 1),
         sd AS (SELECT gene_id, mean, CASE WHEN q - mean * mean > 0 THEN sqrt(q - mean * mean) ELSE 1 END AS sd FROM m),

@@ -224,8 +224,8 @@ def mix_report(documents: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     """One row per document: doc_id, source, size, source_size, target, copies, taken (words, repeats counted)."""
     rows, decided = plan(documents, weights, share, seed, id_col, text_col, source_col)
     found, alike = _decided(rows, decided)
-    if alike is not None:  # numbered by range partitions, so no group of equal rows has to fit into one task
-        numbered = stored(row_numbered(alike, KEYS)[0], "mix-alike")
+    if alike is not None:  # equal rows are numbered over several tasks
+        numbered = stored(row_numbered(stored(alike, "mix-equal"), KEYS)[0], "mix-alike")
         first = numbered.groupBy(*KEYS).agg(F.min("row_number").alias("_first")).withColumnsRenamed({k: f"{k}_" for k in KEYS})
         same = F.col("_source").eqNullSafe(F.col("_source_")) & (F.col("_size") == F.col("_size_")) & (F.col("_hash") == F.col("_hash_"))
         ranked = numbered.join(small(stored(first, "mix-first"), 60), same)

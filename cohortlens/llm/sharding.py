@@ -96,9 +96,12 @@ def row_numbered(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
     """Add ``row_number`` (from 0, in the order of the columns) and return the row count.
 
     Range partitions are sorted apart and shifted by the sizes of the earlier
-    ones; only one count per partition is brought together.
+    ones; only one count per partition is brought together. Rows that are
+    equal in the columns follow their place in ``df``, a stored table, so
+    that they, too, are dealt to several partitions.
     """
-    spread = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    keys = [*order, "_place"]
+    spread = df.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_place")
     local = stored(spread.withColumn("_at", F.monotonically_increasing_id()), "row-numbers")
     part = F.shiftright("_at", 33)
     counts = sorted((r[0], r[1]) for r in local.groupBy(part.alias("part")).count().collect())

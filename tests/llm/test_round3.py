@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cohortlens.llm import common, fill_in_middle, html_main, queries, repeated_spans, whitening
+from cohortlens.llm import common, fill_in_middle, html_main, queries, repeated_spans, sharding, whitening
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -228,3 +228,20 @@ def test_repeats_are_sought_on_pages_with_articles(spark):
     rows = [(i, "http://h.org/a", f"<article><p>Story {i} about thing{i}.</p></article><div>{legal}</div><p>own words {i}</p>") for i in range(5)]
     found = html_main.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert all(r.text == f"Story {r.page_id} about thing{r.page_id}.\nown words {r.page_id}" and r.n_boiler_tokens >= 40 for r in found)
+
+
+def test_equal_rows_are_numbered_over_several_tasks(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = common.stored(spark.range(20_000).select(F.when(F.col("id") < 19_900, 7).otherwise(F.col("id")).alias("k")), "equal")
+        numbered, n = sharding.row_numbered(rows, ["k"])
+        most = numbered.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        found = numbered.orderBy("row_number").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert n == 20_000 and [r.row_number for r in found] == list(range(20_000)) and [r.k for r in found] == [7] * 19_900 + list(range(19_900, 20_000))
+    assert most < 10_000
+    assert sharding.row_numbered(rows.limit(0), ["k"])[1] == 0

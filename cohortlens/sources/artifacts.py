@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import platform
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +37,21 @@ def save(tables: dict[str, DataFrame], path: str, artifact: str, parameters: dic
     described(meta)
 
 
+def environment(spark: SparkSession) -> dict[str, str]:
+    """Versions of what results depend on."""
+    return {"cohortlens": __version__, "spark": spark.version, "python": platform.python_version(), "numpy": np.__version__, "pandas": pd.__version__, "pyarrow": pa.__version__}
+
+
+def save_run(spark: SparkSession, path: str, command: str, arguments: dict) -> None:
+    """What was run last with ``path`` for its output, and in which environment, as a line of JSON in ``run.json``."""
+    text = json.dumps({"schema_version": SCHEMA_VERSION, "command": command, "arguments": arguments, "environment": environment(spark)}, sort_keys=True)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}/run.json")
+
+
+def load_run(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path.rstrip('/')}/run.json").first()[0])
+
+
 def load(spark: SparkSession, path: str, artifact: str) -> tuple[dict[str, DataFrame], dict]:
     """Tables and parameters of a saved artifact of the given kind."""
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])

@@ -9,7 +9,7 @@ import pytest
 
 from cohortlens import cli, errors
 from cohortlens.plans import pipeline
-from cohortlens.sources import matrix_market, results
+from cohortlens.sources import artifacts, matrix_market, results
 from tests.test_core import blocks, write_triple
 
 
@@ -218,3 +218,20 @@ def test_command_line_refits_one_sample_of_a_store(spark, tmp_path):
     assert results.sample_ids(spark, str(tmp_path / "out" / "samples")) == first
     assert cli.main(["aggregate", "--input", str(tmp_path / "out" / "samples"), "--output", str(tmp_path / "again"), "--min-similarity", "0.0", "--n-permutations", "5"], spark) == 0
     assert results.sample_ids(spark, str(tmp_path / "again" / "samples")) == first
+
+
+def test_a_run_is_recorded_once_it_is_done(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "out")
+    argv = ["aggregate", "--input", "somewhere", "--output", out, "--max-redundancy", "0.5"]
+    with monkeypatch.context() as m:
+        m.setitem(cli.COMMANDS, "aggregate", lambda *_: (_ for _ in ()).throw(errors.APIError("no")))
+        with pytest.raises(errors.APIError):
+            cli.main(argv, spark)
+        assert not (tmp_path / "out").exists()
+        m.setitem(cli.COMMANDS, "aggregate", lambda *_: None)
+        assert cli.main(argv, spark) == cli.main([*argv, "--seed", "5"], spark) == 0
+    found = artifacts.load_run(spark, out)
+    assert found["command"] == "aggregate" and found["arguments"]["max_redundancy"] == 0.5 and found["arguments"]["seed"] == 5
+    assert found["environment"]["spark"] == spark.version and set(found["environment"]) == {"cohortlens", "spark", "python", "numpy", "pandas", "pyarrow"}
+    with pytest.raises(errors.InputError):
+        artifacts.load_each(spark, out, "programs")  # the record isn't a result

@@ -1,18 +1,25 @@
 """WARC archives with revisit resolution.
 
-Header rows (id, digest, length) are grouped by payload digest; of the records
-with one payload, the one with the largest id keeps it as a response and the
-others become revisit records that refer to it. Archives are written with fresh
-headers by Spark's own text writer, a record a row, so they can lie in any
-store that Spark writes to; reading parses records by their Content-Length,
-checks every payload against its digest and joins revisits to their responses.
+Header rows (id, url, digest, length) are grouped by payload digest; of the
+records with one payload, the one with the largest id keeps it as a response
+and the others become revisit records that refer to it. Revisit records are
+written from header rows alone. Rows with payloads are only asked whether they
+are revisits: by a broadcast while the shared digests are few, else by a
+shuffle that the revisits of hot payloads never enter. Archives are written
+with fresh headers by Spark's own text writer, a record a row, so they can lie
+in any store that Spark writes to; reading parses records by their
+Content-Length, checks every payload against its digest and joins revisits to
+their responses, hot ones apart. Payloads of one kind of size are written
+together, so a file holds ``FILE_BYTES`` of them or one record.
 
 Edge cases: a null payload is empty; payloads below ``least_bytes`` are always
 responses; a null id writes no id header and reads back as null, and never
 becomes the response of a group that has an id; rows that repeat the largest
 id of a group are all responses; an empty table gives empty archives; control
 characters in a url are percent-encoded on writing; a very long payload is one
-record, which a reader holds once; other columns, of whatever name, aren't
+record in a file of its own, which a reader holds once; a revisit whose
+response isn't in the archives reads back without length and target, and is
+rewritten as an empty response; other columns, of whatever name, aren't
 archived.
 """
 
@@ -26,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import new_path, small, stored
+from cohortlens.llm.common import BROADCAST_BYTES, HOT_ROWS, HOT_SHARE, joined_to_groups, new_path, small, stored
 
 VERSION = "WARC/1.1"
 #: Ends a record; the text writer puts it after each.
@@ -34,27 +41,53 @@ END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEAST_BYTES = 1000
-#: Records that a file holds at most, so that a reader's memory is bounded by a file.
-RECORDS_PER_FILE = 2000
+#: Bytes of payload that a file of several records holds at most, so that a reader's memory is bounded by a file.
+FILE_BYTES = 128 << 20
+#: Largest payloads of the kinds of records that are written together; beyond the last, each record has its own file.
+KINDS = (1 << 16, 1 << 20, 1 << 24)
+#: Bytes of a row of shared digests: 40 of the digest, two longs, and their places.
+SHARED_BYTES = 80
 
 
-def headers(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
-    """Narrow header rows: page_id, payload_bytes, payload_digest."""
-    payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
-    return pages.select(F.col(id_col).alias("page_id"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("payload_digest"))
+def _columns(id_col: str, url_col: str, payload_col: str) -> tuple[list[Column], Column]:
+    """Header columns (page_id, url, payload_bytes, payload_digest) of a table of pages, and its payload as text."""
+    text = F.coalesce(F.col(payload_col), F.lit(""))
+    payload = F.encode(text, "UTF-8")
+    return [F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("payload_digest")], text
+
+
+def headers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+    """Narrow header rows: page_id, url, payload_bytes, payload_digest."""
+    return pages.select(*_columns(id_col, url_col, payload_col)[0])
 
 
 def originals(header_rows: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """payload_digest and original_id of each payload that several records share."""
+    """payload_digest, original_id and n (its records) of each payload that several records share."""
     shared = header_rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("original_id"), F.count("*").alias("n"))
-    return shared.where("n > 1 and original_id is not null").select("payload_digest", "original_id")
+    return shared.where("n > 1 and original_id is not null").select("payload_digest", "original_id", "n")
 
 
-def resolved(rows: DataFrame, shared: DataFrame) -> DataFrame:
-    """Add record_type and refers_to to rows that carry page_id and payload_digest."""
-    joined = rows.join(small(shared, 80), "payload_digest", "left")
-    revisit = F.col("original_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original_id"))
-    return joined.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("original_id"))}).drop("original_id")
+def revisits(header_rows: DataFrame, shared: DataFrame, total: int) -> DataFrame:
+    """Header rows of revisits, with record_type and refers_to; ``total`` is the number of header rows."""
+    joined = joined_to_groups(header_rows, shared, ["payload_digest"], "n", total)
+    again = joined.where(~F.col("page_id").eqNullSafe(F.col("original_id")))
+    return again.drop("n").withColumnRenamed("original_id", "refers_to").withColumn("record_type", F.lit("revisit"))
+
+
+def responses(rows: DataFrame, shared: DataFrame, total: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Rows (page_id, payload_digest and others) that aren't revisits, with record_type and refers_to.
+
+    More shared digests than ``broadcast_bytes`` are shuffled, but the hot ones,
+    fewer than ``HOT_SHARE``, have dropped their revisits before.
+    """
+    named = shared.select(F.col("payload_digest").alias("_digest"), F.col("original_id").alias("_original"), "n")
+    revisit = (F.col("payload_digest") == F.col("_digest")) & ~F.col("page_id").eqNullSafe(F.col("_original"))
+    if shared.count() * SHARED_BYTES <= broadcast_bytes:
+        left = rows.join(F.broadcast(named), revisit, "left_anti")
+    else:
+        hot = F.col("n") > max(HOT_ROWS, total // HOT_SHARE)
+        left = rows.join(F.broadcast(named.where(hot)), revisit, "left_anti").join(named.where(~hot), revisit, "left_anti")
+    return left.withColumns({"record_type": F.lit("response"), "refers_to": F.lit(None).cast(shared.schema["original_id"].dataType)})
 
 
 def _record_id(page_id: Column, digest: Column) -> Column:
@@ -89,15 +122,30 @@ def record(url: Column, payload: Column) -> Column:
     return F.concat(head, http, F.when(revisit, F.lit("")).otherwise(payload))
 
 
+def _kind(size: Column) -> Column:
+    return sum(((size > most).cast("int") for most in KINDS), F.lit(0))
+
+
+def _written(header_rows: DataFrame, rows: DataFrame, path: str, least_bytes: int) -> None:
+    """Archives of stored header rows; ``rows`` have the payloads (``_payload``, text) of all that can be responses."""
+    shared = stored(originals(header_rows, least_bytes), "warc-originals")
+    total = header_rows.count()
+
+    def write(records: DataFrame, payload: Column, name: str, most: int) -> None:
+        out = records.select(record(F.col("url"), payload).alias("value")).write
+        out.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most).text(f"{path}/{name}")
+
+    write(revisits(header_rows, shared, total), F.lit(""), "revisits", FILE_BYTES // KINDS[0])
+    kinds = sorted(r[0] for r in header_rows.select(_kind(F.col("payload_bytes"))).distinct().collect())  # four at most
+    for kind in kinds:
+        of_kind = rows.where(_kind(F.octet_length("_payload")) == kind)
+        write(responses(of_kind, shared, total), F.col("_payload"), f"responses-{kind}", FILE_BYTES // KINDS[kind] if kind < len(KINDS) else 1)
+
+
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = LEAST_BYTES) -> None:
-    """Resolve revisits and write gzipped archives below ``path``."""
-    narrow = stored(headers(pages, id_col, payload_col), "warc-headers")
-    shared = stored(originals(narrow, least_bytes), "warc-originals")
-    text = F.coalesce(F.col(payload_col), F.lit(""))
-    payload = F.encode(text, "UTF-8")
-    full = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("_url"), text.alias("_payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("payload_digest"))
-    out = resolved(full, shared).select(record(F.col("_url"), F.col("_payload")).alias("value"))
-    out.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    """Resolve revisits and write gzipped archives below ``path``, in a folder of revisits and one for each kind of size."""
+    columns, text = _columns(id_col, url_col, payload_col)
+    _written(stored(pages.select(*columns), "warc-headers"), pages.select(*columns, text.alias("_payload")), path, least_bytes)
 
 
 def _unzipped(data: bytes) -> Iterator[bytes]:
@@ -178,29 +226,37 @@ def read_records(spark: SparkSession, path: str, payloads: bool = False) -> Data
     return files.mapInPandas(run, READ + (", payload binary" if payloads else ""))
 
 
-def joined_revisits(records: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to: revisits take length and id from the response they refer to."""
-    records = stored(records, "warc-read")
-    wanted = records.where("record_type = 'revisit'").select(F.col("refers_to_record").alias("record_id")).distinct()
-    found = records.where("record_type = 'response'").select("record_id", F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("_bytes"))
-    targets = stored(found.join(small(stored(wanted, "warc-wanted"), 80), "record_id").dropDuplicates(["record_id"]), "warc-targets")
-    own = records.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
-    again = records.where("record_type = 'revisit'").select("page_id", "payload_digest", "record_type", F.col("refers_to_record").alias("record_id"))
-    again = again.join(small(targets, 80), "record_id", "left")
-    return own.unionByName(again.select("page_id", F.col("_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"))
+def joined_revisits(records: DataFrame, *others: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to and ``others``; revisits take length and id from the response they refer to."""
+    kept = ["page_id", "payload_digest", "record_type", *others]
+    target = F.coalesce("refers_to_record", F.lit("")).alias("record_id")
+    records = stored(records.select(*kept, "payload_bytes", "record_id", "refers_to_record"), "warc-read")
+    own, again = records.where("record_type = 'response'"), records.where("record_type = 'revisit'").select(*kept, target)
+    wanted = stored(again.groupBy("record_id").agg(F.count("*").alias("n")), "warc-wanted")
+    found = own.join(small(wanted, 80), "record_id", "left_semi").groupBy("record_id").agg(F.min("page_id").alias("refers_to"), F.min("payload_bytes").alias("payload_bytes"))
+    targets = stored(wanted.join(found, "record_id", "left"), "warc-targets")
+    again = joined_to_groups(again, targets, ["record_id"], "n", again.count()).drop("record_id", "n")
+    return own.select(*kept, "payload_bytes", F.lit(None).cast("long").alias("refers_to")).unionByName(again).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", *others)
 
 
 def rewrite(spark: SparkSession, source: str, target: str, least_bytes: int = LEAST_BYTES) -> None:
     """Deduplicate archives below ``source`` into ``target``, with fresh headers.
 
-    Payloads must be UTF-8 text. Revisits in the source are first given the
-    payload of the response that they refer to.
+    Payloads must be UTF-8 text. A revisit of the source is given a payload only
+    if it becomes a response; all others stay header rows.
     """
     records = stored(read_records(spark, source, payloads=True), "warc-rewrite")
-    own = records.where("record_type = 'response'").select("page_id", "url", F.decode("payload", "UTF-8").alias("html"))
-    bodies = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_record"), F.decode("payload", "UTF-8").alias("html")).dropDuplicates(["refers_to_record"])
-    again = records.where("record_type = 'revisit'").select("page_id", "url", "refers_to_record").join(bodies, "refers_to_record", "left").select("page_id", "url", "html")
-    write_archives(own.unionByName(again), target, least_bytes=least_bytes)
+    lost = F.col("payload_bytes").isNull()
+    narrow = joined_revisits(records.drop("payload"), "url").withColumns({"payload_digest": F.when(lost, F.sha1(F.lit("").cast("binary"))).otherwise(F.col("payload_digest")), "payload_bytes": F.coalesce("payload_bytes", F.lit(0).cast("long"))})
+    narrow = stored(narrow, "warc-headers")
+    header_rows = narrow.select("page_id", "url", "payload_bytes", "payload_digest")
+    bodies = records.where("record_type = 'response'").select("page_id", "url", "payload_bytes", "payload_digest", F.decode("payload", "UTF-8").alias("_payload"))
+    again = narrow.where("record_type = 'revisit'").select(*header_rows.columns)
+    needy = stored(responses(again, stored(originals(header_rows, least_bytes), "warc-originals"), header_rows.count()).select(*header_rows.columns), "warc-needy")
+    wanted = small(stored(needy.select("payload_digest").distinct(), "warc-wanted"), SHARED_BYTES)
+    one = bodies.join(wanted, "payload_digest", "left_semi").groupBy("payload_digest").agg(F.first("_payload").alias("_payload"))
+    given = needy.join(one, "payload_digest", "left").select(*header_rows.columns, F.coalesce("_payload", F.lit("")).alias("_payload"))
+    _written(header_rows, bodies.unionByName(given), target, least_bytes)
 
 
 def round_trip(pages: DataFrame, **columns) -> DataFrame:

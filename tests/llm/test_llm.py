@@ -225,6 +225,52 @@ def test_warc_rewrite_resolves_again(spark):
     assert {tuple(r)[:1] + tuple(r)[3:] for r in warc.joined_revisits(warc.read_records(spark, second)).collect()} == {(1, "revisit", 2), (2, "response", None), (3, "response", None)}
 
 
+def test_warc_hot_payloads_beyond_the_broadcast(spark):
+    """A payload of a third of all rows drops its revisits before the shuffle; the rest goes by digest; nothing changes."""
+    rows = [(i, "u", "hot" * 500 if i % 3 == 0 else f"{i % 700:05d}" * 300) for i in range(6000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    header_rows = common.stored(warc.headers(pages), "t-headers")
+    shared = common.stored(warc.originals(header_rows), "t-shared")
+    apart, sent = (warc.responses(header_rows, shared, 6000, b) for b in (0, 1 << 20))
+    best = {}
+    for i, _, text in rows:
+        best[text] = i
+    want = sorted(best.values())
+    assert sorted(r.page_id for r in apart.collect()) == sorted(r.page_id for r in sent.collect()) == want
+    again = {r.page_id: r.refers_to for r in warc.revisits(header_rows, shared, 6000).collect()}
+    assert again == {i: best[t] for i, _, t in rows if best[t] != i}
+    found = {r.page_id: r.refers_to for r in warc.round_trip(pages).collect()}
+    assert found == {i: again.get(i) for i, _, _ in rows}
+
+
+def test_warc_files_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "KINDS", (100, 1000, 4000))
+    monkeypatch.setattr(warc, "FILE_BYTES", 8000)
+    sizes = [0, 100, 101, 1000, 1001, 4000, 4001, 9000] * 25
+    pages = spark.createDataFrame([(i, "u", f"{i:03d}".ljust(n, ".")[:n]) for i, n in enumerate(sizes)], "page_id long, url string, html string").coalesce(1)
+    path = common.new_path(spark, "kinds")
+    warc.write_archives(pages, path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").collect()
+    held = [[len(b.partition(b"\r\n\r\n")[2]) for _, b in warc.parsed(warc._unzipped(bytes(f.content)))] for f in files]
+    assert sorted(n for h in held for n in h) == sorted(sizes)
+    assert all(sum(h) <= 8000 or len(h) == 1 for h in held) and max(map(len, held)) == 50
+    assert {r.page_id: r.payload_bytes for r in warc.joined_revisits(warc.read_records(spark, path)).collect()} == dict(enumerate(sizes))
+
+
+def test_warc_rewrite_of_revisits(spark):
+    """A former revisit becomes a response with its payload, others stay without one; a lost response leaves an empty record."""
+    pages = spark.createDataFrame([(1, "u", "p" * 1500), (2, "v", "p" * 1500), (4, "w", "q" * 1200), (5, None, "q" * 1200)], "page_id long, url string, html string")
+    first, second, alone = (common.new_path(spark, n) for n in ("w1", "w2", "w3"))
+    warc.write_archives(pages, first)
+    warc.rewrite(spark, first, second, least_bytes=1300)
+    found = {r.page_id: (r.record_type, r.refers_to, r.url, r.payload_bytes) for r in warc.joined_revisits(warc.read_records(spark, second), "url").collect()}
+    assert found == {1: ("revisit", 2, "u", 1500), 2: ("response", None, "v", 1500), 4: ("response", None, "w", 1200), 5: ("response", None, None, 1200)}
+    bodies = {r.page_id: bytes(r.payload) for r in warc.read_records(spark, second, payloads=True).where("record_type = 'response'").collect()}
+    assert bodies == {2: b"p" * 1500, 4: b"q" * 1200, 5: b"q" * 1200}
+    warc.rewrite(spark, f"{first}/revisits", alone)
+    assert sorted((r.page_id, r.record_type, r.payload_bytes) for r in warc.read_records(spark, alone).collect()) == [(1, "response", 0), (4, "response", 0)]
+
+
 def test_sharding(spark, documents):
     rows = sharding.feistel_shards(documents).toPandas()
     texts = {r.doc_id: r.text for r in documents.collect()}

@@ -214,5 +214,25 @@ def benchmark(states: DataFrame) -> DataFrame:
     return states.groupBy("method", "sample_id").agg(F.avg("projection_error").alias("mean_error"), F.avg(zero).alias("zero_fraction"), F.avg("observed_coverage").alias("coverage"))
 
 
+def findings(cohort: Cohort, vocabulary: DataFrame, states: DataFrame, error_threshold: float = 1.0) -> DataFrame:
+    """By sample, what a reader of STATES should know: numbers, and ``warnings`` in words (empty if all is well).
+
+    n_cells; n_missing and n_extra genes of the vocabulary; n_high_error cells,
+    whose relative error is above the threshold; n_unused cells, without any
+    usage. One count over the states, which should be a stored table.
+    """
+    if not 0 < error_threshold < float("inf"):
+        raise ProjectionError("the threshold of relative errors has to be positive and finite")
+    _, missing, extra = prep.aligned(cohort, vocabulary, strict=False)
+    n_missing, n_extra = missing.count(), extra.count()
+    unused = ~F.exists("usages", lambda x: x > 0)
+    counts = states.groupBy("sample_id").agg(
+        F.count("*").alias("n_cells"), F.lit(n_missing).cast("long").alias("n_missing"), F.lit(n_extra).cast("long").alias("n_extra"),
+        F.count_if(F.col("relative_error") > error_threshold).alias("n_high_error"), F.count_if(unused).alias("n_unused"),
+    )
+    said = [("n_missing", "genes of the vocabulary are missing"), ("n_high_error", f"cells have a relative error above {error_threshold:g}"), ("n_unused", "cells use no program")]
+    return counts.withColumn("warnings", F.array_compact(F.array(*[F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(f" {text}"))) for c, text in said])))
+
+
 def direct(cohort: Cohort, vocabulary: DataFrame) -> DataFrame:
     return scoring.direct(cohort, vocabulary)

@@ -398,6 +398,12 @@ def nnls_all(spark, sf_dir):
     return _all(spark, sf_dir, "nnls")
 
 
+def projection_findings(spark, sf_dir):
+    """What is to be known of the whole least-squares projection, by sample; errors above a half count as high."""
+    cohort, _, words = _start(spark, sf_dir)
+    return projection.findings(cohort, words, stored(projection.project(cohort, words, "nnls")), 0.5)
+
+
 def sql_nnls(spark, sf_dir):
     """``nnls_all`` from SQL text."""
     cohort, _, words = _start(spark, sf_dir)

@@ -88,9 +88,26 @@ def report(df: DataFrame, path: str, sep: str = "\t", overwrite: bool = False) -
     df.select(*flat).coalesce(1).write.mode("overwrite" if overwrite else "error").option("header", True).option("sep", sep).csv(path)
 
 
-def save_values(rows: DataFrame, path: str, kind: str, parameters: dict | None = None, overwrite: bool = False) -> None:
-    """Activities or coordinates, an array a cell (sample_id, cell_id and the array); values that aren't finite raise."""
+def _one_row_a_cell(rows: DataFrame, cells: DataFrame, kind: str) -> None:
+    """Raise unless ``rows`` have each of ``cells`` once and no other; counts of both are compared by cell."""
+    keys = ["sample_id", "cell_id"]
+    both = rows.select(*keys, F.lit(1).alias("_own"), F.lit(0).alias("_all")).unionByName(cells.select(*keys, F.lit(0).alias("_own"), F.lit(1).alias("_all")))
+    odd = both.groupBy(*keys).agg(F.sum("_own").alias("_own"), F.sum("_all").alias("_all")).where("_own <> 1 OR _all <> 1").first()
+    if odd:
+        raise StateError(f"{kind} need one row a cell: {odd['sample_id']}/{odd['cell_id']} has {odd['_own']} for {odd['_all']} in the cohort")
+
+
+def save_values(rows: DataFrame, path: str, kind: str, parameters: dict | None = None, overwrite: bool = False, cells: DataFrame | None = None) -> None:
+    """Activities or coordinates, an array a cell (sample_id, cell_id and the array); values that aren't finite raise.
+
+    With the ``cells`` of a cohort, every one of them has to have one row, and arrays one length.
+    """
     column = next(c for c in rows.columns if c not in ("sample_id", "cell_id"))
+    if cells is not None:
+        _one_row_a_cell(rows, cells, kind)
+        sizes = rows.agg(F.min(F.size(column)).alias("a"), F.max(F.size(column)).alias("b")).first()
+        if sizes["a"] != sizes["b"]:
+            raise StateError(f"{kind} have {sizes['a']} to {sizes['b']} values a cell")
     bad = F.exists(column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | (F.size(column) < 1)
     if rows.where(F.coalesce(bad, F.lit(True))).limit(1).count():
         raise StateError(f"{kind} have values that aren't finite")

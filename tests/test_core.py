@@ -184,6 +184,50 @@ def test_projectors(spark, small, method):
         assert (r["uncertainty"] is not None) == (method == "variational")
 
 
+def test_findings_of_a_projection(spark, small):
+    x, w, samples, cohort, words = small
+    states = projection.project(cohort, words, "nnls", allow_empty=True)
+    rows = {r["sample_id"]: r for r in projection.findings(cohort, words, states, 0.2).collect()}
+    each = states.toPandas()
+    for sample, own in each.groupby("sample_id"):
+        r = rows[sample]
+        high, unused = int((own["relative_error"] > 0.2).sum()), sum(not any(u > 0 for u in us) for us in own["usages"])
+        assert (r["n_cells"], r["n_missing"], r["n_extra"], r["n_high_error"], r["n_unused"]) == (len(own), 0, 0, high, unused)
+        assert r["warnings"] == [f"{n} {text}" for n, text in ((high, "cells have a relative error above 0.2"), (unused, "cells use no program")) if n]
+    assert sum(r["n_unused"] for r in rows.values()) and len(rows) == each["sample_id"].nunique()
+    fewer = cohort.kept_genes(cohort.genes.where("gene_pos > 0"))
+    for r in projection.findings(fewer, words, projection.project(fewer, words, "nnls", allow_empty=True)).collect():
+        assert r["n_missing"] == 1 and r["warnings"][0] == "1 genes of the vocabulary are missing" and r["n_high_error"] == 0
+    assert projection.findings(cohort, words, states.limit(0)).count() == 0
+    for threshold in (0, -1.0, float("inf"), float("nan")):
+        with pytest.raises(errors.ProjectionError, match="threshold"):
+            projection.findings(cohort, words, states, threshold)
+
+
+def test_registered_findings(spark):
+    sf = "/root/testdata/sf0.001"
+    each = catalogue.nnls_all(spark, sf).toPandas()
+    want = {s: (len(o), 0, int((o["relative_error"] > 0.5).sum())) for s, o in each.groupby("sample_id")}
+    found = catalogue.projection_findings(spark, sf).collect()
+    assert {r["sample_id"]: (r["n_cells"], r["n_missing"], r["n_high_error"]) for r in found} == want
+
+
+def test_values_need_a_row_a_cell(spark, tmp_path, small):
+    *_, cohort, words = small
+    values = cohort.cells.select("sample_id", "cell_id", F.array(F.lit(1.0), F.lit(2.0)).alias("activities"))
+    artifacts.save_values(values, str(tmp_path / "whole"), "activities", cells=cohort.cells)
+    assert artifacts.load(spark, str(tmp_path / "whole"), "activities")[0]["values"].count() == 18
+    one = F.col("cell_id") == "c1"
+    strange = values.where(one).withColumn("cell_id", F.lit("zz"))
+    for bad, text in ((values.where(~one), "has 0 for 1"), (values.unionByName(values.where(one)), "has 2 for 1"), (values.unionByName(strange), "has 1 for 0")):
+        with pytest.raises(errors.StateError, match=text):
+            artifacts.save_values(bad, str(tmp_path / "bad"), "activities", cells=cohort.cells)
+    uneven = values.withColumn("activities", F.when(one, F.array(F.lit(1.0))).otherwise(F.col("activities")))
+    with pytest.raises(errors.StateError, match="1 to 2 values"):
+        artifacts.save_values(uneven, str(tmp_path / "bad"), "activities", cells=cohort.cells)
+    assert not (tmp_path / "bad").exists()
+
+
 def test_poisson_needs_counts(spark, small):
     *_, cohort, words = small
     with pytest.raises(Exception, match="whole numbers"):

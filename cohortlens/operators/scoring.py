@@ -94,12 +94,13 @@ def technical_residual(cohort: Cohort, vocabulary: DataFrame, training: list[str
     return long(wide, programs, lambda k: F.col(f"s{k}") - F.lit(float(b[0, k])) - F.lit(float(b[1, k])) * F.col("d1") - F.lit(float(b[2, k])) * F.col("d2"))
 
 
-def matched_control(cohort: Cohort, vocabulary: DataFrame, training: list[str], n_top: int = 50, n_bins: int = 25, control_size: int = 50, seed: int = 0) -> DataFrame:
+def matched_control(cohort: Cohort, vocabulary: DataFrame, training: list[str], n_top: int = 50, n_bins: int = 25, control_size: int = 50, seed: int = 0, uncontrolled: bool = False) -> DataFrame:
     """Weighted mean of a program's top genes less the mean of control genes of like training expression.
 
     Of each bin of a top gene, the ``control_size`` other genes of smallest hash
     (MD5 of ``seed:program:gene``) are controls, so a draw depends on nothing
-    but these names.
+    but these names. A program whose top genes fill their bins has no controls
+    and raises; with ``uncontrolled`` its score is the mean of its top genes.
     """
     own, _, _ = aligned(cohort, vocabulary)
     means = gene_moments(own.kept_samples(training)).select("gene_id", "mean")
@@ -118,7 +119,7 @@ def matched_control(cohort: Cohort, vocabulary: DataFrame, training: list[str],
     signed = ranked.where("top").select("program_idx", "gene_id", F.try_divide("weight", F.sum("weight").over(each)).alias("weight"))
     signed = stored(signed.unionByName(controls.select("program_idx", "gene_id", (F.lit(-1.0) / F.count("*").over(each)).alias("weight"))))
     whole = signed.groupBy("program_idx").agg((F.count_if(F.col("weight").isNull()) > 0).alias("unweighted"), (F.count_if(F.col("weight") < 0) > 0).alias("controlled"))
-    if whole.where("unweighted or not controlled").limit(1).count():
+    if whole.where("unweighted" if uncontrolled else "unweighted or not controlled").limit(1).count():
         raise StateError("a program has no control genes, or top genes without weight")
     programs, wide = products(own, signed)
     return long(wide, programs, lambda i: F.col(f"s{i}"))

@@ -18,6 +18,10 @@ from cohortlens.schema import Cohort
 from cohortlens.storage import stored
 
 
+#: Genes up to which one pass sums the whole covariance of values.
+NARROW = 512
+
+
 @dataclass(frozen=True)
 class Scaler:
     """Training mean and population deviation (1 where that is 0) of each program, in order."""
@@ -58,6 +62,12 @@ def packed_scores(scores: DataFrame) -> DataFrame:
     return scores.groupBy(*prep.ON).agg(F.sort_array(F.collect_list(F.struct("program_idx", "score"))).alias("s")).select(*prep.ON, F.col("s.score").alias("x"))
 
 
+def _standardized_rows(rows: DataFrame, by: Scaler) -> DataFrame:
+    """Packed scores, each less its program's mean over its deviation."""
+    mean, deviation = (F.array(*[F.lit(float(v)) for v in x]) for x in (by.mean, by.deviation))
+    return rows.withColumn("x", F.transform("x", lambda v, i: (v - F.get(mean, i)) / F.get(deviation, i)))
+
+
 def _matrix(batch: pd.DataFrame, column: str = "x") -> np.ndarray:
     return np.array(batch[column].tolist(), float).reshape(len(batch), -1)
 
@@ -150,10 +160,10 @@ def inverse(found: DataFrame, model: Linear | Nonlinear) -> DataFrame:
     return found.mapInPandas(run, "sample_id string, cell_id string, x array<double>")
 
 
-def linear_state(scores: DataFrame, training: list[str], n_components: int) -> tuple[DataFrame, Linear]:
-    """Principal coordinates of standardised scores, and the model."""
+def linear_state(scores: DataFrame, training: list[str], n_components: int, rows: DataFrame | None = None) -> tuple[DataFrame, Linear]:
+    """Principal coordinates of standardised scores, and the model; ``rows`` are the same scores packed, if they are at hand."""
     by = scaler(scores, training)
-    z = stored(packed_scores(standardized(scores, training, by)))
+    z = stored(_standardized_rows(packed_scores(scores) if rows is None else rows, by))
     train = z.where(F.col("sample_id").isin(training))
     if n_components > train.limit(n_components).count():
         raise StateError(f"{n_components} components of fewer cells")
@@ -165,7 +175,8 @@ def linear_state(scores: DataFrame, training: list[str], n_components: int) -> t
 def expression_pca(cohort: Cohort, training: list[str], n_components: int, max_iter: int = 200, tol: float = 1e-11, seed: int = 0) -> tuple[DataFrame, Linear]:
     """Principal coordinates of the centred values, on any number of genes.
 
-    Subspace iteration from a random start: a pass sums genes x (components +
+    Up to ``NARROW`` genes the covariance is summed in one pass. Beyond it:
+    subspace iteration from a random start: a pass sums genes x (components +
     10) products over the tasks, centred by the means, and no array of genes x
     genes is made. Ends when what the axes leave of their products is at most
     ``tol`` of the largest variance.
@@ -181,6 +192,11 @@ def expression_pca(cohort: Cohort, training: list[str], n_components: int, max_i
     n, mean = total[0], total[2:] / total[0]
     if not 0 < n_components <= g:
         raise StateError(f"{n_components} components of {g} dimensions")
+    if g <= NARROW:
+        squares = whole(lambda x, *_: sum(d.T @ d for d in x.dense(DENSE // 4)).ravel()).reshape(g, g)
+        values, vectors = np.linalg.eigh(squares / n - np.outer(mean, mean))
+        values, axes = values[::-1][:n_components], vectors.T[::-1][:n_components]
+        return _by_axes(rows, axes, values, max(total[1] / n - mean @ mean, 1e-300), mean)
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((g, min(g, n_components + 10))))[0]
     for _ in range(max_iter):
         image = whole(lambda x, *_: x.transposed(x @ basis).ravel()).reshape(g, -1) / n - np.outer(mean, mean @ basis)  # noqa: B023
@@ -190,17 +206,23 @@ def expression_pca(cohort: Cohort, training: list[str], n_components: int, max_i
         if np.linalg.norm((image @ turn).T - values[:, None] * axes, axis=1).max() <= tol * max(values[0], 1e-300):
             break
         basis = np.linalg.qr(image)[0]
-    axes = axes * np.sign(axes[np.arange(n_components), np.abs(axes).argmax(1)])[:, None]
-    model = Linear(axes, values / max(total[1] / n - mean @ mean, 1e-300), mean, np.ones(g))
+    return _by_axes(rows, axes, values, max(total[1] / n - mean @ mean, 1e-300), mean)
+
+
+def _by_axes(rows: DataFrame, axes: np.ndarray, values: np.ndarray, trace: float, mean: np.ndarray) -> tuple[DataFrame, Linear]:
+    """Coordinates of packed cells on axes, the largest entry of each made positive, and the model."""
+    g = len(mean)
+    axes = axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(1)])[:, None]
+    model = Linear(axes, values / trace, mean, np.ones(g))
     return coordinates(rows, model, lambda b: SparseRows.packed(b, g)), model
 
 
-def nonlinear_state(scores: DataFrame, training: list[str], n_components: int, max_iter: int = 500, seed: int = 0, alpha: float = 1e-4) -> tuple[DataFrame, Nonlinear]:
-    """Coordinates of standardised scores in the bottleneck of an autoencoder, fitted on all training cells."""
+def nonlinear_state(scores: DataFrame, training: list[str], n_components: int, max_iter: int = 500, seed: int = 0, alpha: float = 1e-4, rows: DataFrame | None = None) -> tuple[DataFrame, Nonlinear]:
+    """Coordinates of standardised scores in the bottleneck of an autoencoder, fitted on all training cells; ``rows`` as in ``linear_state``."""
     by = scaler(scores, training)
-    z = stored(packed_scores(standardized(scores, training, by)))
+    z = stored(_standardized_rows(packed_scores(scores) if rows is None else rows, by))
     k = len(by.programs)
-    layers = network.trained(stored(z.where(F.col("sample_id").isin(training))), lambda b: (_matrix(b), _matrix(b)), [k, n_components, k], max_iter, seed, alpha, tanh=True)
+    layers = network.trained(z.where(F.col("sample_id").isin(training)), lambda b: (_matrix(b), _matrix(b)), [k, n_components, k], max_iter, seed, alpha, tanh=True)
     return coordinates(z, Nonlinear(layers, np.zeros(k), np.ones(k))), Nonlinear(layers, by.mean, by.deviation)
 
 
@@ -218,18 +240,21 @@ class Fitted:
         return metrics.model_reconstruction(self.rows, split, self.values, self.model, self.at_once)
 
 
-def fitted(method: str, scores: DataFrame, cohort: Cohort, training: list[str], n_components: int, seed: int = 0, most_elements: int = DENSE) -> Fitted:
-    """One of METHODS, fitted on the training samples and applied to all cells; a task makes ``most_elements`` dense values at a time."""
+def fitted(method: str, scores: DataFrame, cohort: Cohort, training: list[str], n_components: int, seed: int = 0, most_elements: int = DENSE, rows: DataFrame | None = None) -> Fitted:
+    """One of METHODS, fitted on the training samples and applied to all cells; a task makes ``most_elements`` dense values at a time.
+
+    ``rows`` are the scores packed (``packed_scores``) as a stored table, if several methods are fitted on them.
+    """
     if method == "pca":
         found, model = expression_pca(cohort, training, n_components, seed=seed)
         genes = [r["gene_id"] for r in cohort.genes.orderBy("gene_pos").collect()]
         return Fitted(found, packed(cohort, genes), lambda b: np.asarray(SparseRows.packed(b, len(genes))), model, max(1, most_elements // len(genes)))
-    rows = stored(packed_scores(scores))
+    rows = stored(packed_scores(scores)) if rows is None else rows
     if method == "direct":
-        return Fitted(packed_scores(standardized(scores, training)).withColumnRenamed("x", "coordinates"), rows, _matrix, None)
+        return Fitted(_standardized_rows(rows, scaler(scores, training)).withColumnRenamed("x", "coordinates"), rows, _matrix, None)
     if method not in METHODS:
         raise StateError(f"{method} isn't one of {', '.join(METHODS)}")
-    found, model = linear_state(scores, training, n_components) if method == "linear" else nonlinear_state(scores, training, n_components, seed=seed)
+    found, model = linear_state(scores, training, n_components, rows) if method == "linear" else nonlinear_state(scores, training, n_components, seed=seed, rows=rows)
     return Fitted(found, rows, _matrix, model)
 
 
